@@ -136,3 +136,63 @@ transfers AS (
   SELECT txn_id, idempotency_key, account_from, account_to, amount, created_at, 'b' AS region
   FROM transfers_a WHERE txn_id % 10 = 0
 )"""
+
+
+# --- event calendars for the January-2024 fixture -------------------------------------
+# Test fixture (not reference data): six global intervals inside the events'
+# date range, overlapping on purpose so that "last match wins" is exercised,
+# and one one-day event that only matches midnight.
+FIXTURE_GLOBAL_EVENTS = [
+    ("market_crash", "2024-01-03", "2024-01-06", 0.45, 2.8),
+    ("quarter_end", "2024-01-05", "2024-01-09", 0.22, 1.8),
+    ("flash_crash", "2024-01-12", "2024-01-12", 0.70, 4.5),
+    ("ddos_attack", "2024-01-15", "2024-01-17", 0.60, 3.5),
+    ("vendor_outage", "2024-01-16", "2024-01-20", 0.80, 5.0),
+    ("vendor_outage", "2024-01-22", "2024-01-23", 0.82, 5.5),
+]
+FIXTURE_API_EVENTS = {
+    "crypto_api": [("dependency_failure", "2024-01-10", "2024-01-14", 0.55, 2.0)],
+    "stock_price_api": [("bad_url", "2024-01-04", "2024-01-05", 0.50, 1.5)],
+}
+
+
+def tagged_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telemetry + combined global/API event tags (JN-04/05)."""
+    from faultline.operators.joins import combine_event_tags
+    return combine_event_tags(telemetry(spark, sf_dir), FIXTURE_GLOBAL_EVENTS, FIXTURE_API_EVENTS)
+
+
+def _event_case_sql(ts: str, events, idx: int, default) -> str:
+    if not events:
+        return repr(default) if not isinstance(default, str) else f"'{default}'"
+    lit = (lambda v: f"'{v}'" if isinstance(v, str) else repr(float(v)))
+    parts = [f"WHEN {ts} >= TIMESTAMP '{e[1]}' AND {ts} <= TIMESTAMP '{e[2]}' THEN {lit(e[idx])}"
+             for e in reversed(events)]
+    return "CASE " + " ".join(parts) + f" ELSE {lit(default)} END"
+
+
+def tagged_telemetry_sql() -> str:
+    """CTEs ending in ``tagged`` (telemetry + event_label/boost/rt_multiplier)."""
+    g_lab = _event_case_sql('"timestamp"', FIXTURE_GLOBAL_EVENTS, 0, "normal")
+    g_b = _event_case_sql('"timestamp"', FIXTURE_GLOBAL_EVENTS, 3, 0.0)
+    g_m = _event_case_sql('"timestamp"', FIXTURE_GLOBAL_EVENTS, 4, 1.0)
+
+    def per_api(idx, default):
+        lit = (lambda v: f"'{v}'" if isinstance(v, str) else repr(float(v)))
+        parts = [f"WHEN api_name = '{a}' THEN {_event_case_sql(chr(34) + 'timestamp' + chr(34), ev, idx, default)}"
+                 for a, ev in FIXTURE_API_EVENTS.items()]
+        return "CASE " + " ".join(parts) + f" ELSE {lit(default)} END"
+    return telemetry_sql() + f""",
+tagged0 AS (
+  SELECT *, {g_lab} AS g_label, {g_b} AS g_boost, {g_m} AS g_mult,
+         {per_api(0, 'normal')} AS a_label, {per_api(3, 0.0)} AS a_boost, {per_api(4, 1.0)} AS a_mult
+  FROM telemetry
+),
+tagged AS (
+  SELECT event_id, "timestamp", api_name, response_time, status_code, success, error_type,
+         request_count, data_source, user_id,
+         CASE WHEN a_label <> 'normal' THEN a_label ELSE g_label END AS event_label,
+         greatest(g_boost, a_boost) AS error_rate_boost,
+         greatest(g_mult, a_mult) AS rt_multiplier
+  FROM tagged0
+)"""
