@@ -75,8 +75,15 @@ def _map(d: dict, key: Column, default) -> Column:
 
 def series_features(tele: DataFrame, profile: str | Profile = "batch60",
                     key: str = "api_name", order=("timestamp", "event_id"),
-                    keep=("data_source",), block: int | None = None) -> DataFrame:
-    """Telemetry -> base + calendar + rolling/lag/EMA + stress + precursor columns."""
+                    keep=("data_source",), block: int | None = None,
+                    horizons=(), recent_n: int = 0) -> DataFrame:
+    """Telemetry -> base + calendar + rolling/lag/EMA + stress + precursor columns.
+
+    ``horizons`` adds ``y_h{h}`` (failure flag h rows ahead) and
+    ``y_type_h{h}`` (its error type); ``recent_n`` adds ``recent_failures``
+    (failures among the previous n rows).  Both come out of the same window
+    pass (forward halo = max horizon), so they cost no extra shuffle.
+    """
     p = PROFILES[profile] if isinstance(profile, str) else profile
     rnd = p.round_outputs
     keep = [c for c in keep if c in tele.columns]
@@ -84,9 +91,11 @@ def series_features(tele: DataFrame, profile: str | Profile = "batch60",
     t = tele.select(*cols)
 
     back = max(p.n - 1, p.vol_n - 1, 5, max(series.ema_halo(s) for s in p.spans))
-    blk_size = block or series.ema_block_size(p.spans, back)
+    back = max(back, recent_n)
+    fwd = max(horizons) if horizons else 0
+    blk_size = block or series.ema_block_size(p.spans, back, fwd)
     idx = series.with_row_index(t, key=key, order=order)
-    b = series.blocked(idx, block=blk_size, back=back)
+    b = series.blocked(idx, block=blk_size, back=back, fwd=fwd)
     w = series.block_window(key)
     fn = w.rowsBetween(-(p.n - 1), 0)
     fv = w.rowsBetween(-(p.vol_n - 1), 0)
@@ -112,6 +121,10 @@ def series_features(tele: DataFrame, profile: str | Profile = "batch60",
         series.ema_columns(err, s_fast, w, adjust=p.adjust).alias("_err_ema_fast"),
         F.avg(rc).over(w.rowsBetween(-59, 0)).alias("_rc_mean60"),
         F.lag(rc, 1).over(w).alias("_rc_lag1"),
+        *[F.lead(ierr, h).over(w).cast("int").alias(f"y_h{h}") for h in horizons],
+        *[F.lead("error_type", h).over(w).alias(f"y_type_h{h}") for h in horizons],
+        *([F.coalesce(F.sum(ierr).over(w.rowsBetween(-recent_n, -1)), F.lit(0)).cast("double")
+           .alias("recent_failures")] if recent_n else []),
     ).filter("_home")
 
     # lag fill = series mean (per key; one row per key)
