@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline import constants as C
+from faultline.functions.scalars import np_round
 
 D = C.DIAG
 
@@ -27,7 +28,7 @@ def diagnose(df: DataFrame, out: str = "diagnosis") -> DataFrame:
     def case(cat, conf, ev: dict, hint):
         return F.struct(
             F.lit(cat).alias("category"),
-            F.round(F.least(F.lit(1.0), conf), 3).alias("confidence"),
+            np_round(F.least(F.lit(1.0), conf), 3).alias("confidence"),
             F.create_map(*[x for k, v in ev.items() for x in (F.lit(k), v)]).alias("evidence"),
             F.lit(hint).alias("remediation_hint"),
         )
@@ -94,30 +95,76 @@ def decay_risk(df: DataFrame, risk: str = "risk", ticks_elapsed: str = "ticks")
                      (F.col(ticks_elapsed) >= F.col("recovery_ticks")).alias("fix_complete"))
 
 
-def hysteresis(df: DataFrame, p: str = "p", key="api_name", order=("timestamp", "event_id"),
+def hysteresis(df: DataFrame, p: str = "p", key="api_name", order: str = "row_idx",
                hi: float = 0.55, lo: float = 0.45, out: str = "alert") -> DataFrame:
-    """DEC-18 Schmitt trigger: on at p>=hi, off at p<lo, otherwise hold; start off."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    """DEC-18 Schmitt trigger: on at p>=hi, off at p<lo, otherwise hold the last
+    state; starts off.  The last trigger position comes from a distributed
+    running max, its value from an equi-join on (key, position)."""
+    from faultline.operators import series
     ev = F.when(F.col(p) >= hi, 1).when(F.col(p) < lo, 0)
-    return df.withColumn(out, F.coalesce(F.last(ev, ignorenulls=True).over(w), F.lit(0)))
+    t = df.withColumn("_ev", ev).withColumn("_evpos", F.when(F.col("_ev").isNotNull(), F.col(order)))
+    cum = series.cumulative(t.select(key, order, "_evpos"), key, [order], ["_evpos"], agg="max")
+    trig = t.filter(F.col("_ev").isNotNull()).select(key, F.col(order).alias("cum__evpos"), "_ev")
+    j = (cum.select(key, order, "cum__evpos").join(trig, [key, "cum__evpos"], "left")
+         .select(key, order, F.coalesce(F.col("_ev"), F.lit(0)).alias(out)))
+    return df.join(j, [key, order], "left")
 
 
-def debounce(df: DataFrame, state: str = "healthy", key="backend", order=("tick",), n: int = 2,
+def debounce(df: DataFrame, state: str = "healthy", key="backend", order: str = "tick", n: int = 2,
              out: str = "confirmed") -> DataFrame:
-    """DEC-15: a state change is confirmed only on exactly the n-th equal
-    consecutive poll (gaps-and-islands position inside the run)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    chg = F.when(F.lag(state).over(w).isNull() | (F.lag(state).over(w) != F.col(state)), 1).otherwise(0)
-    t = df.withColumn("_chg", chg)
-    t = t.withColumn("_run", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    wr = Window.partitionBy(key, "_run").orderBy(*order)
-    t = t.withColumn("_pos", F.row_number().over(wr))
-    return t.withColumn(out, F.col("_pos") == n).drop("_chg", "_run", "_pos")
+    """DEC-15: a state change is acted on only at exactly the n-th equal
+    consecutive poll: s_i == ... == s_{i-n+1} and s_{i-n} differs or is absent.
+    Needs only n rows of look-back, so it runs on halo blocks (bounded tasks)."""
+    from faultline.operators import series
+    b = series.blocked(df, idx_col=order, block=max(1024, 4 * n), back=n)
+    w = Window.partitionBy(key, "_blk").orderBy(order)
+    same = F.lit(True)
+    for k in range(1, n):
+        same = same & F.lag(state, k).over(w).eqNullSafe(F.col(state)) & F.lag(state, k).over(w).isNotNull()
+    prev = F.lag(state, n).over(w)
+    first_of_run = prev.isNull() | ~prev.eqNullSafe(F.col(state))
+    res = b.select(*df.columns, "_home", (same & first_of_run).alias(out)).filter("_home").drop("_home")
+    return res
 
 
 def roi(scenarios: DataFrame, reduction: Column | float, incidents: str = "incidents",
         cost: str = "cost_per_incident") -> DataFrame:
     """DEC-19: averted = round(incidents * reduction); saved = averted * cost."""
     red = reduction if isinstance(reduction, Column) else F.lit(reduction)
-    averted = F.round(F.col(incidents) * red, 0)
+    averted = np_round(F.col(incidents) * red, 0)
     return scenarios.select("*", averted.alias("averted"), (averted * F.col(cost)).alias("saved"))
+
+
+# --- DEC-17 / SCL-13 ----------------------------------------------------------------------
+def record_json(fields: dict) -> Column:
+    """JSON text of a flat record with keys sorted, in the ``json.dumps``
+    layout the checksum is defined on ('{"a": 1, "b": "x"}')."""
+    parts = []
+    for i, k in enumerate(sorted(fields)):
+        v = fields[k]
+        sep = "" if i == 0 else ", "
+        if isinstance(v, tuple):        # (column, 'str') marks a string field
+            val = F.concat(F.lit('"'), v[0].cast("string"), F.lit('"'))
+        else:
+            val = v.cast("string")
+        parts += [F.lit(f'{sep}"{k}": '), val]
+    return F.concat(F.lit("{"), *parts, F.lit("}"))
+
+
+def checksum(fields: dict) -> Column:
+    return F.substring(F.sha2(record_json(fields), 256), 1, 16)
+
+
+def parity(primary: DataFrame, replica: DataFrame, key: str, fields_fn, negative_fn=None) -> DataFrame:
+    """DEC-17: per key, checksum(primary) == checksum(replica); the negative
+    control (a mutated replica record) must differ."""
+    a = primary.select(key, checksum(fields_fn(primary)).alias("checksum_primary"))
+    b = replica.select(key, checksum(fields_fn(replica)).alias("checksum_replica"),
+                       *([checksum(negative_fn(replica)).alias("_neg")] if negative_fn else []))
+    j = a.join(b, key, "full_outer")
+    out = j.select(key, "checksum_primary", "checksum_replica",
+                   F.coalesce(F.col("checksum_primary") == F.col("checksum_replica"), F.lit(False)).alias("parity_ok"))
+    if negative_fn:
+        out = out.join(b.select(key, "_neg"), key, "left").select(
+            *out.columns, (F.col("_neg") != F.col("checksum_primary")).alias("negative_control_differs"))
+    return out

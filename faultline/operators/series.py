@@ -156,7 +156,7 @@ def ema_columns(x: Column, span: float, w, idx_col: str = "row_idx",
 
 # --- distributed prefix sums ------------------------------------------------------------
 def cumulative(df: DataFrame, group, order, sums, desc: bool = False,
-               n_partitions: int | None = None) -> DataFrame:
+               n_partitions: int | None = None, agg: str = "sum") -> DataFrame:
     """Inclusive running sums of ``sums`` along ``order`` within ``group``.
 
     Exact and distributed: range-partition on (group, order) so each task owns a
@@ -172,14 +172,18 @@ def cumulative(df: DataFrame, group, order, sums, desc: bool = False,
     o = [F.col(c).desc() if desc else F.col(c).asc() for c in order]
     ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *o).withColumn("_pid", F.spark_partition_id())
     ranged = reliable_checkpoint(ranged)
-    tot = ranged.groupBy("_pid", *keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    fn = F.sum if agg == "sum" else F.max
+    tot = ranged.groupBy("_pid", *keys).agg(*[fn(c).alias(f"_t_{c}") for c in sums])
     wo = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select("_pid", *keys, *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")
+    zero = F.lit(0) if agg == "sum" else F.lit(None)
+    tot = tot.select("_pid", *keys, *[F.coalesce(fn(f"_t_{c}").over(wo), zero).alias(f"_o_{c}")
                                       for c in sums])
     wl = Window.partitionBy("_pid", *keys).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.select("*", *[F.sum(c).over(wl).alias(f"_l_{c}") for c in sums])
+    local = ranged.select("*", *[fn(c).over(wl).alias(f"_l_{c}") for c in sums])
     out = local.join(broadcast_if_small(tot), ["_pid", *keys], "inner")
-    out = out.select("*", *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums])
+    comb = ((lambda c: F.col(f"_l_{c}") + F.col(f"_o_{c}")) if agg == "sum"
+            else (lambda c: F.greatest(F.col(f"_l_{c}"), F.col(f"_o_{c}"))))
+    out = out.select("*", *[comb(c).alias(f"cum_{c}") for c in sums])
     return out.drop("_pid", *[f"_l_{c}" for c in sums], *[f"_o_{c}" for c in sums])
 
 

@@ -78,12 +78,14 @@ def fallback_risk(df: DataFrame, error_rate="error_rate", avg_rt="avg_rt_s", out
     return df.withColumn(out, r)
 
 
-def to_long(scored: DataFrame, horizons=(1, 5, 15), keep=("event_id", "api_name", "timestamp")) -> DataFrame:
+def to_long(scored: DataFrame, horizons=(1, 5, 15),
+            keep=("event_id", "api_name", "timestamp", "row_idx")) -> DataFrame:
     """Wide surrogate output -> long scored table (…, horizon, p, lower, upper, y, y_type)."""
     rows = [F.struct(F.lit(h).alias("horizon"), F.col(f"p_h{h}").alias("p"),
                      F.col(f"lower_h{h}").alias("lower"), F.col(f"upper_h{h}").alias("upper"),
                      F.col(f"y_h{h}").alias("y"), F.col(f"y_type_h{h}").alias("y_type"))
             for h in horizons]
+    keep = [k for k in keep if k in scored.columns]
     return (scored.select(*keep, F.explode(F.array(*rows)).alias("_r"))
             .select(*keep, "_r.*").filter(F.col("y").isNotNull()))
 

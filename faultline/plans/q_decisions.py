@@ -1 +1,241 @@
-"""Registered queries."""
+"""Registered queries: decisioning (DEC-*), policy back-tests (AGG-20) and the
+row-level diagnosis / remedy table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from faultline import constants as C
+from faultline.functions.scalars import hash_uniform_sql as HU
+from faultline.functions.scalars import np_round_sql as R
+from faultline.operators import decide, policy, series
+from faultline.plans import sql as Q
+from faultline.plans.catalog import register
+from faultline.plans.feature_table import feature_table
+from faultline.plans.q_evaluation import S
+from faultline.plans.scored import scored_long
+from faultline.sources import fixtures as FX
+
+
+def transactions(spark, sf):
+    """Scored horizon-1 rows = one transaction each (primary = its API)."""
+    return (scored_long(spark, sf).filter(F.col("horizon") == 1)
+            .select("event_id", "api_name", "timestamp", "row_idx", "p", "y"))
+
+
+TX = S + """, tx AS (SELECT event_id, api_name, "timestamp", row_idx, p, y FROM scored WHERE horizon = 1),
+rates AS (SELECT api_name, 1.0 - avg(coalesce(success, 1)) AS failure_rate FROM telemetry GROUP BY 1),
+apos AS (SELECT * FROM (VALUES """ + ", ".join(f"('{a}', {i + 1})" for i, a in enumerate(C.ALL_APIS)) + """) v(api_name, pos)),
+rp AS (SELECT r.*, apos.pos FROM rates r JOIN apos USING (api_name)),
+bk AS (SELECT a.api_name, a.failure_rate AS primary_rate, b.api_name AS backup_api, b.failure_rate AS backup_rate,
+              row_number() OVER (PARTITION BY a.api_name ORDER BY b.failure_rate, b.pos) AS rk
+       FROM rp a JOIN rp b ON a.api_name <> b.api_name),
+bk1 AS (SELECT * FROM bk WHERE rk = 1)
+"""
+
+
+def _pro_sql(variant: str) -> str:
+    u = HU("event_id", "proactive")
+    hi, lo = C.HIGH_RISK, C.LOW_RISK
+    if variant == "scaled":
+        return f""", pro AS (SELECT tx.*,
+  CASE WHEN p > {hi} THEN 'switch' WHEN p > {lo} THEN 'retry' ELSE 'normal' END AS action,
+  CAST(CASE WHEN p > {hi} THEN {u} < CAST(y AS DOUBLE) * 0.25 WHEN p > {lo} THEN {u} < CAST(y AS DOUBLE) * 0.5
+       ELSE y = 1 END AS INT) AS failed FROM tx)"""
+    return f""", pro AS (SELECT tx.*,
+  CASE WHEN p > {hi} AND bk1.backup_api IS NOT NULL AND bk1.backup_rate < bk1.primary_rate THEN 'switch'
+       WHEN p > {hi} THEN 'hold' WHEN p > {lo} THEN 'retry' ELSE 'normal' END AS action,
+  CAST(CASE WHEN p > {hi} AND bk1.backup_api IS NOT NULL AND bk1.backup_rate < bk1.primary_rate THEN {u} < bk1.backup_rate
+       WHEN p > {hi} THEN y = 1 WHEN p > {lo} THEN y = 1 AND {u} < 0.5 ELSE y = 1 END AS INT) AS failed
+  FROM tx LEFT JOIN bk1 USING (api_name))"""
+
+
+def _lat(action_col: str = "action") -> str:
+    return (f"CASE WHEN {action_col} = 'switch' THEN {policy.MS['switch']} "
+            f"WHEN {action_col} IN ('retry', 'hold') THEN {policy.MS['retry']} ELSE {policy.MS['normal']} END")
+
+
+REACT_SQL = f""", rl AS (SELECT tx.*, row_idx - 1 - coalesce(max(CASE WHEN y = 0 THEN row_idx END) OVER (
+                PARTITION BY api_name ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS r FROM tx),
+react AS (SELECT event_id, api_name, "timestamp", row_idx, p, y,
+  CASE WHEN r % 2 = 1 THEN 'switch' ELSE 'normal' END AS action,
+  CASE WHEN r % 2 = 1 THEN CAST({HU('event_id', 'reactive')} < {C.REACTIVE_BACKUP_FAIL} AS INT) ELSE y END AS failed,
+  CASE WHEN r % 2 = 1 THEN {policy.MS['switch']} ELSE {policy.MS['normal']} END AS latency_ms FROM rl)"""
+
+POST_SQL = f""", post AS (SELECT tx.*, CASE WHEN y = 1 THEN 'post-fail-switch' ELSE 'normal' END AS action, y AS failed,
+  CASE WHEN y = 1 THEN {policy.MS['switch']} ELSE {policy.MS['normal']} END AS latency_ms FROM tx)"""
+
+
+def _metrics_sql(src: str, label: str, lat: str = "latency_ms") -> str:
+    return f"""SELECT '{label}' AS label, count(*) AS n_transactions, count(*) - sum(failed) AS successes,
+  sum(failed) AS failures, sum(failed) / count(*) AS failure_rate,
+  sum(CASE WHEN action = 'switch' THEN 1 ELSE 0 END) AS switches,
+  {R(f'sum({lat}) / (count(*) * 1000.0::DOUBLE)', 4)} AS avg_latency_sec,
+  {R(f'sum(failed) * {C.COST_PER_FAILURE!r}::DOUBLE', 2)} AS cost,
+  {R(f'sum(failed) / count(*) * {float(C.TRANSACTIONS_PER_YEAR)!r}::DOUBLE * {C.COST_PER_FAILURE!r}::DOUBLE', 2)} AS annual_cost_usd
+FROM {src}"""
+
+
+def _all_metrics_spark(spark, sf):
+    tx = transactions(spark, sf)
+    rates = policy.measured_rates(FX.telemetry(spark, sf))
+    pro = policy.proactive(tx, rates)
+    pro_s = policy.proactive(tx, rates, variant="scaled")
+    rea = policy.reactive(tx)
+    post = policy.reactive(tx, variant="post_fail")
+    return (policy.policy_metrics(pro, "proactive"), policy.policy_metrics(pro_s, "proactive_scaled"),
+            policy.policy_metrics(rea, "reactive"), policy.policy_metrics(post, "reactive_post_fail"))
+
+
+_PRO_M = TX + _pro_sql("measured") + f", prol AS (SELECT *, {_lat()} AS latency_ms FROM pro)"
+
+
+@register("dec_policy_metrics", TX + _pro_sql("measured").replace(", pro AS", ", pro AS", 1)
+          + f", prol AS (SELECT *, {_lat()} AS latency_ms FROM pro)"
+          + _pro_sql("scaled").replace(", pro AS", ", pros AS", 1)
+          + f", prosl AS (SELECT *, {_lat()} AS latency_ms FROM pros)" + REACT_SQL + POST_SQL + "\n"
+          + _metrics_sql("prol", "proactive") + "\nUNION ALL\n" + _metrics_sql("prosl", "proactive_scaled")
+          + "\nUNION ALL\n" + _metrics_sql("react", "reactive") + "\nUNION ALL\n"
+          + _metrics_sql("post", "reactive_post_fail"))
+def q_policy_metrics(spark, sf):
+    a, b, c, d = _all_metrics_spark(spark, sf)
+    return a.unionByName(b).unionByName(c).unionByName(d)
+
+
+@register("dec_policy_comparison", _PRO_M + REACT_SQL + f""",
+pm AS ({_metrics_sql('prol', 'proactive')}),
+rm AS ({_metrics_sql('react', 'reactive')})
+SELECT (rm.failures - pm.failures) / greatest(rm.failures, 1) AS failure_reduction,
+       rm.annual_cost_usd - pm.annual_cost_usd AS annual_saving_usd,
+       pm.avg_latency_sec - rm.avg_latency_sec AS latency_delta_sec,
+       rm.failures - pm.failures AS failures_avoided
+FROM pm, rm""")
+def q_policy_comparison(spark, sf):
+    a, _, c, _ = _all_metrics_spark(spark, sf)
+    return policy.compare_policies(a, c)
+
+
+@register("dec_reactive_actions", TX + REACT_SQL + "\nSELECT event_id, api_name, action, failed, latency_ms FROM react")
+def q_reactive_rows(spark, sf):
+    return policy.reactive(transactions(spark, sf)).select("event_id", "api_name", "action", "failed", "latency_ms")
+
+
+@register("dec_proactive_actions", _PRO_M + "\nSELECT event_id, api_name, action, failed, latency_ms FROM prol")
+def q_proactive_rows(spark, sf):
+    tx = transactions(spark, sf)
+    return (policy.proactive(tx, policy.measured_rates(FX.telemetry(spark, sf)))
+            .select("event_id", "api_name", "action", "failed", "latency_ms"))
+
+
+def _remedy_case(idx: int) -> str:
+    return "CASE category " + " ".join(
+        f"WHEN '{r[0]}' THEN {repr(r[idx]) if not isinstance(r[idx], str) else chr(39) + r[idx] + chr(39)}"
+        for r in C.REMEDIES) + " END"
+
+
+@register("dec_diagnosis_rows", Q.full_features_with() + f""",
+dg AS (SELECT event_id, api_name, {Q.diagnose_case()} AS category, {Q.diagnose_confidence()} AS confidence
+       FROM full_feat)
+SELECT event_id, api_name, category, confidence,
+       CASE category WHEN 'cascade' THEN 'isolate_dependency' WHEN 'overload' THEN 'throttle'
+            WHEN 'timeout' THEN 'backoff' WHEN 'error_surge' THEN 'circuit_break' ELSE 'retry_jitter' END
+         AS remediation_hint,
+       {_remedy_case(1)} AS remedy_action, {_remedy_case(2)} AS recovery_ticks, {_remedy_case(3)} AS risk_reduction
+FROM dg""")
+def q_diagnosis_rows(spark, sf):
+    d = decide.diagnose(feature_table(spark, sf))
+    d = d.select("event_id", "api_name", F.col("diagnosis.category").alias("category"),
+                 F.col("diagnosis.confidence").alias("confidence"),
+                 F.col("diagnosis.remediation_hint").alias("remediation_hint"))
+    return decide.remedies(d)
+
+
+@register("dec_risk_decay", S + f""", rd AS (
+  SELECT event_id, horizon, p, CAST(row_idx % 10 AS BIGINT) AS ticks, 'timeout' AS category FROM scored WHERE horizon = 1)
+SELECT event_id, p AS risk, ticks, greatest(0.0, p - least(ticks, 4) * 0.12) AS risk_after, ticks >= 4 AS fix_complete
+FROM rd""")
+def q_risk_decay(spark, sf):
+    s = (scored_long(spark, sf).filter(F.col("horizon") == 1)
+         .select("event_id", F.col("p").alias("risk"), (F.col("row_idx") % 10).alias("ticks"),
+                 F.lit("timeout").alias("category")))
+    return decide.decay_risk(decide.remedies(s), "risk", "ticks").select(
+        "event_id", "risk", "ticks", "risk_after", "fix_complete")
+
+
+@register("dec_hysteresis", S + """, tx AS (SELECT event_id, api_name, row_idx, p FROM scored WHERE horizon = 1),
+ev AS (SELECT *, CASE WHEN p >= 0.55 THEN 1 WHEN p < 0.45 THEN 0 END AS e FROM tx)
+SELECT event_id, api_name, row_idx, coalesce(last_value(e IGNORE NULLS) OVER (PARTITION BY api_name ORDER BY row_idx
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS alert FROM ev""")
+def q_hysteresis(spark, sf):
+    tx = transactions(spark, sf).select("event_id", "api_name", "row_idx", "p")
+    return decide.hysteresis(tx, "p", "api_name", "row_idx").select("event_id", "api_name", "row_idx", "alert")
+
+
+def health_polls(spark, sf):
+    """Per-backend health polls: backend = user_id % 3, tick = position in the
+    backend's time-ordered request log, healthy = request succeeded."""
+    t = FX.telemetry(spark, sf).select("event_id", "timestamp", "success",
+                                       (F.col("user_id") % 3).alias("backend"))
+    idx = series.with_row_index(t, key="backend", order=("timestamp", "event_id"), idx_col="tick")
+    return idx.withColumn("healthy", F.col("success") == 1)
+
+
+@register("dec_debounce", "WITH " + FX.telemetry_sql() + """,
+polls AS (SELECT event_id, user_id % 3 AS backend, success = 1 AS healthy,
+                 row_number() OVER (PARTITION BY user_id % 3 ORDER BY "timestamp", event_id) - 1 AS tick FROM telemetry)
+SELECT event_id, backend, tick, healthy,
+       coalesce(lag(healthy, 1) OVER w = healthy, false)
+       AND (lag(healthy, 2) OVER w IS NULL OR lag(healthy, 2) OVER w <> healthy) AS confirmed
+FROM polls WINDOW w AS (PARTITION BY backend ORDER BY tick)""")
+def q_debounce(spark, sf):
+    return decide.debounce(health_polls(spark, sf), "healthy", "backend", "tick", 2).select(
+        "event_id", "backend", "tick", "healthy", "confirmed")
+
+
+@register("dec_roi", _PRO_M + REACT_SQL + f""",
+pm AS ({_metrics_sql('prol', 'proactive')}),
+rm AS ({_metrics_sql('react', 'reactive')}),
+red AS (SELECT (rm.failures - pm.failures) / greatest(rm.failures, 1) AS r FROM pm, rm),
+sc AS (SELECT api_name AS scenario, sum(1 - success) AS incidents, {C.COST_PER_FAILURE!r} AS cost_per_incident
+       FROM telemetry GROUP BY 1)
+SELECT scenario, incidents, cost_per_incident, {R('incidents * red.r', 0)} AS averted,
+       {R('incidents * red.r', 0)} * cost_per_incident AS saved FROM sc, red""")
+def q_roi(spark, sf):
+    a, _, c, _ = _all_metrics_spark(spark, sf)
+    red = policy.compare_policies(a, c).select("failure_reduction").scalar()
+    sc = (FX.telemetry(spark, sf).groupBy(F.col("api_name").alias("scenario"))
+          .agg(F.sum(F.lit(1) - F.col("success")).alias("incidents"))
+          .withColumn("cost_per_incident", F.lit(C.COST_PER_FAILURE)))
+    return decide.roi(sc, red)
+
+
+@register("dec_parity_check", "WITH " + FX.telemetry_sql() + """,
+rec AS (SELECT event_id, '{"api": "' || api_name || '", "idempotency_key": "k-' || CAST(event_id AS VARCHAR)
+               || '", "outcome": "' || CASE WHEN success = 1 THEN 'success' ELSE 'failure' END
+               || '", "request_count": ' || CAST(request_count AS VARCHAR)
+               || ', "response_time": ' || CAST(response_time AS VARCHAR) || ', "source": "' || data_source || '"}' AS j,
+               '{"api": "' || api_name || '", "idempotency_key": "k-' || CAST(event_id AS VARCHAR)
+               || '", "outcome": "' || CASE WHEN success = 1 THEN 'success' ELSE 'failure' END
+               || '", "request_count": ' || CAST(request_count + 1 AS VARCHAR)
+               || ', "response_time": ' || CAST(response_time AS VARCHAR) || ', "source": "' || data_source || '"}' AS jneg
+        FROM telemetry)
+SELECT event_id, substr(sha256(j), 1, 16) AS checksum_primary, substr(sha256(j), 1, 16) AS checksum_replica,
+       true AS parity_ok, substr(sha256(j), 1, 16) <> substr(sha256(jneg), 1, 16) AS negative_control_differs
+FROM rec""")
+def q_parity(spark, sf):
+    prim = FX.telemetry(spark, sf)
+    repl = FX.telemetry(spark, sf)   # second, independent scan = the replica
+
+    def fields(df):
+        return {"api": (F.col("api_name"), "str"),
+                "idempotency_key": (F.concat(F.lit("k-"), F.col("event_id").cast("string")), "str"),
+                "outcome": (F.when(F.col("success") == 1, "success").otherwise("failure"), "str"),
+                "request_count": F.col("request_count"),
+                "response_time": F.col("response_time"),
+                "source": (F.col("data_source"), "str")}
+
+    def negative(df):
+        f = fields(df)
+        f["request_count"] = F.col("request_count") + 1
+        return f
+    return decide.parity(prim, repl, "event_id", fields, negative)

@@ -55,7 +55,7 @@ def scored_ctes() -> str:
     for h in HORIZONS:
         p = _hp(h)
         bw = _band(p, h)
-        parts.append(f"SELECT event_id, api_name, \"timestamp\", {h} AS horizon, {p} AS p, "
+        parts.append(f"SELECT event_id, api_name, \"timestamp\", row_idx, {h} AS horizon, {p} AS p, "
                      f"{_clip(f'{p} - {bw}', 0.0, 1.0)} AS lower, {_clip(f'{p} + {bw}', 0.0, 1.0)} AS upper, "
                      f"y_h{h} AS y, y_type_h{h} AS y_type FROM sc2 WHERE y_h{h} IS NOT NULL")
     union = "\n  UNION ALL\n  ".join(parts)

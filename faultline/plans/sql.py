@@ -207,7 +207,7 @@ def diagnose_case() -> str:
 
 def diagnose_confidence() -> str:
     d = C.DIAG
-    return f"""round(least(1.0, CASE
+    return R(f"""least(1.0, CASE
   WHEN systemic_stress_index >= {d['systemic_stress_hi']} OR n_apis_elevated >= {d['n_apis_elevated']}
        THEN (systemic_stress_index + max_error_rate_others) / 1.2
   WHEN burst_ratio >= {d['burst_ratio_hi']} OR traffic_change >= {d['traffic_change_hi']}
@@ -216,7 +216,7 @@ def diagnose_confidence() -> str:
        THEN greatest(rt_multiplier / 4.0, latency_spike)
   WHEN error_burst >= {d['error_burst_hi']} OR error_rate_boost >= {d['error_boost_hi']}
        THEN greatest(error_burst, error_rate_boost + error_rate_rolling)
-  ELSE instability_index + 0.2 END), 3)"""
+  ELSE instability_index + 0.2 END)""", 3)
 
 
 __all__ = ["features_ctes", "cross_ctes", "full_features_with", "diagnose_case",
