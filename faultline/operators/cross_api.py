@@ -6,9 +6,9 @@ Work happens on the *aggregated* (bucket, api) grid, whose size is bounded by
 1. partial+final ``avg(error_rate_rolling)`` by (minute bucket, api);
 2. each observed bucket is expanded to the fixed API list with ``explode``
    (no cross join) and left-joined to the means;
-3. forward fill then backward fill per API along buckets (``last`` /
-   ``first`` ignoring nulls) — the grid is already aggregated, so the per-API
-   window runs over buckets, not raw rows;
+3. forward fill then backward fill per API along buckets (running
+   ``last`` ignoring nulls, forward and over the reversed order) — the grid is
+   already aggregated, so the per-API window runs over buckets, not raw rows;
 4. a pivot to one row per bucket turns "statistics of the other APIs" into
    plain expressions over five columns;
 5. the per-(bucket, api) features join back to the rows on (bucket, api).
@@ -42,11 +42,14 @@ def asof_fill(agg: DataFrame, value: str = "error_rate_rolling", apis=C.ALL_APIS
     buckets = agg.select("ts_bucket").distinct()
     grid = buckets.select("ts_bucket", F.explode(F.array(*[F.lit(a) for a in apis])).alias(api))
     g = grid.join(agg, ["ts_bucket", api], "left")
-    w = Window.partitionBy(api).orderBy("ts_bucket")
-    filled = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # Both fills are running (incremental) frames: a frame ending at
+    # UNBOUNDED FOLLOWING would be re-aggregated for every row (quadratic), so
+    # the backward fill runs forward over the reversed order instead.
+    fwd = Window.partitionBy(api).orderBy("ts_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    rev = Window.partitionBy(api).orderBy(F.col("ts_bucket").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    filled = F.last(value, ignorenulls=True).over(fwd)
     if bfill:
-        filled = F.coalesce(filled, F.first(value, ignorenulls=True).over(
-            w.rowsBetween(0, Window.unboundedFollowing)))
+        filled = F.coalesce(filled, F.last(value, ignorenulls=True).over(rev))
     return g.select("ts_bucket", api, filled.alias(value))
 
 
