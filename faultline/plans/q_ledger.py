@@ -1 +1,81 @@
-"""Registered queries."""
+"""Registered queries: ledger analytics (LED-*) on orders/customer."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from faultline.operators import ledger as L
+from faultline.plans.catalog import register
+from faultline.sources import fixtures as FX
+
+LW = "WITH " + FX.ledger_sql() + """,
+posted AS (SELECT *, row_number() OVER w AS rn, first_value(txn_id) OVER w AS ledger_txn_id,
+                  CASE WHEN row_number() OVER w = 1 THEN 'processed' ELSE 'idempotent_hit' END AS action
+           FROM transfers WINDOW w AS (PARTITION BY idempotency_key ORDER BY created_at, region, txn_id
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+p0 AS (SELECT p.*, CAST(greatest(CAST(0.25 AS DECIMAL(18,2)),
+                   CAST(round_even(p.amount * CAST(0.001 AS DECIMAL(4,3)), 2) AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS fee,
+              CASE WHEN af.account_id IS NULL THEN 'unknown_account_from'
+                   WHEN ato.account_id IS NULL THEN 'unknown_account_to'
+                   WHEN p.amount <= 0 THEN 'non_positive_amount' END AS reason0
+       FROM posted p LEFT JOIN accounts af ON af.account_id = p.account_from
+                     LEFT JOIN accounts ato ON ato.account_id = p.account_to WHERE p.action = 'processed'),
+legs AS (SELECT account_from AS account_id, created_at, ledger_txn_id, CAST(-(amount + fee) AS DECIMAL(18,2)) AS delta
+         FROM p0 WHERE reason0 IS NULL
+         UNION ALL
+         SELECT account_to, created_at, ledger_txn_id, CAST(amount AS DECIMAL(18,2)) FROM p0 WHERE reason0 IS NULL),
+lb AS (SELECT l.*, CAST(a.opening_balance + coalesce(sum(delta) OVER (PARTITION BY l.account_id ORDER BY created_at,
+              ledger_txn_id, delta ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DECIMAL(18,2)) AS balance_before
+       FROM legs l JOIN accounts a USING (account_id)),
+val AS (SELECT p0.*, lb.balance_before,
+               coalesce(reason0, CASE WHEN lb.balance_before < p0.amount THEN 'insufficient_funds' END) AS reason
+        FROM p0 LEFT JOIN (SELECT * FROM lb WHERE delta < 0) lb USING (ledger_txn_id))
+"""
+
+
+def _posted(spark, sf):
+    return L.post_transfers(FX.transfers(spark, sf))
+
+
+@register("led_post_transfers", LW + "SELECT idempotency_key, region, txn_id, ledger_txn_id, action FROM posted")
+def q_post(spark, sf):
+    return _posted(spark, sf).select("idempotency_key", "region", "txn_id", "ledger_txn_id", "action")
+
+
+@register("led_fees", LW + """SELECT txn_id, amount, fee, CAST(amount - fee AS DECIMAL(18,2)) AS net_amount FROM p0""")
+def q_fees(spark, sf):
+    p = _posted(spark, sf).filter(F.col("action") == "processed")
+    return L.fees(p).select("txn_id", "amount", "fee", "net_amount")
+
+
+@register("led_validate_transfers", LW + """
+SELECT txn_id, reason, CASE WHEN reason IS NULL THEN 'completed' ELSE 'rejected' END AS status, balance_before FROM val""")
+def q_validate(spark, sf):
+    v = L.validate_transfers(_posted(spark, sf), FX.accounts(spark, sf))
+    return v.select("txn_id", "reason", "status", "balance_before")
+
+
+@register("led_balances", LW + """, done AS (SELECT * FROM val WHERE reason IS NULL),
+d AS (SELECT account_id, sum(delta) AS d FROM (
+        SELECT account_from AS account_id, CAST(-(amount + fee) AS DECIMAL(18,2)) AS delta FROM done
+        UNION ALL SELECT account_to, CAST(amount AS DECIMAL(18,2)) FROM done) GROUP BY 1)
+SELECT a.account_id, a.opening_balance, CAST(a.opening_balance + coalesce(d.d, 0) AS DECIMAL(18,2)) AS balance
+FROM accounts a LEFT JOIN d USING (account_id)""")
+def q_balances(spark, sf):
+    v = L.validate_transfers(_posted(spark, sf), FX.accounts(spark, sf))
+    return L.balances(FX.accounts(spark, sf), v.filter(F.col("status") == "completed"))
+
+
+@register("led_reconcile", LW + """
+SELECT idempotency_key, count(*) AS n_requests, sum(CASE WHEN action = 'processed' THEN 1 ELSE 0 END) AS n_processed,
+       count(DISTINCT region) AS n_regions, count(DISTINCT ledger_txn_id) AS n_txn_ids,
+       sum(CASE WHEN action = 'processed' THEN 1 ELSE 0 END) = 1 AND count(DISTINCT ledger_txn_id) = 1 AS debited_once
+FROM posted GROUP BY 1""")
+def q_reconcile(spark, sf):
+    return L.reconcile(_posted(spark, sf))
+
+
+@register("led_audit_summary", LW + """
+SELECT action, region, count(*) AS requests, CAST(sum(amount) AS DECIMAL(18,2)) AS amount FROM posted GROUP BY 1, 2""")
+def q_audit_summary(spark, sf):
+    return L.audit_summary(_posted(spark, sf))
