@@ -239,3 +239,63 @@ def q_parity(spark, sf):
         f["request_count"] = F.col("request_count") + 1
         return f
     return decide.parity(prim, repl, "event_id", fields, negative)
+
+
+# --- stateful replays (rows-only checks; golden cases in tests) ---------------------------------------
+def _route_input(spark, sf):
+    s = (scored_long(spark, sf).filter(F.col("horizon") == 1)
+         .join(FX.telemetry(spark, sf).select("event_id", "user_id"), "event_id"))
+    g = (s.groupBy("api_name", F.date_trunc("minute", "timestamp").alias("ts_bucket"),
+                   F.concat(F.lit("region-"), (F.col("user_id") % 3).cast("string")).alias("route"))
+         .agg(F.max("p").alias("risk")))
+    return g.groupBy("api_name", "ts_bucket").agg(F.map_from_entries(F.collect_list(F.struct("route", "risk")))
+                                                  .alias("risks"))
+
+
+@register("dec_route_replay")
+def q_route(spark, sf):
+    from faultline.operators import stateful
+    return stateful.route(_route_input(spark, sf), "api_name", "ts_bucket", "risks",
+                          ["region-0", "region-1", "region-2"], "region-0", hi=0.55, lo=0.35, cooldown=3)
+
+
+def _request_log(spark, sf):
+    return FX.telemetry(spark, sf).select(
+        "event_id", (F.col("user_id") % 3).cast("string").alias("backend"),
+        (F.unix_micros(F.col("timestamp").cast("timestamp")) / F.lit(1e6)).alias("ts_s"),
+        (F.col("success") == 1).alias("ok"))
+
+
+@register("dec_circuit_breaker")
+def q_breaker(spark, sf):
+    from faultline.operators import stateful
+    return stateful.circuit_breaker(_request_log(spark, sf), chunk_rows=1000)
+
+
+@register("dec_canary")
+def q_canary(spark, sf):
+    from faultline.operators import stateful
+    polls = _request_log(spark, sf).withColumnRenamed("ok", "healthy")
+    return stateful.canary(polls, chunk_rows=1000)
+
+
+def _heal_ticks(spark, sf):
+    s = scored_long(spark, sf).filter(F.col("horizon") == 1)
+    dg = decide.diagnose(feature_table(spark, sf)).select("event_id", F.col("diagnosis.category").alias("category"))
+    j = s.join(dg, "event_id")
+    return (j.groupBy(F.date_trunc("minute", "timestamp").alias("ts_bucket"), "api_name")
+            .agg(F.max("p").alias("p"), F.max_by("category", "p").alias("category")))
+
+
+@register("dec_self_heal_replay")
+def q_self_heal(spark, sf):
+    from faultline.operators import stateful
+    rates = {r["api_name"]: r["failure_rate"] for r in policy.measured_rates(FX.telemetry(spark, sf)).collect()}
+    return stateful.self_heal(_heal_ticks(spark, sf), rates, chunk_rows=2000)
+
+
+@register("dec_heal_summary")
+def q_heal_summary(spark, sf):
+    from faultline.operators import stateful
+    rates = {r["api_name"]: r["failure_rate"] for r in policy.measured_rates(FX.telemetry(spark, sf)).collect()}
+    return stateful.heal_summary(stateful.self_heal(_heal_ticks(spark, sf), rates, chunk_rows=2000))
