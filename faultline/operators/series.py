@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.session import broadcast_if_small, reliable_checkpoint
+from faultline.session import BROADCAST_MAX_ROWS, broadcast_if_small, reliable_checkpoint
 
 LOCAL_BITS = 33
 _LOCAL_MASK = (1 << LOCAL_BITS) - 1
@@ -46,38 +46,78 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     return reduce(lambda a, b: a & b, conds)
 
 
+def _order_number(c: Column, dtype: str) -> Column:
+    if dtype.startswith("timestamp"):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if dtype == "date":
+        return F.unix_date(c).cast("double")
+    return c.cast("double")
+
+
 def with_row_index(df: DataFrame, key="api_name", order=("timestamp", "event_id"),
-                   idx_col: str = "row_idx", n_partitions: int | None = None,
-                   checkpoint: bool = True) -> DataFrame:
+                   idx_col: str = "row_idx", n_partitions: int | None = None) -> DataFrame:
     """0-based position of each row inside its series (``key``) by ``order``.
 
     ``order`` must make rows unique within a key (include an id tie-breaker).
+    Each key's range of the first order column is cut at approximate
+    quantiles into ``n`` buckets (a tiny boundary table, checkpointed so every
+    job sees the same cuts), rows are hash-partitioned on (key, bucket) and
+    sorted — so a hot key is spread over many tasks — and numbered locally;
+    per-(key, bucket) counts (a small table) give the offsets.  Everything
+    downstream of the checkpointed boundaries is deterministic, so lost
+    partitions recompute to the same numbers.
     """
     keys = _keys(key)
     order = list(order)
     spark = df.sparkSession
     n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *keys, *order)
-              .sortWithinPartitions(*keys, *order)
+    dtypes = dict(df.dtypes)
+    prefix = []                       # leading string order columns act as extra grouping
+    for c in order:
+        if dtypes[c] == "string":
+            prefix.append(c)
+        else:
+            break
+    rest = order[len(prefix):]
+    bkeys = keys + prefix
+    ordnum = _order_number(F.col(rest[0]), dtypes[rest[0]])
+    probs = [i / n for i in range(1, n)]
+    if probs:
+        bnd = df.groupBy(*bkeys).agg(F.percentile_approx(ordnum, probs, 10000).alias("_b")) if bkeys else \
+            df.agg(F.percentile_approx(ordnum, probs, 10000).alias("_b"))
+        bnd = reliable_checkpoint(bnd.select(*[F.col(k).alias(f"_k_{k}") for k in bkeys], "_b"))
+        n_keys = bnd.count()            # tiny, checkpointed table
+        if bkeys:
+            bnd = F.broadcast(bnd) if n_keys <= BROADCAST_MAX_ROWS else bnd
+            cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(bnd[f"_k_{k}"]) for k in bkeys])
+            d = df.join(bnd, cond, "left").drop(*[f"_k_{k}" for k in bkeys])
+        else:   # one global boundary list (n-1 numbers) as a literal
+            cuts = bnd.first()["_b"] or []
+            d = df.withColumn("_b", F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"))
+        d = d.withColumn("_bucket", F.size(F.filter(F.coalesce(F.col("_b"), F.array().cast("array<double>")),
+                                                    lambda x: x < ordnum))).drop("_b")
+    else:
+        n_keys = df.select(*bkeys).distinct().count() if bkeys else 1
+        d = df.withColumn("_bucket", F.lit(0))
+    ranged = (d.repartition(n, *bkeys, "_bucket")
+              .sortWithinPartitions(*keys, *prefix, "_bucket", *rest)
               .withColumn("_mid", F.monotonically_increasing_id()))
-    if checkpoint:
-        ranged = reliable_checkpoint(ranged)
-    pid = F.shiftrightunsigned(F.col("_mid"), LOCAL_BITS)
     local = F.col("_mid").bitwiseAND(F.lit(_LOCAL_MASK))
-    # one row per (partition, key) segment: size and first local position
-    seg = (ranged.groupBy(pid.alias("_pid"), *keys)
+    seg = (ranged.groupBy(*bkeys, "_bucket")
            .agg(F.count(F.lit(1)).alias("_n"), F.min(local).alias("_first")))
-    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys).orderBy(*prefix, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    seg = broadcast_if_small(seg.select("_pid", *[F.col(k).alias(f"_k_{k}") for k in keys],
-                                        "_off", "_first"))
-    left = ranged.withColumn("_pid", pid).withColumn("_local", local)
-    cond = left["_pid"] == seg["_pid"]
-    for k in keys:
+    seg = seg.select(*[F.col(k).alias(f"_k_{k}") for k in bkeys], F.col("_bucket").alias("_kb"), "_off", "_first")
+    # at most n rows per key: broadcast on that proven bound (no extra job)
+    if n_keys * n <= BROADCAST_MAX_ROWS:
+        seg = F.broadcast(seg)
+    left = ranged.withColumn("_local", local)
+    cond = left["_bucket"] == seg["_kb"]
+    for k in bkeys:
         cond = cond & left[k].eqNullSafe(seg[f"_k_{k}"])
     out = left.join(seg, cond, "inner")
     out = out.withColumn(idx_col, F.col("_off") + F.col("_local") - F.col("_first"))
-    return out.drop("_mid", "_local", "_off", "_first", *[f"_k_{k}" for k in keys]).drop(seg["_pid"]).drop("_pid")
+    return out.drop("_mid", "_local", "_off", "_first", "_bucket", "_kb", *[f"_k_{k}" for k in bkeys])
 
 
 def blocked(df: DataFrame, idx_col: str = "row_idx", block: int = 2048,

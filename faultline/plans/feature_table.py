@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from faultline import constants as C
 from faultline.operators import cross_api, decide, features
@@ -17,7 +18,9 @@ FEATURE_TABLE_COLS = (["event_id", "timestamp", "api_name", "status_code", "succ
 def feature_table(spark: SparkSession, sf_dir: str, profile: str = "batch60") -> DataFrame:
     """events -> telemetry -> per-API features -> cross-API features (50 cols)."""
     tele = fixtures.telemetry(spark, sf_dir)
-    f = features.series_features(tele, profile)
+    # the per-row features feed both the bucket aggregate and the row join of
+    # the cross-API step: keep them (spilling to disk) instead of recomputing
+    f = features.series_features(tele, profile).persist(StorageLevel.MEMORY_AND_DISK)
     full = cross_api.cross_api_features(f)
     return full.select(*FEATURE_TABLE_COLS)
 
