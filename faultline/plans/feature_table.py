@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+from faultline.session import reliable_checkpoint
 
 from faultline import constants as C
 from faultline.operators import cross_api, decide, features
@@ -19,8 +19,10 @@ def feature_table(spark: SparkSession, sf_dir: str, profile: str = "batch60") ->
     """events -> telemetry -> per-API features -> cross-API features (50 cols)."""
     tele = fixtures.telemetry(spark, sf_dir)
     # the per-row features feed both the bucket aggregate and the row join of
-    # the cross-API step: keep them (spilling to disk) instead of recomputing
-    f = features.series_features(tele, profile).persist(StorageLevel.MEMORY_AND_DISK)
+    # the cross-API step: materialise them once in the shared checkpoint folder
+    # (cuts lineage; concurrent query stages would otherwise each recompute
+    # the window pass before a cache is filled)
+    f = reliable_checkpoint(features.series_features(tele, profile))
     full = cross_api.cross_api_features(f)
     return full.select(*FEATURE_TABLE_COLS)
 

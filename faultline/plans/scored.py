@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+from faultline.session import reliable_checkpoint
 
 from faultline.operators import cross_api, features, series, surrogate
 from faultline.sources import fixtures
@@ -23,7 +23,7 @@ RECENT_N = 20
 def scored_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     tele = fixtures.telemetry(spark, sf_dir)
     f = features.series_features(tele, "batch60", horizons=HORIZONS, recent_n=RECENT_N)
-    f = cross_api.cross_api_features(f.persist(StorageLevel.MEMORY_AND_DISK))
+    f = cross_api.cross_api_features(reliable_checkpoint(f))
     return surrogate.surrogate_forecast(f)
 
 
