@@ -348,3 +348,77 @@ def q_minus(spark, sf):
     """SET-02: difference on keys (left anti join)."""
     t = FX.telemetry(spark, sf).select("event_id", "success")
     return t.join(t.filter("success = 0").select("event_id"), "event_id", "left_anti").select("event_id")
+
+
+def flows_raw(spark, sf):
+    li = FX.table(spark, sf, "lineitem")
+    lab = (F.when(F.col("l_returnflag") == "R", F.concat(F.lit("DoS-"), F.col("l_linestatus")))
+           .when(F.col("l_linenumber") == 7, F.lit("Malicious scan")).otherwise(F.lit("benign")))
+    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), lab.alias("label"),
+                     F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice") * 1000).alias("flow_duration"),
+                     F.when(F.col("l_linenumber") != 4, F.col("l_quantity") * 40).alias("packets"))
+
+
+def _flows_sql():
+    u = lambda s: HU("row_id", f"flows:{s}")
+    return f"""WITH raw AS (
+  SELECT l_orderkey * 8 + l_linenumber AS row_id,
+         CASE WHEN l_returnflag = 'R' THEN 'DoS-' || l_linestatus WHEN l_linenumber = 7 THEN 'Malicious scan'
+              ELSE 'benign' END AS label,
+         CASE WHEN l_linenumber <> 3 THEN l_extendedprice * 1000 END AS flow_duration,
+         CASE WHEN l_linenumber <> 4 THEN l_quantity * 40 END AS packets FROM lineitem),
+a AS (SELECT *, coalesce(regexp_matches(lower(label), 'attack|anomal|malici|dos|intrusion'), false) AS attack FROM raw)
+SELECT row_id, least(greatest(coalesce(CAST(flow_duration AS DOUBLE), 1.0) / 1e6, 0.1), 10.0) AS response_time,
+       CAST(least(greatest(coalesce(CAST(packets AS DOUBLE), 100.0), 1.0), 10000.0) AS INT) AS request_count,
+       CASE WHEN attack THEN 0 ELSE 1 END AS success,
+       CASE WHEN attack THEN 'network_attack_detected' END AS error_type,
+       CASE WHEN attack THEN 503 ELSE 200 END AS status_code,
+       CASE WHEN attack THEN CAST(floor(3.0 + {u('nel')} * 3.0) AS INT) ELSE 1 END AS n_apis_elevated,
+       CASE WHEN attack THEN 0.7 + {u('stress')} * 0.3 ELSE {u('stress')} * 0.3 END AS systemic_stress_index,
+       CASE WHEN attack THEN 3.0 + {u('burst')} * 5.0 ELSE {u('burst')} END AS burst_ratio,
+       'kaggle_network_traffic' AS data_source
+FROM a"""
+
+
+@register("nrm_traffic_flows", _flows_sql())
+def q_flows(spark, sf):
+    return N.map_traffic_flows(flows_raw(spark, sf))
+
+
+@register("nrm_card_fraud_v2", """WITH raw AS (
+  SELECT l_orderkey * 8 + l_linenumber AS row_id, l_extendedprice AS "Amount", l_discount AS "V1", l_tax AS "V3",
+         CASE WHEN l_returnflag = 'R' AND l_discount >= 0.09 THEN 1 ELSE 0 END AS "Class" FROM lineitem),
+mm AS (SELECT min("V1") AS a1, max("V1") AS b1, min("V3") AS a3, max("V3") AS b3 FROM raw)
+SELECT row_id, 'transaction_api' AS api_name, least(greatest(CAST("Amount" AS DOUBLE) / 100.0, 0.1), 30.0) AS response_time,
+       CASE WHEN "Class" = 1 THEN 0 ELSE 1 END AS success,
+       CASE WHEN "Class" = 1 THEN 'fraud_transaction_failure' END AS error_type,
+       CASE WHEN "Class" = 1 THEN 402 ELSE 200 END AS status_code,
+       ("V1" - a1) / (b1 - a1) * 5.0 AS burst_ratio, ("V3" - a3) / (b3 - a3) * 1.0 AS systemic_stress_index,
+       CASE WHEN "Class" = 1 THEN 0.15 ELSE 0.6 END AS corr_with_similar_api, 'kaggle_creditcard' AS data_source
+FROM raw, mm""")
+def q_card_v2(spark, sf):
+    li = FX.table(spark, sf, "lineitem")
+    raw = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"),
+                    F.col("l_extendedprice").alias("Amount"), F.col("l_discount").alias("V1"),
+                    F.col("l_tax").alias("V3"),
+                    F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09), 1).otherwise(0).alias("Class"))
+    return N.map_card_fraud_v2(raw)
+
+
+@register("nrm_timeseries_labels", T_ + """
+SELECT api_name AS file, "timestamp", 'system_series' AS api_name, response_time,
+       CASE WHEN status_code = 503 THEN 503 ELSE 200 END AS status_code,
+       CASE WHEN status_code = 503 THEN 0 ELSE 1 END AS success,
+       CASE WHEN status_code = 503 THEN 'system_latency_anomaly' END AS error_type
+FROM telemetry""")
+def q_nab(spark, sf):
+    """SRC-06 + JN-13 + NRM-06: anomaly labels (the 503 timestamps of each API
+    series) written as JSON lines {file: [ts]}, read back, flagged onto the series."""
+    t = FX.telemetry(spark, sf)
+    series_df = t.select(F.col("api_name").alias("file"), "timestamp", F.col("response_time").alias("value"))
+    path = scratch_dir(spark, "nab_labels")
+    lab = t.filter(F.col("status_code") == 503).select(
+        F.to_json(F.create_map(F.col("api_name"), F.array(F.col("timestamp").cast("string")))).alias("value"))
+    lab.write.mode("overwrite").text(path)
+    labels = files.read_anomaly_labels(spark, path)
+    return N.normalise_timeseries(series_df, labels, "system_series")

@@ -98,11 +98,14 @@ def read_csv_tolerant(spark: SparkSession, path: str, schema: T.StructType, sep:
     return typed.filter(~bad).select(*names)
 
 
-def read_anomaly_labels(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-06: JSON object {file: [timestamps]} -> rows (file, ts_str)."""
-    raw = spark.read.text(path, wholetext=True)
+def read_anomaly_labels(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
+    """SRC-06: JSON objects {file: [timestamps]} -> rows (file, ts_str).
+    One object per line by default (scales with the label volume); set
+    ``whole_file`` for a single pretty-printed object per file."""
+    raw = spark.read.text(path, wholetext=whole_file)
     m = F.from_json(F.col("value"), "map<string,array<string>>")
-    return raw.select(F.explode(m).alias("file", "ts")).select("file", F.explode("ts").alias("ts_str"))
+    return (raw.filter(F.trim("value") != "").select(F.explode(m).alias("file", "ts"))
+            .select("file", F.explode("ts").alias("ts_str")))
 
 
 def read_table(spark: SparkSession, name_or_path: str) -> DataFrame:
