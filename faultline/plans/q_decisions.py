@@ -14,6 +14,7 @@ from faultline.plans.catalog import register
 from faultline.plans.feature_table import feature_table
 from faultline.plans.q_evaluation import S
 from faultline.plans.scored import scored_long
+from faultline.session import reliable_checkpoint
 from faultline.sources import fixtures as FX
 
 
@@ -77,7 +78,8 @@ FROM {src}"""
 
 
 def _all_metrics_spark(spark, sf):
-    tx = transactions(spark, sf)
+    # four back-tests read the same transactions: materialise them once
+    tx = reliable_checkpoint(transactions(spark, sf))
     rates = policy.measured_rates(FX.telemetry(spark, sf))
     pro = policy.proactive(tx, rates)
     pro_s = policy.proactive(tx, rates, variant="scaled")

@@ -11,6 +11,7 @@ from faultline.operators import surrogate as SG
 from faultline.plans import sql as Q
 from faultline.plans.catalog import register
 from faultline.plans.scored import HORIZONS, RECENT_N, chrono_positions, chrono_slice, scored_long, scored_wide
+from faultline.session import reliable_checkpoint
 from faultline.sources import fixtures as FX
 
 
@@ -277,18 +278,18 @@ FROM iv GROUP BY horizon, q_hat""".replace("\n, pos AS", ",\npos AS", 1)
 
 @register("ml_conformal_coverage", _conformal_sql())
 def q_conformal(spark, sf, alpha: float = 0.10):
-    s = _scored(spark, sf)
-    pos = chrono_positions(spark, sf)
+    # the scored table feeds a count, the order-statistics passes and the
+    # interval pass: materialise it (and the calibration slice) once
+    s = reliable_checkpoint(_scored(spark, sf))
+    pos = reliable_checkpoint(chrono_positions(spark, sf))
     n = FX.telemetry(spark, sf).count()
-    cal = chrono_slice(s, pos, n, 0.6, 0.8)
+    cal = reliable_checkpoint(chrono_slice(s, pos, n, 0.6, 0.8))
     test = chrono_slice(s, pos, n, 0.8, 1.0)
-    out = None
-    for h in HORIZONS:
-        q = M.conformal_q(cal.filter(F.col("horizon") == h), alpha)
-        iv = M.intervals(test.filter(F.col("horizon") == h), q)
-        cov = M.coverage(iv, alpha).withColumn("q_hat", F.lit(q))
-        out = cov if out is None else out.unionByName(cov)
-    return out.select("horizon", "q_hat", "coverage", "avg_width", "n", "pass")
+    qs = [(h, float(M.conformal_q(cal.filter(F.col("horizon") == h), alpha))) for h in HORIZONS]
+    qdf = spark.createDataFrame(qs, "horizon int, q_hat double")     # one row per horizon
+    iv = M.intervals(test.join(F.broadcast(qdf), "horizon"), F.col("q_hat"))
+    cov = M.coverage(iv, alpha, by=("horizon", "q_hat"))
+    return cov.select("horizon", "q_hat", "coverage", "avg_width", "n", "pass")
 
 
 @register("ml_prediction_table", S + """
