@@ -422,3 +422,48 @@ def q_nab(spark, sf):
     lab.write.mode("overwrite").text(path)
     labels = files.read_anomaly_labels(spark, path)
     return N.normalise_timeseries(series_df, labels, "system_series")
+
+
+NET_LABELS = ["Normal", " neptune ", "Exploits", "portsweep", "0", "zero-day", "Backdoor"]
+
+
+def network_raw(spark, sf):
+    li = FX.table(spark, sf, "lineitem")
+    lab = F.element_at(F.array(*[F.lit(x) for x in NET_LABELS]), (F.col("l_linenumber") - 1) % 7 + 1)
+    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), lab.alias("label"),
+                     (F.col("l_quantity") / 10).alias("dur"), F.col("l_extendedprice").alias("sbytes"),
+                     F.col("l_shipdate").cast("string").alias("timestamp"))
+
+
+def _network_sql():
+    labs = ", ".join(f"'{x}'" for x in NET_LABELS)
+    known = ", ".join(f"'{k}'" for k in N.NETWORK_LABELS)
+
+    def pick(i, quote):
+        parts = []
+        for k, v in N.NETWORK_LABELS.items():
+            val = "NULL" if v[i] is None else (f"'{v[i]}'" if quote else str(v[i]))
+            parts.append(f"WHEN '{k}' THEN {val}")
+        return "CASE key " + " ".join(parts) + " END"
+    ms = f"greatest({d(8.0)}, {R(f'coalesce(TRY_CAST(dur AS DOUBLE), 0.0) * {d(1000.0)}', 2)})"
+    raw = "coalesce(TRY_CAST(dur AS DOUBLE), 0.0)"
+    mult = f"CASE WHEN success = 0 THEN {d(2.0)} + {d(3.0)} * {HU('row_id', 'network:attack')} ELSE {d(1.0)} END"
+    return f"""WITH raw AS (
+  SELECT l_orderkey * 8 + l_linenumber AS row_id, [{labs}][((l_linenumber - 1) % 7) + 1] AS label,
+         l_quantity / 10 AS dur, l_extendedprice AS sbytes, CAST(l_shipdate AS VARCHAR) AS "timestamp" FROM lineitem),
+med AS (SELECT quantile_cont({ms}, 0.5) AS m FROM raw),
+k AS (SELECT *, lower(trim(label)) AS lab FROM raw),
+k2 AS (SELECT *, CASE WHEN lab IN ({known}) THEN lab WHEN starts_with(lab, '0') OR lab = 'normal' THEN 'normal' ELSE '1' END AS key FROM k),
+m AS (SELECT *, {pick(1, False)} AS success FROM k2)
+SELECT row_id, coalesce(TRY_CAST("timestamp" AS TIMESTAMP), TIMESTAMP '2025-01-01' + to_seconds(CAST(row_id AS BIGINT))) AS "timestamp",
+  'transaction_api' AS api_name,
+  {R(f"greatest({d(8.0)}, CASE WHEN med.m > 50000 THEN {R(raw, 2)} ELSE {ms} END * {mult})", 2)} AS response_time,
+  {pick(2, False)} AS status_code, success, {pick(3, True)} AS error_type,
+  least(greatest(1, CAST(floor(ln(1 + abs(coalesce(TRY_CAST(sbytes AS DOUBLE), 1.0)))) AS INT)), 1000) AS request_count,
+  0.0 AS error_rate_boost, 1.0 AS rt_multiplier, {pick(0, True)} AS event_label
+FROM m, med"""
+
+
+@register("nrm_network", _network_sql())
+def q_network(spark, sf):
+    return N.normalise_network(network_raw(spark, sf), "transaction_api")
