@@ -213,7 +213,34 @@ def q_clean_report(spark, sf):
     return QL.cleaning_report([("csv", csv), ("db", db), ("db_dedup", dd), ("db_new", nw), ("cleaned", cleaned)])
 
 
-@register("dq_audit")
+def _audit_sql():
+    cov = "\nUNION ALL\n".join(
+        f"SELECT data_source AS source, '{f}' AS feature, 100.0 * sum(CASE WHEN {f} IS NOT NULL AND {f} <> 0 "
+        f"THEN 1 ELSE 0 END) / greatest(count(*), 1) AS pct FROM full_feat GROUP BY 1" for f in C.AUDIT_KEY_FEATURES)
+    return Q.full_features_with() + f""",
+tot AS (SELECT count(*) AS n FROM full_feat),
+sb AS (SELECT data_source AS source, 100.0 * count(*) / (SELECT n FROM tot) AS pct FROM full_feat GROUP BY 1),
+cov AS ({cov}),
+lowcov AS (SELECT source FROM cov GROUP BY 1 HAVING sum(CASE WHEN pct < {C.AUDIT_COVERAGE_PCT} THEN 1 ELSE 0 END) >= 3),
+ps AS (SELECT data_source AS source, count(*) AS n_total, sum(1 - success) AS n_fail FROM full_feat GROUP BY 1),
+fm AS (SELECT data_source AS source, error_type AS mode, count(*) AS c FROM full_feat WHERE success = 0 GROUP BY 1, 2),
+o AS (SELECT data_source, row_number() OVER (ORDER BY api_name, "timestamp", event_id) - 1 AS gidx FROM full_feat),
+ch AS (SELECT gidx, CASE WHEN lag(data_source) OVER w IS NOT NULL AND lag(data_source) OVER w IS DISTINCT FROM data_source
+                    THEN gidx END AS chg FROM o WINDOW w AS (ORDER BY gidx)),
+l AS (SELECT gidx, max(chg) OVER (ORDER BY gidx ROWS BETWEEN 28 PRECEDING AND CURRENT ROW) AS lc FROM ch),
+bc AS (SELECT 100.0 * coalesce(sum(CASE WHEN lc IS NOT NULL THEN 1 ELSE 0 END), 0) / greatest(count(*), 1) AS pct
+       FROM l WHERE gidx >= 29)
+SELECT 'DROP' AS action, source, 'rows below the low-share threshold' AS reason FROM sb WHERE pct < {C.AUDIT_SOURCE_LOW_PCT}
+UNION ALL SELECT 'DOWNSAMPLE', source, 'source dominates the table' FROM sb WHERE pct > {C.AUDIT_SOURCE_HIGH_PCT}
+UNION ALL SELECT 'DROP', source, '3+ key features under the coverage threshold' FROM lowcov
+UNION ALL SELECT DISTINCT 'CONSIDER DROPPING', source, 'low failure rate' FROM ps
+          WHERE 100.0 * n_fail / greatest(n_total, 1) < {C.AUDIT_FAILURE_MIN_PCT}
+UNION ALL SELECT DISTINCT 'REVIEW', fm.source, 'single failure mode dominates' FROM fm JOIN ps USING (source)
+          WHERE 100.0 * fm.c / ps.n_fail > {C.AUDIT_DOMINANT_MODE_PCT}
+UNION ALL SELECT 'FIX BOUNDARY', NULL, 'sequences cross source boundaries' FROM bc WHERE pct > 1"""
+
+
+@register("dq_audit", _audit_sql())
 def q_audit(spark, sf):
     ft = feature_table(spark, sf)
     return QL.audit(ft)
