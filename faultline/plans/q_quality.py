@@ -325,7 +325,38 @@ def _daily_runs(spark, sf):
     return cur, prev
 
 
-@register("dr_drift_timeline")
+def _timeline_sql() -> str:
+    feats = C.DRIFT_FEATURES
+    longs = lambda side: "\nUNION ALL\n".join(
+        f"SELECT run, '{f}' AS feature, CAST({f} AS DOUBLE) AS value, {1 if side == 'cur' else 0} AS ca, "
+        f"{0 if side == 'cur' else 1} AS cb FROM {side}" for f in feats)
+    terms = " + ".join(f"{2.0 * (-1) ** (j - 1)!r} * exp({-2.0 * j * j!r} * lam * lam)" for j in range(1, 101))
+    return Q.full_features_with() + f""",
+ftd AS (SELECT *, CAST("timestamp" AS DATE) AS day FROM full_feat),
+fd AS (SELECT min(day) AS f FROM ftd),
+cur AS (SELECT strftime(day, '%Y-%m-%d') AS run, ftd.* FROM ftd, fd WHERE day > f),
+runs AS (SELECT DISTINCT run FROM cur),
+prev AS (SELECT * FROM (SELECT strftime(day + INTERVAL 1 DAY, '%Y-%m-%d') AS run, ftd.* FROM ftd)
+         WHERE run IN (SELECT run FROM runs)),
+u AS ({longs('cur')}
+UNION ALL
+{longs('prev')}),
+cnt AS (SELECT run, feature, value, sum(ca) AS ca, sum(cb) AS cb FROM u WHERE value IS NOT NULL AND NOT isnan(value)
+        GROUP BY 1, 2, 3),
+tot AS (SELECT run, feature, sum(ca) AS na, sum(cb) AS nb FROM cnt GROUP BY 1, 2),
+cum AS (SELECT *, sum(ca) OVER w AS cum_ca, sum(cb) OVER w AS cum_cb FROM cnt
+        WINDOW w AS (PARTITION BY run, feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+g AS (SELECT run, feature, max(abs(cum_ca / na - cum_cb / nb)) AS ks, first(na) AS n_a, first(nb) AS n_b
+      FROM cum JOIN tot USING (run, feature) GROUP BY 1, 2),
+lm AS (SELECT *, (sqrt(CAST(n_a AS DOUBLE) * CAST(n_b AS DOUBLE) / CAST(n_a + n_b AS DOUBLE)) + 0.12
+                  + 0.11 / sqrt(CAST(n_a AS DOUBLE) * CAST(n_b AS DOUBLE) / CAST(n_a + n_b AS DOUBLE))) * ks AS lam FROM g),
+ksr AS (SELECT run, feature, ks,
+               CASE WHEN ks <= 0 THEN 1.0 ELSE least(greatest(0.0 + {terms}, 0.0), 1.0) END AS p_value FROM lm)
+SELECT run, feature AS signal, ks, p_value AS p, ks > {C.KS_THRESHOLD} AND p_value < {C.KS_P_THRESHOLD} AS drifted
+FROM ksr"""
+
+
+@register("dr_drift_timeline", _timeline_sql())
 def q_timeline(spark, sf):
     a, b = _daily_runs(spark, sf)
     ks = QL.ks_2samp(a, b, C.DRIFT_FEATURES, by=("run",))
