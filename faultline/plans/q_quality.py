@@ -119,7 +119,31 @@ def q_quota(spark, sf):
     return SM.quota_pool(FX.telemetry(spark, sf), 1000).select("event_id", "api_name")
 
 
-@register("smp_augment_worst_api")
+def _augment_sql():
+    import math
+
+    def normal(key, seed):
+        u1 = HU(key, f"{seed}a")
+        u2 = HU(key, f"{seed}b")
+        return f"(sqrt({d(-2.0)} * ln(greatest({u1}, {d(1e-12)}))) * cos({d(2 * math.pi)} * {u2}))"
+    key = "(CAST(event_id AS VARCHAR) || '/' || CAST(copy AS VARCHAR))"
+    scale = f"({d(0.05)} + copy * {d(0.01)})"
+    cols = "event_id, \"timestamp\", api_name, response_time, status_code, success, error_type, request_count, data_source, user_id"
+    return T + f""", src AS (SELECT * FROM telemetry WHERE api_name = 'crypto_api' AND success = 0),
+cp AS (SELECT src.*, CAST(c.copy AS INT) AS copy FROM src, range(5) c(copy)),
+noisy AS (SELECT event_id, "timestamp", api_name,
+                 greatest(CAST(response_time AS DOUBLE) * ({d(1.0)} + {normal(key, 'augment:response_time')} * {scale}), {d(0.0)}) AS response_time,
+                 status_code, success, error_type,
+                 greatest(request_count + CAST(floor({HU(key, 'augment:rc')} * 7) AS INT) - 3, 1) AS request_count,
+                 data_source, user_id, copy FROM cp),
+capn AS (SELECT CAST(floor((SELECT count(*) FROM telemetry) * {d(C.MAX_AUGMENTATION_FRACTION)}) AS BIGINT) AS cap),
+ranked AS (SELECT *, row_number() OVER (ORDER BY copy, event_id) AS rn FROM noisy)
+SELECT {cols}, -1 AS copy FROM telemetry
+UNION ALL
+SELECT {cols}, copy FROM ranked, capn WHERE rn <= cap"""
+
+
+@register("smp_augment_worst_api", _augment_sql())
 def q_augment(spark, sf):
     t = FX.telemetry(spark, sf)
     return SM.augment_group(t, (F.col("api_name") == "crypto_api") & (F.col("success") == 0))
