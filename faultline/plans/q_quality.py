@@ -149,7 +149,36 @@ def q_augment(spark, sf):
     return SM.augment_group(t, (F.col("api_name") == "crypto_api") & (F.col("success") == 0))
 
 
-@register("smp_inject_failures")
+def _inject_sql(target: float = 0.30):
+    import math
+
+    def normal(key, seed):
+        u1 = HU(key, f"{seed}a")
+        u2 = HU(key, f"{seed}b")
+        return f"(sqrt({d(-2.0)} * ln(greatest({u1}, {d(1e-12)}))) * cos({d(2 * math.pi)} * {u2}))"
+    key = "(CAST(event_id AS VARCHAR) || '/' || CAST(copy AS VARCHAR))"
+    cols = "event_id, \"timestamp\", api_name, response_time, status_code, success, error_type, request_count, data_source, user_id"
+    return T + f""", fails AS (SELECT * FROM telemetry WHERE success = 0),
+c AS (SELECT (SELECT count(*) FROM telemetry) AS n, count(*) AS nf FROM fails),
+k AS (SELECT nf, greatest(0, CAST(floor(n * {d(target)}) AS BIGINT) - nf) AS inj FROM c),
+e AS (SELECT nf, inj, CAST(round_even(nf * (({d(1.0)} + inj / nf) - {d(1.0)}), 0) AS BIGINT) AS extra FROM k
+      WHERE inj > 0 AND nf > 0),
+kk AS (SELECT nf, CAST(extra // nf AS BIGINT) AS full_copies, CAST(extra % nf AS BIGINT) AS rem FROM e WHERE extra > 0),
+fullc AS (SELECT f.*, CAST(s.copy AS INT) AS copy FROM fails f, kk, generate_series(CAST(1 AS BIGINT), kk.full_copies) s(copy)),
+r AS (SELECT f.*, row_number() OVER (ORDER BY {HU('event_id', 'inject')}, event_id) AS rn FROM fails f),
+remr AS (SELECT r.* EXCLUDE (rn), CAST(kk.full_copies + 1 AS INT) AS copy FROM r, kk WHERE rn <= kk.rem),
+ex AS (SELECT * FROM fullc UNION ALL SELECT * FROM remr),
+jit AS (SELECT event_id, "timestamp", api_name,
+               greatest(CAST(response_time AS DOUBLE) * ({d(1.0)} + {normal(key, 'inject:response_time')} * {d(0.06)}), {d(0.0)}) AS response_time,
+               status_code, success, error_type,
+               greatest(request_count + CAST(floor({HU(key, 'inject:rc')} * 7) AS INT) - 3, 1) AS request_count,
+               data_source, user_id, copy FROM ex)
+SELECT {cols}, -1 AS copy FROM telemetry
+UNION ALL
+SELECT {cols}, copy FROM jit"""
+
+
+@register("smp_inject_failures", _inject_sql())
 def q_inject(spark, sf):
     # rebalance towards 30 % failures (the fixture already exceeds 13 %)
     return SM.inject_failures(FX.telemetry(spark, sf), 0.30)
