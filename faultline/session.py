@@ -78,6 +78,28 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if n <= max_rows else df
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package (once per Spark context), so that Python
+    functions run there whatever their working directory is."""
+    import zipfile
+
+    import faultline
+
+    sc = spark.sparkContext
+    if getattr(sc, "_faultline_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(faultline.__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="faultline-py-"), "faultline.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.join("faultline", os.path.relpath(path, root)))
+    sc.addPyFile(archive)  # served to the executors by the driver
+    sc._faultline_shipped = True
+
+
 def sf_path(sf_dir: str, table: str) -> str:
     return os.path.join(sf_dir, f"{table}.parquet")
 
