@@ -35,3 +35,9 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 def op1_topk(spark, sf_dir):
     from faultline.llm.topk import topk_search
     return topk_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@register("op5_simhash")
+def op5_simhash(spark, sf_dir):
+    from faultline.llm.simhash import simhash_components
+    return simhash_components(table(spark, sf_dir, "documents"), shingle=3, bits=3)

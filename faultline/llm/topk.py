@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = "query boolean, dim int, home long, n int, ids binary, data binary, kind string"
+BLOCK = "dim int, home long, n int, ids binary, data binary, kind string"
 LISTS = "t int, dim int, g int, qids binary, rows binary, ids binary, scores binary"
 LONG = np.iinfo(np.int64)
 
@@ -32,7 +32,6 @@ def _pack(block_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            is_query = batch.column("query").to_numpy(zero_copy_only=False).astype(bool)
             lists = batch.column("vec")
             lens = np.array([-1 if x is None else x for x in lists.value_lengths().to_pylist()], dtype=np.int64)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -43,18 +42,15 @@ def _pack(block_rows: int):
                 m = np.floor(256.0 * flat[start[rows][:, None] + np.arange(dim)])
                 fine = np.isfinite(m).all(axis=1)
                 rows, m = rows[fine], m[fine]
-                for role in (True, False):
-                    own = np.flatnonzero(is_query[rows]) if role else np.arange(len(rows))
-                    for a in range(0, len(own), block_rows):
-                        pick = own[a: a + block_rows]
-                        data = m[pick]
-                        top = np.abs(data).max(initial=0)
-                        kind = "int16" if top < 2**15 else "int32" if top < 2**31 else "float64"
-                        raw, key = data.astype(kind).tobytes(), ids[rows[pick]].astype(np.int64)
-                        out.append((role, int(dim), _home(key, raw), len(pick), key.tobytes(), raw, kind))
+                for a in range(0, len(rows), block_rows):
+                    data = m[a: a + block_rows]
+                    top = np.abs(data).max(initial=0)
+                    kind = "int16" if top < 2**15 else "int32" if top < 2**31 else "float64"
+                    raw, key = data.astype(kind).tobytes(), ids[rows[a: a + block_rows]].astype(np.int64)
+                    out.append((int(dim), _home(key, raw), len(data), key.tobytes(), raw, kind))
             if out:
                 names = [x.split()[0] for x in BLOCK.split(", ")]
-                kinds = [pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.string()]
+                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
     return run
 
@@ -155,12 +151,11 @@ def topk_search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
                     F.col(vec_col).cast("array<double>").alias("vec")))
     n, n_q = base.agg(F.count("*"), F.coalesce(F.sum(F.col("query").cast("long")), F.lit(0))).first()
     shards, tiles = max(1, -(-n // shard_rows)), max(1, -(-n_q // tile_rows))
-    blocks = base.mapInArrow(_pack(block_rows), BLOCK)
     home = F.col("home")
     cells = min(shards * tiles, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    queries = (blocks.where("query").withColumn("t", (home % tiles).cast("int"))
+    queries = (base.where("query").mapInArrow(_pack(block_rows), BLOCK).withColumn("t", (home % tiles).cast("int"))
                .withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(cells, "t", "g", "dim"))
-    cands = (blocks.where("not query").withColumn("g", (home % shards).cast("int"))
+    cands = (base.mapInArrow(_pack(block_rows), BLOCK).withColumn("g", (home % shards).cast("int"))
              .withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).repartition(cells, "t", "g", "dim"))
     lists = queries.groupBy("t", "g", "dim").cogroup(cands.groupBy("t", "g", "dim")).applyInPandas(_cell(k, block_rows), LISTS)
     while shards > 1:
