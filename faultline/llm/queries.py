@@ -41,3 +41,96 @@ def op1_topk(spark, sf_dir):
 def op5_simhash(spark, sf_dir):
     from faultline.llm.simhash import simhash_components
     return simhash_components(table(spark, sf_dir, "documents"), shingle=3, bits=3)
+
+
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = rf"regexp_extract_all(coalesce({LOWERED}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _licence_sql() -> str:
+    from faultline.llm import licences as m
+    q = lambda s: s.replace("'", "''")
+    t = f"regexp_replace({LOWERED}, '{m.COPYRIGHT}', '', 'g')"
+    for a, b in m.SPELLINGS:
+        t = f"replace({t}, '{a}', '{b}')"
+    t = f"regexp_replace(regexp_replace({t}, '{m.OUTSIDE}', ' ', 'g'), '{m.EDGES}', '', 'g')"
+    lines = f"list_filter(string_split(coalesce({t}, ''), chr(10)), lambda x: x <> '')"
+    rows = [(n, title + body) for n, body in m.NOTICES for title in (m.TITLES.get(n, [""]) if "\n" in body else [""])]
+    values = ", ".join(f"('{n}', '{q(b)}')" for n, b in rows)
+    return f"""
+WITH k AS (SELECT DISTINCT licence, array_to_string({lines}, ' ') AS norm FROM (VALUES {values}) v(licence, text)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {lines} AS lines FROM documents),
+u AS (SELECT rid, array_to_string(lines, ' ') AS unit, true AS whole FROM d UNION ALL SELECT rid, unnest(lines), false FROM d),
+f AS (SELECT rid, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, count(DISTINCT licence) AS n, bool_or(whole) AS w
+      FROM u JOIN k ON u.unit = k.norm GROUP BY rid)
+SELECT d.doc_id, coalesce(f.licences, '') AS licences, coalesce(f.n, 0)::INTEGER AS n_licences, coalesce(f.w, false) AS whole_text
+FROM d LEFT JOIN f USING (rid)
+"""
+
+
+@register("op3_licences", _licence_sql())
+def op3_licences(spark, sf_dir):
+    from faultline.llm.licences import licence_scan
+    return licence_scan(table(spark, sf_dir, "documents"))
+
+
+@register("op4_decontaminate", rf"""
+WITH iw AS (SELECT item_id, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') AS g
+        FROM (SELECT item_id, w, l, unnest(generate_series(1, len(w) - l + 1)) AS i
+              FROM (SELECT *, least(13, len(w)) AS l FROM iw WHERE len(w) > 0))),
+dw AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w FROM documents),
+dg AS (SELECT rid, i, l, array_to_string(w[i:i + l - 1], ' ') AS g
+       FROM (SELECT rid, w, l, unnest(generate_series(1, len(w) - l + 1)) AS i FROM dw, (SELECT DISTINCT l FROM win))),
+hit AS (SELECT rid, i, l, item_id FROM dg JOIN win USING (g, l)),
+hw AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(generate_series(i, i + l - 1)) AS p FROM hit) GROUP BY rid),
+it AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s
+       FROM hit GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN hw USING (rid) LEFT JOIN it USING (rid)
+""")
+def op4_decontaminate(spark, sf_dir):
+    from faultline.llm.decontam import contamination
+    c = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return c.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                    F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def _mix_sql() -> str:
+    from faultline.llm import mixing as m
+    out = [rf"""WITH b AS (SELECT doc_id, text, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+  greatest(len(regexp_extract_all(coalesce(text, ''), '{m.WORD}')), 1)::BIGINT AS n,
+  greatest(coalesce(length(text), 0), 1) AS size FROM documents),
+t AS (SELECT *, CASE WHEN text IS NOT NULL AND len(regexp_extract_all(text, '{m.SYMBOLS}')) * 50 >= size THEN 'symbols'
+  WHEN text IS NOT NULL AND len(regexp_extract_all(text, '[0-9]')) * 20 >= size THEN 'numbers'
+  WHEN n < 100 THEN 'brief' WHEN n < 1000 THEN 'article' ELSE 'long' END AS topic FROM b),
+cells AS (SELECT source, lang, topic, sum(n)::DOUBLE AS tokens FROM t GROUP BY ALL)"""]
+    for d in m.DIMS:
+        out.append(f"g_{d} AS (SELECT {d}, pow(sum(tokens), {m.TEMPER[d]}) AS g FROM cells GROUP BY {d}), "
+                   f"goal_{d} AS (SELECT {d}, g / sum(g) OVER () AS goal_{d} FROM g_{d})")
+    joins = " ".join(f"JOIN goal_{d} USING ({d})" for d in m.DIMS)
+    out.append(f"w0 AS (SELECT *, tokens AS w FROM cells {joins})")
+    k = 0
+    for _ in range(m.ROUNDS):
+        for d in m.DIMS:
+            out.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (w * goal_{d} / sum(w) OVER (PARTITION BY {d}) AS w) FROM w{k})")
+            k += 1
+    out.append(f"w AS MATERIALIZED (SELECT source, lang, topic, tokens, w / sum(w) OVER () AS w FROM w{k})")
+    out.append(f"f0 AS (SELECT {m.BUDGET} * sum(tokens) AS want, {m.BUDGET} * sum(tokens) AS f FROM w)")
+    for i in range(m.FACTOR_ROUNDS):
+        out.append(f"f{i + 1} AS MATERIALIZED (SELECT any_value(want) AS want, any_value(f) * any_value(want) / sum(least(tokens, f * w)) AS f FROM w, f{i})")
+    out.append(f"p AS (SELECT source, lang, topic, round(least(1.0, f * w / tokens), 6) AS probability FROM w, f{m.FACTOR_ROUNDS})")
+    return ", ".join(out) + f"""
+SELECT doc_id, source, lang, topic, n AS n_tokens, probability,
+  ('0x' || substr(md5('{m.SEED}' || coalesce(doc_id::VARCHAR, text, '')), 1, 12))::BIGINT::DOUBLE / {16**12}.0 < probability AS sampled
+FROM t JOIN p USING (source, lang, topic)"""
+
+
+@register("op10_mixing", _mix_sql())
+def op10_mixing(spark, sf_dir):
+    from faultline.llm.mixing import mix
+    return mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"),
+        "_mix.topic", "_mix.n_tokens", "_mix.probability", "_mix.sampled")
