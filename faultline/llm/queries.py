@@ -134,3 +134,12 @@ def op10_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select(
         "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"),
         "_mix.topic", "_mix.n_tokens", "_mix.probability", "_mix.sampled")
+
+
+@register("op6_line_dedup")
+def op6_line_dedup(spark, sf_dir):
+    from faultline.llm.lines import dedup_lines
+    d = dedup_lines(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.col("_lines.n_lines").cast("long").alias("n_lines"), F.col("_lines.n_removed").cast("long").alias("n_removed"),
+                    F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
+                    F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
