@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from faultline.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -143,3 +144,16 @@ def op6_line_dedup(spark, sf_dir):
     return d.select("doc_id", F.col("_lines.n_lines").cast("long").alias("n_lines"), F.col("_lines.n_removed").cast("long").alias("n_removed"),
                     F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
                     F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@register("op9_language")
+def op9_language(spark, sf_dir):
+    """Documents and pages, each on its own evidence."""
+    from faultline.llm.langid import identify_documents, identify_pages
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    a = identify_documents(docs, docs, ["doc_id"]).select("doc_id", F.lit(None).cast("long").alias("page_id"), "_lang.*")
+    b = identify_pages(pages, docs, ["page_id"]).select(F.lit(None).cast("long").alias("doc_id"), "page_id", "_lang.*")
+    return a.union(b)
+
+
+QUERIES["pipeline"] = corpus_pipeline.run

@@ -38,6 +38,7 @@ GENERATOR = 0b110001110101  # of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 +
 #: Index entries of a key beyond which the key is dealt over a grid.
 BLOCK = 2048
 CHUNK = 1 << 20
+LAST = (1 << 63) - 1
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -63,7 +64,7 @@ def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(fp.view(np.int64))], names=["doc_id", "t", "fp"])
     return run
 
 
@@ -209,6 +210,20 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
             .mapInArrow(_links(bits), "a long, b long").distinct())
 
 
+def _members(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """doc_id, t (text hash), fp, root (a fingerprint that stands for the
+    component) and component_id of every row."""
+    text = F.col("text").cast("string")
+    fps = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+                  .mapInArrow(_fingerprints(shingle), "doc_id long, t long, fp long"), "simhash-fp")
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    tree = connected_components(links(fps.select("fp").distinct(), bits))
+    rooted = nodes.join(tree, nodes.fp == tree.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    member = written(rooted.join(named, "root").select("fp", "root", "component_id"), "simhash-member")
+    return fps.join(member, "fp")
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row.
 
@@ -217,22 +232,22 @@ def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 3) -> Data
     doc_id take part in links but never name a component (component_id is null
     if nothing reachable has an id); repeated rows give repeated results.
     """
-    fps = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                  .mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "simhash-fp")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    tree = connected_components(links(fps.select("fp").distinct(), bits))
-    rooted = nodes.join(tree, nodes.fp == tree.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    # fingerprints alone in their component carry their first document through
-    member = written(rooted.join(named, "root").select("fp", "component_id"), "simhash-member")
-    return (fps.join(member, "fp")
-            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+    return _members(docs, shingle, bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id
-    (ties between rows of one id: any one).  Components without an id keep one row."""
-    parts = simhash_components(docs, shingle, bits)
-    kept = parts.where("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id
+    """``docs`` with one row of each component: the smallest doc_id (null ids
+    last), of rows with one id the smallest text hash, of equal rows any one."""
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    rows = written(_members(docs, shingle, bits).select(d.alias("_d"), F.col("t").alias("_t"), "root"), "simhash-rows")
+    best = rows.groupBy("root").agg(F.min(F.struct("_d", "_t")).alias("k"), F.count("*").alias("c")).where("c > 1")
+    state = (rows.join(best, "root").groupBy("_d", "_t").agg(F.max((F.col("k._d") == F.col("_d")) & (F.col("k._t") == F.col("_t"))).alias("keep"),
+                                                             F.count("*").alias("c")))
+    state = written(state, "simhash-state")
+    base = docs.withColumn("_d", d).withColumn("_t", F.xxhash64(F.col("text").cast("string")))
+    gone = broadcast_checked(state.where("not keep").select("_d", "_t"), 24)
+    repeated = broadcast_checked(state.where("keep and c > 1").select("_d", "_t"), 24)
+    left = base.join(gone, ["_d", "_t"], "left_anti")
+    once = left.join(repeated, ["_d", "_t"], "left_anti")
+    one_of = left.join(repeated, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"])
+    return once.unionByName(one_of).select(*[f"`{c}`" for c in docs.columns])

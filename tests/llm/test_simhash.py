@@ -80,3 +80,13 @@ def test_components_match_brute_force(spark, monkeypatch, block):
     assert got == brute(rows)
     empty = simhash.simhash_components(df.limit(0))
     assert empty.collect() == [] and empty.columns == ["doc_id", "fingerprint", "component_id"]
+
+
+def test_dedup_keeps_one_row_of_each_component(spark):
+    rng = np.random.default_rng(4)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 500, 200)) for _ in range(4)]
+    rows = [(5, base[0]), (5, base[0]), (3, base[0]), (None, base[0]), (None, base[1]), (None, base[1]), (7, base[2]), (7, base[3]), (8, None), (9, "")]
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, root int")
+    got = sorted([(r.doc_id, r.text) for r in simhash.simhash_dedup(df).collect()], key=str)
+    assert got == sorted([(3, base[0]), (None, base[1]), (7, base[2]), (7, base[3]), (8, None)], key=str)
+    assert simhash.simhash_dedup(df).columns == ["doc_id", "text", "root"]
