@@ -8,7 +8,7 @@ from soft counts of the text posteriors, grouped by value.  Host: a prior per ho
 smoothed towards its domain, and that towards the whole corpus, from soft counts
 grouped by host and domain.  The log evidences add up; the softmax is the posterior.
 
-A row is rejected if it has no text evidence (null, or no trigram of letters),
+A row is rejected if it has no text evidence (null, or without a letter),
 if a text of ``EVIDENCE`` trigrams or more is less likely under every language
 than under a uniform spread, or if no language reaches ``accept``.
 
@@ -109,9 +109,9 @@ def _score(model: np.ndarray):
         for batch in batches:
             ll, plain = np.zeros((batch.num_rows, len(model))), np.zeros(batch.num_rows, bool)
             for first, data, cut in _slices(batch.column("text")):
-                if len(data) < 3:
-                    continue
-                at = trigrams(data)
+                at = trigrams(data) if len(data) >= 3 else np.zeros(0, np.uint32)
+                letters = np.concatenate([[0], np.cumsum(FOLD[data] > 32)])
+                letters = letters[cut[1:]] > letters[cut[:-1]]
                 lo, hi = cut[:-1], np.maximum(cut[1:] - 2, cut[:-1])
                 lo, hi = np.minimum(lo, len(at)), np.minimum(hi, len(at))
                 seen = np.concatenate([[0], np.cumsum(at < BUCKETS)])
@@ -122,7 +122,7 @@ def _score(model: np.ndarray):
                     total = np.concatenate([[0], np.cumsum(table[at], dtype=np.int64)])
                     mean = (total[hi] - total[lo]) / n / SCALE
                     ll[rows, k] = mean * np.minimum(n, EVIDENCE)
-                    plain[rows] |= (count > 0) & ((mean > floor) | (count < EVIDENCE))
+                    plain[rows] |= letters & ((mean > floor) | (count < EVIDENCE))
             names = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(list(ll), pa.list_(pa.float64())), pa.array(plain)],
                                              names=names + ["ll", "plain"])

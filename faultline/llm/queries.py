@@ -156,4 +156,10 @@ def op9_language(spark, sf_dir):
     return a.union(b)
 
 
+@register("op7_main_text")
+def op7_main_text(spark, sf_dir):
+    from faultline.llm.html import extract
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
