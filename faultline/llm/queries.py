@@ -162,4 +162,10 @@ def op7_main_text(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages"))
 
 
+@register("op8_lm_score")
+def op8_lm_score(spark, sf_dir):
+    from faultline.llm.lm import score_documents
+    return score_documents(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run

@@ -106,7 +106,7 @@ def _lists(t, dim, g, qids, rows, ids, scores) -> pd.DataFrame:
 
 
 def _cell(k: int, block_rows: int):
-    def run(key, queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         t, g, dim = key
         if queries.empty or shard.empty:
             return pd.DataFrame(columns=["t", "dim", "g", "qids", "rows", "ids", "scores"])
