@@ -168,4 +168,13 @@ def op8_lm_score(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
 
 
+@register("op2_repeats")
+def op2_repeats(spark, sf_dir):
+    from faultline.llm.repeats import remove_repeats
+    r = remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+    kept = F.col("_rest.kept")
+    return r.select("doc_id", F.col("_rest.n_bytes").alias("n_bytes"), (F.col("_rest.n_bytes") - F.octet_length(kept)).alias("n_removed"),
+                    F.size("_rest.spans").cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
