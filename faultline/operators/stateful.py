@@ -1,22 +1,10 @@
-"""Order-dependent state machines (DEC-11, DEC-12, DEC-14, DEC-16) as pure step
-functions, run over Spark with an exact *chunked replay*.
-
-A state machine over one long ordered sequence is inherently sequential.  To
-keep every task bounded even when one key holds most of the rows:
-
-1. rows get a distributed per-key position (``series.with_row_index``) and are
-   cut into chunks of ``chunk_rows`` consecutive rows;
-2. every chunk is replayed in parallel (``applyInPandas`` on (key, chunk))
-   from an *assumed* entry state (initially the machine's start state),
-   emitting only its exit state;
-3. on the driver-side table of chunk exit states (one row per chunk) the true
-   entry of chunk k is the exit of chunk k-1; chunks whose assumed entry was
-   wrong are replayed again — only those — until nothing changes (state
-   machines forget their past quickly, so this converges in a pass or two);
-4. a final parallel pass replays every chunk from its true entry state and
-   emits the per-row outputs.
-
-The same step functions drive the streaming versions (``faultline.streaming``).
+"""Order-dependent state machines (DEC-11, DEC-12, DEC-14, DEC-16).
+
+The route engine, circuit breaker and canary are tables of rules over a few modes
+(``faultline.operators.machines`` runs them exactly over sequences of any length).
+The self-healing replay shares one numeric risk map between all APIs, so its state
+is not finite; it runs on the (minute, API) grid, whose size follows the time
+span, in chunks whose entry states are corrected until none changes.
 """
 
 from __future__ import annotations
@@ -25,292 +13,234 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline import constants as C
-from faultline.operators import series
-
-
-# --- DEC-11 route state machine ----------------------------------------------------------------
-def route_init(primary: str, cooldown: int = C.ROUTE_COOLDOWN) -> dict:
-    return {"active": primary, "state": "NORMAL", "cool": cooldown}
-
-
-def _least_risk(routes, risks: dict, hi: float, exclude: str):
-    best = None
-    for r in routes:                      # stable: ties keep route order
-        if r == exclude:
-            continue
-        v = risks.get(r, 1.0)
-        if v < hi and (best is None or v < best[1]):
-            best = (r, v)
-    return best[0] if best else None
-
-
-def route_step(st: dict, risks: dict, routes, primary: str, hi: float = C.ROUTE_HI, lo: float = C.ROUTE_LO,
-               cooldown: int = C.ROUTE_COOLDOWN) -> tuple[dict, dict]:
-    """One tick.  Missing risks: 1.0 for candidates / the primary-recovery and
-    all-bad tests, 0.0 for the active route.  Thresholds: >= hi, < lo.  While
-    on a backup the state label is kept until fail-back."""
-    st = dict(st)
-    alert, prewarm = False, None
-    if all(risks.get(r, 1.0) >= hi for r in routes):
-        st["state"], alert, action = "SYSTEMIC", True, "hold_alert_systemic"
-    elif st["active"] == primary:
-        ra = risks.get(st["active"], 0.0)
-        if ra >= hi:
-            tgt = _least_risk(routes, risks, hi, st["active"])
-            if tgt:
-                st.update(active=tgt, state="REROUTED", cool=cooldown)
-                action = "reroute"
-            else:
-                st["state"], alert, action = "SYSTEMIC", True, "hold_alert_no_backup"
-        elif ra >= lo:
-            st["state"] = "PREWARM"
-            prewarm = _least_risk(routes, risks, hi, st["active"])
-            action = "prewarm"
-        else:
-            st["state"], action = "NORMAL", "serve"
-    else:
-        if risks.get(st["active"], 0.0) >= hi:
-            tgt = _least_risk(routes, risks, hi, st["active"])
-            if tgt:
-                st.update(active=tgt, cool=cooldown)
-                action = "rehop"
-            else:
-                st["state"], alert, action = "SYSTEMIC", True, "hold_alert_backup_degraded"
-        elif risks.get(primary, 1.0) < lo:
-            st["cool"] -= 1
-            if st["cool"] <= 0:
-                st.update(active=primary, state="NORMAL")
-                action = "failback"
-            else:
-                action = "cooldown"
-        else:
-            st["cool"] = cooldown
-            action = "hold_backup"
-    return st, {"active": st["active"], "state": st["state"], "alert": alert, "prewarm": prewarm,
-                "action": action}
-
-
-# --- DEC-14 circuit breaker --------------------------------------------------------------------------
-def breaker_init() -> dict:
-    return {"state": "CLOSED", "streak": 0, "opened_at": 0.0}
-
-
-def breaker_step(st: dict, ts: float, ok: bool, fails: int = C.BREAKER_FAILS,
-                 probe_s: float = C.BREAKER_PROBE_SECONDS) -> tuple[dict, dict]:
-    """One request at time ``ts`` (seconds).  CLOSED passes everything; OPEN
-    blocks until ``probe_s`` have elapsed, then lets one probe through
-    (HALF_OPEN); the probe's outcome closes or re-opens the breaker; CLOSED
-    opens after ``fails`` consecutive failures."""
-    st = dict(st)
-    before = st["state"]
-    if st["state"] == "OPEN" and ts - st["opened_at"] >= probe_s:
-        st["state"] = "HALF_OPEN"
-    allowed = st["state"] in ("CLOSED", "HALF_OPEN")
-    event = None
-    if allowed:
-        if ok:
-            st["streak"] = 0
-            if st["state"] == "HALF_OPEN":
-                st["state"], event = "CLOSED", "closed"
-        else:
-            st["streak"] += 1
-            if st["state"] == "HALF_OPEN":
-                st.update(state="OPEN", opened_at=ts)
-                event = "reopened"
-            elif st["streak"] >= fails:
-                st.update(state="OPEN", opened_at=ts)
-                event = "opened"
-    return st, {"state_before": before, "allowed": allowed, "state_after": st["state"], "event": event}
-
-
-# --- DEC-16 canary restore -----------------------------------------------------------------------------
-def canary_init() -> dict:
-    return {"route": "primary", "stage": 0, "since": 0.0, "last": None, "run": 0}
-
-
-def canary_step(st: dict, ts: float, healthy: bool, steps=C.CANARY_STEPS, hold_s: float = C.CANARY_HOLD_SECONDS,
-                confirm: int = 2) -> tuple[dict, dict]:
-    """One health poll.  A reading counts once ``confirm`` equal consecutive
-    polls have been seen.  Confirmed DOWN moves traffic to the backup and
-    starts a heal cycle; confirmed UP during a cycle starts the canary at the
-    first step, then advances one step per confirmed-healthy poll after
-    ``hold_s`` seconds at the current step; the last step restores the primary."""
-    st = dict(st)
-    st["run"] = st["run"] + 1 if st["last"] == healthy else 1
-    st["last"] = healthy
-    event = None
-    if st["run"] >= confirm:
-        if not healthy and st["route"] == "primary":
-            st.update(route="backup", stage=0)
-            event = "reroute"
-        elif healthy and st["route"] == "backup":
-            if st["stage"] == 0:
-                st.update(stage=1, since=ts)
-                event = f"canary_{int(steps[0] * 100)}pct"
-            elif ts - st["since"] >= hold_s:
-                st["stage"] += 1
-                st["since"] = ts
-                if st["stage"] >= len(steps):
-                    st.update(route="primary", stage=0)
-                    event = "full_restore"
-                else:
-                    event = f"canary_{int(steps[st['stage'] - 1] * 100)}pct"
-    frac = steps[st["stage"] - 1] if st["route"] == "backup" and st["stage"] > 0 else \
-        (1.0 if st["route"] == "primary" else 0.0)
-    return st, {"route": st["route"], "canary_stage": st["stage"], "primary_fraction": float(frac), "event": event}
-
-
-# --- generic exact chunked replay ------------------------------------------------------------------------
-def chunked_replay(df: DataFrame, key: str, order, init: Callable[[pd.Series], dict],
-                   step: Callable[[dict, pd.Series], tuple[dict, dict]], out_schema: str,
-                   chunk_rows: int = 50_000, max_rounds: int = 50) -> DataFrame:
-    """Replay ``step`` over each key's rows in ``order`` (see module docstring).
-
-    ``init(first_row)`` gives the start state of a key; ``step(state, row)``
-    returns (new state, output dict matching ``out_schema`` minus key/_i)."""
-    idx = series.with_row_index(df, key=key, order=order, idx_col="_i")
-    idx = idx.withColumn("_chunk", F.floor(F.col("_i") / F.lit(chunk_rows)).cast("long"))
-    cols = idx.columns
-
-    def runner(entry_by_chunk: dict | None, emit_rows: bool):
-        def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_i")
-            k, ch = pdf[key].iloc[0], int(pdf["_chunk"].iloc[0])
-            ent = (entry_by_chunk or {}).get((k, ch))
-            st = json.loads(ent) if ent is not None else init(pdf.iloc[0].to_dict())
-            outs = []
-            for row in pdf.to_dict("records"):
-                st, o = step(st, row)
-                if emit_rows:
-                    outs.append({key: k, "_i": int(row["_i"]), **o})
-            if emit_rows:
-                return pd.DataFrame(outs)
-            return pd.DataFrame([{key: k, "_chunk": ch, "exit": json.dumps(st, sort_keys=True),
-                                  "entry": ent}])
-        return fn
+from faultline.operators import machines, series
+
+# --- DEC-11 route engine ---------------------------------------------------------------------
+#: label, target and countdown of each action; None keeps the label.  Columns:
+#: (label, where the traffic goes, countdown, alert).
+ROUTE_ACTIONS = {
+    "serve": ("NORMAL", "stay", "keep", False),
+    "prewarm": ("PREWARM", "stay", "keep", False),
+    "reroute": ("REROUTED", "backup", "full", False),
+    "rehop": (None, "backup", "full", False),
+    "cooldown": (None, "stay", "less", False),
+    "failback": ("NORMAL", "primary", "none", False),
+    "hold_backup": (None, "stay", "full", False),
+    "hold_alert_systemic": ("SYSTEMIC", "stay", "keep", True),
+    "hold_alert_no_backup": ("SYSTEMIC", "stay", "keep", True),
+    "hold_alert_backup_degraded": ("SYSTEMIC", "stay", "keep", True),
+}
+#: action by (traffic on the primary, level of the active route: 2 is at or above
+#: hi, 1 at or above lo; a backup below hi exists).
+ON_ROUTE = {
+    (True, 2, True): "reroute", (True, 2, False): "hold_alert_no_backup",
+    (True, 1, True): "prewarm", (True, 1, False): "prewarm", (True, 0, True): "serve", (True, 0, False): "serve",
+    (False, 2, True): "rehop", (False, 2, False): "hold_alert_backup_degraded",
+}
+
+
+def route_symbol(risks: Column, routes: list[str], primary: str, hi: float, lo: float) -> Column:
+    """A row's risks as classes: "all bad, primary calm, level of each route, best
+    other route of each route".  Missing risks are 1.0 as a candidate and for the
+    primary's recovery, 0.0 for the active route."""
+    def risk(r: str, missing: float) -> Column:
+        return F.coalesce(F.try_element_at(risks, F.lit(r)).cast("double"), F.lit(missing))
+
+    def best(r: str) -> Column:
+        others = [F.struct(risk(x, 1.0).alias("v"), F.lit(i).alias("i")) for i, x in enumerate(routes) if x != r]
+        fit = F.filter(F.array(*others), lambda o: o.v < hi) if others else F.array()
+        return F.coalesce(F.array_min(fit).i.cast("string"), F.lit("-")) if others else F.lit("-")
+
+    bad = F.lit(True)
+    for r in routes:
+        bad = bad & (risk(r, 1.0) >= hi)
+    levels = [F.when(risk(r, 0.0) >= hi, "2").when(risk(r, 0.0) >= lo, "1").otherwise("0") for r in routes]
+    return F.concat_ws(",", F.when(bad, "1").otherwise("0"), F.when(risk(primary, 1.0) < lo, "1").otherwise("0"), *levels, *[best(r) for r in routes])
+
+
+def route_machine(routes: list[str], primary: str, cooldown: int) -> machines.Machine:
+    """Modes (active route, label, countdown); outputs (action, prewarmed route, alert)."""
+    labels = ("NORMAL", "PREWARM", "REROUTED", "SYSTEMIC")
+    modes = [(r, label, c) for r in routes for label in labels for c in range(cooldown + 1)]
+    n = len(routes)
+
+    def rule(mode, symbol):
+        active, label, count = mode
+        part = symbol.split(",")
+        at = routes.index(active)
+        target = part[2 + n + at]
+        level, calm = int(part[2 + at]), part[1] == "1"
+        action = "hold_alert_systemic" if part[0] == "1" else ON_ROUTE.get((active == primary, level, target != "-"))
+        if action is None:  # on a healthy backup
+            action = "hold_backup" if not calm else "failback" if count <= 1 else "cooldown"
+        new_label, where, countdown, alert = ROUTE_ACTIONS[action]
+        to = {"stay": active, "primary": primary}.get(where) or routes[int(target)]
+        left = {"keep": count, "full": cooldown, "less": count - 1, "none": 0}[countdown]
+        warm = routes[int(target)] if action == "prewarm" and target != "-" else None
+        return (to, new_label or label, left), (action, warm, alert)
+
+    return machines.Machine(modes, (primary, "NORMAL", 0), rule)
+
 
-    key_type = dict(idx.dtypes)[key]
-    exit_schema = f"`{key}` {key_type}, _chunk long, exit string, entry string"
-    # pass 1: speculative exits from the start state
-    assumed: dict = {}
-    exits = {(r[key], r["_chunk"]): r["exit"] for r in
-             idx.groupBy(key, "_chunk").applyInPandas(runner(None, False), exit_schema).collect()}
-    for _ in range(max_rounds):
-        true_entry, changed = {}, []
-        for (k, ch) in sorted(exits, key=lambda t: (str(t[0]), t[1])):
-            if ch > 0:
-                true_entry[(k, ch)] = exits[(k, ch - 1)]
-                if assumed.get((k, ch)) != true_entry[(k, ch)]:
-                    changed.append((k, ch))
-        if not changed:
-            break
-        for kc in changed:
-            assumed[kc] = true_entry[kc]
-        sel = idx.sparkSession.createDataFrame([(k, ch) for k, ch in changed], f"`{key}` {key_type}, _chunk long")
-        redo = idx.join(F.broadcast(sel), [key, "_chunk"], "left_semi")
-        for r in redo.groupBy(key, "_chunk").applyInPandas(runner(dict(assumed), False), exit_schema).collect():
-            exits[(r[key], r["_chunk"])] = r["exit"]
-    final = idx.groupBy(key, "_chunk").applyInPandas(runner(dict(assumed), True),
-                                                     f"`{key}` {key_type}, _i long, {out_schema}")
-    return idx.select(*[c for c in cols if c != "_chunk"]).join(final, [key, "_i"]).drop("_i")
-
-
-# --- wrappers --------------------------------------------------------------------------------------------------
 ROUTE_OUT = "active string, state string, alert boolean, prewarm string, action string"
-BREAKER_OUT = "state_before string, allowed boolean, state_after string, event string"
-CANARY_OUT = "route string, canary_stage int, primary_fraction double, event string"
+
+
+def route_outputs(before, after, out) -> tuple:
+    return after[0], after[1], out[2], out[1], out[0]
 
 
 def route(df: DataFrame, session: str, tick: str, risks: str, routes, primary: str, hi: float = C.ROUTE_HI,
           lo: float = C.ROUTE_LO, cooldown: int = C.ROUTE_COOLDOWN, chunk_rows: int = 50_000) -> DataFrame:
     """DEC-11 over rows (session, tick, risks map<route, risk>)."""
     routes = list(routes)
+    d = df.withColumn("_symbol", route_symbol(F.col(risks), routes, primary, hi, lo)).withColumn("_zero", F.lit(0.0))
+    out = machines.run(route_machine(routes, primary, cooldown), d, session, (tick,), "_zero", "_symbol", route_outputs, ROUTE_OUT, chunk_rows)
+    return out.drop("_symbol", "_zero")
+
 
-    def step(st, row):
-        r = row[risks]
-        rk = dict(r) if r is not None else {}
-        return route_step(st, {k: float(v) for k, v in rk.items() if v is not None}, routes, primary, hi, lo,
-                          cooldown)
-    return chunked_replay(df, session, (tick,), lambda _r: route_init(primary, cooldown), step, ROUTE_OUT,
-                          chunk_rows)
+# --- DEC-14 circuit breaker ------------------------------------------------------------------
+BREAKER_OUT = "state_before string, allowed boolean, state_after string, event string"
+
+
+def breaker_machine(fails: int = C.BREAKER_FAILS, probe_s: float = C.BREAKER_PROBE_SECONDS) -> machines.Machine:
+    """Closed with a streak of failures, or open; open lets one probe through
+    after ``probe_s`` seconds.  Outputs (allowed, event)."""
+    table = {(("CLOSED", k), "true"): (("CLOSED", 0), (True, None)) for k in range(fails)}
+    table |= {(("CLOSED", k), "false"): (("CLOSED", k + 1), (True, None)) for k in range(fails - 1)}
+    table |= {(("CLOSED", fails - 1), "false"): (("OPEN", 0), (True, "opened")),
+              (("OPEN", 0), "true"): (("CLOSED", 0), (True, "closed")), (("OPEN", 0), "false"): (("OPEN", 0), (True, "reopened"))}
+    return machines.Machine([("CLOSED", k) for k in range(fails)] + [("OPEN", 0)], ("CLOSED", 0), lambda mode, ok: table[mode, ok],
+                            {("OPEN", 0): probe_s}, lambda mode, ok: (False, None))
 
 
 def circuit_breaker(df: DataFrame, backend: str = "backend", ts: str = "ts_s", ok: str = "ok",
                     order=("ts_s", "event_id"), chunk_rows: int = 50_000) -> DataFrame:
     """DEC-14 over a request log (backend, ts seconds, ok)."""
-    return chunked_replay(df, backend, order, lambda _r: breaker_init(),
-                          lambda st, row: breaker_step(st, float(row[ts]), bool(row[ok])), BREAKER_OUT, chunk_rows)
+    return machines.run(breaker_machine(), df, backend, order, ts, ok, lambda before, after, out: (before[0], out[0], after[0], out[1]),
+                        BREAKER_OUT, chunk_rows)
 
 
-def canary(df: DataFrame, backend: str = "backend", ts: str = "ts_s", healthy: str = "healthy",
-           order=("ts_s", "event_id"), chunk_rows: int = 50_000) -> DataFrame:
-    """DEC-16 over health polls (backend, ts seconds, healthy)."""
-    return chunked_replay(df, backend, order, lambda _r: canary_init(),
-                          lambda st, row: canary_step(st, float(row[ts]), bool(row[healthy])), CANARY_OUT,
-                          chunk_rows)
+# --- DEC-16 canary restore -------------------------------------------------------------------
+CANARY_OUT = "route string, canary_stage int, primary_fraction double, event string"
+
+
+def canary_machine(steps=tuple(C.CANARY_STEPS), hold_s: float = C.CANARY_HOLD_SECONDS) -> machines.Machine:
+    """Stage None: all traffic on the primary; 0: all on the backup; k: step k of
+    the canary, held ``hold_s`` seconds.  Symbols: confirmed "up" or "down", "-"."""
+    name = [f"canary_{int(s * 100)}pct" for s in steps]
+    table = {(None, "down"): (0, "reroute"), (0, "up"): (1, name[0])}
+    table |= {(k, "up"): (k + 1, name[k]) if k + 1 < len(steps) else (None, "full_restore") for k in range(1, len(steps))}
+    stages = list(range(1, len(steps)))
+    timed = set(stages)
+    return machines.Machine([None, 0, *stages], None, lambda mode, s: table.get((mode, s), None if mode in timed else (mode, None)),
+                            {k: hold_s for k in stages}, lambda mode, s: None)
 
 
-# --- DEC-12 self-healing replay ----------------------------------------------------------------------------
+def canary(df: DataFrame, backend: str = "backend", ts: str = "ts_s", healthy: str = "healthy",
+           order=("ts_s", "event_id"), chunk_rows: int = 50_000, confirm: int = 2, steps=tuple(C.CANARY_STEPS)) -> DataFrame:
+    """DEC-16 over health polls (backend, ts seconds, healthy).  A reading counts
+    once ``confirm`` polls in a row agree."""
+    idx = series.with_row_index(df, key=backend, order=order, idx_col="_pos")
+    near = series.blocked(idx, "_pos", 4096, back=confirm - 1)
+    w = Window.partitionBy(backend, "_blk").orderBy("_pos")
+    agree = F.lit(True)
+    for k in range(1, confirm):
+        agree = agree & F.coalesce(F.lag(healthy, k).over(w) == F.col(healthy), F.lit(False))
+    d = near.withColumn("_symbol", F.when(agree & F.col(healthy), "up").when(agree & ~F.col(healthy), "down").otherwise("-"))
+    d = d.where("_home").drop("_blk", "_home", "_pos")
+
+    def outputs(before, after, event) -> tuple:
+        share = 1.0 if after is None else float(steps[after - 1]) if after else 0.0
+        return "primary" if after is None else "backup", after or 0, share, event
+    return machines.run(canary_machine(steps), d, backend, order, ts, "_symbol", outputs, CANARY_OUT, chunk_rows).drop("_symbol")
+
+
+# --- DEC-12 self-healing replay --------------------------------------------------------------
 HEAL_OUT = ("action string, route_state string, active string, phase string, root_cause string, "
             "remedy_action string")
+REMEDY = {name: (action, ticks, cut) for name, action, ticks, cut in C.REMEDIES}
+#: action by (label, traffic on the API's own route); others retry or pass.
+HEAL_ACTION = {("REROUTED", False): "switch", ("PREWARM", True): "prewarm", ("PREWARM", False): "prewarm",
+               ("SYSTEMIC", True): "hold", ("SYSTEMIC", False): "hold"}
+
+
+class Healer:
+    """The self-healing loop as data: a risk and a route mode per API, the running
+    remedies (ticks left, risk cut per tick) and the APIs that await a restore."""
+
+    def __init__(self, apis, hi: float, lo: float):
+        self.apis, self.hi, self.lo = list(apis), hi, lo
+        self.engine = {a: route_machine(self.apis, a, C.ROUTE_COOLDOWN) for a in self.apis}
+
+    def start(self, rates: dict) -> dict:
+        return {"risk": {a: float(rates.get(a, 0.10)) for a in self.apis}, "mode": {a: self.engine[a].start[0] for a in self.apis},
+                "remedy": {}, "away": []}
+
+    def symbol(self, risk: dict, api: str) -> str:
+        """The classes of ``route_symbol`` for a plain dictionary."""
+        level = [2 if risk[a] >= self.hi else 1 if risk[a] >= self.lo else 0 for a in self.apis]
+        order = sorted((i for i, x in enumerate(level) if x < 2), key=lambda i: risk[self.apis[i]])
+        best = [next((str(i) for i in order if i != k), "-") for k in range(len(self.apis))]
+        return ",".join([str(int(min(level) == 2)), str(int(risk[api] < self.lo)), *map(str, level), *best])
+
+    def tick(self, s: dict, api: str, p: float, category: str) -> tuple[dict, tuple]:
+        risk = s["risk"] | {api: float(p)}
+        risk |= {a: max(0.0, risk[a] - cut) for a, (_, cut) in s["remedy"].items()}
+        remedy = {a: [n - 1, cut] for a, (n, cut) in s["remedy"].items() if n > 1}
+        engine, away = self.engine[api], s["away"]
+        mode = engine.move(s["mode"][api], self.symbol(risk, api))[0]
+        active, label, _ = engine.modes[mode]
+        action, phase, cause, fix = HEAL_ACTION.get((label, active == api)), None, None, None
+        if action == "switch" and api not in remedy:
+            cause = category if category in REMEDY else "intermittent"
+            fix, ticks, cut = REMEDY[cause]
+            remedy[api], phase = [ticks, cut], "reroute+diagnose+fix"
+            away = away if api in away else sorted([*away, api])
+        elif (label, active) == ("NORMAL", api) and api in away:
+            action = phase = "restore"
+            away = [a for a in away if a != api]
+        state = {"risk": risk, "mode": s["mode"] | {api: mode}, "remedy": remedy, "away": away}
+        return state, (action or ("retry" if p > self.lo else "normal"), label, active, phase, cause, fix)
+
+
+def _corrected(idx: DataFrame, key: str, start: dict, step: Callable, names: list[str], schema: str) -> DataFrame:
+    """Replay of chunks from assumed entries, corrected until every chunk's entry
+    is its predecessor's exit; then one pass that gives the rows."""
+    def runner(entry: dict, rows: bool):
+        def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_i")
+            chunk = int(pdf["_chunk"].iloc[0])
+            state, out = json.loads(entry[chunk]) if chunk in entry else start, []
+            for row in pdf.to_dict("records"):
+                state, o = step(state, row)
+                out.append((row[key], row["_i"], *o))
+            return pd.DataFrame(out, columns=[key, "_i", *names]) if rows else pd.DataFrame([(chunk, json.dumps(state, sort_keys=True))], columns=["chunk", "exit"])
+        return fn
 
+    def exits(part: DataFrame, entry: dict) -> dict:
+        return dict(map(tuple, part.groupBy("_chunk").applyInPandas(runner(entry, False), "chunk long, exit string").collect()))
 
-def heal_init(rates: dict, apis=C.ALL_APIS) -> dict:
-    return {"risks": {a: float(rates.get(a, 0.10)) for a in apis},
-            "engines": {a: route_init(a) for a in apis}, "fixes": {}, "rerouted": []}
-
-
-def heal_step(st: dict, api: str, p: float, category: str, apis=C.ALL_APIS, hi: float = C.HIGH_RISK,
-              lo: float = C.LOW_RISK) -> tuple[dict, dict]:
-    """One scored tick of one API: update its risk, decay active fixes, step
-    its route engine, and on a reroute diagnose + start a remedy (one active
-    remedy per API); report restores after fail-back."""
-    st = json.loads(json.dumps(st))
-    remedies = {r[0]: r for r in C.REMEDIES}
-    st["risks"][api] = float(p)
-    for a in list(st["fixes"]):
-        f = st["fixes"][a]
-        f["remaining"] -= 1
-        st["risks"][a] = max(0.0, st["risks"].get(a, 0.0) - f["reduction"])
-        if f["remaining"] <= 0:
-            del st["fixes"][a]
-    eng, dec = route_step(st["engines"][api], st["risks"], list(apis), api, hi, lo, C.ROUTE_COOLDOWN)
-    st["engines"][api] = eng
-    phase = cause = remedy = None
-    if dec["state"] == "REROUTED" and dec["active"] != api:
-        action = "switch"
-        if api not in st["fixes"]:
-            cat = category if category in remedies else "intermittent"
-            r = remedies[cat]
-            st["fixes"][api] = {"remaining": r[2], "reduction": r[3]}
-            if api not in st["rerouted"]:
-                st["rerouted"].append(api)
-            phase, cause, remedy = "reroute+diagnose+fix", cat, r[1]
-    elif dec["state"] == "PREWARM":
-        action = "prewarm"
-    elif dec["state"] == "NORMAL" and dec["active"] == api and api in st["rerouted"]:
-        action, phase = "restore", "restore"
-        st["rerouted"].remove(api)
-    elif dec["state"] == "SYSTEMIC":
-        action = "hold"
-    else:
-        action = "retry" if p > lo else "normal"
-    return st, {"action": action, "route_state": dec["state"], "active": dec["active"], "phase": phase,
-                "root_cause": cause, "remedy_action": remedy}
+    known, entry = exits(idx, {}), {}
+    while wrong := {c: known[c - 1] for c in known if c and entry.get(c) != known[c - 1]}:
+        entry |= wrong
+        known |= exits(idx.where(F.col("_chunk").isin(list(wrong))), entry)
+    return idx.groupBy("_chunk").applyInPandas(runner(entry, True), f"`{key}` string, _i long, {schema}")
 
 
 def self_heal(ticks: DataFrame, rates: dict, order=("ts_bucket", "api_name"), chunk_rows: int = 50_000) -> DataFrame:
-    """DEC-12 over scored ticks (ts_bucket, api_name, p, category) in one
-    global order (shared risk map), via the exact chunked replay."""
-    t = ticks.withColumn("_stream", F.lit("all"))
-    out = chunked_replay(t, "_stream", order, lambda _r: heal_init(rates),
-                         lambda s, row: heal_step(s, row["api_name"], float(row["p"]), row["category"]),
-                         HEAL_OUT, chunk_rows)
-    return out.drop("_stream")
+    """DEC-12 over scored ticks (ts_bucket, api_name, p, category) in one global
+    order, as all APIs share the risk map.  One chunk's state a chunk of grid
+    rows reaches the driver: the grid is bounded by minutes x APIs."""
+    healer = Healer(C.ALL_APIS, C.HIGH_RISK, C.LOW_RISK)
+    idx = series.with_row_index(ticks.withColumn("_stream", F.lit("all")), key="_stream", order=order, idx_col="_i")
+    idx = idx.withColumn("_chunk", F.floor(F.col("_i") / chunk_rows).cast("long"))
+    out = _corrected(idx, "_stream", healer.start(rates), lambda s, r: healer.tick(s, r["api_name"], float(r["p"]), r["category"]),
+                     [x.split()[0] for x in HEAL_OUT.split(", ")], HEAL_OUT)
+    return idx.drop("_chunk").join(out, ["_stream", "_i"]).drop("_stream", "_i")
 
 
 def heal_summary(events: DataFrame) -> DataFrame:

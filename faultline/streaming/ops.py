@@ -60,21 +60,27 @@ def read_request_stream(spark: SparkSession, path: str, schema: T.StructType = R
             .option("timestampFormat", TS_FORMAT).json(path))
 
 
-def run_to_table(sdf: DataFrame, name: str, output_mode: str = "append") -> tuple[str, list]:
-    """SNK-06: run to completion (availableNow) appending every micro-batch,
-    tagged with its batch id, to a parquet table; returns (path, progress)."""
+def run_to_table(sdf: DataFrame, name: str, output_mode: str = "append", base: str | None = None) -> tuple[str, list]:
+    """SNK-06: run to completion (availableNow) and keep every micro-batch in a
+    folder of its own, ``batch_id=N``, that a retried batch replaces.  With the
+    same ``base`` folder a later call resumes after the last finished batch.
+    Returns (path, progress of all batches)."""
     spark = sdf.sparkSession
-    out = scratch_dir(spark, f"{name}_out")
-    ckpt = scratch_dir(spark, f"{name}_ckpt")
+    base = base or scratch_dir(spark, name)
+    out, ckpt, every = f"{base}/out", f"{base}/checkpoint", "spark.sql.streaming.numRecentProgressUpdates"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    q = (sdf.writeStream.outputMode(output_mode).foreachBatch(sink)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    progress = [p for p in q.recentProgress]
-    return out, progress
+    before = spark.conf.get(every, "100")
+    spark.conf.set(every, str(2**31 - 1))  # else only the last 100 batches report
+    try:
+        q = (sdf.writeStream.outputMode(output_mode).foreachBatch(sink)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+        return out, list(q.recentProgress)
+    finally:
+        spark.conf.set(every, before)
 
 
 def latest_per_key(table: DataFrame, keys) -> DataFrame:
@@ -137,58 +143,57 @@ FEATURE_OUT = T.StructType([
 STATE = T.StructType([T.StructField("buf", T.StringType())])
 
 
-def _slope(y: np.ndarray) -> float:
-    n = len(y)
-    if n < 2:
-        return 0.0
-    x = np.arange(n, dtype=float)
-    xm, ym = x.mean(), y.mean()
-    den = ((x - xm) ** 2).sum()
-    return float(((x - xm) * (y - ym)).sum() / den) if den > 0 else 0.0
-
-
-def _ema_slice(v: np.ndarray, alpha: float) -> float:
-    e = v[0]
-    for x in v[1:]:
-        e = alpha * x + (1 - alpha) * e
-    return float(e)
-
-
-def online_step(st: dict, rt: float, ok: int, n: int = ONLINE_N, every: int = C.SCORE_EVERY) -> tuple[dict, dict]:
-    """Per-record online features over the last ``n`` records of the key
-    (population std, lags filled with the current value, EMA over the slice
-    seeded with its first value, OLS slope), a zero-seeded running EMA (STR-03)
-    and a fallback risk every ``every`` records (STR-04)."""
-    buf = st.get("buf", [])
-    buf = (buf + [[rt, ok]])[-BUFFER:]
-    sl = np.array(buf[-n:], dtype=float)
-    rts, errs = sl[:, 0], 1.0 - sl[:, 1]
-    mean, std = float(rts.mean()), float(rts.std()) if len(rts) > 1 else 0.0
-    er, ev = float(errs.mean()), float(errs.std()) if len(errs) > 1 else 0.0
-    a10 = 2 / (10 + 1)
-    run = a10 * rt + (1 - a10) * st.get("ema", 0.0)
-    seen = st.get("seen", 0) + 1
+def online_rows(rt: np.ndarray, ok: np.ndarray, st: dict, n: int = ONLINE_N, every: int = C.SCORE_EVERY) -> tuple[pd.DataFrame, dict]:
+    """Online features of new records of one key, given its state, all rows at
+    once: statistics over the last ``n`` records (population std, lags filled with
+    the current value, EMA seeded with the window's first value, OLS slope), a
+    zero-seeded running EMA (STR-03) and a fallback risk every ``every`` records
+    (STR-04)."""
+    old = np.array(st.get("buf", []), dtype=float).reshape(-1, 2)
+    new, k = np.column_stack([rt, ok]).astype(float), len(old)
+    both = np.concatenate([np.full((n - 1, 2), np.nan), old, new])
+    win = np.lib.stride_tricks.sliding_window_view(both, n, axis=0)[k:]
+    v, err = win[:, 0, :], 1.0 - win[:, 1, :]
+    have = ~np.isnan(v)
+    size = have.sum(axis=1)
+
+    def moments(x):
+        mean = np.where(have, x, 0.0).sum(axis=1) / size
+        return mean, np.sqrt((np.where(have, x - mean[:, None], 0.0) ** 2).sum(axis=1) / size)
+
+    mean, std = moments(v)
+    rate, volatility = moments(err)
+    alpha = 2 / (10 + 1)
+    ema = np.full(len(v), np.nan)
+    for column in v.T:
+        ema = np.where(np.isnan(ema), column, alpha * column + (1 - alpha) * ema)
+    place = np.where(have, np.arange(n) - (n - 1 + n - size[:, None]) / 2, 0.0)
+    spread = (place ** 2).sum(axis=1)
+    slope = np.divide((place * np.where(have, v - mean[:, None], 0.0)).sum(axis=1), spread, out=np.zeros(len(v)), where=spread > 0)
+    running = pd.Series([st.get("ema", 0.0), *rt]).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
+    seen = st.get("seen", 0) + np.arange(1, len(v) + 1)
     scored = seen % every == 0
-    risk = min(1.0, 3 * er + 2 * max(0.0, mean / 1000.0 - 0.5)) if scored else None
-    out = {"rt_mean": mean, "rt_std": std, "err_rate": er, "err_vol": ev,
-           "lag1_rt": float(buf[-2][0]) if len(buf) >= 2 else rt,
-           "lag5_rt": float(buf[-6][0]) if len(buf) >= 6 else rt,
-           "ema10_slice": _ema_slice(rts, a10), "latency_slope": _slope(rts),
-           "latency_spike": float(rt > mean + 2 * std) if std > 0 else 0.0, "error_burst": float(er > 0.5),
-           "ema10_running": float(run), "n_seen": seen, "scored": scored, "risk": risk}
-    return {"buf": buf, "ema": run, "seen": seen}, out
+    risk = np.minimum(1.0, 3 * rate + 2 * np.maximum(0.0, mean / 1000.0 - 0.5))
+
+    def lag(by):
+        return np.where(np.isnan(v[:, n - 1 - by]), v[:, -1], v[:, n - 1 - by])
+
+    out = pd.DataFrame({
+        "rt_mean": mean, "rt_std": std, "err_rate": rate, "err_vol": volatility, "lag1_rt": lag(1), "lag5_rt": lag(5),
+        "ema10_slice": ema, "latency_slope": slope, "latency_spike": ((std > 0) & (v[:, -1] > mean + 2 * std)).astype(float),
+        "error_burst": (rate > 0.5).astype(float), "ema10_running": running, "n_seen": seen, "scored": scored,
+        "risk": pd.Series(risk).where(scored, None).astype(object)})
+    return out, {"buf": np.concatenate([old, new])[-BUFFER:].tolist(), "ema": float(running[-1]), "seen": int(seen[-1])}
 
 
 def _features_fn(key, pdfs, state):
     st = json.loads(state.get[0]) if state.exists else {}
-    rows = []
-    for pdf in pdfs:
-        for r in pdf.sort_values(["timestamp", "event_id"]).to_dict("records"):
-            st, o = online_step(st, float(r["response_time"]), int(r["success"]))
-            rows.append({"event_id": r["event_id"], "api_name": key[0], "timestamp": r["timestamp"], **o})
-    state.update((json.dumps(st),))
-    if rows:
-        yield pd.DataFrame(rows)
+    # a key's rows may come in several Arrow batches: order all of the micro-batch
+    pdf = pd.concat(list(pdfs)).sort_values(["timestamp", "event_id"], ignore_index=True)
+    if len(pdf):
+        rows, st = online_rows(pdf["response_time"].to_numpy(float), pdf["success"].to_numpy(float), st)
+        state.update((json.dumps(st),))
+        yield pd.concat([pdf[["event_id"]].assign(api_name=key[0]), pdf[["timestamp"]], rows], axis=1)
 
 
 def stream_features(stream: DataFrame) -> DataFrame:
@@ -231,26 +236,28 @@ ROUTE_STREAM_OUT = T.StructType([
 ])
 
 
-def _route_fn(routes, primary, hi, lo, cooldown):
+def stream_route(ticks: DataFrame, routes, primary: str, hi: float = C.ROUTE_HI, lo: float = C.ROUTE_LO,
+                 cooldown: int = C.ROUTE_COOLDOWN) -> DataFrame:
+    """STR-05: the route machine as keyed streaming state over (api_name, tick,
+    risks map) rows, in tick order within a micro-batch."""
+    routes = list(routes)
+    machine = stateful.route_machine(routes, primary, cooldown)
+
     def fn(key, pdfs, state):
-        st = json.loads(state.get[0]) if state.exists else stateful.route_init(primary, cooldown)
+        mode = (int(state.get[0]) if state.exists else machine.start[0], None)
         rows = []
-        for pdf in pdfs:
-            for r in pdf.sort_values("tick").to_dict("records"):
-                risks = {k: float(v) for k, v in (r["risks"] or {}).items() if v is not None}
-                st, o = stateful.route_step(st, risks, routes, primary, hi, lo, cooldown)
-                rows.append({"api_name": key[0], "tick": r["tick"], "active": o["active"], "state": o["state"],
-                             "alert": o["alert"], "action": o["action"]})
-        state.update((json.dumps(st),))
+        for tick, symbol in pd.concat(list(pdfs)).sort_values("tick")[["tick", "symbol"]].itertuples(index=False):
+            mode, out = machine.step(mode, 0.0, symbol)
+            active, label, alert, _, action = stateful.route_outputs(None, machine.modes[mode[0]], out)
+            rows.append((key[0], tick, active, label, alert, action))
+        state.update((str(mode[0]),))
         if rows:
-            yield pd.DataFrame(rows)
-    return fn
+            yield pd.DataFrame(rows, columns=ROUTE_STREAM_OUT.names)
 
+    symbols = ticks.select("api_name", "tick", stateful.route_symbol(F.col("risks"), routes, primary, hi, lo).alias("symbol"))
+    return symbols.groupBy("api_name").applyInPandasWithState(fn, ROUTE_STREAM_OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
-def stream_route(ticks: DataFrame, routes, primary: str, hi: float = C.ROUTE_HI, lo: float = C.ROUTE_LO,
-                 cooldown: int = C.ROUTE_COOLDOWN) -> DataFrame:
-    """STR-05: the route state machine as keyed streaming state over
-    (api_name, tick, risks map) rows; STR-10 = rows whose action changes route."""
-    return ticks.groupBy("api_name").applyInPandasWithState(
-        _route_fn(list(routes), primary, hi, lo, cooldown), ROUTE_STREAM_OUT, STATE, "append",
-        GroupStateTimeout.NoTimeout)
+
+def event_feed(routed: DataFrame) -> DataFrame:
+    """STR-10: the routed ticks that change where traffic goes or raise an alert."""
+    return routed.where(F.col("action").isin("reroute", "rehop", "failback") | F.col("alert"))

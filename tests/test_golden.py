@@ -9,7 +9,7 @@ from faultline import constants as C
 from faultline.operators import decide, metrics, policy, sampling, stateful, surrogate
 
 
-def test_route_scenario_14_ticks():
+def test_route_scenario_14_ticks(spark):
     A, B, Cr = "a", "b", "c"
     routes = [A, B, Cr]
     timeline = [
@@ -19,11 +19,9 @@ def test_route_scenario_14_ticks():
         {A: .31, B: .40, Cr: .25}, {A: .29, B: .38, Cr: .23}, {A: .61, B: .59, Cr: .57},
         {A: .58, B: .56, Cr: .60}, {A: .30, B: .33, Cr: .40},
     ]
-    st = stateful.route_init(A)
-    got = []
-    for risks in timeline:
-        st, o = stateful.route_step(st, risks, routes, A, 0.55, 0.35, 3)
-        got.append((o["active"], o["state"], o["alert"]))
+    df = spark.createDataFrame([("s", t, r) for t, r in enumerate(timeline)], "session string, tick int, risks map<string,double>")
+    out = stateful.route(df, "session", "tick", "risks", routes, A, 0.55, 0.35, 3, chunk_rows=4)
+    got = [(r["active"], r["state"], r["alert"]) for r in out.orderBy("tick").collect()]
     expect = ([(A, "NORMAL", False)] * 2 + [(A, "PREWARM", False)] + [(B, "REROUTED", False)] * 2
               + [(Cr, "REROUTED", False)] * 4 + [(A, "NORMAL", False)] * 2 + [(A, "SYSTEMIC", True)] * 2
               + [(A, "NORMAL", False)])

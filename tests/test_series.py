@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from faultline.operators import series, stateful
+from faultline.operators import machines, series, stateful
 from faultline.sources import fixtures as FX
 
 from conftest import SF0001
@@ -86,3 +86,64 @@ def test_chunked_replay_equals_single_chunk(spark, tele):
     diff = a.exceptAll(b).count() + b.exceptAll(a).count()
     assert diff == 0
     assert a.count() == log.count()
+
+
+def _random_log(spark, n=2400):
+    import random
+    rng, rows, t = random.Random(4), [], 0.0
+    for i in range(n):
+        t += rng.choice([0.0, 0.5, 2.0, 9.0, 20.0])
+        bad = (i // 40) % 3 == 0
+        rows.append((i, "b" if i % 7 else "c", t, rng.random() > (0.7 if bad else 0.15)))
+    return spark.createDataFrame(rows, "event_id long, backend string, ts_s double, ok boolean")
+
+
+def _breaker_by_hand(rows, fails=3, probe=15.0):
+    state, streak, opened, out = "CLOSED", 0, 0.0, []
+    for ts, ok in rows:
+        before, passes = state, state == "CLOSED" or ts - opened >= probe
+        if passes and ok:
+            state, streak = "CLOSED", 0
+        elif passes:
+            streak += 1
+            if before == "OPEN" or streak >= fails:
+                state, opened = "OPEN", ts
+        out.append((before, passes, state))
+    return out
+
+
+def _canary_by_hand(polls, hold=10.0):
+    share = [0.10, 0.50, 1.00]
+    stage, since, out = None, 0.0, []
+    for i, (ts, up) in enumerate(polls):
+        if i and polls[i - 1][1] == up:
+            if stage is None and not up:
+                stage = 0
+            elif up and stage == 0:
+                stage, since = 1, ts
+            elif up and stage and ts - since >= hold:
+                stage, since = (stage + 1 if stage + 1 < 3 else None), ts
+        out.append((stage or 0, 1.0 if stage is None else share[stage - 1] if stage else 0.0))
+    return out
+
+
+@pytest.mark.parametrize("chunk,fan", [(4, 512), (3, 5), (100_000, 512)])
+def test_machines_are_exact_over_many_chunks(spark, monkeypatch, chunk, fan):
+    monkeypatch.setattr(machines, "FAN", fan)
+    log = _random_log(spark)
+    rows = {k: [(r.ts_s, r.ok) for r in sorted(log.where(F.col("backend") == k).collect(), key=lambda r: r.event_id)] for k in "bc"}
+    got = stateful.circuit_breaker(log, chunk_rows=chunk).orderBy("event_id").collect()
+    up = stateful.canary(log.withColumnRenamed("ok", "healthy"), chunk_rows=chunk).orderBy("event_id").collect()
+    for k in "bc":
+        assert [(r.state_before, r.allowed, r.state_after) for r in got if r.backend == k] == _breaker_by_hand(rows[k])
+        assert [(r.canary_stage, r.primary_fraction) for r in up if r.backend == k] == _canary_by_hand(rows[k])
+    assert len(got) == len(up) == 2400
+
+
+def test_route_over_many_chunks_equals_one(spark):
+    import random
+    rng = random.Random(6)
+    rows = [("s", i, {r: rng.random() for r in "abc" if rng.random() > 0.05}) for i in range(1500)]
+    df = spark.createDataFrame(rows, "session string, tick int, risks map<string,double>")
+    one, many = (sorted(map(str, stateful.route(df, "session", "tick", "risks", list("abc"), "a", chunk_rows=c).drop("risks").collect())) for c in (5000, 2))
+    assert one == many and len(one) == 1500

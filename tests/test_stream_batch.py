@@ -37,3 +37,24 @@ def test_stream_windows_equal_batch(spark):
          .agg(F.count(F.lit(1)).alias("requests")))
     assert s.select("window_start", "api_name", "requests").exceptAll(b).count() == 0
     assert s.count() == b.count()
+
+
+def test_unordered_rows_of_one_key_in_one_batch(spark):
+    """More rows than an Arrow batch holds, newest first."""
+    from faultline.session import scratch_dir
+    rows = spark.range(30_000).select(
+        F.col("id").alias("event_id"), F.lit("a").alias("api_name"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("timestamp"),
+        (F.pmod(F.xxhash64("id"), F.lit(10_000)) / 37.0).alias("response_time"), F.when(F.col("id") % 7 == 0, 0).otherwise(1).alias("success"))
+    path = scratch_dir(spark, "unordered")
+    rows.orderBy(F.col("event_id").desc()).coalesce(1).write.option("timestampFormat", ops.TS_FORMAT).json(path)
+    s = ops.read_request_stream(spark, path)
+    base = scratch_dir(spark, "unordered_run")
+    out, _ = ops.run_to_table(ops.stream_features(s), "unordered", base=base)
+    j = spark.read.parquet(out).alias("s").join(ops.online_features_batch(rows).alias("b"), "event_id")
+    assert j.count() == 30_000
+    for c in ["rt_mean", "rt_std", "err_rate", "lag1_rt", "lag5_rt", "ema10_slice", "latency_slope"]:
+        assert j.filter(F.abs(F.col(f"s.{c}") - F.col(f"b.{c}")) > 1e-9 * (F.abs(F.col(f"b.{c}")) + 1)).count() == 0, c
+    assert j.where("n_seen <> event_id + 1").count() == 0
+    # a restart over the same folders adds nothing
+    ops.run_to_table(ops.stream_features(ops.read_request_stream(spark, path)), "unordered", base=base)
+    assert spark.read.parquet(out).count() == 30_000
