@@ -26,11 +26,11 @@ def fail() -> Column:
     return (F.lit(1) - F.col("success")).cast("int")
 
 
-def avg_cents(col) -> Column:
-    """Exact mean of a 2-decimal quantity: integer cent sum / (n * 100)."""
+def exact_avg(col) -> Column:
+    """Mean from an exact integer sum of billionths: the same in any order."""
     c = _c(col)
-    return (F.sum(F.round(c * F.lit(100.0)).cast("long")).cast("double")
-            / (F.count(c) * F.lit(100.0)))
+    return (F.sum(F.round(c * F.lit(1e9)).cast("decimal(28,0)")).cast("double")
+            / (F.count(c) * F.lit(1e9)))
 
 
 def daily_summary(df: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def daily_summary(df: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("total_requests"),
                  F.sum(fail()).alias("total_failures"),
                  np_round(F.avg(fail()), 4).alias("failure_rate"),
-                 np_round(avg_cents("response_time"), 2).alias("avg_response_time_ms"),
+                 np_round(exact_avg("response_time"), 2).alias("avg_response_time_ms"),
                  np_round(F.max("response_time"), 2).alias("max_response_time_ms")))
 
 
@@ -50,7 +50,7 @@ def event_impact(df: DataFrame) -> DataFrame:
             .groupBy("event_label", "api_name")
             .agg(F.count(F.lit(1)).alias("affected_rows"),
                  np_round(F.avg(fail()), 4).alias("failure_rate"),
-                 np_round(avg_cents("response_time"), 2).alias("avg_response_time_ms"),
+                 np_round(exact_avg("response_time"), 2).alias("avg_response_time_ms"),
                  np_round(F.sum(F.round(F.col("error_rate_boost") * 100).cast("long")).cast("double")
                           / (F.count(F.lit(1)) * F.lit(100.0)), 4).alias("avg_error_boost"),
                  F.min("timestamp").alias("event_start"),
@@ -62,7 +62,7 @@ def event_distribution(df: DataFrame) -> DataFrame:
     return (df.filter(F.col("event_label") != "normal").groupBy("event_label")
             .agg(F.count(F.lit(1)).alias("rows"),
                  F.avg(fail()).alias("failure_rate"),
-                 avg_cents("response_time").alias("avg_rt")))
+                 exact_avg("response_time").alias("avg_rt")))
 
 
 def failure_rate(df: DataFrame, by=("api_name",)) -> DataFrame:
@@ -239,7 +239,7 @@ def health_metrics(df: DataFrame, last_n: int = 50, key: str = "api_name",
     recent = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= last_n)
     tot = df.groupBy(key).agg(F.count(F.lit(1)).alias("total_requests"))
     g = recent.groupBy(key).agg(
-        avg_cents("response_time").alias("avg_response_time"),
+        exact_avg("response_time").alias("avg_response_time"),
         F.array_sort(F.collect_list("response_time")).alias("_rts"),
         F.avg(fail()).alias("error_rate"),
         F.count(F.lit(1)).alias("window_size"))

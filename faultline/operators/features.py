@@ -76,13 +76,17 @@ def _map(d: dict, key: Column, default) -> Column:
 def series_features(tele: DataFrame, profile: str | Profile = "batch60",
                     key: str = "api_name", order=("timestamp", "event_id"),
                     keep=("data_source",), block: int | None = None,
-                    horizons=(), recent_n: int = 0) -> DataFrame:
+                    horizons=(), recent_n: int = 0, decimals: int | None = None) -> DataFrame:
     """Telemetry -> base + calendar + rolling/lag/EMA + stress + precursor columns.
 
     ``horizons`` adds ``y_h{h}`` (failure flag h rows ahead) and
     ``y_type_h{h}`` (its error type); ``recent_n`` adds ``recent_failures``
     (failures among the previous n rows).  Both come out of the same window
     pass (forward halo = max horizon), so they cost no extra shuffle.
+
+    Rolling statistics are plain double windows.  ``decimals`` states that every
+    response time has at most so many decimals (a row that has more fails the
+    job); sums are then exact integers, equal in any order of evaluation.
     """
     p = PROFILES[profile] if isinstance(profile, str) else profile
     rnd = p.round_outputs
@@ -102,14 +106,23 @@ def series_features(tele: DataFrame, profile: str | Profile = "batch60",
     rt = F.col("response_time").cast("double")
     err = (F.lit(1) - F.col("success")).cast("double")
     rc = F.col("request_count").cast("double")
-    cents = F.round(rt * F.lit(100.0)).cast("long")
+    if decimals is None:
+        moments = [F.avg(rt).over(fn).alias("_rt_mean"), F.stddev_samp(rt).over(fn).alias("_rt_std")]
+        series_mean = F.avg(rt)
+    else:
+        unit = float(10 ** decimals)
+        scaled = F.round(rt * F.lit(unit))
+        units = F.when(F.abs(rt * F.lit(unit) - scaled) > 1e-4, F.raise_error(F.lit(
+            f"response_time has more than {decimals} decimals"))).otherwise(scaled).cast("long")
+        n, total = F.count(F.lit(1)).over(fn), F.sum(units).over(fn)
+        moments = [exact_mean(n, total, unit).alias("_rt_mean"), exact_std(n, total, F.sum(units * units).over(fn), unit).alias("_rt_std")]
+        series_mean = F.sum(scaled.cast("long")).cast("double") / (F.count(F.lit(1)) * F.lit(unit))
     ierr = (F.lit(1) - F.col("success")).cast("long")
     s_fast, s_slow = p.spans[0], p.spans[1]
     win = b.select(
         *cols, "row_idx", "_home",
         F.count(F.lit(1)).over(fn).alias("_n"),
-        F.sum(cents).over(fn).alias("_sc"),
-        F.sum(cents * cents).over(fn).alias("_sc2"),
+        *moments,
         F.sum(ierr).over(fn).alias("_se"),
         F.count(F.lit(1)).over(fv).alias("_nv"),
         F.sum(ierr).over(fv).alias("_sev"),
@@ -128,9 +141,7 @@ def series_features(tele: DataFrame, profile: str | Profile = "batch60",
     ).filter("_home")
 
     # lag fill = series mean (per key; one row per key)
-    means = broadcast_if_small(t.groupBy(key).agg(
-        (F.sum(F.round(F.col("response_time") * F.lit(100.0)).cast("long")).cast("double")
-         / (F.count(F.lit(1)) * F.lit(100.0))).alias("_series_mean")))
+    means = broadcast_if_small(t.groupBy(key).agg(series_mean.alias("_series_mean")))
     win = win.join(means, key, "left")
 
     out = _derive(win, p, key)
@@ -143,8 +154,7 @@ def _derive(win: DataFrame, p: Profile, key: str) -> DataFrame:
     win = flag_holidays(win, "timestamp") if holiday is None else win
     cal = S.calendar_features("timestamp", F.col("is_holiday"), p.calendar)
     rt = F.col("response_time")
-    std = F.coalesce(exact_std(F.col("_n"), F.col("_sc"), F.col("_sc2"), 100.0), F.lit(0.0))
-    mean = exact_mean(F.col("_n"), F.col("_sc"), 100.0)
+    std, mean = F.coalesce("_rt_std", F.lit(0.0)), F.col("_rt_mean")
     err_rate = exact_mean(F.col("_n"), F.col("_se"), 1.0)
     err_vol = exact_std(F.col("_nv"), F.col("_sev"), F.col("_sev"), 1.0)
     rt_ema_slow = F.col("_rt_ema_slow")

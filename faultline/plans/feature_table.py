@@ -22,7 +22,7 @@ def feature_table(spark: SparkSession, sf_dir: str, profile: str = "batch60") ->
     # the cross-API step: materialise them once in the shared checkpoint folder
     # (cuts lineage; concurrent query stages would otherwise each recompute
     # the window pass before a cache is filled)
-    f = reliable_checkpoint(features.series_features(tele, profile))
+    f = reliable_checkpoint(features.series_features(tele, profile, decimals=2))
     full = cross_api.cross_api_features(f)
     return full.select(*FEATURE_TABLE_COLS)
 

@@ -243,7 +243,7 @@ def q_parity(spark, sf):
     return decide.parity(prim, repl, "event_id", fields, negative)
 
 
-# --- stateful replays (rows-only checks; golden cases in tests) ---------------------------------------
+# --- state machines, held against row-by-row recursive SQL ---------------------------------------------
 def _route_input(spark, sf):
     s = (scored_long(spark, sf).filter(F.col("horizon") == 1)
          .join(FX.telemetry(spark, sf).select("event_id", "user_id"), "event_id"))
@@ -254,11 +254,47 @@ def _route_input(spark, sf):
                                                   .alias("risks"))
 
 
-@register("dec_route_replay")
+def _route_sql() -> str:
+    active = "CASE r.a WHEN 0 THEN {0}0 WHEN 1 THEN {0}1 ELSE {0}2 END"
+    lv, tg = active.format("l.l"), active.format("l.t")
+    bad = "l.c0 >= 0.55 AND l.c1 >= 0.55 AND l.c2 >= 0.55"
+    action = f"""CASE WHEN {bad} THEN 'hold_alert_systemic'
+      WHEN {lv} >= 0.55 THEN CASE WHEN {tg} IS NULL THEN CASE WHEN r.a = 0 THEN 'hold_alert_no_backup' ELSE 'hold_alert_backup_degraded' END
+                                  WHEN r.a = 0 THEN 'reroute' ELSE 'rehop' END
+      WHEN r.a = 0 THEN CASE WHEN l.l0 >= 0.35 THEN 'prewarm' ELSE 'serve' END
+      WHEN l.c0 >= 0.35 THEN 'hold_backup' WHEN r.cool <= 1 THEN 'failback' ELSE 'cooldown' END"""
+    return S + f""",
+tk AS (SELECT s.api_name, date_trunc('minute', s."timestamp") AS ts_bucket, t.user_id % 3 AS g, max(s.p) AS v
+       FROM scored s JOIN telemetry t USING (event_id) WHERE s.horizon = 1 GROUP BY ALL),
+wd AS (SELECT api_name, ts_bucket, max(CASE WHEN g = 0 THEN v END) AS r0, max(CASE WHEN g = 1 THEN v END) AS r1,
+              max(CASE WHEN g = 2 THEN v END) AS r2 FROM tk GROUP BY ALL),
+cl AS (SELECT *, coalesce(r0, 0) AS l0, coalesce(r1, 0) AS l1, coalesce(r2, 0) AS l2,
+              coalesce(r0, 1) AS c0, coalesce(r1, 1) AS c1, coalesce(r2, 1) AS c2 FROM wd),
+ln AS MATERIALIZED (SELECT *, CASE WHEN c1 < 0.55 AND c1 <= c2 THEN 1 WHEN c2 < 0.55 THEN 2 END AS t0,
+              CASE WHEN c0 < 0.55 AND c0 <= c2 THEN 0 WHEN c2 < 0.55 THEN 2 END AS t1,
+              CASE WHEN c0 < 0.55 AND c0 <= c1 THEN 0 WHEN c1 < 0.55 THEN 1 END AS t2,
+              row_number() OVER (PARTITION BY api_name ORDER BY ts_bucket) AS i FROM cl),
+r(api_name, i, ts_bucket, a, state, cool, target, action) AS (
+  SELECT DISTINCT api_name, 0::BIGINT, NULL::TIMESTAMP, 0, 'NORMAL', 0, NULL::INTEGER, '' FROM ln
+  UNION ALL
+  SELECT api_name, i, ts_bucket,
+         CASE WHEN act IN ('reroute', 'rehop') THEN tgt WHEN act = 'failback' THEN 0 ELSE a END,
+         CASE WHEN act LIKE 'hold_alert%' THEN 'SYSTEMIC' WHEN act = 'prewarm' THEN 'PREWARM' WHEN act = 'reroute' THEN 'REROUTED'
+              WHEN act IN ('serve', 'failback') THEN 'NORMAL' ELSE state END,
+         CASE WHEN act IN ('reroute', 'rehop', 'hold_backup') THEN 3 WHEN act = 'cooldown' THEN cool - 1 ELSE cool END, tgt, act
+  FROM (SELECT l.api_name, l.i, l.ts_bucket, r.a, r.state, r.cool, {tg} AS tgt, {action} AS act
+        FROM r JOIN ln l ON l.api_name = r.api_name AND l.i = r.i + 1))
+SELECT api_name, ts_bucket, 'region-' || a AS active, state, action LIKE 'hold_alert%' AS alert,
+       CASE WHEN action = 'prewarm' THEN 'region-' || target END AS prewarm, action
+FROM r WHERE i > 0"""
+
+
+@register("dec_route_replay", _route_sql())
 def q_route(spark, sf):
     from faultline.operators import stateful
     return stateful.route(_route_input(spark, sf), "api_name", "ts_bucket", "risks",
-                          ["region-0", "region-1", "region-2"], "region-0", hi=0.55, lo=0.35, cooldown=3)
+                          ["region-0", "region-1", "region-2"], "region-0", hi=0.55, lo=0.35, cooldown=3,
+                          chunk_rows=500).drop("risks")
 
 
 def _request_log(spark, sf):
@@ -268,13 +304,46 @@ def _request_log(spark, sf):
         (F.col("success") == 1).alias("ok"))
 
 
-@register("dec_circuit_breaker")
+LOG = "WITH RECURSIVE " + FX.telemetry_sql() + """,
+log AS MATERIALIZED (SELECT event_id, CAST(user_id % 3 AS VARCHAR) AS backend, epoch_us("timestamp") / 1e6 AS ts_s, success = 1 AS ok,
+       row_number() OVER w AS i, coalesce(lag(success) OVER w = success, false) AS confirmed
+       FROM telemetry WINDOW w AS (PARTITION BY user_id % 3 ORDER BY "timestamp", event_id)),
+"""
+
+
+@register("dec_circuit_breaker", LOG + f"""
+r(backend, i, event_id, ts_s, ok, state_before, allowed, state_after, event, streak, opened) AS (
+  SELECT DISTINCT backend, 0::BIGINT, NULL::BIGINT, 0.0::DOUBLE, true, 'CLOSED', true, 'CLOSED', NULL::VARCHAR, 0, 0.0::DOUBLE FROM log
+  UNION ALL
+  SELECT backend, i, event_id, ts_s, ok, was, pass,
+         CASE WHEN NOT pass THEN was WHEN ok THEN 'CLOSED' WHEN trip THEN 'OPEN' ELSE 'CLOSED' END,
+         CASE WHEN NOT pass THEN NULL WHEN ok AND was = 'OPEN' THEN 'closed' WHEN ok THEN NULL WHEN was = 'OPEN' THEN 'reopened'
+              WHEN trip THEN 'opened' END,
+         CASE WHEN NOT pass THEN streak WHEN ok THEN 0 ELSE streak + 1 END,
+         CASE WHEN pass AND NOT ok AND trip THEN ts_s ELSE opened END
+  FROM (SELECT l.*, r.state_after AS was, r.streak, r.opened, r.state_after = 'CLOSED' OR l.ts_s - r.opened >= {C.BREAKER_PROBE_SECONDS} AS pass,
+               r.state_after = 'OPEN' OR r.streak + 1 >= {C.BREAKER_FAILS} AS trip
+        FROM r JOIN log l ON l.backend = r.backend AND l.i = r.i + 1))
+SELECT event_id, backend, ts_s, ok, state_before, allowed, state_after, event FROM r WHERE i > 0""")
 def q_breaker(spark, sf):
     from faultline.operators import stateful
     return stateful.circuit_breaker(_request_log(spark, sf), chunk_rows=1000)
 
 
-@register("dec_canary")
+@register("dec_canary", LOG + f"""
+r(backend, i, event_id, ts_s, healthy, stage, since, event) AS (
+  SELECT DISTINCT backend, 0::BIGINT, NULL::BIGINT, 0.0::DOUBLE, true, -1, 0.0::DOUBLE, NULL::VARCHAR FROM log
+  UNION ALL
+  SELECT l.backend, l.i, l.event_id, l.ts_s, l.ok,
+         CASE WHEN NOT l.confirmed THEN r.stage WHEN NOT l.ok AND r.stage = -1 THEN 0 WHEN l.ok AND r.stage = 0 THEN 1
+              WHEN l.ok AND r.stage > 0 AND l.ts_s - r.since >= {C.CANARY_HOLD_SECONDS} THEN CASE r.stage WHEN 1 THEN 2 ELSE -1 END ELSE r.stage END,
+         CASE WHEN l.confirmed AND l.ok AND (r.stage = 0 OR r.stage > 0 AND l.ts_s - r.since >= {C.CANARY_HOLD_SECONDS}) THEN l.ts_s ELSE r.since END,
+         CASE WHEN NOT l.confirmed THEN NULL WHEN NOT l.ok AND r.stage = -1 THEN 'reroute' WHEN l.ok AND r.stage = 0 THEN 'canary_10pct'
+              WHEN l.ok AND r.stage > 0 AND l.ts_s - r.since >= {C.CANARY_HOLD_SECONDS}
+              THEN CASE r.stage WHEN 1 THEN 'canary_50pct' ELSE 'full_restore' END END
+  FROM r JOIN log l ON l.backend = r.backend AND l.i = r.i + 1)
+SELECT event_id, backend, ts_s, healthy, CASE WHEN stage = -1 THEN 'primary' ELSE 'backup' END AS route, greatest(stage, 0) AS canary_stage,
+       CASE stage WHEN -1 THEN 1.0 WHEN 0 THEN 0.0 WHEN 1 THEN 0.1 ELSE 0.5 END::DOUBLE AS primary_fraction, event FROM r WHERE i > 0""")
 def q_canary(spark, sf):
     from faultline.operators import stateful
     polls = _request_log(spark, sf).withColumnRenamed("ok", "healthy")

@@ -22,7 +22,7 @@ RECENT_N = 20
 
 def scored_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     tele = fixtures.telemetry(spark, sf_dir)
-    f = features.series_features(tele, "batch60", horizons=HORIZONS, recent_n=RECENT_N)
+    f = features.series_features(tele, "batch60", decimals=2, horizons=HORIZONS, recent_n=RECENT_N)
     f = cross_api.cross_api_features(reliable_checkpoint(f))
     return surrogate.surrogate_forecast(f)
 
