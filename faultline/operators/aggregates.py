@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from faultline import constants as C
 from faultline.functions.scalars import np_round
+from faultline.session import broadcast_if_small
 
 
 def _c(x) -> Column:
@@ -185,35 +186,28 @@ def duplicate_report(df: DataFrame, keys=("api_name", "timestamp")) -> DataFrame
                  F.sum(F.col("n") - 1).alias("duplicates"))
 
 
-def exact_quantiles(df: DataFrame, value: str, probs, by: str | None = None,
-                    max_groups: int = 64) -> DataFrame:
-    """Exact linear-interpolation quantiles (numpy 'linear' = SQL quantile_cont).
-
-    Few groups (the per-API case, where one group can hold a third of the
-    data): distributed order statistics per group (``series.kth_values``) —
-    no group is ever gathered in one task.  Many groups: Spark's exact
-    ``percentile`` aggregate per (then small) group.
-    """
+def exact_quantiles(df: DataFrame, value: str, probs, by: str | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles (numpy 'linear' = SQL quantile_cont)
+    of all groups in one pass: running counts over the distinct values of each
+    group (``series.cumulative`` splits a group over many tasks) show which value
+    holds which rank."""
     from faultline.operators import series
-    spark = df.sparkSession
-    groups = [None] if by is None else [r[0] for r in df.select(by).distinct().limit(max_groups + 1).collect()]
-    if by is not None and len(groups) > max_groups:
-        g = df.groupBy(by).agg(F.percentile(value, list(probs)).alias("_q"))
-        return g.select(by, *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
-    rows = []
-    for gv in groups:
-        sub = df if by is None else df.filter(F.col(by).eqNullSafe(F.lit(gv)))
-        n = sub.count()
-        if n == 0:
-            continue
-        hs = [(n - 1) * p for p in probs]
-        ks = sorted({int(h) for h in hs} | {min(int(h) + 1, n - 1) for h in hs})
-        kv = series.kth_values(sub, value, ks)
-        qs = [kv[int(h)] + (kv[min(int(h) + 1, n - 1)] - kv[int(h)]) * (h - int(h)) for h in hs]
-        rows.append((gv, *qs))
-    schema = ", ".join([f"`{by or 'group'}` string"] + [f"q{i} double" for i in range(len(probs))])
-    out = spark.createDataFrame(rows, schema)
-    return out if by is not None else out.drop("group")
+    if by is None:
+        return exact_quantiles(df.withColumn("_all", F.lit(0)), value, probs, "_all").drop("_all")
+    keys = [by]
+    c = series.value_counts(df.select(*keys, F.col(value).cast("double").alias("_v")), "_v", *keys)
+    cum = series.cumulative(c, keys, ["_v"], ["_c"])
+    size = broadcast_if_small(c.groupBy(*keys).agg(F.sum("_c").alias("_n")))
+    on = cum.join(size.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")))
+    at = {}
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        low = F.floor(h)
+        for name, rank in (("lo", low), ("hi", F.least(low + 1, F.col("_n") - 1))):
+            at[f"{name}{i}"] = F.max(F.when((rank >= F.col("cum__c") - F.col("_c")) & (rank < F.col("cum__c")), F.col("_v")))
+        at[f"w{i}"] = F.max(h - low)
+    g = on.groupBy(*keys).agg(*[e.alias(n) for n, e in at.items()])
+    return g.select(*keys, *[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"w{i}")).alias(f"q{i}") for i in range(len(probs))])
 
 
 def box_stats(df: DataFrame, value: str = "response_time", by: str = "api_name") -> DataFrame:
@@ -222,7 +216,7 @@ def box_stats(df: DataFrame, value: str = "response_time", by: str = "api_name")
     g = df.groupBy(by).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.count(F.lit(1)).alias("n"))
     q1, med, q3 = F.col("q0"), F.col("q1"), F.col("q2")
     iqr = q3 - q1
-    return g.join(F.broadcast(q), by).select(
+    return g.join(q, by).select(
         by, "n", "min", q1.alias("q1"), med.alias("median"), q3.alias("q3"), "max",
         (q1 - F.lit(1.5) * iqr).alias("lower_fence"), (q3 + F.lit(1.5) * iqr).alias("upper_fence"))
 

@@ -138,8 +138,8 @@ def augment_group(df: DataFrame, pred: Column, copies: int = C.OVERSAMPLE_FACTOR
                   scale_step: float = 0.01, cap_fraction: float = C.MAX_AUGMENTATION_FRACTION,
                   seed="augment", id_col: str = "event_id") -> DataFrame:
     """SMP-07: ``copies`` jittered copies of the rows matching ``pred`` (copy i
-    uses scale + i*scale_step), capped at cap_fraction of the pool — the cap
-    keeps the first rows in (copy, id) order via exact selection."""
+    uses scale + i*scale_step), at most cap_fraction of the pool — beyond it an
+    exact sample of all copies, in hash order of (id, copy)."""
     pool_n = df.count()
     cap = int(pool_n * cap_fraction)
     src = df.filter(pred)
@@ -157,11 +157,8 @@ def augment_group(df: DataFrame, pred: Column, copies: int = C.OVERSAMPLE_FACTOR
     noisy = noisy.drop("_scale")
     n_added = src.count() * copies
     if n_added > cap:
-        # first `cap` rows by (copy, id): copy-major order like a concat of copies
-        ordkey = (F.col("copy").cast("double") * F.lit(1e15) + F.col(id_col).cast("double"))
-        noisy = noisy.withColumn("_k", ordkey)
-        t = series.kth_values(noisy, "_k", [cap - 1])[cap - 1] if cap > 0 else None
-        noisy = noisy.filter(F.col("_k") <= t).drop("_k") if t is not None else noisy.limit(0).drop("_k")
+        name = F.concat(F.col(id_col).cast("string"), F.lit("/"), F.col("copy").cast("string"))
+        noisy = sample_n(noisy.withColumn("_name", name), cap, f"{seed}:cap", "_name").drop("_name")
     return df.withColumn("copy", F.lit(-1)).unionByName(noisy)
 
 

@@ -228,52 +228,20 @@ def cumulative(df: DataFrame, group, order, sums, desc: bool = False,
 
 
 # --- exact order statistics -------------------------------------------------------------
-def kth_values(df: DataFrame, col: str, ks, buckets: int = 4096, collect_max: int = 200_000) -> dict:
-    """Exact k-th smallest values (0-based ranks) of ``col`` without a global sort.
-
-    Distributed selection: each pass scans once and histograms the current
-    candidate range into ``buckets`` (a tiny grouped count); the bucket holding
-    the rank becomes the next range.  Once a range holds at most
-    ``collect_max`` rows they are fetched and sorted on the driver.  Passes are
-    O(log_buckets(n)); only histograms and one bounded slice reach the driver.
-    """
-    v = F.col(col).cast("double")
-    base = df.select(v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    out = {}
-    total = base.count()
-    if total <= collect_max:              # small input: one bounded fetch answers every rank
-        vals = sorted(r[0] for r in base.collect())
-        return {k: (vals[k] if 0 <= k < total else None) for k in ks}
-    for k in ks:
-        preds = []
-        below = 0
-        cur = base
-        stats = cur.agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
-        n, lo, hi = stats["n"], stats["lo"], stats["hi"]
-        if n == 0 or k < 0 or k >= n:
-            out[k] = None
-            continue
-        while True:
-            if lo == hi:
-                out[k] = lo
-                break
-            if n <= collect_max:
-                vals = sorted(r[0] for r in cur.collect())
-                out[k] = vals[k - below]
-                break
-            width = (hi - lo) / buckets
-            b = F.least(F.floor((F.col("_v") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
-            hist = (cur.groupBy(b.alias("b"))
-                    .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("mn"), F.max("_v").alias("mx"))
-                    .orderBy("b").collect())
-            acc = below
-            for r in hist:
-                if acc + r["c"] > k:
-                    preds.append((lo, width, r["b"]))
-                    below, n, lo, hi = acc, r["c"], r["mn"], r["mx"]
-                    break
-                acc += r["c"]
-            plo, pw, pb = preds[-1]
-            cur = cur.filter(F.least(F.floor((F.col("_v") - F.lit(plo)) / F.lit(pw)),
-                                     F.lit(buckets - 1)).cast("int") == pb)
+def kth_values(df: DataFrame, col: str, ks) -> dict:
+    """Exact k-th smallest values (0-based ranks) of ``col``: the column is
+    reduced to distinct values with counts, these get distributed running
+    counts, and only the rows that hold a rank reach the driver (one a rank)."""
+    c = value_counts(df.select(F.col(col).cast("double").alias("_v")), "_v")
+    cum = cumulative(c, None, ["_v"], ["_c"])
+    want = F.array(*[F.lit(int(k)).cast("long") for k in ks])
+    held = F.filter(want, lambda k: (k >= F.col("cum__c") - F.col("_c")) & (k < F.col("cum__c")))
+    out: dict = {k: None for k in ks}
+    for r in cum.select("_v", F.explode(held).alias("k")).distinct().collect():
+        out[r["k"]] = r["_v"]
     return out
+
+
+def value_counts(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """Distinct values (per group) with their counts ``_c``; nulls and NaN left out."""
+    return (df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")))

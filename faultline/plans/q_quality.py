@@ -137,7 +137,7 @@ noisy AS (SELECT event_id, "timestamp", api_name,
                  greatest(request_count + CAST(floor({HU(key, 'augment:rc')} * 7) AS INT) - 3, 1) AS request_count,
                  data_source, user_id, copy FROM cp),
 capn AS (SELECT CAST(floor((SELECT count(*) FROM telemetry) * {d(C.MAX_AUGMENTATION_FRACTION)}) AS BIGINT) AS cap),
-ranked AS (SELECT *, row_number() OVER (ORDER BY copy, event_id) AS rn FROM noisy)
+ranked AS (SELECT *, row_number() OVER (ORDER BY {HU(key, 'augment:cap')}, {key}) AS rn FROM noisy)
 SELECT {cols}, -1 AS copy FROM telemetry
 UNION ALL
 SELECT {cols}, copy FROM ranked, capn WHERE rn <= cap"""

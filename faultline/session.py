@@ -15,8 +15,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Upper bound (rows) for a side we are willing to broadcast after counting it.
-BROADCAST_MAX_ROWS = 2_000_000
+# Upper bounds for a side we are willing to broadcast after counting it.
+BROADCAST_MAX_BYTES = 64 << 20
+BROADCAST_MAX_ROWS = 2_000_000  # for sides of a few numbers a row
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
@@ -50,7 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir:
         conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        # Only reached when the cluster names no shared folder (local tests).
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="faultline-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return conf_dir
@@ -67,15 +69,17 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it is small.
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when a count proves it is small: rows times the
+    width of its columns (strings and nested values count 64 bytes).
 
     The count runs on an already-aggregated (small) DataFrame; callers pass
     only such inputs.  Beyond the bound the plain DataFrame is returned and the
     planner falls back to a shuffle join.
     """
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    width = sum(8 if t in ("int", "bigint", "double", "float", "date", "timestamp", "timestamp_ntz", "boolean", "smallint", "tinyint") else 64
+                for _, t in df.dtypes)
+    return F.broadcast(df) if df.count() * width <= max_bytes else df
 
 
 def ship_package(spark: SparkSession) -> None:

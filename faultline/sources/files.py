@@ -55,9 +55,10 @@ def read_pruned(spark: SparkSession, path: str, cols, n: int | None = None, fmt:
 
 
 def read_folder(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.csv",
-                priority=("ec2", "latency", "cloudwatch"), max_files: int | None = 10) -> DataFrame:
+                priority=("ec2", "latency", "cloudwatch"), max_files: int | None = None) -> DataFrame:
     """SRC-03: recursive discovery; files ranked by (priority match, size desc);
-    the top ``max_files`` are kept (file-level choice from ``_metadata``)."""
+    all are read unless ``max_files`` asks for the top ones (a file-level choice
+    from ``_metadata``; the ranking sees one row a file)."""
     df = (spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True)
           .option("pathGlobFilter", pattern).csv(path)
           .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size")))
@@ -78,24 +79,21 @@ def read_headerless(spark: SparkSession, path: str, names, types=None) -> DataFr
 
 
 def read_csv_tolerant(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
-                      header: bool = True) -> DataFrame:
-    """SRC-05: skip malformed lines — a line is kept only if it has exactly
-    the schema's number of fields and every non-empty field parses as its
-    type (Spark's CSV reader alone treats short lines as valid, null-padded).
-    Unquoted delimited text only."""
-    raw = spark.read.text(path)
-    parts = F.split(F.col("value"), sep, -1)
-    names = [f.name for f in schema.fields]
-    ok = F.size(parts) == len(names)
-    if header:
-        ok = ok & (F.col("value") != sep.join(names))
-    rows = raw.filter(ok).select(*[parts[i].alias(f"_r{i}") for i in range(len(names))])
-    typed = rows.select("*", *[F.col(f"_r{i}").try_cast(f.dataType).alias(f.name)
-                               for i, f in enumerate(schema.fields)])
-    bad = F.lit(False)
-    for i, n in enumerate(names):
-        bad = bad | ((F.trim(F.col(f"_r{i}")) != "") & F.col(n).isNull())
-    return typed.filter(~bad).select(*names)
+                      header: bool = True, strict: bool = False) -> DataFrame:
+    """SRC-05: skip malformed lines — those with more or fewer fields than the
+    schema.  A field that does not parse becomes null; with ``strict`` its line is
+    skipped too.  Quoted fields may hold the separator."""
+    wide = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField("_more", T.StringType())])
+    raw = (spark.read.schema(wide).option("header", header).option("sep", sep).option("enforceSchema", True)
+           .option("nullValue", "\u0001").option("emptyValue", "").csv(path))
+    typed = raw.select(*[F.col(f.name).alias(f"_r{i}") for i, f in enumerate(schema.fields)], "_more",
+                       *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    last = len(schema.fields) - 1
+    bad = F.col("_more").isNotNull() | F.col(f"_r{last}").isNull()
+    if strict:
+        for i, f in enumerate(schema.fields):
+            bad = bad | ((F.trim(F.col(f"_r{i}")) != "") & F.col(f.name).isNull())
+    return typed.filter(~bad).select(*[f.name for f in schema.fields])
 
 
 def read_anomaly_labels(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
@@ -159,10 +157,11 @@ def append_with_ids(spark: SparkSession, df: DataFrame, path: str, order, id_col
     The new rows are numbered with the distributed row index (no single-task
     window)."""
     from faultline.operators import series
-    try:
-        start = spark.read.parquet(path).select(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
-    except Exception:  # noqa: BLE001 - no table yet
-        start = 0
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    # an unreadable table is an error; only a missing one starts at 0
+    start = spark.read.parquet(path).select(F.coalesce(F.max(id_col), F.lit(0))).first()[0] if there else 0
     idx = series.with_row_index(df, key=None, order=order, idx_col="_i")
     idx.withColumn(id_col, F.col("_i") + F.lit(start + 1)).drop("_i").write.mode("append").parquet(path)
 
