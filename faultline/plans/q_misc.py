@@ -223,39 +223,55 @@ def q_weblog(spark, sf):
     return N.normalise_weblog(weblog_raw(spark, sf), "market_data_api")
 
 
+KDD_TIES = ["l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]  # row ids repeat
+KDD_LABELS = ["normal.", " Neptune.", "smurf", "mailbomb.", "saint", "rootkit.", "mystery"]
+
+
 def kdd_raw(spark, sf):
     li = FX.table(spark, sf, "lineitem")
-    lab = (F.when(F.col("l_linenumber") == 1, "normal.").when(F.col("l_linenumber") == 2, " Neptune.")
-           .when(F.col("l_linenumber") == 3, "smurf").when(F.col("l_linenumber") == 4, "ipsweep.")
-           .when(F.col("l_linenumber") == 5, "guess_passwd").when(F.col("l_linenumber") == 6, "rootkit.")
-           .otherwise("mystery"))
+    lab = F.element_at(F.array(*[F.lit(x) for x in KDD_LABELS]), F.col("l_linenumber").cast("int"))
     return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), lab.alias("label"),
-                     (F.col("l_quantity") / 5).alias("duration"), F.col("l_extendedprice").alias("src_bytes"),
-                     (F.col("l_linenumber") % 3).alias("num_failed_logins"))
+                     F.when(F.col("l_linenumber") != 3, F.col("l_quantity") / 5).alias("duration"),
+                     F.when(F.col("l_linenumber") != 4, F.col("l_extendedprice")).alias("src_bytes"),
+                     F.when(F.col("l_linenumber") != 5, F.col("l_linenumber") % 3).alias("num_failed_logins"), *KDD_TIES)
 
 
 def _kdd_sql():
-    fam = "CASE lab " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in N.ATTACK_FAMILY.items()) + " END"
+    """Written from the mapping's description: families by label list, one record a
+    minute from 1 February 2024, every label but normal is an attack."""
+    u = lambda s: HU("row_id", f"intrusion:{s}")
+    groups = " ".join("WHEN lab IN ({}) THEN '{}'".format(", ".join(f"'{x}'" for x in labels), fam) for fam, labels in (
+        ("normal", ["normal"]),
+        ("dos", ["back", "land", "neptune", "pod", "smurf", "teardrop", "mailbomb", "apache2", "processtable", "udpstorm"]),
+        ("probe", ["ipsweep", "nmap", "portsweep", "satan", "mscan", "saint"]),
+        ("r2l", ["ftp_write", "guess_passwd", "imap", "multihop", "phf", "spy", "warezclient", "warezmaster"]),
+        ("u2r", ["buffer_overflow", "loadmodule", "perl", "rootkit"])))
+    labels = " ".join(f"WHEN {i + 1} THEN '{x}'" for i, x in enumerate(KDD_LABELS))
     return f"""WITH raw AS (
-  SELECT l_orderkey * 8 + l_linenumber AS row_id,
-         CASE l_linenumber WHEN 1 THEN 'normal.' WHEN 2 THEN ' Neptune.' WHEN 3 THEN 'smurf' WHEN 4 THEN 'ipsweep.'
-              WHEN 5 THEN 'guess_passwd' WHEN 6 THEN 'rootkit.' ELSE 'mystery' END AS label,
-         l_quantity / 5 AS duration, l_extendedprice AS src_bytes, l_linenumber % 3 AS num_failed_logins FROM lineitem),
-c AS (SELECT *, regexp_replace(lower(trim(label)), '\\.+$', '') AS lab FROM raw),
-f AS (SELECT *, coalesce({fam}, 'attack') AS fam FROM c)
-SELECT row_id, 'transaction_api' AS api_name, fam AS attack_family,
-       least(greatest(CAST(duration AS DOUBLE), 0.1), 10.0) AS response_time,
-       CASE WHEN fam <> 'normal' THEN 503 ELSE 200 END AS status_code,
-       CASE WHEN fam <> 'normal' THEN 0 ELSE 1 END AS success,
-       CASE WHEN fam <> 'normal' THEN 'intrusion_' || fam END AS error_type,
-       least(greatest(CAST(src_bytes AS DOUBLE) / 1000.0, 1.0), 10000.0) AS request_count,
-       least(greatest(2.0 * CAST(num_failed_logins AS DOUBLE), 0.0), 8.0) AS burst_ratio
+  SELECT l_orderkey * 8 + l_linenumber AS row_id, CASE l_linenumber {labels} END AS label,
+         CASE WHEN l_linenumber <> 3 THEN l_quantity / 5 END AS duration, CASE WHEN l_linenumber <> 4 THEN l_extendedprice END AS src_bytes,
+         CASE WHEN l_linenumber <> 5 THEN l_linenumber % 3 END AS num_failed_logins, {', '.join(KDD_TIES)} FROM lineitem),
+c AS (SELECT *, regexp_replace(lower(trim(label)), '\\.+$', '') AS lab, row_number() OVER (ORDER BY row_id, {', '.join(KDD_TIES)}) - 1 AS i FROM raw),
+f AS (SELECT *, CASE {groups} ELSE 'unknown' END AS fam, lab = 'normal' AS fine, {u('api')} AS pick FROM c)
+SELECT row_id, TIMESTAMP '2024-02-01 00:00:00' + to_minutes(CAST(i AS BIGINT)) AS "timestamp",
+       CASE WHEN pick < CASE WHEN fine THEN 0.3 ELSE 0.2 END THEN 'market_data_api' WHEN pick < CASE WHEN fine THEN 0.5 ELSE 0.4 END THEN 'crypto_api'
+            WHEN pick < CASE WHEN fine THEN 0.7 ELSE 0.6 END THEN 'transaction_api' WHEN pick < CASE WHEN fine THEN 0.9 ELSE 0.8 END THEN 'forex_api'
+            ELSE 'stock_price_api' END AS api_name, fam AS attack_family,
+       least(greatest(coalesce(CAST(duration AS DOUBLE), 1.0), 0.1), 10.0) AS response_time,
+       CASE WHEN fine THEN 200 ELSE 503 END AS status_code, CASE WHEN fine THEN 1 ELSE 0 END AS success,
+       CASE WHEN NOT fine THEN 'network_attack_detected' END AS error_type,
+       CAST(floor(least(greatest(coalesce(CAST(src_bytes AS DOUBLE), 1000.0) / 1000.0, 1.0), 10000.0)) AS INT) AS request_count,
+       least(greatest(2.0 * coalesce(CAST(num_failed_logins AS DOUBLE), 0.0), 0.0), 8.0) AS burst_ratio,
+       CASE WHEN fine THEN 1 ELSE CAST(floor(3.0 + {u('elevated')} * 3.0) AS INT) END AS n_apis_elevated,
+       CASE WHEN fine THEN {u('stress')} * 0.2 ELSE 0.8 + {u('stress')} * 0.2 END AS systemic_stress_index,
+       CASE WHEN fine THEN 0.1 + {u('corr')} * 0.3 ELSE 0.5 + {u('corr')} * 0.5 END AS corr_with_similar_api,
+       'kaggle_nslkdd' AS data_source
 FROM f"""
 
 
 @register("nrm_intrusion", _kdd_sql())
 def q_kdd(spark, sf):
-    return N.map_intrusion(kdd_raw(spark, sf), "transaction_api")
+    return N.map_intrusion(kdd_raw(spark, sf), order=("row_id", *KDD_TIES))
 
 
 @register("nrm_integrate_report", "WITH card AS (" + CARD_SQL.replace("\n", "\n  ") + "),\npay AS ("
