@@ -36,6 +36,17 @@ def broadcast_checked(df: DataFrame, row_bytes: int, limit: int | None = None) -
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, made longer where ``df`` already has such a column."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.  Texts that are all ASCII take the fast ``lower``."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import BROADCAST_BYTES, ascii_lower, broadcast_checked, written
+from faultline.llm.common import BROADCAST_BYTES, ascii_lower, broadcast_checked, fresh, written
 
 WINDOW = 13
 SHINGLE = 3
@@ -50,9 +50,10 @@ def _windows(benchmark: DataFrame, window: int) -> DataFrame:
             .select(F.array_join("w", " ").alias("words"), "w", F.size("w").alias("len"), "items"))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``docs`` with the column ``_dc``: n_words, spans (array of start, end in
-    words: verified windows, sorted) and items (sorted ids as strings)."""
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, and its name: n_words, spans (array of start,
+    end in words: verified windows, sorted) and items (sorted ids as strings)."""
+    own_words, result = fresh(docs, "_words", "_dc")
     win = written(_windows(benchmark, window), "decontam-windows")
     sizes = sorted(r[0] for r in win.select(F.least("len", F.lit(SHINGLE))).distinct().collect())  # at most SHINGLE values
     empty = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
@@ -60,7 +61,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int
     if not sizes:
         none = F.struct(F.size(words(F.col("text"))).alias("n_words"), F.array_remove(F.array(empty), empty).alias("spans"),
                         F.array().cast("array<string>").alias("items"))
-        return docs.withColumn("_dc", none)
+        return docs.withColumn(result, none), result
 
     def hashed(df: DataFrame, size: int, *keep: str) -> DataFrame:
         return df.select(*keep, F.posexplode(_shingles(F.col("w"), size)).alias("pos", "h")).withColumn("size", F.lit(size))
@@ -91,16 +92,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int
     volume = cand.agg(F.sum(F.lit(64) + F.aggregate("cands", F.lit(0), lambda a, c: a + 64 + F.octet_length(c.words) + 32 * F.size(c["items"])))).first()[0] or 0
     cand = F.broadcast(cand) if volume <= limit else cand
 
-    out = docs.withColumn("_dw", words(F.col("text"))).alias("docs")
+    out = docs.withColumn(own_words, words(F.col("text"))).alias("docs")
     cand = cand.alias("cand")
     out = out.join(cand, F.col("docs.doc_id").cast("long").eqNullSafe(F.col("cand.d")) & (text_id_of("docs") == F.col("cand.t")), "left")
-    w = F.col("docs._dw")
+    w = F.col(f"docs.{own_words}")
     seen = F.array_sort(F.filter(F.coalesce("cand.cands", F.array_remove(F.array(_no_cand()), _no_cand())),
                                  lambda c: F.array_join(F.slice(w, c.start + 1, c.len), " ") == c.words))
     dc = F.struct(F.size(w).alias("n_words"),
                   F.transform(seen, lambda c: F.struct(c.start.alias("start"), (c.start + c.len).alias("end"))).alias("spans"),
                   F.array_sort(F.array_distinct(F.flatten(F.transform(seen, lambda c: c["items"])))).alias("items"))
-    return out.withColumn("_dc", dc).select(*[f"docs.`{c}`" for c in docs.columns], "_dc")
+    return out.select(*[F.col(f"docs.`{c}`") for c in docs.columns], dc.alias(result)), result
 
 
 def text_id_of(alias: str) -> Column:
@@ -122,14 +123,14 @@ def covered(spans: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, **kw) -> DataFrame:
     """doc_id, n_words, n_hit, spans, items and contaminated (a hit, and at least
     one word in ``share`` hit) of every document."""
-    d = scan(docs, benchmark, **kw)
-    hit, n = covered(F.col("_dc.spans")), F.col("_dc.n_words").cast("long")
-    return (d.select("doc_id", n.alias("n_words"), hit.alias("n_hit"), F.col("_dc.spans").alias("spans"), F.col("_dc.items").alias("items"))
+    d, c = scan(docs, benchmark, **kw)
+    hit, n = covered(F.col(f"{c}.spans")), F.col(f"{c}.n_words").cast("long")
+    return (d.select("doc_id", n.alias("n_words"), hit.alias("n_hit"), F.col(f"{c}.spans").alias("spans"), F.col(f"{c}.items").alias("items"))
             .withColumn("contaminated", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, share: int = 20, **kw) -> DataFrame:
     """``docs`` without the contaminated rows, columns unchanged."""
-    d = scan(docs, benchmark, **kw)
-    hit = covered(F.col("_dc.spans"))
-    return d.where(~((hit > 0) & (share * hit >= F.col("_dc.n_words")))).select(*[f"`{c}`" for c in docs.columns])
+    d, c = scan(docs, benchmark, **kw)
+    hit = covered(F.col(f"{c}.spans"))
+    return d.where(~((hit > 0) & (share * hit >= F.col(f"{c}.n_words")))).select(*[f"`{c}`" for c in docs.columns])

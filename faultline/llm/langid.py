@@ -151,7 +151,8 @@ def _smooth(own: Column, parent: Column) -> Column:
 
 def identify(df: DataFrame, langs: list[str], model: np.ndarray, text: Column, declared: Column, address: Column | None, host: Column,
              carry: list[str], accept: float = ACCEPT, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The columns ``carry`` of ``df`` with ``_lang``: language, posterior and accepted."""
+    """The columns ``carry`` of ``df`` with ``_lang``: language, posterior and
+    accepted (a carried column of that name is replaced)."""
     k = len(langs)
     rows = [F.col(f"`{c}`") for c in carry]
     if not k:
@@ -183,7 +184,7 @@ def identify(df: DataFrame, langs: list[str], model: np.ndarray, text: Column, d
                          + F.get(F.coalesce("e_suffix", zero), i))
     out = out.withColumn("p", _softmax(logits)).withColumn("top", F.array_max("p"))
     names = F.array(*[F.lit(x) for x in langs])
-    return out.select("row.*", F.struct(
+    return out.select(*[F.col(f"row.`{c}`") for c in carry if c.lower() != "_lang"], F.struct(
         F.get(names, (F.array_position("p", F.col("top")) - 1).cast("int")).alias("language"), F.round("top", 6).alias("posterior"),
         (F.col("plain") & (F.col("top") >= accept)).alias("accepted")).alias("_lang"))
 

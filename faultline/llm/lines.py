@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import BROADCAST_BYTES, broadcast_checked, written
+from faultline.llm.common import BROADCAST_BYTES, broadcast_checked, fresh, written
 from faultline.llm.graph import connected_components
 
 TAU = 2
@@ -307,14 +307,15 @@ def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, l
 
 def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text`` and ``_lines``: n_lines
-    and n_removed."""
+    and n_removed (an input column of that name is replaced)."""
     gone = written(removed_lines(docs, tau, min_chars, limit), "lines-gone")
     volume = gone.agg(F.sum(F.lit(64) + 8 * F.size("gone"))).first()[0] or 0
     gone = (F.broadcast(gone) if volume <= limit else gone).alias("g")
-    base = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_t", F.xxhash64("text")).alias("b")
-    out = base.join(gone, (F.col("b._d") == F.col("g.d")) & (F.col("b._t") == F.col("g.t")), "left")
+    d, t = fresh(docs, "_d", "_t")
+    base = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(t, F.xxhash64("text")).alias("b")
+    out = base.join(gone, (F.col(f"b.{d}") == F.col("g.d")) & (F.col(f"b.{t}") == F.col("g.t")), "left")
     lines = F.split(F.col("b.text"), "\n")
     keep = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("g.gone")))
     text = F.when(F.col("g.gone").isNull(), F.col("b.text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n"))
     stats = F.struct(F.when(F.col("b.text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.coalesce(F.size("g.gone"), F.lit(0)).alias("n_removed"))
-    return out.select(*[text.alias("text") if c == "text" else F.col(f"b.`{c}`") for c in docs.columns], stats.alias("_lines"))
+    return out.select(*[text.alias("text") if c == "text" else F.col(f"b.`{c}`") for c in docs.columns if c.lower() != "_lines"], stats.alias("_lines"))

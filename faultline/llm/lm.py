@@ -119,11 +119,10 @@ class Chunk:
 
 def _parts(buckets: int):
     def cut(hashes, counts, chunk, kind):
-        edge = np.searchsorted((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
-        for b in range(buckets):
-            s = slice(edge[b], edge[b + 1])
-            if edge[b] < edge[b + 1]:
-                yield b, chunk, kind, _zip(np.diff(hashes[s], prepend=np.uint64(0))), _zip(counts[s].astype(np.uint32))
+        bucket = (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        names, edge = np.unique(bucket, return_index=True)  # sorted hashes: a bucket is a slice
+        for b, a, e in zip(names.tolist(), edge, [*edge[1:], len(hashes)]):
+            yield b, chunk, kind, _zip(np.diff(hashes[a:e], prepend=np.uint64(0))), _zip(counts[a:e].astype(np.uint32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import broadcast_checked, written
+from faultline.llm.common import broadcast_checked, fresh, written
 
 DIMS = ("source", "lang", "topic")
 #: A category's target share is its token share to this power, normalised.
@@ -63,11 +63,13 @@ def rake(cells: DataFrame, temper: dict[str, float] | None = None, rounds: int =
 
 
 def mix(docs: DataFrame, budget: float = BUDGET, temper: dict[str, float] | None = None, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``_mix``: n_tokens, topic, probability and sampled."""
-    base = docs.withColumn("_n", n_tokens(F.col("text"))).withColumn("_mix_topic", topic_of(F.col("text"), F.col("_n")))
-    base = base.withColumn("_mix_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn(
-        "_mix_lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    cells = base.groupBy(*[F.col(f"_mix_{d}").alias(d) for d in DIMS]).agg(F.sum("_n").alias("tokens"))
+    """``docs`` with ``_mix``: n_tokens, topic, probability and sampled (an input
+    column of that name is replaced)."""
+    n, p_name, *dims = fresh(docs, "_n", "_p", *[f"_mix_{d}" for d in DIMS])
+    base = docs.withColumn(n, n_tokens(F.col("text")))
+    base = base.withColumn(dims[0], F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn(
+        dims[1], F.coalesce(F.col("lang").cast("string"), F.lit(""))).withColumn(dims[2], topic_of(F.col("text"), F.col(n)))
+    cells = base.groupBy(*[F.col(c).alias(d) for c, d in zip(dims, DIMS)]).agg(F.sum(n).alias("tokens"))
     cells = written(rake(written(cells, "mix-cells"), temper), "mix-weights")
     want = budget * float(cells.agg(F.sum("tokens")).first()[0] or 0)
     factor = want
@@ -75,8 +77,7 @@ def mix(docs: DataFrame, budget: float = BUDGET, temper: dict[str, float] | None
         got = cells.agg(F.sum(F.least(F.col("tokens").cast("double"), F.lit(factor) * F.col("weight")))).first()[0]
         factor = factor * want / got if got else factor
     p = F.round(F.least(F.lit(1.0), F.lit(factor) * F.col("weight") / F.col("tokens")), 6)
-    cells = broadcast_checked(written(cells.select(*[F.col(d).alias(f"_mix_{d}") for d in DIMS], p.alias("_p")), "mix-p"), 128)
+    cells = broadcast_checked(written(cells.select(*[F.col(d).alias(c) for c, d in zip(dims, DIMS)], p.alias(p_name)), "mix-p"), 128)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(16**12)
-    out = base.join(cells, [f"_mix_{d}" for d in DIMS])
-    m = F.struct(F.col("_n").alias("n_tokens"), F.col("_mix_topic").alias("topic"), F.col("_p").alias("probability"), (draw < F.col("_p")).alias("sampled"))
-    return out.withColumn("_mix", m).select(*[f"`{c}`" for c in docs.columns], "_mix")
+    m = F.struct(F.col(n).alias("n_tokens"), F.col(dims[2]).alias("topic"), F.col(p_name).alias("probability"), (draw < F.col(p_name)).alias("sampled"))
+    return base.join(cells, dims).select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "_mix"], m.alias("_mix"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import LOWER, UPPER, broadcast_checked, written
+from faultline.llm.common import LOWER, UPPER, broadcast_checked, fresh, written
 from faultline.llm.graph import connected_components
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit, width
@@ -244,10 +244,11 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame
     state = (rows.join(best, "root").groupBy("_d", "_t").agg(F.max((F.col("k._d") == F.col("_d")) & (F.col("k._t") == F.col("_t"))).alias("keep"),
                                                              F.count("*").alias("c")))
     state = written(state, "simhash-state")
-    base = docs.withColumn("_d", d).withColumn("_t", F.xxhash64(F.col("text").cast("string")))
-    gone = broadcast_checked(state.where("not keep").select("_d", "_t"), 24)
-    repeated = broadcast_checked(state.where("keep and c > 1").select("_d", "_t"), 24)
-    left = base.join(gone, ["_d", "_t"], "left_anti")
-    once = left.join(repeated, ["_d", "_t"], "left_anti")
-    one_of = left.join(repeated, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"])
+    at = fresh(docs, "_d", "_t")
+    base = docs.withColumn(at[0], d).withColumn(at[1], F.xxhash64(F.col("text").cast("string")))
+    gone = broadcast_checked(state.where("not keep").select("_d", "_t").toDF(*at), 24)
+    repeated = broadcast_checked(state.where("keep and c > 1").select("_d", "_t").toDF(*at), 24)
+    left = base.join(gone, at, "left_anti")
+    once = left.join(repeated, at, "left_anti")
+    one_of = left.join(repeated, at, "left_semi").dropDuplicates(at)
     return once.unionByName(one_of).select(*[f"`{c}`" for c in docs.columns])

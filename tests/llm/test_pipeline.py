@@ -50,3 +50,13 @@ def test_run_and_empty_documents(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").where(F.lit(False))
     for _, stage in P.STAGES:
         assert stage(spark, empty, SF).collect() == []
+
+
+def test_columns_with_clashing_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(12)
+    for c in ("_d", "_t", "_n", "_p", "_words", "_dc", "_mix", "_lang", "_lines", "_mix_topic", "row", "fp", "words", "topic"):
+        docs = docs.withColumn(c, F.lit(7))
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns[: len(docs.columns)] == docs.columns
+        assert all(r._d == r._t == r.row == r.topic == 7 for r in out.collect())
