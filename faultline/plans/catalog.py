@@ -26,6 +26,6 @@ def register(name: str, sql: str | None = None):
 def load_all():
     # Import for side effects (registration).
     from faultline.plans import (  # noqa: F401
-        q_features, q_aggregates, q_evaluation, q_decisions, q_quality, q_ledger, q_misc, q_models, q_streaming, q_improve,
+        q_features, q_aggregates, q_evaluation, q_decisions, q_quality, q_ledger, q_misc, q_models, q_streaming, q_improve, q_rows,
     )
     return QUERIES, ORACLES
