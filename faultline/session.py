@@ -59,14 +59,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` to the shared checkpoint folder and cut lineage.
-
-    Used where later stages must see exactly the same rows even if an
-    executor is lost and a stage is recomputed (e.g. after a sample-based
-    range partitioning).
+    """``df`` written as Parquet to the shared checkpoint folder and read back:
+    lineage is cut, and later stages see exactly the same rows even if an
+    executor is lost; they read only the columns they use.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_dir(df.sparkSession, "table")
+    df.write.option("compression", "lz4").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
