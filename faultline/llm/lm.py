@@ -3,18 +3,18 @@
 Documents are packed, some megabytes of text to a chunk, into token numbers and
 the hashes of the chunk's distinct words; the packed table is written once, and no
 text moves after that.  Every chunk sends its distinct words and word pairs with
-their training counts to buckets by hash range.  A bucket adds the counts up, tells
-each chunk the totals of its words (for the exact base score), and builds its
-segment of the filter: an n-gram of count c is entered under the levels
-1 .. 1 + floor(log2 c).  The filter, of a bounded number of bytes, is broadcast;
-a count is read back by probing level after level until one is missing, and the
-smoothed probability
+their training counts (0 where only held-out rows have them) to buckets by hash
+range.  A bucket adds the counts up, tells each chunk the totals of its words, and
+builds its segments of the filter: a pair of count c is entered under the levels
+1 .. 1 + floor(log2 c).  A count is read back by probing level after level until
+one is missing; the bucket probes for all pairs it was sent and tells each chunk
+the levels of its own.  The smoothed probability
 
     P(w | v) = (c(v, w) + MU * P(w)) / (c(v) + MU),  P(w) = (c(w) + 1) / (N + V + 1)
 
-takes all its counts from such probes.  Segments are sized for KEY_BITS a key; if
-all keys of a segment would not fit into the filter's bound, it holds the n-grams
-of the highest counts that do (whole counts, from the top), and the rest back off.
+takes its pair counts from such probes and its word counts from the levels of the
+exact totals.  Segments are sized from their pairs, twice KEY_BITS a key, and cut by hash
+range where one would pass its bound, so every training pair is held at any size.
 
 Tokens: words between ASCII white space with A-Z lower-cased, then one end token.
 Defined cases: a null or empty text is the end token alone; a null doc_id counts
@@ -38,14 +38,14 @@ from faultline.llm.common import LOWER, UPPER, written
 
 CHUNK_BYTES = 8 << 20
 BUCKET_ENTRIES = 2_000_000
-#: Bound of the broadcast filter.
+#: Bound of one segment of the filter.
 FILTER_BYTES = 64 << 20
 KEY_BITS, PROBES, MU = 6, 4, 100.0
 START, END = (np.uint64(xxhash.xxh64_intdigest(x, 42)) for x in (b" <s>", b" </s>"))  # no word holds a space
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 CHUNKS = "chunk long, ids binary, nulls binary, held binary, sizes binary, tokens binary, words binary, entries long"
 PARTS = "bucket int, chunk long, kind int, hashes binary, counts binary"
-SUMS = "bucket int, chunk long, totals binary, tokens long, words long, segment binary"
+SUMS = "bucket int, chunk long, totals binary, tokens long, words long, levels binary"
 
 
 def _zip(x: np.ndarray) -> bytes:
@@ -130,7 +130,8 @@ def _parts(buckets: int):
                 c = Chunk(row)
                 train = np.repeat(~c.held, c.sizes)
                 n = np.bincount(c.tokens[train], minlength=len(c.words))
-                pairs, times = np.unique(c.pairs()[train], return_counts=True)
+                pairs, inverse = np.unique(c.pairs(), return_inverse=True)
+                times = np.bincount(inverse[train], minlength=len(pairs))
                 rows = [*cut(c.words[c.order], n[c.order], row["chunk"], 1), *cut(pairs, times, row["chunk"], 2)]
                 kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
@@ -165,37 +166,16 @@ def build(hashes: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
     return np.packbits(segment, bitorder="little").tobytes()
 
 
-def _sum(bits: int):
-    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        rows, grams = [], []
-        for kind in (1, 2):
-            own = df[df["kind"] == kind]
-            if own.empty:
-                continue
-            hashes = [np.cumsum(_unzip(x, np.uint64), dtype=np.uint64) for x in own["hashes"]]
-            counts = np.concatenate([_unzip(x, np.uint32) for x in own["counts"]])
-            sizes = [len(x) for x in hashes]
-            distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-            total = np.bincount(inverse, counts).astype(np.int64)
-            if kind == 1:
-                parts = np.split(total[inverse], np.cumsum(sizes)[:-1])
-                rows += [(key[0], chunk, _zip(x.astype(np.int64)), None, None, None) for chunk, x in zip(own["chunk"], parts)]
-                rows.append((key[0], None, None, int(total.sum()), int((total > 0).sum()), None))
-            seen = total > 0
-            grams.append((distinct[seen], total[seen]))
-        both = [np.concatenate(x) for x in zip(*grams)]
-        rows.append((key[0], None, None, None, None, build(*both, bits)))
-        out = pd.DataFrame(rows, columns=[x.split()[0] for x in SUMS.split(", ")], dtype=object)
-        return out.astype({"chunk": "Int64", "tokens": "Int64", "words": "Int64"})
-    return run
+def expected(level: np.ndarray) -> np.ndarray:
+    return np.where(level > 0, 0.75 * 2.0**level - 0.5, 0.0)  # the middle of 2^(l-1) .. 2^l - 1
 
 
 class Filter:
     def __init__(self, data: bytes, buckets: int, bits: int):
         self.data, self.buckets, self.bits = np.frombuffer(data, np.uint8), buckets, bits
 
-    def count(self, hashes: np.ndarray) -> np.ndarray:
-        """Expected counts of the highest level that is present with all below it."""
+    def level(self, hashes: np.ndarray) -> np.ndarray:
+        """The highest level that is present with all below it."""
         base = ((hashes >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)) * np.uint64(self.bits)
         level, at = np.zeros(len(hashes), np.int64), np.arange(len(hashes))
         for n in range(1, 64):
@@ -210,20 +190,62 @@ class Filter:
             if not len(at):
                 break
             level[at] = n
-        return np.where(level > 0, 0.75 * 2.0**level - 0.5, 0.0)  # the middle of 2^(l-1) .. 2^l - 1
+        return level
+
+    def count(self, hashes: np.ndarray) -> np.ndarray:
+        return expected(self.level(hashes))
+
+
+def read_levels(hashes: np.ndarray, counts: np.ndarray, filter_bytes: int) -> np.ndarray:
+    """Levels of sorted distinct ``hashes`` as read from a filter of all those with
+    a count, in segments by hash range of at most ``filter_bytes`` bytes (or one key)."""
+    load = np.cumsum(levels(counts)) * 2 * KEY_BITS
+    out, a = np.zeros(len(hashes), np.uint8), 0
+    while a < len(hashes):
+        before = load[a - 1] if a else 0
+        e = max(a + 1, int(np.searchsorted(load, before + filter_bytes * 8, side="right")))
+        bits = max(64, -(-int(load[e - 1] - before) // 8) * 8)
+        seen = counts[a:e] > 0
+        out[a:e] = Filter(build(hashes[a:e][seen], counts[a:e][seen], bits), 1, bits).level(hashes[a:e])
+        a = e
+    return out
+
+
+def _sum(filter_bytes: int):
+    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for kind in (1, 2):
+            own = df[df["kind"] == kind]
+            if own.empty:
+                continue
+            hashes = [np.cumsum(_unzip(x, np.uint64), dtype=np.uint64) for x in own["hashes"]]
+            counts = np.concatenate([_unzip(x, np.uint32) for x in own["counts"]])
+            sizes = [len(x) for x in hashes]
+            distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+            total = np.bincount(inverse, counts).astype(np.int64)
+            back = total if kind == 1 else read_levels(distinct, total, filter_bytes)
+            parts = zip(own["chunk"], np.split(back[inverse], np.cumsum(sizes)[:-1]))
+            if kind == 1:
+                rows += [(key[0], chunk, _zip(x), None, None, None) for chunk, x in parts]
+                rows.append((key[0], None, None, int(total.sum()), int((total > 0).sum()), None))
+            else:
+                rows += [(key[0], chunk, None, None, None, _zip(x)) for chunk, x in parts]
+        out = pd.DataFrame(rows, columns=[x.split()[0] for x in SUMS.split(", ")], dtype=object)
+        return out.astype({"chunk": "Int64", "tokens": "Int64", "words": "Int64"})
+    return run
 
 
-def _score(shared, tokens: int, words: int, buckets: int, bits: int):
+def _score(tokens: int, words: int):
     def run(key: tuple, chunk: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
         c = Chunk(chunk.iloc[0].to_dict())
         count = np.empty(len(c.words), np.int64)
-        count[c.order] = np.concatenate([_unzip(x, np.int64) for x in sums.sort_values("bucket")["totals"]])
+        sums = sums.sort_values("bucket")
+        count[c.order] = np.concatenate([_unzip(x, np.int64) for x in sums["totals"].dropna()])
         base = np.log10((count + 1.0) / (tokens + words + 1.0))
-        held = Filter(shared.value, buckets, bits)
-        of_word = held.count(c.words)
+        of_word = expected(levels(count))
         p_word = (of_word + 1.0) / (tokens + words + 1.0)
-        pairs, inverse = np.unique(c.pairs(), return_inverse=True)
-        of_pair = held.count(pairs)[inverse]
+        inverse = np.unique(c.pairs(), return_inverse=True)[1]
+        of_pair = expected(np.concatenate([_unzip(x, np.uint8) for x in sums["levels"].dropna()]).astype(np.int64))[inverse]
         before = np.empty(len(c.tokens))
         before[1:] = of_word[c.tokens[:-1]]
         before[c.first] = of_word[0]  # as many starts as ends
@@ -245,16 +267,12 @@ def score_documents(docs: DataFrame, held_out: Column, filter_bytes: int = FILTE
     entries = chunks.agg(F.sum("entries")).first()[0] or 1  # words and pairs, a bound of the distinct ones
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-entries // BUCKET_ENTRIES))
-    bits = max(64, min(filter_bytes * 8, 2 * KEY_BITS * entries) // buckets // 8 * 8)
     sums = (chunks.mapInArrow(_parts(buckets), PARTS).repartition(buckets, "bucket").groupBy("bucket")
-            .applyInPandas(_sum(bits), SUMS))
+            .applyInPandas(_sum(filter_bytes), SUMS))
     sums = written(sums, "lm-sums")
     tokens, words = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    data = np.zeros(buckets * bits // 8, np.uint8)  # bounded by filter_bytes
-    for b, segment in sums.where("segment is not null").select("bucket", "segment").toLocalIterator():
-        data[b * bits // 8: (b + 1) * bits // 8] = np.frombuffer(segment, np.uint8)
-    shared = spark.sparkContext.broadcast(data.tobytes())
     left = chunks.repartition(parts, "chunk").groupBy("chunk")
-    right = sums.where("totals is not null").select("chunk", "bucket", "totals").repartition(parts, "chunk").groupBy("chunk")
-    return left.cogroup(right).applyInPandas(_score(shared, tokens, words, buckets, bits),
+    right = (sums.where("chunk is not null").select("chunk", "bucket", "totals", "levels").repartition(parts, "chunk")
+             .groupBy("chunk"))
+    return left.cogroup(right).applyInPandas(_score(tokens, words),
                                              "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -80,3 +80,24 @@ def test_held_out_text_scores_better_than_shuffled(spark):
     out = lm.score_documents(test, F.col("h")).where("held_out").groupBy(F.col("doc_id") == 2).agg(F.sum("score") / F.sum("n_tokens")).collect()
     assert real[0] > real[1]  # pairs help over single words
     assert len(out) == 2
+
+
+def test_every_training_pair_is_held_at_any_filter_bound(spark):
+    """A bound far below what the pairs need makes more segments, not fewer pairs."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.integers(0, 400, 50))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    got = sorted([tuple(r) for r in lm.score_documents(df, held, filter_bytes=64).collect()], key=str)
+    train = [(g[6], w[6]) for g, w in zip(got, brute(rows)) if not w[1]]
+    assert np.allclose(*zip(*train), rtol=0.01)
+
+
+def test_levels_read_over_many_segments():
+    rng = np.random.default_rng(4)
+    h = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64))
+    c = rng.zipf(1.6, len(h)).astype(np.int64) * (rng.random(len(h)) < 0.8)
+    for bound in (1, 64, 1 << 20):
+        got = lm.read_levels(h, c, bound)
+        assert (got >= lm.levels(c)).all()
+        assert (got == lm.levels(c)).mean() > 0.8
