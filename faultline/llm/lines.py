@@ -1,6 +1,7 @@
 """Line de-duplication by a segment-partition edit join.
 
-Lines of at least ``min_chars`` characters take part.  A line is cut into
+Lines of at least ``min_chars`` characters take part; with ``short`` also shorter
+ones that are not blank, each in a class of its exact text.  A line is cut into
 tau + 1 segments of even length; of two lines within tau edits at least one
 segment of the shorter survives in the longer, at a place that the lengths and the
 segment's number bound (multi-match-aware windows).  Segments (index) and the
@@ -257,11 +258,12 @@ def _verify(tau: int):
     return run
 
 
-def _eligible(docs: DataFrame, min_chars: int) -> DataFrame:
+def _eligible(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
     """d, t (text hash), n (line number), line, id of every line that takes part."""
+    some = F.char_length("line") >= min_chars
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d")
     return (docs.select(d, F.xxhash64("text").alias("t"), F.posexplode(F.split(F.col("text"), "\n")).alias("n", "line"))
-            .where(F.char_length("line") >= min_chars).withColumn("id", F.xxhash64("line")))
+            .where(some | F.col("line").rlike(r"\S") if short else some).withColumn("id", F.xxhash64("line")))
 
 
 def line_links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -291,10 +293,10 @@ def line_links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, limi
             .select("key", "id", "line").mapInArrow(_verify(tau), "a long, b long").distinct())
 
 
-def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, limit: int = BROADCAST_BYTES) -> DataFrame:
+def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, limit: int = BROADCAST_BYTES, short: bool = False) -> DataFrame:
     """d, t, gone (numbers of the lines to remove) of the documents that lose lines."""
     tree = written(connected_components(line_links(docs, tau, min_chars, limit)), "lines-tree")
-    occ = _eligible(docs, min_chars).select("d", "t", "n", "id")
+    occ = _eligible(docs, min_chars, short).select("d", "t", "n", "id")
     occ = occ.join(broadcast_checked(tree, 32, limit).withColumnRenamed("node", "id"), "id", "left")
     occ = written(occ.select("d", "t", "n", F.coalesce("root", "id").alias("cls")), "lines-occ")
     # one row per document, class: its lines; a class's first document keeps its first line
@@ -305,10 +307,10 @@ def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, l
     return gone.where(F.size("gone") > 0).groupBy("d", "t").agg(F.flatten(F.collect_list("gone")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, limit: int = BROADCAST_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, limit: int = BROADCAST_BYTES, short: bool = False) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text`` and ``_lines``: n_lines
     and n_removed (an input column of that name is replaced)."""
-    gone = written(removed_lines(docs, tau, min_chars, limit), "lines-gone")
+    gone = written(removed_lines(docs, tau, min_chars, limit, short), "lines-gone")
     volume = gone.agg(F.sum(F.lit(64) + 8 * F.size("gone"))).first()[0] or 0
     gone = (F.broadcast(gone) if volume <= limit else gone).alias("g")
     d, t = fresh(docs, "_d", "_t")

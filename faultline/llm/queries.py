@@ -140,7 +140,7 @@ def op10_mixing(spark, sf_dir):
 @register("op6_line_dedup")
 def op6_line_dedup(spark, sf_dir):
     from faultline.llm.lines import dedup_lines
-    d = dedup_lines(table(spark, sf_dir, "documents"))
+    d = dedup_lines(table(spark, sf_dir, "documents"), short=True)
     return d.select("doc_id", F.col("_lines.n_lines").cast("long").alias("n_lines"), F.col("_lines.n_removed").cast("long").alias("n_removed"),
                     F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
                     F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

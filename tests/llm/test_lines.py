@@ -99,3 +99,10 @@ def test_dedup_matches_brute_force(spark, monkeypatch, block, limit):
     res = sorted([(r.doc_id, r.text, r._lines.n_lines, r._lines.n_removed) for r in got.collect()], key=str)
     assert res == brute(rows)
     assert lines.dedup_lines(df.limit(0)).collect() == []
+
+
+def test_short_lines_repeat_by_exact_text(spark):
+    rows = [(1, "Les.\n\nLes.\n \nonce"), (2, "Les.\nles.\n\n \n" + "a long line of more than twenty characters"), (None, "Les."), (3, "Les"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r._lines.n_removed) for r in lines.dedup_lines(df, short=True).collect()}
+    assert got == {1: ("Les.\n\n \nonce", 1), 2: ("les.\n\n \n" + "a long line of more than twenty characters", 1), None: ("", 1), 3: ("Les", 0), 4: (None, 0)}
