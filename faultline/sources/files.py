@@ -81,18 +81,21 @@ def read_headerless(spark: SparkSession, path: str, names, types=None) -> DataFr
 def read_csv_tolerant(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
                       header: bool = True, strict: bool = False) -> DataFrame:
     """SRC-05: skip malformed lines — those with more or fewer fields than the
-    schema.  A field that does not parse becomes null; with ``strict`` its line is
-    skipped too.  Quoted fields may hold the separator."""
-    wide = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField("_more", T.StringType())])
+    schema.  An empty field, the last one too, is null and no missing one.  A field
+    that does not parse becomes null; with ``strict`` its line is skipped too.
+    Quoted fields may hold the separator."""
+    # the parser marks lines by their number of fields, if it reads them all
+    wide = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField("_malformed", T.StringType())])
     raw = (spark.read.schema(wide).option("header", header).option("sep", sep).option("enforceSchema", True)
+           .option("columnNameOfCorruptRecord", "_malformed").option("columnPruning", False)
            .option("nullValue", "\u0001").option("emptyValue", "").csv(path))
-    typed = raw.select(*[F.col(f.name).alias(f"_r{i}") for i, f in enumerate(schema.fields)], "_more",
+    typed = raw.select(*[F.col(f.name).alias(f"_r{i}") for i, f in enumerate(schema.fields)], "_malformed",
                        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
-    last = len(schema.fields) - 1
-    bad = F.col("_more").isNotNull() | F.col(f"_r{last}").isNull()
+    # never true (such a field is null): Spark wants another column read beside the mark, for counts too
+    bad = F.col("_malformed").isNotNull() | F.col("_r0").eqNullSafe("\u0001")
     if strict:
         for i, f in enumerate(schema.fields):
-            bad = bad | ((F.trim(F.col(f"_r{i}")) != "") & F.col(f.name).isNull())
+            bad = bad | ((F.trim(F.coalesce(f"_r{i}", F.lit(""))) != "") & F.col(f.name).isNull())
     return typed.filter(~bad).select(*[f.name for f in schema.fields])
 
 
