@@ -1,7 +1,7 @@
 """Language identification by Bayesian evidence fusion.
 
 Text: a byte-trigram model (hashed, add-half smoothed) fitted on a bounded sample
-of labelled documents gives each row's log-likelihood under every language, over
+of each language's labelled documents gives each row's log-likelihood under every language, over
 its whole text, tempered to ``EVIDENCE`` trigrams' weight as neighbours depend on
 one another.  Declared markup language and address suffix: P(value | language)
 from soft counts of the text posteriors, grouped by value.  Host: a prior per host
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from faultline.llm.common import BROADCAST_BYTES, LOWER, UPPER, broadcast_checked, written
 
-#: About so many labelled rows, chosen by a hash of their id, fit the model.
+#: About so many labelled rows of each language, chosen by a hash of their id, fit the model.
 TRAIN_ROWS = 8000
 BUCKETS = 1 << 14
 EVIDENCE = 30.0
@@ -84,12 +84,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probability tables from about ``rows`` rows of
-    ``labelled`` (id, text, lang).  What reaches the driver is bounded by the
-    sample's languages times the buckets."""
-    known = labelled.where("lang is not null and text is not null")
-    share = min(1.0, rows / max(known.count(), 1))
-    sample = known.where(F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    """Languages and their log-probability tables from about ``rows`` rows of each
+    language of ``labelled`` (id, text, lang), all if it has no more, one at least.
+    What reaches the driver is bounded by the languages times the buckets."""
+    draw = F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1_000_000))
+    known = labelled.where("lang is not null and text is not null").withColumn("_draw", draw)
+    share = known.groupBy("lang").agg((F.lit(rows * 1_000_000) / F.count("*")).alias("_under"), F.min("_draw").alias("_least"))
+    share = broadcast_checked(written(share, "langid-share"), 64)
+    sample = known.join(share, "lang").where((F.col("_draw") < F.col("_under")) | (F.col("_draw") == F.col("_least")))
     got = (sample.select("lang", "text").mapInArrow(_counts, "lang string, bucket int, n long")
            .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
     langs = sorted(got["lang"].unique())

@@ -46,3 +46,10 @@ def test_long_text_counts_whole(spark):
     none = F.lit(None).cast("string")
     got = {r.doc_id: r._lang.language for r in langid.identify(df, langs, model, F.col("text"), none, None, none, ["doc_id"]).collect()}
     assert got == {1: "de", 2: "en"}
+
+
+def test_rare_language_has_a_class_beside_many_rows(spark):
+    common = spark.range(4000).select(F.col("id"), F.lit("the words of this text and that").alias("text"), F.lit("en").alias("lang"))
+    rare = spark.createDataFrame([(-1, "una frase breve con palabras", "es"), (-2, "zwei kurze Worte und mehr", "de"), (None, "quelques mots", "fr")], "id long, text string, lang string")
+    langs, model = langid.fit(common.union(rare), rows=20)
+    assert langs == ["de", "en", "es", "fr"] and len(model) == 4
