@@ -70,6 +70,18 @@ def q_sequences(spark, sf):
     return s.withColumn("response_time_mean", F.round("response_time_mean", 6)).withColumn("response_time_slope", F.round("response_time_slope", 6))
 
 
+@register("win_sequence_summaries_step1", T_ + """
+, i AS (SELECT *, row_number() OVER (PARTITION BY api_name ORDER BY "timestamp", event_id) - 1 AS row_idx, 1 - success AS bad FROM telemetry),
+w AS (SELECT event_id, api_name, row_idx, avg(response_time) OVER f AS m, response_time AS l, regr_slope(CAST(response_time AS DOUBLE), CAST(row_idx AS DOUBLE)) OVER f AS s,
+        lead(bad, 1) OVER o AS y_h1, lead(bad, 5) OVER o AS y_h5, lead(bad, 15) OVER o AS y_h15
+      FROM i WINDOW o AS (PARTITION BY api_name ORDER BY row_idx), f AS (PARTITION BY api_name ORDER BY row_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+SELECT event_id, api_name, row_idx, round(m, 6) AS response_time_mean, l AS response_time_last, round(s, 6) AS response_time_slope, y_h1, y_h5, y_h15
+FROM w WHERE row_idx >= 29 AND y_h15 IS NOT NULL""")
+def q_sequences_step1(spark, sf):
+    s = rows.sequence_summaries(FX.telemetry(spark, sf), ["response_time"], 30, 1)
+    return s.withColumn("response_time_mean", F.round("response_time_mean", 6)).withColumn("response_time_slope", F.round("response_time_slope", 6))
+
+
 @register("win_running_best", T_ + """
 , d AS (SELECT CAST("timestamp" AS DATE) AS d, max(request_count) AS v FROM telemetry GROUP BY 1)
 SELECT CAST(d AS VARCHAR) AS day, v, coalesce(v < min(v) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM d""")
