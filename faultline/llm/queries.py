@@ -177,4 +177,16 @@ def op2_repeats(spark, sf_dir):
                     F.size("_rest.spans").cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
+@register("op11_exact_dedup", r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
+                  regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+r AS (SELECT *, row_number() OVER w AS rank, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size
+      FROM d WINDOW w AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id NULLS LAST, rid))
+SELECT doc_id, keep_id, group_size, rank = 1 AS kept, sha256(norm) AS text_sha256 FROM r
+""")
+def op11_exact_dedup(spark, sf_dir):
+    from faultline.llm.exact import exact_dedup
+    return exact_dedup(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "_exact.*")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
