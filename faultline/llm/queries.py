@@ -211,4 +211,61 @@ def op12_hard_negatives(spark, sf_dir):
     return mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
 
 
+def _repair_sql() -> str:
+    none = "{'c': 1000000000, 'a': '', 'o': []::VARCHAR[]}"
+
+    def add(x: str, cost: str, letter: str, line: str | None = None) -> str:
+        out = f"{x}.o" if line is None else f"list_append({x}.o, {line})"
+        return f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 'o': {out}}}"
+
+    def least(*xs: str) -> str:
+        return f"list_min([{', '.join(xs)}])"
+
+    def stays(x: str, initial: str, name: str | None) -> list[str]:
+        kept = f"CASE WHEN left(role, 1) = '{initial}' THEN may ELSE 1000000000 END"
+        return [add(x, kept, "K", "role || ':' || text")] + ([add(x, "3 + may", "R", f"'{name}:' || text")] if name else [])
+
+    closed = f"""SELECT *, {least('s[4]', add('u', '3', 'I', "'assistant:'"))} AS a FROM (
+      SELECT *, {least('s[3]', *[add(f's[{i}]', '3', 'I', "'user:'") for i in (1, 2, 4)])} AS u FROM"""
+    return rf"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM range(256) r(n))),
+h AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce([4294967295] || list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+        lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS h FROM conversations, tab),
+d AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, range(2) c(n) WHERE h <> 0 AND (n = 0 OR h = 3)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM d),
+o AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS late FROM n),
+r AS (SELECT *, CASE WHEN blank OR dup THEN 1000000000 WHEN late THEN 3 ELSE 0 END AS may FROM o),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, [{{'c': 0, 'a': '', 'o': []::VARCHAR[]}}, {none}, {none}, {none}] AS s FROM ids
+  UNION ALL
+  SELECT conv_id, i, [{add('s[1]', '4', 'D')}, {least(add('s[2]', '4', 'D'), *stays('s[1]', 's', None))},
+    {least(add('u', '4', 'D'), *[x for e in ('s[1]', 's[2]', 'a') for x in stays(e, 'u', 'user')])},
+    {least(add('a', '4', 'D'), *stays('u', 'a', 'assistant'))}] AS s
+  FROM ({closed} (SELECT r.conv_id, r.i, r.role, r.text, r.may, dp.s FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1)))),
+last AS (SELECT conv_id, {least('s[1]', 'a')} AS e FROM ({closed} (SELECT * FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)))),
+f AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (dup AND NOT blank) AS duplicate, count(*) FILTER (late AND NOT dup AND NOT blank) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM o GROUP BY conv_id)
+SELECT l.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, e.c::BIGINT AS cost, e.a AS audit, sha256(coalesce(array_to_string(e.o, chr(10)), '')) AS repaired_sha256
+FROM last l LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id
+"""
+
+
+@register("op13_conversation_repair", _repair_sql())
+def op13_conversation_repair(spark, sf_dir):
+    from faultline.llm.conversations import damaged, repair
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
