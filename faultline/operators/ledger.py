@@ -4,10 +4,13 @@ instead of in-place row updates.  Money is DECIMAL(18,2) end to end."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.operators import series
+from faultline.session import reliable_checkpoint, ship_package
 
 MONEY = "decimal(18,2)"
 
@@ -38,32 +41,143 @@ def legs(transfers: DataFrame) -> DataFrame:
     return deb.unionByName(cre)
 
 
+def _posted_legs(done: DataFrame, waiting: DataFrame) -> DataFrame:
+    """Legs in cents: what is settled (``known``), what waiting requests may take
+    and what they may bring."""
+    zero = F.lit(0).cast("long")
+
+    def side(df: DataFrame, account: str, leg: int, amount, settled: bool) -> DataFrame:
+        flow = {"known": amount if settled else zero, "take": zero if settled or leg else amount, "give": amount if leg and not settled else zero}
+        return df.select(F.col(account).alias("account"), "_pos", F.lit(leg).alias("leg"), *[v.alias(k) for k, v in flow.items()])
+
+    out = [side(df, account, leg, amount, df is done) for df in (done, waiting)
+           for account, leg, amount in (("account_from", 0, -(F.col("_cents") + F.col("_fee"))), ("account_to", 1, F.col("_cents")))]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _before(waiting: DataFrame, done: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Waiting requests with the least and the greatest balance that their sender
+    can have just before: all earlier waiting debits taken and none of the credits,
+    and the other way round.  Only accounts with waiting debits are summed."""
+    senders = waiting.select(F.col("account_from").alias("account")).distinct()
+    legs = _posted_legs(done, waiting).join(senders, "account", "left_semi")
+    cum = series.cumulative(legs, "account", ["_pos", "leg"], ["known", "take", "give"])
+    at = cum.where((F.col("leg") == 0) & (F.col("take") < 0))
+    at = at.select(F.col("_pos").alias("_at"), (F.col("cum_known") - F.col("known")).alias("settled"),
+                   (F.col("cum_take") - F.col("take")).alias("least"), F.col("cum_give").alias("most"))
+    opening = accounts.select(F.col("account_id").alias("_acc"), (F.col("opening_balance") * 100).cast("long").alias("_open"))
+    out = waiting.join(at, F.col("_pos") == F.col("_at")).join(opening, F.col("account_from") == F.col("_acc"))
+    known = F.col("_open") + F.col("settled")
+    return out.select(*waiting.columns, known.alias("_known"), (known + F.col("least")).alias("_low"), (known + F.col("most")).alias("_high"))
+
+
+def _keys_before(waiting: DataFrame, done: DataFrame, again: DataFrame) -> DataFrame:
+    """Waiting requests with what is known of earlier ones of their key (only keys
+    that occur ``again`` are looked up): ``_hit`` is true if one went through,
+    null if one still waits."""
+    def least(df: DataFrame, name: str) -> DataFrame:
+        return df.join(again, "_key", "left_semi").groupBy("_key").agg(F.min("_pos").alias(name))
+
+    seen = least(done, "_first").join(least(waiting, "_open_first"), "_key", "full")
+    out = waiting.join(seen, "_key", "left")
+    hit = F.when(F.col("_first") < F.col("_pos"), True).when(F.col("_open_first") < F.col("_pos"), F.lit(None)).otherwise(False)
+    return out.select(*waiting.columns, hit.alias("_hit"))
+
+
+def _replay(batches):
+    """Requests in order, each with the settled part of its sender's balance: what
+    goes through here moves the balances of those after it."""
+    import pyarrow as pa
+
+    moved, through = {}, set()
+    for batch in batches:
+        rows = batch.to_pylist()
+        for r in rows:
+            ok = not r["_hit"] and r["_key"] not in through and r["_known"] + moved.get(r["account_from"], 0) >= r["_cents"]
+            if ok:
+                through.add(r["_key"])
+                moved[r["account_from"]] = moved.get(r["account_from"], 0) - r["_cents"] - r["_fee"]
+                moved[r["account_to"]] = moved.get(r["account_to"], 0) + r["_cents"]
+            r["_moved"] = ok
+        yield pa.RecordBatch.from_pylist([{"_pos": r["_pos"], "_moved": r["_moved"]} for r in rows], schema=pa.schema([("_pos", pa.int64()), ("_moved", pa.bool_())]))
+
+
+def settle_transfers(requests: DataFrame, accounts: DataFrame, key: str = "idempotency_key", order=("created_at", "region", "txn_id"),
+                     replay_rows: int = 200_000) -> DataFrame:
+    """LED-01/02 exactly, in the order of ``order`` (unique): a request whose key
+    has gone through before is an ``idempotent_hit``; others are rejected if an
+    account is unknown, the amount is not positive, or the sender's balance at that
+    moment, after all transfers that did go through, is below the amount.  A key
+    whose request was rejected may try again.
+
+    A rejection changes later balances, so no single prefix sum tells.  Each round
+    sums the balances with all waiting debits taken and no credit, and with all
+    waiting credits and no debit; a request on which both agree is settled.  The
+    earliest waiting request of every account is always among them.  A round that
+    settles less than a tenth, or leaves ``replay_rows`` or fewer, is followed by a
+    replay of the earliest ``replay_rows`` waiting ones in order in one task of that
+    bound, so a chain of dependent transfers takes its length over ``replay_rows``
+    rounds.  Null keys are keys of their own request; a null account is unknown, a
+    null amount not positive."""
+    spark = requests.sparkSession
+    ship_package(spark)
+    place = series.cumulative(requests.withColumn("_one", F.lit(1).cast("long")), None, list(order), ["_one"])
+    base = place.withColumn("_pos", F.col("cum__one")).drop("_one", "cum__one")
+    known = accounts.select("account_id").distinct()
+    base = (base.join(known.select(F.col("account_id").alias("_f")), F.col("account_from") == F.col("_f"), "left")
+            .join(known.select(F.col("account_id").alias("_t")), F.col("account_to") == F.col("_t"), "left"))
+    reason = (F.when(F.col("_f").isNull(), "unknown_account_from").when(F.col("_t").isNull(), "unknown_account_to")
+              .when(~F.coalesce(F.col("amount") > 0, F.lit(False)), "non_positive_amount"))
+    base = fees(base.withColumn("_static", reason).drop("_f", "_t"))
+    base = reliable_checkpoint(base.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\0"), F.col("_pos").cast("string")))))
+    slim = base.where("_static is null").select("_pos", "_key", "account_from", "account_to", (F.col("amount") * 100).cast("long").alias("_cents"),
+                                                (F.col("fee") * 100).cast("long").alias("_fee"))
+    again = reliable_checkpoint(slim.groupBy("_key").count().where("count > 1").select("_key"))
+    waiting, done, left = slim, slim.limit(0), slim.count()
+    while left:
+        funds = _before(_keys_before(waiting, done, again), done, accounts)
+        moved = (F.when(F.col("_hit") | (F.col("_high") < F.col("_cents")), False)
+                 .when((F.col("_hit") == F.lit(False)) & (F.col("_low") >= F.col("_cents")), True))
+        funds = reliable_checkpoint(funds.withColumn("_moved", moved))
+        now = funds.where("_moved is null").count()
+        if now and (now <= replay_rows or left - now < left // 10):
+            # balances as they are after this round, then the earliest in order
+            open_ = funds.where("_moved is null").select(*slim.columns)
+            through = done.unionByName(funds.where("_moved").select(*slim.columns))
+            last = series.kth_values(open_, "_pos", [min(replay_rows, now) - 1])
+            first = open_.where(F.col("_pos") <= max(last.values()))
+            fresh = _before(_keys_before(first, through, again), through, accounts)
+            said = fresh.repartition(1).sortWithinPartitions("_pos").mapInArrow(_replay, "_pos long, _moved boolean")
+            funds = reliable_checkpoint(funds.join(said.withColumnRenamed("_moved", "_said"), "_pos", "left")
+                                        .withColumn("_moved", F.coalesce("_moved", "_said")).drop("_said"))
+            now = max(0, now - replay_rows)
+        done = reliable_checkpoint(done.unionByName(funds.where("_moved").select(*slim.columns)))
+        waiting, left = funds.where("_moved is null").select(*slim.columns), now
+    # what went through is known: one more sum gives every request's balance
+    legs = _posted_legs(done, slim.join(done, "_pos", "left_anti")).withColumn("ask", F.when(F.col("leg") == 0, 1)).drop("take", "give")
+    cum = series.cumulative(legs, "account", ["_pos", "leg"], ["known"]).where("ask = 1")
+    opening = accounts.select(F.col("account_id").alias("_acc"), "opening_balance")
+    at = cum.join(opening, F.col("account") == F.col("_acc")).select(
+        F.col("_pos"), (F.col("opening_balance") + ((F.col("cum_known") - F.col("known")) / F.lit(100).cast("decimal(3,0)")).cast(MONEY)).cast(MONEY).alias("balance_before"))
+    txn = base.select("_pos", F.col("txn_id").alias("ledger_txn_id"))
+    first = done.join(txn, "_pos").select("_key", F.col("_pos").alias("_done_pos"), "ledger_txn_id")
+    out = base.join(at, "_pos", "left").join(first, "_key", "left")
+    earlier = F.coalesce(F.col("_done_pos") < F.col("_pos"), F.lit(False))
+    mine = F.coalesce(F.col("_done_pos") == F.col("_pos"), F.lit(False))
+    out = out.withColumn("action", F.when(mine, "processed").when(earlier, "idempotent_hit").otherwise("rejected"))
+    return (out.withColumn("reason", F.when(F.col("action") == "rejected", F.coalesce("_static", F.lit("insufficient_funds"))))
+            .withColumn("ledger_txn_id", F.when(mine | earlier, F.col("ledger_txn_id")))
+            .drop("_pos", "_key", "_static", "_done_pos"))
+
+
 def validate_transfers(posted: DataFrame, accounts: DataFrame) -> DataFrame:
-    """LED-02: processed requests are rejected when an account is unknown,
-    the amount is not positive, or the sender's balance before the transfer
-    is below the amount.  The balance check uses the opening balance plus all
-    earlier legs of valid transfers (documented approximation: it does not feed
-    rejections back into later balances, which would make the check sequential)."""
-    acc = accounts.select("account_id")
-    p = posted.filter(F.col("action") == "processed")
-    p = (p.join(acc.withColumnRenamed("account_id", "account_from").withColumn("_f", F.lit(1)), "account_from", "left")
-          .join(acc.withColumnRenamed("account_id", "account_to").withColumn("_t", F.lit(1)), "account_to", "left"))
-    reason = (F.when(F.col("_f").isNull(), "unknown_account_from")
-              .when(F.col("_t").isNull(), "unknown_account_to")
-              .when(F.col("amount") <= 0, "non_positive_amount"))
-    p = fees(p.withColumn("reason", reason).drop("_f", "_t"))
-    valid = p.filter(F.col("reason").isNull())
-    lg = legs(valid)
-    # running balance before each leg (per account, by time then txn id)
-    # (distributed prefix sums: a hot account never lands in a single task)
-    cum = series.cumulative(lg, "account_id", ["created_at", "ledger_txn_id", "delta"], ["delta"])
-    lg = cum.join(accounts, "account_id").withColumn(
-        "balance_before", (F.col("opening_balance") + F.col("cum_delta") - F.col("delta")).cast(MONEY))
-    debit_bal = lg.filter(F.col("delta") < 0).select("ledger_txn_id", "balance_before")
-    out = p.join(debit_bal, "ledger_txn_id", "left")
-    final = F.coalesce(F.col("reason"), F.when(F.col("balance_before") < F.col("amount"), "insufficient_funds"))
-    return out.withColumn("reason", final).withColumn(
-        "status", F.when(F.col("reason").isNull(), "completed").otherwise("rejected"))
+    """LED-02 on the first request of each key (``action`` of :func:`post_transfers`):
+    rejected when an account is unknown, the amount is not positive, or the sender's
+    balance just before, after all transfers that went through, is below the amount."""
+    first = posted.filter(F.col("action") == "processed").drop("action", "ledger_txn_id")
+    out = settle_transfers(first, accounts, key="txn_id")
+    return out.withColumn("ledger_txn_id", F.col("txn_id")).withColumn(
+        "status", F.when(F.col("action") == "processed", "completed").otherwise("rejected"))
 
 
 def balances(accounts: DataFrame, completed: DataFrame) -> DataFrame:
