@@ -1,18 +1,12 @@
-"""Order-dependent state machines (DEC-11, DEC-12, DEC-14, DEC-16).
+"""Order-dependent state machines (DEC-11, DEC-14, DEC-16).
 
 The route engine, circuit breaker and canary are tables of rules over a few modes
 (``faultline.operators.machines`` runs them exactly over sequences of any length).
-The self-healing replay shares one numeric risk map between all APIs, so its state
-is not finite; it runs on the (minute, API) grid, whose size follows the time
-span, in chunks whose entry states are corrected until none changes.
+The self-healing replay is in ``faultline.operators.healing``.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,97 +151,3 @@ def canary(df: DataFrame, backend: str = "backend", ts: str = "ts_s", healthy: s
         share = 1.0 if after is None else float(steps[after - 1]) if after else 0.0
         return "primary" if after is None else "backup", after or 0, share, event
     return machines.run(canary_machine(steps), d, backend, order, ts, "_symbol", outputs, CANARY_OUT, chunk_rows).drop("_symbol")
-
-
-# --- DEC-12 self-healing replay --------------------------------------------------------------
-HEAL_OUT = ("action string, route_state string, active string, phase string, root_cause string, "
-            "remedy_action string")
-REMEDY = {name: (action, ticks, cut) for name, action, ticks, cut in C.REMEDIES}
-#: action by (label, traffic on the API's own route); others retry or pass.
-HEAL_ACTION = {("REROUTED", False): "switch", ("PREWARM", True): "prewarm", ("PREWARM", False): "prewarm",
-               ("SYSTEMIC", True): "hold", ("SYSTEMIC", False): "hold"}
-
-
-class Healer:
-    """The self-healing loop as data: a risk and a route mode per API, the running
-    remedies (ticks left, risk cut per tick) and the APIs that await a restore."""
-
-    def __init__(self, apis, hi: float, lo: float):
-        self.apis, self.hi, self.lo = list(apis), hi, lo
-        self.engine = {a: route_machine(self.apis, a, C.ROUTE_COOLDOWN) for a in self.apis}
-
-    def start(self, rates: dict) -> dict:
-        return {"risk": {a: float(rates.get(a, 0.10)) for a in self.apis}, "mode": {a: self.engine[a].start[0] for a in self.apis},
-                "remedy": {}, "away": []}
-
-    def symbol(self, risk: dict, api: str) -> str:
-        """The classes of ``route_symbol`` for a plain dictionary."""
-        level = [2 if risk[a] >= self.hi else 1 if risk[a] >= self.lo else 0 for a in self.apis]
-        order = sorted((i for i, x in enumerate(level) if x < 2), key=lambda i: risk[self.apis[i]])
-        best = [next((str(i) for i in order if i != k), "-") for k in range(len(self.apis))]
-        return ",".join([str(int(min(level) == 2)), str(int(risk[api] < self.lo)), *map(str, level), *best])
-
-    def tick(self, s: dict, api: str, p: float, category: str) -> tuple[dict, tuple]:
-        risk = s["risk"] | {api: float(p)}
-        risk |= {a: max(0.0, risk[a] - cut) for a, (_, cut) in s["remedy"].items()}
-        remedy = {a: [n - 1, cut] for a, (n, cut) in s["remedy"].items() if n > 1}
-        engine, away = self.engine[api], s["away"]
-        mode = engine.move(s["mode"][api], self.symbol(risk, api))[0]
-        active, label, _ = engine.modes[mode]
-        action, phase, cause, fix = HEAL_ACTION.get((label, active == api)), None, None, None
-        if action == "switch" and api not in remedy:
-            cause = category if category in REMEDY else "intermittent"
-            fix, ticks, cut = REMEDY[cause]
-            remedy[api], phase = [ticks, cut], "reroute+diagnose+fix"
-            away = away if api in away else sorted([*away, api])
-        elif (label, active) == ("NORMAL", api) and api in away:
-            action = phase = "restore"
-            away = [a for a in away if a != api]
-        state = {"risk": risk, "mode": s["mode"] | {api: mode}, "remedy": remedy, "away": away}
-        return state, (action or ("retry" if p > self.lo else "normal"), label, active, phase, cause, fix)
-
-
-def _corrected(idx: DataFrame, key: str, start: dict, step: Callable, names: list[str], schema: str) -> DataFrame:
-    """Replay of chunks from assumed entries, corrected until every chunk's entry
-    is its predecessor's exit; then one pass that gives the rows."""
-    def runner(entry: dict, rows: bool):
-        def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_i")
-            chunk = int(pdf["_chunk"].iloc[0])
-            state, out = json.loads(entry[chunk]) if chunk in entry else start, []
-            for row in pdf.to_dict("records"):
-                state, o = step(state, row)
-                out.append((row[key], row["_i"], *o))
-            return pd.DataFrame(out, columns=[key, "_i", *names]) if rows else pd.DataFrame([(chunk, json.dumps(state, sort_keys=True))], columns=["chunk", "exit"])
-        return fn
-
-    def exits(part: DataFrame, entry: dict) -> dict:
-        return dict(map(tuple, part.groupBy("_chunk").applyInPandas(runner(entry, False), "chunk long, exit string").collect()))
-
-    known, entry = exits(idx, {}), {}
-    while wrong := {c: known[c - 1] for c in known if c and entry.get(c) != known[c - 1]}:
-        entry |= wrong
-        known |= exits(idx.where(F.col("_chunk").isin(list(wrong))), entry)
-    return idx.groupBy("_chunk").applyInPandas(runner(entry, True), f"`{key}` string, _i long, {schema}")
-
-
-def self_heal(ticks: DataFrame, rates: dict, order=("ts_bucket", "api_name"), chunk_rows: int = 50_000) -> DataFrame:
-    """DEC-12 over scored ticks (ts_bucket, api_name, p, category) in one global
-    order, as all APIs share the risk map.  One chunk's state a chunk of grid
-    rows reaches the driver: the grid is bounded by minutes x APIs."""
-    healer = Healer(C.ALL_APIS, C.HIGH_RISK, C.LOW_RISK)
-    idx = series.with_row_index(ticks.withColumn("_stream", F.lit("all")), key="_stream", order=order, idx_col="_i")
-    idx = idx.withColumn("_chunk", F.floor(F.col("_i") / chunk_rows).cast("long"))
-    out = _corrected(idx, "_stream", healer.start(rates), lambda s, r: healer.tick(s, r["api_name"], float(r["p"]), r["category"]),
-                     [x.split()[0] for x in HEAL_OUT.split(", ")], HEAL_OUT)
-    return idx.drop("_chunk").join(out, ["_stream", "_i"]).drop("_stream", "_i")
-
-
-def heal_summary(events: DataFrame) -> DataFrame:
-    """DEC-13: counts by action, by root cause and by remedy (long form)."""
-    a = events.groupBy(F.lit("action").alias("dimension"), F.col("action").alias("value")).count()
-    c = (events.filter(F.col("phase") == "reroute+diagnose+fix")
-         .groupBy(F.lit("root_cause").alias("dimension"), F.col("root_cause").alias("value")).count())
-    r = (events.filter(F.col("phase") == "reroute+diagnose+fix")
-         .groupBy(F.lit("remedy").alias("dimension"), F.col("remedy_action").alias("value")).count())
-    return a.unionByName(c).unionByName(r)

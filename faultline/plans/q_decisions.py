@@ -355,18 +355,70 @@ def _heal_ticks(spark, sf):
     dg = decide.diagnose(feature_table(spark, sf)).select("event_id", F.col("diagnosis.category").alias("category"))
     j = s.join(dg, "event_id")
     return (j.groupBy(F.date_trunc("minute", "timestamp").alias("ts_bucket"), "api_name")
-            .agg(F.max("p").alias("p"), F.max_by("category", "p").alias("category")))
+            .agg(F.max("p").alias("p"), F.max_by("category", F.struct("p", "event_id")).alias("category")))
 
 
-@register("dec_self_heal_replay")
-def q_self_heal(spark, sf):
-    from faultline.operators import stateful
+def _heal_sql() -> str:
+    """The loop tick by tick; lists hold a value per API."""
+    each = list(range(1, len(C.ALL_APIS) + 1))
+    names = "[" + ", ".join(f"'{a}'" for a in C.ALL_APIS) + "]"
+    hi, lo = C.HIGH_RISK, C.LOW_RISK
+
+    def put(cells: str, value: str, when: str = "true") -> str:
+        return f"list_transform({each}, lambda j: CASE WHEN j = x AND {when} THEN {value} ELSE {cells}[j] END)"
+
+    cause = "CASE WHEN category IN (" + ", ".join(f"'{r[0]}'" for r in C.REMEDIES) + ") THEN category ELSE 'intermittent' END"
+    remedy = lambda k: "CASE cause " + " ".join(f"WHEN '{r[0]}' THEN " + (f"'{r[k]}'" if isinstance(r[k], str) else repr(r[k])) for r in C.REMEDIES) + " END"
+    return S + f""",
+dg AS (SELECT event_id, {Q.diagnose_case()} AS category FROM full_feat),
+hm AS (SELECT date_trunc('minute', "timestamp") AS ts_bucket, api_name, max(p) AS p, first(category ORDER BY p DESC, event_id DESC) AS category
+       FROM scored JOIN dg USING (event_id) WHERE horizon = 1 GROUP BY ALL),
+hl AS MATERIALIZED (SELECT *, list_position({names}, api_name) AS x, row_number() OVER (ORDER BY ts_bucket, api_name) AS i FROM hm),
+hr AS (SELECT api_name, 1.0 - avg(coalesce(success, 1)) AS rate FROM telemetry GROUP BY 1),
+r(i, ts_bucket, api_name, p, category, risk, act, lab, cool, fix, cut, away, action, route_state, active, phase, root_cause, remedy_action) AS (
+  SELECT 0::BIGINT, NULL::TIMESTAMP, ''::VARCHAR, 0.0::DOUBLE, ''::VARCHAR,
+    (SELECT list(coalesce(rate, 0.10)::DOUBLE ORDER BY n.i) FROM (SELECT unnest({names}) AS a, unnest({each}) AS i) n LEFT JOIN hr ON api_name = a),
+    {each}::INTEGER[], {["NORMAL"] * len(each)}::VARCHAR[], {[0] * len(each)}::INTEGER[], {[0] * len(each)}::INTEGER[], {[0.0] * len(each)}::DOUBLE[],
+    [{", ".join(["false"] * len(each))}], ''::VARCHAR, ''::VARCHAR, ''::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR
+  UNION ALL
+  SELECT i, ts_bucket, api_name, p, category, risk, {put("act", "to_")}, {put("lab", "label")}, {put("cool", "count")}, {put("fix", remedy(2), "mend")},
+    {put("cut", remedy(3), "mend")}, {put("away", "mend", "(mend OR back)")},
+    CASE WHEN switch THEN 'switch' WHEN label = 'PREWARM' THEN 'prewarm' WHEN label = 'SYSTEMIC' THEN 'hold' WHEN back THEN 'restore'
+         WHEN p > {lo} THEN 'retry' ELSE 'normal' END, label, {names}[to_], CASE WHEN mend THEN 'reroute+diagnose+fix' WHEN back THEN 'restore' END,
+    CASE WHEN mend THEN cause END, CASE WHEN mend THEN {remedy(1)} END
+  FROM (SELECT *, switch AND fix[x] = 0 AS mend, NOT switch AND label = 'NORMAL' AND to_ = x AND away[x] AS back
+  FROM (SELECT *, label = 'REROUTED' AND to_ <> x AS switch, {cause} AS cause
+  FROM (SELECT *, CASE WHEN did IN ('reroute', 'rehop') THEN target WHEN did = 'failback' THEN x ELSE act[x] END::INTEGER AS to_,
+      CASE did WHEN 'hold' THEN 'SYSTEMIC' WHEN 'reroute' THEN 'REROUTED' WHEN 'prewarm' THEN 'PREWARM' WHEN 'serve' THEN 'NORMAL'
+               WHEN 'failback' THEN 'NORMAL' ELSE lab[x] END AS label,
+      CASE WHEN did IN ('reroute', 'rehop', 'backup') THEN {C.ROUTE_COOLDOWN} WHEN did = 'less' THEN cool[x] - 1 WHEN did = 'failback' THEN 0 ELSE cool[x] END AS count
+  FROM (SELECT *, CASE WHEN list_min(risk) >= {hi} THEN 'hold' WHEN risk[act[x]] >= {hi} THEN CASE WHEN target IS NULL THEN 'hold' WHEN act[x] = x THEN 'reroute' ELSE 'rehop' END
+      WHEN act[x] = x THEN CASE WHEN risk[x] >= {lo} THEN 'prewarm' ELSE 'serve' END
+      WHEN risk[x] >= {lo} THEN 'backup' WHEN cool[x] <= 1 THEN 'failback' ELSE 'less' END AS did
+  FROM (SELECT * REPLACE (list_transform(fix, lambda t: greatest(t - 1, 0)) AS fix),
+      list_min(list_transform(list_filter({each}, lambda j: j <> act[x] AND risk[j] < {hi}), lambda j: {{'v': risk[j], 'j': j}})).j AS target
+  FROM (SELECT l.i, l.ts_bucket, l.api_name, l.p, l.category, l.x, act, lab, cool, fix, cut, away,
+      list_transform({each}, lambda j: CASE WHEN fix[j] > 0 THEN greatest(0.0, CASE WHEN j = l.x THEN l.p ELSE risk[j] END - cut[j])
+                                            WHEN j = l.x THEN l.p ELSE risk[j] END) AS risk
+  FROM r JOIN hl l ON l.i = r.i + 1)))))))"""
+
+
+def _healed(spark, sf, chunk_rows=2000):
+    from faultline.operators import healing
     rates = {r["api_name"]: r["failure_rate"] for r in policy.measured_rates(FX.telemetry(spark, sf)).collect()}
-    return stateful.self_heal(_heal_ticks(spark, sf), rates, chunk_rows=2000)
+    return healing.self_heal(_heal_ticks(spark, sf), rates, chunk_rows=chunk_rows)
+
+
+@register("dec_self_heal_replay", _heal_sql() + """
+SELECT ts_bucket, api_name, p, category, action, route_state, active, phase, root_cause, remedy_action FROM r WHERE i > 0""")
+def q_self_heal(spark, sf):
+    return _healed(spark, sf)
 
 
-@register("dec_heal_summary")
+@register("dec_heal_summary", _heal_sql() + """
+SELECT 'action' AS dimension, action AS value, count(*) AS count FROM r WHERE i > 0 GROUP BY 2
+UNION ALL SELECT 'root_cause', root_cause, count(*) FROM r WHERE i > 0 AND phase = 'reroute+diagnose+fix' GROUP BY 2
+UNION ALL SELECT 'remedy', remedy_action, count(*) FROM r WHERE i > 0 AND phase = 'reroute+diagnose+fix' GROUP BY 2""")
 def q_heal_summary(spark, sf):
-    from faultline.operators import stateful
-    rates = {r["api_name"]: r["failure_rate"] for r in policy.measured_rates(FX.telemetry(spark, sf)).collect()}
-    return stateful.heal_summary(stateful.self_heal(_heal_ticks(spark, sf), rates, chunk_rows=2000))
+    from faultline.operators import healing
+    return healing.heal_summary(_healed(spark, sf))
