@@ -297,3 +297,18 @@ SCORE_EVERY = 10
 ROUTE_HI, ROUTE_LO, ROUTE_COOLDOWN = 0.55, 0.35, 3
 
 EPS = 1e-6
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — online collector: API flags (high frequency, complexity),
+# holidays as (month, day), health windows
+# ---------------------------------------------------------------------------
+ONLINE_FLAGS = {
+    "transaction_api": (0.0, 0.8),
+    "stock_price_api": (1.0, 0.5),
+    "crypto_api": (1.0, 0.6),
+    "forex_api": (1.0, 0.5),
+    "market_data_api": (0.5, 0.6),
+}
+ONLINE_HOLIDAYS = [(1, 1), (1, 19), (2, 16), (5, 25), (6, 19), (7, 4), (9, 7), (11, 26), (12, 25)]
+ONLINE_MIN_RECORDS = 30
+HEALTH_WINDOWS = (50, 100, 200)

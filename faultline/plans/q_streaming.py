@@ -107,6 +107,59 @@ def q_online(spark, sf):
     return spark.read.parquet(out).select(*ONLINE_COLS)
 
 
+def _reordered_sql(hours: int) -> str:
+    """All online columns by windows over the sorted log, up to the last watermark."""
+    flags = lambda k: "CASE api_name " + " ".join(f"WHEN '{a}' THEN {v[k]!r}" for a, v in C.ONLINE_FLAGS.items()) + " END::DOUBLE"
+    ema = lambda xs, span: f"list_reduce({xs}, lambda a, x: {2 / (span + 1)!r} * x + {1 - 2 / (span + 1)!r} * a)"
+    base = "CASE WHEN rt_mean > 0 THEN rt_mean ELSE 0.3 END"
+    days = ", ".join(f"{100 * m + d}" for m, d in C.ONLINE_HOLIDAYS)
+    f = {
+        "response_time": "rt", "request_count": "n_seen", "hour": "h", "day_of_week": "d", "is_market_hours": "h >= 9 AND h < 17",
+        "is_financial_peak": "h IN (9, 14)", "is_weekend": "d >= 5", "is_holiday": f"100 * month(t) + day(t) IN ({days})", "response_time_rolling_mean": "rt_mean",
+        "response_time_rolling_std": "rt_std", "error_rate_rolling": "er", "response_time_variance": "rt_std * rt_std", "error_volatility": "ev",
+        "response_time_lag_1": "lag1", "response_time_lag_5": "lag5", "error_rate_lag_1": "e1", "response_time_ema_10": ema("sl", 10),
+        "response_time_ema_30": ema("sl", 30), "error_rate_ema_10": ema("el", 10), "hour_sin": "sin(2 * pi() * h / 24)", "hour_cos": "cos(2 * pi() * h / 24)",
+        "dow_sin": "sin(2 * pi() * d / 7)", "dow_cos": "cos(2 * pi() * d / 7)", "high_frequency_api": flags(0), "api_complexity": flags(1),
+        "error_rate_boost": "greatest(0.0, er - 0.05)", "rt_multiplier": f"rt / {base}", "latency_diff_1": "rt - lag1", "latency_diff_5": "rt - lag5",
+        "error_rate_diff_1": "e1 - e2", "error_rate_diff_5": "CASE WHEN e6 = 0 THEN e1 ELSE 0 END", "latency_spike": "rt_std > 0 AND rt > rt_mean + 2 * rt_std",
+        "error_burst": "er > 0.5", "instability_index": f"least(1.0, rt_std / ({base}) + ev)", "latency_slope": "lat_slope", "error_slope": "err_slope",
+        "traffic_change": "((m - greatest(1, m // 2)) - greatest(1, m // 2)) / greatest(1, m // 2)", "burst_ratio": "(m - greatest(1, m // 2)) / greatest(1, m // 2)"}
+    cols = ", ".join(f"CASE WHEN n_seen >= {C.ONLINE_MIN_RECORDS} THEN ({f.get(c, '0')})::DOUBLE END AS {c}" for c in C.FEATURE_COLS)
+    health = ", ".join(f"avg_rt_{n}, p95_{n}[CAST(floor(len(p95_{n}) * 0.95::DOUBLE) AS INT) + 1] AS p95_rt_{n}, error_rate_{n}, "
+                       f"CASE WHEN error_rate_{n} > 0.3 THEN 'unhealthy' ELSE 'healthy' END AS status_{n}" for n in C.HEALTH_WINDOWS)
+    over = ", ".join(f"fsum(rt) OVER f{n} / count(*) OVER f{n} AS avg_rt_{n}, list_sort(list(rt) OVER f{n}) AS p95_{n}, avg(err) OVER f{n} AS error_rate_{n}" for n in C.HEALTH_WINDOWS)
+    frames = ", ".join(f"f{n} AS (PARTITION BY api_name ORDER BY t, event_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in C.HEALTH_WINDOWS)
+    return T_ + f""", s AS (
+  SELECT event_id, api_name, "timestamp" AS t, response_time AS rt, CAST(1 - success AS DOUBLE) AS err, CAST(hour("timestamp") AS DOUBLE) AS h,
+         CAST(isodow("timestamp") - 1 AS DOUBLE) AS d, row_number() OVER (PARTITION BY api_name ORDER BY "timestamp", event_id) AS n_seen FROM telemetry),
+w AS (
+  SELECT *, list(rt) OVER f AS sl, list(err) OVER f AS el, count(*) OVER f AS m, list(rt) OVER u AS hist, list(err) OVER u AS ehist,
+    avg(rt) OVER f AS rt_mean, coalesce(stddev_pop(rt) OVER f, 0) AS rt_std, avg(err) OVER f AS er, coalesce(stddev_pop(err) OVER f, 0) AS ev,
+    coalesce(lag(rt, 1) OVER o, rt) AS lag1, coalesce(lag(rt, 5) OVER o, rt) AS lag5, coalesce(lag(err, 1) OVER o, err) AS e1,
+    coalesce(lag(err, 2) OVER o, 0) AS e2, lag(err, 6) OVER o AS e6, regr_slope(rt, CAST(n_seen AS DOUBLE)) OVER f AS lat_slope,
+    regr_slope(err, CAST(n_seen AS DOUBLE)) OVER f AS err_slope, {over}
+  FROM s WINDOW o AS (PARTITION BY api_name ORDER BY t, event_id), u AS (PARTITION BY api_name ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    f AS (PARTITION BY api_name ORDER BY t, event_id ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), {frames})
+SELECT event_id, api_name, t AS "timestamp", n_seen, {cols}, {ema("[0.0::DOUBLE] || hist", 10)} AS ema10_running, {ema("[0.0::DOUBLE] || hist", 30)} AS ema30_running,
+  {ema("[0.0::DOUBLE] || ehist", 10)} AS err_ema10_running, {health}
+FROM w WHERE epoch_ms(t) < (SELECT max(epoch_ms("timestamp")) FROM telemetry) - {hours * 3_600_000}"""
+
+
+@register("str_online_reordered", _reordered_sql(6))
+def q_online_reordered(spark, sf):
+    """Requests arrive up to five hours late, over several micro-batches; the
+    watermark waits six."""
+    from faultline.session import scratch_dir
+    from faultline.streaming import online
+    t = FX.telemetry(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    path = scratch_dir(spark, "late_log")
+    late = F.pmod(F.xxhash64("event_id"), F.lit(5 * 3600))
+    ops.write_in_order(t.withColumn("_at", F.unix_seconds("timestamp") + late), path, "_at", 6)
+    with online.rocksdb(spark):
+        out, _ = ops.run_to_table(online.online_features(ops.read_request_stream(spark, path), "6 hours"), "reordered")
+    return spark.read.parquet(out).drop("batch_id").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
 @register("str_route_stream")
 def q_route_stream(spark, sf):
     from faultline.plans.q_decisions import _route_input

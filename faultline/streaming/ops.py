@@ -33,23 +33,27 @@ REQUEST_SCHEMA = T.StructType([
 ])
 
 
+def write_in_order(df: DataFrame, path: str, order: str, n_files: int) -> None:
+    """``df`` without ``order`` as JSON files, a slice of ``order`` each, written one
+    after another, as the file source reads files by age.  One range-partitioned pass
+    cuts the slices; each is then read from its own file alone."""
+    spark, stage = df.sparkSession, scratch_dir(df.sparkSession, "slices")
+    cut = df.repartitionByRange(n_files, order).withColumn("_slice", F.spark_partition_id())
+    cut.sortWithinPartitions(order).write.partitionBy("_slice").parquet(stage)
+    for (k,) in sorted(cut_ids(spark, stage)):
+        (spark.read.schema(df.schema).parquet(f"{stage}/_slice={k}").drop(order)
+         .write.mode("append").option("timestampFormat", TS_FORMAT).json(path))
+
+
+def cut_ids(spark: SparkSession, stage: str) -> list:
+    return spark.read.parquet(stage).select("_slice").distinct().collect()
+
+
 def write_request_log(df: DataFrame, n_files: int = 8, ts: str = "timestamp") -> str:
-    """Materialise a request log as time-ordered JSON files — the stream's
-    input folder.  Slices are written one after another so file order (the
-    file source's order) follows event time."""
+    """Materialise a request log as JSON files in event-time order: the stream's input folder."""
     path = scratch_dir(df.sparkSession, "request_log")
     d = df.withColumn(ts, F.col(ts).cast("timestamp"))
-    qs = d.select(F.percentile_approx(F.unix_micros(F.col(ts)), [i / n_files for i in range(1, n_files)],
-                                      10000)).first()[0]
-    bounds = [None] + list(qs) + [None]
-    for i in range(n_files):
-        lo, hi = bounds[i], bounds[i + 1]
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.unix_micros(F.col(ts)) > F.lit(lo))
-        if hi is not None:
-            cond = cond & (F.unix_micros(F.col(ts)) <= F.lit(hi))
-        d.filter(cond).coalesce(1).write.mode("append").option("timestampFormat", TS_FORMAT).json(path)
+    write_in_order(d.withColumn("_at", F.unix_micros(ts)), path, "_at", n_files)
     return path
 
 
