@@ -284,12 +284,15 @@ r(api_name, i, ts_bucket, a, state, cool, target, action) AS (
          CASE WHEN act IN ('reroute', 'rehop', 'hold_backup') THEN 3 WHEN act = 'cooldown' THEN cool - 1 ELSE cool END, tgt, act
   FROM (SELECT l.api_name, l.i, l.ts_bucket, r.a, r.state, r.cool, {tg} AS tgt, {action} AS act
         FROM r JOIN ln l ON l.api_name = r.api_name AND l.i = r.i + 1))
-SELECT api_name, ts_bucket, 'region-' || a AS active, state, action LIKE 'hold_alert%' AS alert,
-       CASE WHEN action = 'prewarm' THEN 'region-' || target END AS prewarm, action
-FROM r WHERE i > 0"""
+"""
+
+
+def route_sql_as(columns: str) -> str:
+    return _route_sql() + f"SELECT {columns}\nFROM r WHERE i > 0"
 
 
-@register("dec_route_replay", _route_sql())
+@register("dec_route_replay", route_sql_as("""api_name, ts_bucket, 'region-' || a AS active, state, action LIKE 'hold_alert%' AS alert,
+       CASE WHEN action = 'prewarm' THEN 'region-' || target END AS prewarm, action"""))
 def q_route(spark, sf):
     from faultline.operators import stateful
     return stateful.route(_route_input(spark, sf), "api_name", "ts_bucket", "risks",

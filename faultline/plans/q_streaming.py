@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline import constants as C
-from faultline.plans.catalog import register
+from faultline.plans import q_decisions as D
+from faultline.plans.catalog import ORACLES, register
+from faultline.session import scratch_dir
 from faultline.sources import fixtures as FX
 from faultline.streaming import ops
 
@@ -145,47 +147,99 @@ SELECT event_id, api_name, t AS "timestamp", n_seen, {cols}, {ema("[0.0::DOUBLE]
 FROM w WHERE epoch_ms(t) < (SELECT max(epoch_ms("timestamp")) FROM telemetry) - {hours * 3_600_000}"""
 
 
+def _late_log(t, hours: int = 5, n_files: int = 6) -> str:
+    """The rows as files in order of arrival, each up to ``hours`` after its time."""
+    path = scratch_dir(t.sparkSession, "late_log")
+    t = t.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    late = F.pmod(F.xxhash64("event_id"), F.lit(hours * 3600))
+    ops.write_in_order(t.withColumn("_at", F.unix_seconds("timestamp") + late), path, "_at", n_files)
+    return path
+
+
 @register("str_online_reordered", _reordered_sql(6))
 def q_online_reordered(spark, sf):
     """Requests arrive up to five hours late, over several micro-batches; the
     watermark waits six."""
-    from faultline.session import scratch_dir
-    from faultline.streaming import online
-    t = FX.telemetry(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    path = scratch_dir(spark, "late_log")
-    late = F.pmod(F.xxhash64("event_id"), F.lit(5 * 3600))
-    ops.write_in_order(t.withColumn("_at", F.unix_seconds("timestamp") + late), path, "_at", 6)
-    with online.rocksdb(spark):
+    from faultline.streaming import online, ordered
+    path = _late_log(FX.telemetry(spark, sf))
+    with ordered.rocksdb(spark):
         out, _ = ops.run_to_table(online.online_features(ops.read_request_stream(spark, path), "6 hours"), "reordered")
     return spark.read.parquet(out).drop("batch_id").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
-@register("str_route_stream")
+BEHIND = '(SELECT max(epoch_ms("timestamp")) FROM telemetry) - 6 * 3600000'
+
+
+def _controls(spark, sf, start, columns: str):
+    """A control over the request log, which arrives up to five hours late."""
+    from faultline.streaming import ordered
+    t = FX.telemetry(spark, sf).select("event_id", "timestamp", (F.col("user_id") % 3).cast("string").alias("backend"), (F.col("success") == 1).alias("ok"))
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("timestamp", T.TimestampType()),
+                           T.StructField("backend", T.StringType()), T.StructField("ok", T.BooleanType())])
+    with ordered.rocksdb(spark):
+        out, _ = ops.run_to_table(start(ops.read_request_stream(spark, _late_log(t), schema), delay="6 hours"), "controls")
+    return spark.read.parquet(out).withColumn("ts_s", F.col("ts_us") / F.lit(1e6)).selectExpr(*columns.split(", "))
+
+
+@register("str_breaker_stream", ORACLES["dec_circuit_breaker"] + f" AND ts_s * 1000 < {BEHIND}")
+def q_breaker_stream(spark, sf):
+    from faultline.streaming import controls
+    return _controls(spark, sf, controls.stream_breaker, "event_id, backend, ts_s, ok, state_before, allowed, state_after, event")
+
+
+@register("str_canary_stream", ORACLES["dec_canary"] + f" AND ts_s * 1000 < {BEHIND}")
+def q_canary_stream(spark, sf):
+    from faultline.streaming import controls
+    return _controls(spark, sf, controls.stream_canary, "event_id, backend, ts_s, ok AS healthy, route, canary_stage, primary_fraction, event")
+
+
+TICK_S = 3600
+
+
+@register("str_decay_stream", "WITH RECURSIVE " + FX.telemetry_sql() + f""",
+fx AS MATERIALIZED (SELECT event_id, api_name, epoch_us("timestamp") AS us, [{", ".join(f"'{r[0]}'" for r in C.REMEDIES)}, 'other'][1 + event_id % {len(C.REMEDIES) + 1}] AS category,
+       least(1.0, response_time / 500) AS risk FROM telemetry WHERE success = 0),
+rm(category, action, n, cut) AS (VALUES {", ".join(f"('{r[0]}', '{r[1]}', {r[2]}, {r[3]!r}::DOUBLE)" for r in C.REMEDIES)}),
+ln AS MATERIALIZED (SELECT fx.* EXCLUDE (category), rm.action, rm.n, rm.cut FROM fx JOIN rm ON rm.category = CASE WHEN fx.category = 'other' THEN 'intermittent' ELSE fx.category END),
+r(api_name, us, event_id, risk, action, n, cut) AS (
+  SELECT * FROM (SELECT api_name, us, event_id, risk, action, n, cut FROM ln QUALIFY row_number() OVER (PARTITION BY api_name ORDER BY us, event_id) = 1)
+  UNION ALL
+  SELECT * FROM (SELECT l.api_name, l.us, l.event_id, l.risk, l.action, l.n, l.cut FROM r JOIN ln l ON l.api_name = r.api_name AND l.us >= r.us + r.n * {TICK_S * 10**6}
+                 QUALIFY row_number() OVER (PARTITION BY l.api_name ORDER BY l.us, l.event_id) = 1))
+SELECT api_name, event_id, make_timestamp(us + k * {TICK_S * 10**6}) AS tick, action AS remedy_action, k AS ticks, greatest(0.0, risk - k * cut) AS risk_after, k >= n AS fix_complete
+FROM r, range(1, 9) t(k) WHERE k <= n AND us + k * {TICK_S * 10**6} < 1000 * ((SELECT max(us) // 1000 FROM fx) - 6 * 3600000)""")
+def q_decay_stream(spark, sf):
+    from faultline.streaming import controls, ordered
+    names = F.array(*[F.lit(r[0]) for r in C.REMEDIES], F.lit("other"))
+    t = FX.telemetry(spark, sf).where("success = 0").select(
+        "event_id", "timestamp", "api_name", F.element_at(names, (F.col("event_id") % (len(C.REMEDIES) + 1) + 1).cast("int")).alias("category"),
+        F.least(F.lit(1.0), F.col("response_time") / 500).alias("risk"))
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("timestamp", T.TimestampType()), T.StructField("api_name", T.StringType()),
+                           T.StructField("category", T.StringType()), T.StructField("risk", T.DoubleType())])
+    with ordered.rocksdb(spark):
+        out, _ = ops.run_to_table(controls.stream_decay(ops.read_request_stream(spark, _late_log(t), schema), TICK_S, "6 hours"), "decay")
+    return spark.read.parquet(out).select("api_name", "event_id", F.timestamp_micros("tick_us").cast("timestamp_ntz").alias("tick"),
+                                          "remedy_action", "ticks", "risk_after", "fix_complete")
+
+
+@register("str_route_stream", D.route_sql_as("api_name, ts_bucket AS tick, 'region-' || a AS active, state, action LIKE 'hold_alert%' AS alert, action"))
 def q_route_stream(spark, sf):
     from faultline.plans.q_decisions import _route_input
     ticks = _route_input(spark, sf).withColumnRenamed("ts_bucket", "tick")
-    path = scratch_dir_write(ticks)
+    path = scratch_dir(spark, "ticks")
+    ops.write_in_order(ticks.withColumn("tick", F.col("tick").cast("timestamp")).withColumn("_at", F.col("tick")), path, "_at", 4)
     schema = T.StructType([T.StructField("api_name", T.StringType()), T.StructField("tick", T.TimestampType()),
                            T.StructField("risks", T.MapType(T.StringType(), T.DoubleType()))])
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    s = ops.read_request_stream(spark, path, schema)
     out, _ = ops.run_to_table(ops.stream_route(s, ["region-0", "region-1", "region-2"], "region-0", 0.55, 0.35, 3),
                               "route_stream")
-    return spark.read.parquet(out).drop("batch_id")
-
-
-def scratch_dir_write(df):
-    from faultline.session import scratch_dir
-    path = scratch_dir(df.sparkSession, "ticks")
-    df.withColumn("tick", F.col("tick").cast("timestamp")).repartitionByRange(4, "tick") \
-        .sortWithinPartitions("tick").write.mode("overwrite").parquet(path)
-    return path
+    return spark.read.parquet(out).drop("batch_id").withColumn("tick", F.col("tick").cast("timestamp_ntz"))
 
 
 @register("str_late_data_report")
 def q_late(spark, sf):
     """STR-09: replay the log with files out of time order and a tight
     watermark; report rows the watermark dropped."""
-    from faultline.session import scratch_dir
     t = FX.telemetry(spark, sf)
     path = scratch_dir(spark, "late_log")
     # newest slice first, then the rest: the first batch pushes the watermark past older rows

@@ -1,12 +1,8 @@
 """Online features in event-time order (STR-01/02/03): a reorder buffer before the ring.
 
-Requests of an API may arrive late, also by several micro-batches.  Each key keeps the
-rows that are not yet behind the watermark in a list state; when the watermark has
-passed them, by new data or by an event-time timer, they go through the ring of the
-last 250 records in order of (timestamp, event_id).  So the result is that of one
-sorted pass, whatever the order of arrival, for all rows up to the watermark delay
-late; rows later than that are dropped by the watermark.  State per key is bounded by
-the ring and by the requests of one delay; it lives in RocksDB.
+Requests of an API may arrive late, also by several micro-batches; the reorder buffer
+of ``faultline.streaming.ordered`` holds them until the watermark has passed, and they
+go through the ring of the last 250 records in order of (timestamp, event_id).
 
 Per record: the 43 model features over the last 21 records (null until an API has 30),
 the zero-seeded running averages, and health over the last 50, 100 and 200.  Lags run
@@ -16,17 +12,16 @@ along the API's series.  A record without success counts as failed.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from faultline import constants as C
 from faultline.session import ship_package
+from faultline.streaming.ordered import InOrder
 
 RING = 250
 SLICE = 21
@@ -43,18 +38,6 @@ PENDING = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("
 KEPT = T.StructType([T.StructField("ring", T.BinaryType()), T.StructField("running", T.BinaryType()), T.StructField("seen", T.LongType())])
 
 
-@contextmanager
-def rocksdb(spark: SparkSession):
-    """State in RocksDB for the queries started inside."""
-    key, ours = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ours)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
-
-
 def _windows(old: np.ndarray, new: np.ndarray, n: int) -> np.ndarray:
     """The last ``n`` values up to each new one, oldest first, NaN where there are fewer."""
     both = np.concatenate([np.full(n, np.nan), old, new])
@@ -138,34 +121,16 @@ def feature_rows(api: str, ts_us: np.ndarray, rt: np.ndarray, ok: np.ndarray, ri
     return rows, np.concatenate([ring, np.column_stack([rt, ok])])[-RING:], np.array([r[-1] for r in runs]), int(no[-1])
 
 
-class OnlineFeatures(StatefulProcessor):
-    """Holds rows until the watermark has passed them, then gives their features."""
+class OnlineFeatures(InOrder):
+    """The ring and what runs beside it, per API."""
+
+    held = PENDING
+    order = ("ts_us", "event_id")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.pending = handle.getListState("pending", PENDING)
+    def setup(self, handle) -> None:
         self.kept = handle.getValueState("kept", KEPT)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat([*rows])[["event_id", "ts_us", "rt", "ok"]]
-        yield from self._release(key, new, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._release(key, None, timerValues.getCurrentWatermarkInMs())
-
-    def close(self) -> None:
-        pass
-
-    def _release(self, key, new: pd.DataFrame | None, watermark: int) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(list(self.pending.get()) if self.pending.exists() else [], columns=["event_id", "ts_us", "rt", "ok"])
-        rows = held if new is None else new if held.empty else pd.concat([held, new])
-        due = rows["ts_us"] // 1000 < watermark
-        ready, rest = rows[due].sort_values(["ts_us", "event_id"]), rows[~due]
-        if len(rest):
-            self.pending.put([tuple(r) for r in rest.astype({"event_id": "int64", "ts_us": "int64"}).astype(object).itertuples(index=False)])
-            self.handle.registerTimer(int(rest["ts_us"].min() // 1000))
-        else:
-            self.pending.clear()
+    def due(self, key, ready: pd.DataFrame, watermark: int) -> Iterator[pd.DataFrame]:
         if ready.empty:
             return
         ring, running, seen = np.zeros((0, 2)), np.zeros(3), 0
@@ -183,7 +148,7 @@ class OnlineFeatures(StatefulProcessor):
 def online_features(stream: DataFrame, delay: str = "30 minutes") -> DataFrame:
     """STR-01/02/03 over a request stream (event_id, timestamp, api_name,
     response_time, success), rows up to ``delay`` late included in their place.
-    Start the query inside :func:`rocksdb`."""
+    Start the query inside ``ordered.rocksdb``."""
     ship_package(stream.sparkSession)
     rows = stream.withWatermark("timestamp", delay).select(
         "timestamp", "api_name", "event_id", F.unix_micros("timestamp").alias("ts_us"), F.col("response_time").alias("rt"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.session import scratch_dir
 from faultline.sources import fixtures as FX
-from faultline.streaming import online, ops
+from faultline.streaming import online, ops, ordered
 
 from conftest import SF0001
 
@@ -24,7 +24,7 @@ def late_log(spark, t, hours, files):
 def test_rows_late_across_batches_equal_one_sorted_pass(spark):
     t = FX.telemetry(spark, SF0001)
     path = late_log(spark, t, 20, 6)
-    with online.rocksdb(spark):
+    with ordered.rocksdb(spark):
         out, progress = ops.run_to_table(online.online_features(ops.read_request_stream(spark, path), "24 hours"), "online")
     got = {r.event_id: r for r in spark.read.parquet(out).collect()}
     assert len(progress) >= 6
