@@ -483,3 +483,25 @@ FROM m, med"""
 @register("nrm_network", _network_sql())
 def q_network(spark, sf):
     return N.normalise_network(network_raw(spark, sf), "transaction_api")
+
+
+# --- JN-04 / JN-05 with a calendar that is a table -------------------------------------------------
+@register("jn_calendar_table", "WITH " + FX.telemetry_sql() + """,
+cal AS (SELECT event_id AS seq, CASE WHEN event_id % 3 <> 0 THEN api_name END AS api, "timestamp" AS a, "timestamp" + to_microseconds(CAST(response_time * 600 AS BIGINT) * 1000000) AS b,
+               'incident-' || status_code AS label, (event_id % 90) / 100.0::DOUBLE AS boost, 1.0 + (event_id % 7) AS mult FROM telemetry WHERE success = 0),
+m AS (SELECT t.event_id, max(seq) FILTER (api IS NULL) AS g, max(seq) FILTER (api IS NOT NULL) AS o
+      FROM telemetry t JOIN cal ON t."timestamp" BETWEEN a AND b AND (api IS NULL OR api = t.api_name) GROUP BY 1)
+SELECT t.event_id, coalesce(o.label, g.label, 'normal') AS event_label, greatest(coalesce(g.boost, 0), coalesce(o.boost, 0))::DOUBLE AS error_rate_boost,
+       greatest(coalesce(g.mult, 1), coalesce(o.mult, 1))::DOUBLE AS rt_multiplier
+FROM telemetry t LEFT JOIN m USING (event_id) LEFT JOIN cal g ON g.seq = m.g LEFT JOIN cal o ON o.seq = m.o""")
+def q_calendar_table(spark, sf):
+    """Every failure opens an incident of up to some 80 hours, of its API or (one
+    in three) of all: hundreds of entries hold each row."""
+    from faultline.operators import intervals
+    t = FX.telemetry(spark, sf)
+    end = F.timestamp_micros(F.unix_micros(F.col("timestamp").cast("timestamp")) + F.round(F.col("response_time") * 600).cast("long") * 1_000_000)
+    cal = t.where("success = 0").select(
+        F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 != 0, F.col("api_name")).alias("api_name"), F.col("timestamp").alias("start"), end.alias("end"),
+        F.concat(F.lit("incident-"), F.col("status_code").cast("string")).alias("event_label"),
+        ((F.col("event_id") % 90) / F.lit(100.0)).alias("error_rate_boost"), (F.lit(1.0) + F.col("event_id") % 7).alias("rt_multiplier"))
+    return intervals.tag_from_calendar(t, cal).select("event_id", "event_label", "error_rate_boost", "rt_multiplier")
