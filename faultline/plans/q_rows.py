@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from faultline import constants as C
 from faultline.functions import scalars as S
 from faultline.functions.scalars import hash_uniform_sql as HU
-from faultline.operators import decide, features, ml, rows
+from faultline.operators import decide, features, ml, ordering, rows
 from faultline.plans import sql as Q
 from faultline.plans.catalog import register
 from faultline.plans.feature_table import feature_table
@@ -168,3 +168,68 @@ def q_udf(spark, sf):
     rows.register_functions(spark)
     return FX.telemetry(spark, sf).select("event_id", F.expr("risk_label(request_count / 100.0D)").alias("risk"),
                                           F.expr("logistic(response_time / 100.0D)").alias("squashed"), F.expr("request_ok(status_code)").alias("ok"))
+
+
+# --- whole-table order, windows by time, sequences -----------------------------------------------------
+@register("top_sorted", T_ + """
+SELECT event_id, row_number() OVER (ORDER BY "timestamp", event_id) - 1 AS by_time, row_number() OVER (ORDER BY api_name, "timestamp", event_id) - 1 AS by_api FROM telemetry""")
+def q_sorted(spark, sf):
+    t = FX.telemetry(spark, sf).select("event_id", "timestamp", "api_name")
+    a = ordering.sort_series(t, ("timestamp", "event_id"), "by_time")
+    return ordering.sort_series(a, ("api_name", "timestamp", "event_id"), "by_api").select("event_id", "by_time", "by_api")
+
+
+@register("top_latest_earliest", T_ + """
+, i AS (SELECT event_id, row_number() OVER (ORDER BY "timestamp", event_id) AS a, row_number() OVER (ORDER BY "timestamp" DESC, event_id DESC) AS b FROM telemetry)
+SELECT 'latest' AS side, event_id FROM i WHERE b <= 700 UNION ALL SELECT 'earliest', event_id FROM i WHERE a <= 300""")
+def q_latest(spark, sf):
+    t = FX.telemetry(spark, sf).select("event_id", "timestamp")
+    return (ordering.latest(t, 700).select(F.lit("latest").alias("side"), "event_id")
+            .unionByName(ordering.earliest(t, 300).select(F.lit("earliest").alias("side"), "event_id")))
+
+
+@register("flt_adaptive_window", T_ + """
+, i AS (SELECT *, row_number() OVER (ORDER BY "timestamp" DESC, event_id DESC) AS b FROM telemetry),
+j AS (SELECT *, row_number() OVER (ORDER BY "timestamp" DESC, event_id DESC) AS b FROM telemetry WHERE "timestamp" < TIMESTAMP '2024-01-20'),
+rate AS (SELECT avg(1.0 - success) AS r FROM i WHERE b <= 800)
+SELECT 0.05 AS min_rate, event_id FROM (SELECT event_id, r >= 0.05 AS ok, true AS recent FROM i, rate WHERE b <= 800 UNION ALL
+                                        SELECT event_id, r < 0.05, false FROM j, rate WHERE b <= 800) WHERE ok
+UNION ALL
+SELECT 0.5, event_id FROM (SELECT event_id, r >= 0.5 AS ok FROM i, rate WHERE b <= 800 UNION ALL SELECT event_id, r < 0.5 FROM j, rate WHERE b <= 800) WHERE ok""")
+def q_adaptive(spark, sf):
+    """The usual floor, and one that no window of the log meets."""
+    t = FX.telemetry(spark, sf).select("event_id", "timestamp", "success")
+    both = [ordering.adaptive_window(t, 800, r, "2024-01-20").select(F.lit(r).alias("min_rate"), "event_id") for r in (0.05, 0.5)]
+    return both[0].unionByName(both[1])
+
+
+@register("flt_failures", T_ + """
+SELECT 'all' AS filter, event_id FROM telemetry WHERE success = 0
+UNION ALL SELECT 'crypto_api', event_id FROM telemetry WHERE success = 0 AND api_name = 'crypto_api'
+UNION ALL SELECT 'last_error_type', event_id FROM telemetry WHERE success = 0 AND error_type = (SELECT max(error_type) FROM telemetry)""")
+def q_failures(spark, sf):
+    t = FX.telemetry(spark, sf)
+    kind = t.select(F.max("error_type")).scalar()
+    t = t.withColumn("_kind", kind)
+    parts = [("all", ordering.failures(t)), ("crypto_api", ordering.failures(t, api="crypto_api")),
+             ("last_error_type", ordering.failures(t).where(F.col("error_type") == F.col("_kind")))]
+    out = [d.select(F.lit(n).alias("filter"), "event_id") for n, d in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+SEQ = ("response_time", "status_code", "request_count", "success")
+
+
+@register("win_sequences", T_ + """
+, i AS (SELECT *, row_number() OVER (PARTITION BY api_name ORDER BY "timestamp", event_id) - 1 AS row_idx,
+       [""" + ", ".join(f"CAST(round({c} * 100) AS BIGINT)" for c in SEQ) + """] AS x, CAST(1 - success AS INT) AS bad FROM telemetry),
+w AS (SELECT event_id, api_name, row_idx, list(x) OVER f AS win, lead(bad, 1) OVER o AS y_h1, lead(bad, 5) OVER o AS y_h5, lead(bad, 15) OVER o AS y_h15
+      FROM i WINDOW o AS (PARTITION BY api_name ORDER BY row_idx), f AS (PARTITION BY api_name ORDER BY row_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+SELECT event_id, api_name, row_idx, len(win) AS length, len(win[1]) AS width, sha256(array_to_string(flatten(win), ',')) AS window_sha256,
+       coalesce(y_h1, -1) AS y_h1, coalesce(y_h5, -1) AS y_h5, coalesce(y_h15, -1) AS y_h15 FROM w WHERE row_idx >= 29""")
+def q_windows_full(spark, sf):
+    """Every window of 30 rows, the last ones without targets too (-1), by the digest of its values in hundredths."""
+    s = ordering.sequences(FX.telemetry(spark, sf), SEQ, 30, 1, (1, 5, 15))
+    flat = F.transform(F.flatten("window"), lambda x: F.round(x * 100).cast("long").cast("string"))
+    return s.select("event_id", "api_name", "row_idx", F.size("window").cast("long").alias("length"), F.size(F.col("window")[0]).cast("long").alias("width"),
+                    F.sha2(F.array_join(flat, ","), 256).alias("window_sha256"), *[F.coalesce(f"y_h{h}", F.lit(-1)).alias(f"y_h{h}") for h in (1, 5, 15)])
