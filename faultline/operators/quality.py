@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from faultline import constants as C
 from faultline.operators import aggregates as A
@@ -119,8 +122,38 @@ def ks_pvalue(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
     return F.when(d <= 0, F.lit(1.0)).otherwise(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)))
 
 
-def ks_2samp(a: DataFrame, b: DataFrame, feats, by=()) -> DataFrame:
-    """DR-02: per (by..., feature): ks = sup |F_a - F_b|, n_a, n_b, p-value."""
+EXACT_MAX = 10_000  # samples up to this size get the exact p-value
+
+
+def exact_ks_p(n: int, m: int, gap: int) -> float:
+    """P(sup |F_a - F_b| >= gap / (n m)) for two samples of one distribution, without
+    ties: the share of all orders of n a's and m b's whose lattice path reaches
+    |i m - j n| >= gap.  Paths are followed step by step as probabilities of their
+    numbers of a's; what reaches the bound is taken out and summed, so that small
+    p-values keep their digits and nothing overflows."""
+    if gap <= 0:
+        return 1.0
+    i = np.arange(n + 1)
+    mass = np.zeros(n + 1)
+    mass[0], out = 1.0, 0.0
+    for k in range(n + m):
+        j = k - i
+        to_a = mass * (n - i) / (n + m - k)
+        mass = mass * np.clip(m - j, 0, None) / (n + m - k)
+        mass[1:] += to_a[:-1]
+        hit = np.abs(i * m - (k + 1 - i) * n) >= gap
+        out += mass[hit].sum()
+        mass[hit] = 0.0
+    return float(min(out, 1.0))
+
+
+def _exact_p(n: pd.Series, m: pd.Series, gap: pd.Series) -> pd.Series:
+    return pd.Series([exact_ks_p(int(x), int(y), int(g)) if max(x, y) <= EXACT_MAX else None for x, y, g in zip(n, m, gap)], dtype="float64")
+
+
+def ks_2samp(a: DataFrame, b: DataFrame, feats, by=(), exact: bool = False) -> DataFrame:
+    """DR-02: per (by..., feature): ks = sup |F_a - F_b|, n_a, n_b, p-value; with
+    ``exact`` the p-value of samples up to ``EXACT_MAX`` is counted, not asymptotic."""
     by = list(by)
 
     def long(df, side):
@@ -136,7 +169,12 @@ def ks_2samp(a: DataFrame, b: DataFrame, feats, by=()) -> DataFrame:
     diff = F.abs(F.col("cum_ca") / F.col("na") - F.col("cum_cb") / F.col("nb"))
     g = j.groupBy(*by, "feature").agg(F.max(diff).alias("ks"), F.first("na").alias("n_a"),
                                       F.first("nb").alias("n_b"))
-    return g.withColumn("p_value", ks_pvalue(F.col("ks"), F.col("n_a"), F.col("n_b")))
+    far = ks_pvalue(F.col("ks"), F.col("n_a"), F.col("n_b"))
+    if not exact:
+        return g.withColumn("p_value", far)
+    gap = F.round(F.col("ks") * F.col("n_a") * F.col("n_b")).cast("long")  # a whole number but for rounding
+    g = g.where((F.col("n_a") > 0) & (F.col("n_b") > 0))
+    return g.withColumn("p_value", F.coalesce(F.pandas_udf(_exact_p, DoubleType())("n_a", "n_b", gap), far))
 
 
 def drift_decision(ks: DataFrame, ks_thr: float = C.KS_THRESHOLD, p_thr: float = C.KS_P_THRESHOLD,

@@ -416,3 +416,28 @@ def q_timeline(spark, sf):
     dec = QL.drift_decision(ks, by=("run",))
     log = QL.heal_records(ks, dec)
     return QL.drift_timeline(log)
+
+
+@register("dr_ks_exact", "WITH RECURSIVE " + FX.telemetry_sql() + """,
+v AS (SELECT api_name, CAST("timestamp" AS DATE) AS day, hour("timestamp") < 12 AS early, unnest(['response_time', 'request_count']) AS feature,
+             unnest([CAST(response_time AS DOUBLE), CAST(request_count AS DOUBLE)]) AS x FROM telemetry),
+c AS (SELECT api_name, day, feature, x, count(*) FILTER (early) AS a, count(*) FILTER (NOT early) AS b FROM v GROUP BY ALL),
+s AS (SELECT *, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER g AS n, sum(b) OVER g AS m FROM c
+      WINDOW w AS (PARTITION BY api_name, day, feature ORDER BY x), g AS (PARTITION BY api_name, day, feature)),
+d AS MATERIALIZED (SELECT api_name, day, feature, max(n)::BIGINT AS n, max(m)::BIGINT AS m, max(abs(ca * m - cb * n))::BIGINT AS gap FROM s WHERE n > 0 AND m > 0 GROUP BY ALL),
+p(api_name, day, feature, n, m, gap, k, mass, hit) AS (
+  SELECT *, 0::BIGINT, list_transform(range(n + 1), lambda i: CASE WHEN i = 0 THEN 1.0 ELSE 0.0 END::DOUBLE), 0.0::DOUBLE FROM d
+  UNION ALL
+  SELECT api_name, day, feature, n, m, gap, k + 1, list_transform(range(n + 1), lambda i: CASE WHEN abs(i * m - (k + 1 - i) * n) >= gap THEN 0.0 ELSE nxt[i + 1] END),
+         hit + list_sum(list_transform(range(n + 1), lambda i: CASE WHEN abs(i * m - (k + 1 - i) * n) >= gap THEN nxt[i + 1] ELSE 0.0 END))
+  FROM (SELECT *, list_transform(range(n + 1), lambda i: mass[i + 1] * greatest(m - (k - i), 0) / (n + m - k)
+               + CASE WHEN i > 0 THEN mass[i] * (n - i + 1) / (n + m - k) ELSE 0.0 END) AS nxt FROM p WHERE k < n + m))
+SELECT api_name, CAST(day AS VARCHAR) AS day, feature, n AS n_a, m AS n_b, round(gap / (n * m)::DOUBLE, 9) AS ks,
+       round(CASE WHEN gap = 0 THEN 1.0 ELSE least(hit, 1.0) END, 9) AS p_value FROM p WHERE k = n + m""")
+def q_ks_exact(spark, sf):
+    """Mornings against afternoons of every API and day."""
+    t = FX.telemetry(spark, sf).withColumn("day", F.to_date("timestamp").cast("string"))
+    early = F.hour("timestamp") < 12
+    ks = QL.ks_2samp(t.where(early), t.where(~early), ["response_time", "request_count"], by=("api_name", "day"), exact=True)
+    return ks.select("api_name", "day", "feature", F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"),
+                     F.round("ks", 9).alias("ks"), F.round("p_value", 9).alias("p_value"))
