@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline import constants as C
+from faultline.operators import series
 from faultline.session import broadcast_if_small
 
 
@@ -154,13 +155,13 @@ def flag_anomalies(df: DataFrame, labels: DataFrame, file_col="file", ts_col="ts
 # --- JN-14 ---------------------------------------------------------------------------
 def align_targets(df: DataFrame, horizons=(1, 5, 15), key="api_name", order=("timestamp", "event_id"),
                   length: int = 1) -> DataFrame:
-    """Failure flag ``length+h-1`` rows after each row (plain per-key window;
-    the blocked form is in ``sequences.horizon_labels``)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    out = df
-    for h in horizons:
-        out = out.withColumn(f"y_h{h}", F.lead(F.lit(1) - F.col("success"), length + h - 1).over(w))
-    return out
+    """Failure flag ``length+h-1`` rows after each row of its series, null past the
+    end; inside halo blocks, so that a hot series is spread over many tasks."""
+    far = length + max(horizons) - 1
+    b = series.blocked(series.with_row_index(df, key=key, order=order, idx_col="_pos"), "_pos", max(4096, far), fwd=far)
+    w = Window.partitionBy(key, "_blk").orderBy("_pos")
+    out = b.withColumns({f"y_h{h}": F.lead(F.lit(1) - F.col("success"), length + h - 1).over(w) for h in horizons})
+    return out.where("_home").drop("_pos", "_blk", "_home")
 
 
 # --- JN-15 ----------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from faultline import constants as C
 from faultline.functions import scalars as S
 from faultline.functions.scalars import hash_uniform_sql as HU
-from faultline.operators import decide, features, ml, ordering, rows
+from faultline.operators import decide, features, joins, metrics, ml, ordering, rows
 from faultline.plans import sql as Q
 from faultline.plans.catalog import register
 from faultline.plans.feature_table import feature_table
@@ -58,16 +58,24 @@ def q_ordered_split(spark, sf):
     return rows.ordered_split(FX.telemetry(spark, sf)).select("event_id", "part")
 
 
-@register("win_sequence_summaries", T_ + """
+SUMMARISED = ("response_time", "status_code", "request_count")
+
+
+def _summaries_sql() -> str:
+    stats = ", ".join(f"avg({c}) OVER f AS {c}_m, {c} AS {c}_l, regr_slope(CAST({c} AS DOUBLE), CAST(row_idx AS DOUBLE)) OVER f AS {c}_s" for c in SUMMARISED)
+    cols = ", ".join(f"round({c}_m, 6) AS {c}_mean, {c}_l AS {c}_last, round({c}_s, 6) AS {c}_slope" for c in SUMMARISED)
+    return T_ + f"""
 , i AS (SELECT *, row_number() OVER (PARTITION BY api_name ORDER BY "timestamp", event_id) - 1 AS row_idx, 1 - success AS bad FROM telemetry),
-w AS (SELECT event_id, api_name, row_idx, avg(response_time) OVER f AS m, response_time AS l, regr_slope(CAST(response_time AS DOUBLE), CAST(row_idx AS DOUBLE)) OVER f AS s,
-        lead(bad, 1) OVER o AS y_h1, lead(bad, 5) OVER o AS y_h5, lead(bad, 15) OVER o AS y_h15
+w AS (SELECT event_id, api_name, row_idx, {stats}, lead(bad, 1) OVER o AS y_h1, lead(bad, 5) OVER o AS y_h5, lead(bad, 15) OVER o AS y_h15
       FROM i WINDOW o AS (PARTITION BY api_name ORDER BY row_idx), f AS (PARTITION BY api_name ORDER BY row_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
-SELECT event_id, api_name, row_idx, round(m, 6) AS response_time_mean, l AS response_time_last, round(s, 6) AS response_time_slope, y_h1, y_h5, y_h15
-FROM w WHERE row_idx >= 29 AND (row_idx - 29) % 10 = 0 AND y_h15 IS NOT NULL""")
+SELECT event_id, api_name, row_idx, {cols}, y_h1, y_h5, y_h15 FROM w WHERE row_idx >= 29 AND y_h15 IS NOT NULL"""
+
+
+@register("win_sequence_summaries", _summaries_sql())
 def q_sequences(spark, sf):
-    s = rows.sequence_summaries(FX.telemetry(spark, sf), ["response_time"], 30, 10)
-    return s.withColumn("response_time_mean", F.round("response_time_mean", 6)).withColumn("response_time_slope", F.round("response_time_slope", 6))
+    """Every full window of 30 rows that has all its targets."""
+    s = rows.sequence_summaries(FX.telemetry(spark, sf), SUMMARISED, 30, 1)
+    return s.withColumns({f"{c}_{k}": F.round(f"{c}_{k}", 6) for c in SUMMARISED for k in ("mean", "slope")})
 
 
 @register("win_sequence_summaries_step1", T_ + """
@@ -233,3 +241,28 @@ def q_windows_full(spark, sf):
     flat = F.transform(F.flatten("window"), lambda x: F.round(x * 100).cast("long").cast("string"))
     return s.select("event_id", "api_name", "row_idx", F.size("window").cast("long").alias("length"), F.size(F.col("window")[0]).cast("long").alias("width"),
                     F.sha2(F.array_join(flat, ","), 256).alias("window_sha256"), *[F.coalesce(f"y_h{h}", F.lit(-1)).alias(f"y_h{h}") for h in (1, 5, 15)])
+
+
+@register("jn_align_targets", T_ + """
+SELECT event_id, coalesce(lead(1 - success, 30) OVER w, -1) AS y_h1, coalesce(lead(1 - success, 34) OVER w, -1) AS y_h5, coalesce(lead(1 - success, 44) OVER w, -1) AS y_h15
+FROM telemetry WINDOW w AS (PARTITION BY api_name ORDER BY "timestamp", event_id)""")
+def q_align(spark, sf):
+    """JN-14: the targets of the window of 30 rows that starts at each row."""
+    t = joins.align_targets(FX.telemetry(spark, sf).select("event_id", "api_name", "timestamp", "success"), length=30)
+    return t.select("event_id", *[F.coalesce(f"y_h{h}", F.lit(-1)).alias(f"y_h{h}") for h in (1, 5, 15)])
+
+
+@register("ml_model_comparison", SCORED.rstrip() + """,
+half AS (SELECT s.horizon, s.p, s.y, t.data_source = 'synthetic' AS fresh FROM scored s JOIN telemetry t USING (event_id)),
+r AS (SELECT horizon, fresh, y, avg(k) OVER (PARTITION BY horizon, fresh, p) AS rk, count(*) FILTER (y = 1) OVER g AS pos, count(*) FILTER (y = 0) OVER g AS neg
+      FROM (SELECT *, row_number() OVER (PARTITION BY horizon, fresh ORDER BY p) AS k FROM half) WINDOW g AS (PARTITION BY horizon, fresh)),
+a AS (SELECT horizon, fresh, (sum(rk) FILTER (y = 1) - max(pos) * (max(pos) + 1) / 2.0) / (max(pos) * max(neg)) AS auc FROM r GROUP BY 1, 2)
+SELECT o.horizon, round(o.auc, 6) AS old_auc, round(n.auc, 6) AS new_auc, round(n.auc - o.auc, 6) AS delta, n.auc - o.auc >= 0.001 AS accepted
+FROM a o JOIN a n ON o.horizon = n.horizon AND NOT o.fresh AND n.fresh""")
+def q_compare(spark, sf):
+    """JN-15, ML-30: AUC by horizon on one source's rows against the other's."""
+    s = scored_long(spark, sf).join(FX.telemetry(spark, sf).select("event_id", "data_source"), "event_id")
+    both = [metrics.roc_auc(s.where(c), by="horizon") for c in (F.col("data_source") != "synthetic", F.col("data_source") == "synthetic")]
+    out = joins.compare_metrics(*both)
+    return out.select("horizon", F.round("old_auc", 6).alias("old_auc"), F.round("new_auc", 6).alias("new_auc"), F.round("delta", 6).alias("delta"),
+                      metrics.accept(F.col("old_auc"), F.col("new_auc")).alias("accepted"))

@@ -7,6 +7,8 @@ fields nulled), and leave pruning / filter push-down to the scan.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,8 +82,8 @@ def read_headerless(spark: SparkSession, path: str, names, types=None) -> DataFr
 
 def read_csv_tolerant(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
                       header: bool = True, strict: bool = False) -> DataFrame:
-    """SRC-05: skip malformed lines — those with more or fewer fields than the
-    schema.  An empty field, the last one too, is null and no missing one.  A field
+    """SRC-05: skip lines with more fields than the schema; shorter lines are kept,
+    their missing fields null, as empty fields are, the last one too.  A field
     that does not parse becomes null; with ``strict`` its line is skipped too.
     Quoted fields may hold the separator."""
     # the parser marks lines by their number of fields, if it reads them all
@@ -92,7 +94,9 @@ def read_csv_tolerant(spark: SparkSession, path: str, schema: T.StructType, sep:
     typed = raw.select(*[F.col(f.name).alias(f"_r{i}") for i, f in enumerate(schema.fields)], "_malformed",
                        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
     # never true (such a field is null): Spark wants another column read beside the mark, for counts too
-    bad = F.col("_malformed").isNotNull() | F.col("_r0").eqNullSafe("\u0001")
+    bare = F.regexp_replace("_malformed", '"([^"]|"")*"', "")  # quoted fields may hold the separator
+    too_long = F.col("_malformed").isNotNull() & (F.size(F.split(bare, re.escape(sep))) > len(schema.fields))
+    bad = F.coalesce(too_long, F.lit(False)) | F.col("_r0").eqNullSafe("\u0001")
     if strict:
         for i, f in enumerate(schema.fields):
             bad = bad | ((F.trim(F.coalesce(f"_r{i}", F.lit(""))) != "") & F.col(f.name).isNull())
