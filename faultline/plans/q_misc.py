@@ -504,3 +504,25 @@ def q_calendar_table(spark, sf):
         F.concat(F.lit("incident-"), F.col("status_code").cast("string")).alias("event_label"),
         ((F.col("event_id") % 90) / F.lit(100.0)).alias("error_rate_boost"), (F.lit(1.0) + F.col("event_id") % 7).alias("rt_multiplier"))
     return intervals.tag_from_calendar(t, cal).select("event_id", "event_label", "error_rate_boost", "rt_multiplier")
+
+
+@register("nrm_raw_file", T_ + """,
+r AS (SELECT event_id, "timestamp" AS t, api_name, CASE WHEN event_id % 17 <> 0 THEN response_time END AS rt, status_code, success, request_count, data_source FROM telemetry)
+SELECT CAST(event_id AS VARCHAR) AS "Ref", t + (TIMESTAMP '2025-01-01' - (SELECT date_trunc('day', min(t)) FROM r)) AS "timestamp", api_name, rt AS response_time, status_code,
+       CASE WHEN event_id % 11 = 0 THEN 0 ELSE success END AS success, NULL::VARCHAR AS error_type, CASE WHEN event_id % 13 = 0 THEN 1 ELSE request_count END AS request_count,
+       CASE WHEN event_id % 3 = 0 THEN 'raw-file' ELSE data_source END AS data_source FROM r""")
+def q_raw_file(spark, sf):
+    """The log as a CSV of strings under other names, its time split in two and its
+    time column mostly unusable, with cells that do not parse."""
+    t, i = FX.telemetry(spark, sf), F.col("event_id")
+    said = F.when(i % 11 == 0, "").when(i % 2 == 0, F.col("success").cast("string")).otherwise(F.when(F.col("success") == 1, " True").otherwise("no"))
+    raw = t.select(
+        i.cast("string").alias("Ref"), F.when(i % 9 == 0, F.col("timestamp").cast("string")).otherwise("n/a").alias("TS"),
+        F.date_format("timestamp", "yyyy-MM-dd").alias("Day"), F.date_format("timestamp", "HH:mm:ss.SSSSSS").alias("Clock"), F.col("api_name").alias("Endpoint"),
+        F.when(i % 17 == 0, "n/a").otherwise(F.col("response_time").cast("string")).alias("LATENCY"), F.col("status_code").cast("string").alias("Http_Status"),
+        said.alias("OK"), F.when(i % 13 == 0, "many").otherwise(F.col("request_count").cast("string")).alias("Hits"),
+        F.when(i % 3 != 0, F.col("data_source")).alias("Source"))
+    path = scratch_dir(spark, "raw_csv")
+    raw.write.option("header", True).csv(path)
+    back = spark.read.option("header", True).schema(raw.schema).csv(path)
+    return N.normalise_raw(back, "raw-file", keep=("Ref",), target="2025-01-01 00:00:00")

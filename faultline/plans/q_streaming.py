@@ -253,3 +253,19 @@ def q_late(spark, sf):
     rep = ops.late_report(progress)
     return spark.createDataFrame([(rep["batches"], rep["rows_dropped_by_watermark"], rep["max_state_rows"])],
                                  "batches int, rows_dropped_by_watermark long, max_state_rows long")
+
+
+@register("str_late_rows", T_ + """,
+s AS (SELECT event_id, "timestamp" AS t, event_id % 7 AS k FROM telemetry),
+m AS (SELECT k, max(t) AS top FROM s GROUP BY 1),
+w AS (SELECT a.k, date_trunc('milliseconds', max(b.top)) - INTERVAL 14 DAY AS mark FROM m a JOIN m b ON b.k < a.k GROUP BY 1)
+SELECT event_id, coalesce(t <= mark, false) AS late FROM s LEFT JOIN w USING (k)""")
+def q_late_rows(spark, sf):
+    """STR-09: the log in seven batches, each over the whole month; what is more
+    than 14 days behind the batches before goes to the table of late rows."""
+    t = FX.telemetry(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp")).withColumn("_k", F.col("event_id") % 7)
+    path = scratch_dir(spark, "batches")
+    ops.write_slices(t, path, "_k")
+    late, timely = ops.split_late(ops.read_request_stream(spark, path), "split", 14 * 86400)
+    both = spark.read.parquet(late).withColumn("late", F.lit(True)).unionByName(spark.read.parquet(timely).withColumn("late", F.lit(False)))
+    return both.select("event_id", "late")

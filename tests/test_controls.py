@@ -71,3 +71,13 @@ def test_decay_ticks_while_no_row_arrives(spark):
             want += [(api, i, action, k, round(max(0.0, risk - k * cut), 9), k >= n) for k in range(1, n + 1)]
     got = [(r.api_name, r.event_id, r.remedy_action, r.ticks, round(r.risk_after, 9), r.fix_complete) for r in spark.read.parquet(out).collect()]
     assert sorted(got) == sorted(want) and len(want) > 40
+
+
+def test_late_rows_are_kept_apart_across_a_restart(spark):
+    rows = [(i, T0 + dt.timedelta(hours=h), "b", True) for i, h in enumerate([0, 10, 9, 1, 30, 29, 27, 2, 31])]
+    base, path = scratch_dir(spark, "late_run"), scratch_dir(spark, "late_in")
+    for part in (rows[:3], rows[3:6], rows[6:]):  # a run each, on one checkpoint
+        ops.write_slices(spark.createDataFrame(part, LOG).withColumn("k", F.lit(0)), path, "k")
+        late, timely = ops.split_late(ops.read_request_stream(spark, path, LOG), "late", 3 * 3600, base=base)
+    assert sorted(r.event_id for r in spark.read.parquet(late).collect()) == [3, 6, 7]
+    assert sorted(r.event_id for r in spark.read.parquet(timely).collect()) == [0, 1, 2, 4, 5, 8]

@@ -113,9 +113,8 @@ def test_five_hundred_chunks_equal_the_plain_loop(spark):
     rates = {C.ALL_APIS[1]: 0.7}
     want = by_hand(rows, rates)
     assert {w[0] for w in want} == {"switch", "prewarm", "restore", "hold", "retry", "normal"}
-    for chunk in (60, 100_000):
-        got = healing.self_heal(frame(spark, rows), rates, chunk_rows=chunk).orderBy("ts_bucket").collect()
-        assert [(r.action, r.route_state, r.active, r.phase, r.root_cause, r.remedy_action) for r in got] == want
+    got = healing.self_heal(frame(spark, rows), rates, chunk_rows=60).orderBy("ts_bucket").collect()
+    assert [(r.action, r.route_state, r.active, r.phase, r.root_cause, r.remedy_action) for r in got] == want
 
 
 def test_no_ticks(spark):
