@@ -3,11 +3,16 @@
 A page is read into text nodes, each under its root-to-leaf tag path (tags with
 their class and id).  Per path, text length and punctuation are aggregated to
 ratios per node; both sequences are smoothed over the page's nodes by a Gaussian,
-fused by multiplication and thresholded by their spread.  The nodes above the
-threshold vote for the innermost element that holds nearly all of their text, and
-every block of that element is kept, however short, but for parts that markup
-names as no article: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, hidden parts and reader comments.
+fused by multiplication and thresholded at a part of their spread.  The nodes above
+the threshold are the content.  The text is that of the innermost element that
+holds all of them, from the headline before them, less lists of links beside them;
+where an ``article`` or ``main`` holds half of them, it is that element's text.
+
+Parts that are never an article by their tag (menus, scripts, styles, hidden parts)
+are left out.  Class and id words, roles, ``header`` and ``form`` are hints: such a
+part is left out unless it holds over half of the content, so that a wrapper called
+``search`` does not empty the page.  A word names what its last telling part says:
+``cookie-notice`` is a notice, ``share-price`` and ``has-sidebar`` are none.
 
 Defined cases: a null page, and one without text, give the empty string.  Missing
 end tags are implied as in HTML; stray ones are passed over.  ``br`` is white
@@ -37,7 +42,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title iframe noembed noframes xmp noscript template".split())
 INLINE = set("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small
     span strike strong sub sup time tt u var wbr""".split())
-NEVER = set("""head script style noscript template title nav footer aside form button select option optgroup textarea input iframe
+NEVER = set("""head script style noscript template title nav footer aside button select option optgroup textarea input iframe
     object embed svg canvas audio video dialog menu""".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = set("""address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main
@@ -50,42 +55,68 @@ ASIDE_NAMES = set("""ad ads adv advert adverts advertisement advertising adsense
     notice notices notification alert comment comments commentary disqus reply replies respond social share sharing newsletter subscribe
     subscription signup login popup modal overlay related recommended recommendations widget toolbar pagination pager skip copyright
     legal disclaimer teaser search hidden""".split())
+COMMENT_NAMES = set("comment comments commentary disqus reply replies respond".split())
+NEUTRAL = set("""area bar block body bottom box button col column container content default desktop fixed form group inner item items
+    large left link links list main mobile outer panel post posts primary right row secondary section small text title top unit
+    wrap wrapper""".split())
+MODIFIERS = set("has is no not with without".split())
 ASIDE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-KEEP = {"html", "body", "article", "main"}
+KEEP = {"html", "body", "main"}
+PAGE = {"#page", "html", "body"}
 LEAVES = set("p li td th dd dt pre blockquote ul ol dl table tbody tr".split())
 P_SCOPE = set("button table td th div article section body li blockquote".split())
 
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 SMOOTH = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-#: Share of the selected nodes' text that the article element must hold.
-HOLDS = 0.8
+#: Threshold of the fused ratios, as a part of their standard deviation.
+SPREAD = 0.25
 #: Weight of text inside links.
 LINKED = 0.1
 
 
+def furniture(words: str) -> set[str]:
+    """The names of page furniture among class and id words."""
+    out = set()
+    for word in words.split():
+        parts = [x.lower() for x in NAME.findall(word) if len(x) > 1]
+        if parts and parts[0] not in MODIFIERS:
+            while len(parts) > 1 and parts[-1] in NEUTRAL:
+                parts.pop()
+            out.add(parts[-1])
+    return out & ASIDE_NAMES
+
+
 class Element:
-    """An open or closed element; flags are handed down from its parent ``up``."""
-    __slots__ = ("tag", "up", "path", "depth", "within", "heading", "link", "headings_only", "outside", "chosen", "inside")
+    """An open or closed element; flags are handed down from its parent ``up``.
+
+    ``never``: left out by tag; ``hint``: left out unless it holds most content;
+    ``home``: the outermost article or main element around it."""
+    __slots__ = ("tag", "up", "path", "depth", "home", "heading", "link", "headings_only", "never", "hint", "readers",
+                 "outside", "container", "content", "marked", "size", "linked", "branch", "inside")
 
     def __init__(self, tag: str, up: "Element | None", attrs: str):
-        self.tag, self.up, self.chosen, self.inside = tag, up, 0, False
+        self.tag, self.up = tag, up
+        self.content = self.marked = self.size = self.linked = 0
         self.depth = up.depth + 1 if up else 0
-        self.within = bool(up and (up.within or up.tag in ("article", "main")))
         self.heading = tag in HEADINGS or bool(up and up.heading)
         self.link = tag == "a" or bool(up and up.link)
         values = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)} if attrs.strip() else {}
-        names = {x.lower() for x in NAME.findall(f"{values.get('class') or ''} {values.get('id') or ''}")}
-        self.path = hash((up.path if up else 0, tag, frozenset(names)))
+        words = f"{values.get('class') or ''} {values.get('id') or ''}"
+        self.path = hash((up.path if up else 0, tag, frozenset(x.lower() for x in NAME.findall(words))))
         hidden = "hidden" in values or (values.get("aria-hidden") or "").lower() == "true" or bool(
             re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style") or "", re.I))
-        aside = hidden or tag in NEVER or (values.get("role") or "").lower() in ASIDE_ROLES
-        named = names & ASIDE_NAMES
+        self.never = hidden or tag in NEVER or bool(up and up.never)
+        named = furniture(words)
+        role = (values.get("role") or "").lower() in ASIDE_ROLES
         header = tag == "header" or named == {"header"}
         # a header inside the article keeps its headings
-        inner = self.within and header and not aside and not named - {"header"}
-        out = not inner and (aside or header or bool(named)) and (hidden or tag not in KEEP)
+        inner = bool(up and up.home) and header and not role and not named - {"header"}
         self.headings_only = inner or bool(up and up.headings_only)
-        self.outside = out or bool(up and up.outside)
+        self.hint = not inner and tag not in KEEP and (header or role or bool(named) or tag == "form")
+        self.readers = bool(named & COMMENT_NAMES)
+        self.home = up.home if up and up.home else self if tag in ("article", "main") and not self.hint else None
+        plain = tag in INLINE or tag in LEAVES or self.heading
+        self.container = up.container if plain and up else self
 
 
 def nodes(html: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
@@ -164,37 +195,87 @@ def content_nodes(texts: list[tuple[Element, str, int]]) -> np.ndarray:
         smooth = np.convolve(ratio[path], SMOOTH / SMOOTH.sum(), "full")[2: 2 + len(path)]
         fused *= np.sqrt(smooth * ratio[path])
     fused[[e.link for e, _, _ in texts]] *= LINKED
-    return fused >= min(fused.std(), fused.max())
+    return fused >= min(SPREAD * fused.std(), fused.max())
+
+
+def weigh(every: list[Element], found: list[tuple[Element, str, int]]) -> list[int]:
+    """Places of the content nodes; every element gets its characters of content,
+    of content in article or main elements, of text and of linked text."""
+    for e in every:
+        e.content = e.marked = e.size = e.linked = 0
+    solid = [i for i, x in enumerate(found) if not WORDLESS.fullmatch(x[1])]
+    above = content_nodes([found[i] for i in solid]) if solid else []
+    chosen = [i for i, ok in zip(solid, above) if ok]
+    for i in solid:
+        e, n = found[i][0], len(found[i][1])
+        e.size += n
+        e.linked += n * e.link
+    for i in chosen:
+        e, n = found[i][0], len(found[i][1])
+        e.content += n
+        e.marked += n * (e.home is not None)
+    for e in reversed(every):
+        if e.up is not None:
+            e.up.content += e.content
+            e.up.marked += e.marked
+            e.up.size += e.size
+            e.up.linked += e.linked
+    return chosen
+
+
+def path_tags(e: Element) -> list[str]:
+    """Tags from a node's element up to its heading."""
+    out = []
+    while e is not None and e.heading:
+        out.append(e.tag)
+        e = e.up
+    return out
+
+
+def mark_inside(every: list[Element], roots: set[Element]) -> None:
+    for e in every:
+        e.inside = e in roots or e.up is not None and e.up.inside
 
 
 def main_text(html: str | None) -> str:
     every, found = nodes(html or "")
-    found = [x for x in found if not x[0].outside and (x[0].heading or not x[0].headings_only)]
-    solid = [x for x in found if not WORDLESS.fullmatch(x[1])]
-    if not solid:
+    found = [x for x in found if not x[0].never and (x[0].heading or not x[0].headings_only)]
+    weigh(every, found)
+    page = every[0]
+    for e in every:
+        most = 2 * e.content > page.content and not e.readers and (not page.marked or e.marked > 0)
+        e.outside = e.hint and not most or e.up is not None and e.up.outside
+    found = [x for x in found if not x[0].outside]
+    chosen = weigh(every, found)
+    if not chosen:
         return ""
-    total = 0
-    for (e, t, _), chosen in zip(solid, content_nodes(solid)):
-        if chosen:
-            total += len(t)
-            e.chosen += len(t)
-    for e in reversed(every):
-        if e.up is not None:
-            e.up.chosen += e.chosen
-    # the innermost block element that holds nearly all of the chosen text
-    article = max((e for e in every if e.chosen >= HOLDS * total and e.tag not in INLINE | LEAVES and not e.heading), key=lambda e: e.depth)
-    up = article
-    while up is not None:
-        if up.tag in ("article", "main"):
-            article = up
-            break
-        up = up.up
+    kept = {found[i][2] for i in chosen}  # blocks that hold content stay whole
+    if 2 * page.marked >= page.content:
+        homes = [e for e in every if e.home is e and e.marked]
+        best = max(homes, key=lambda e: e.marked)
+        mark_inside(every, {e for e in homes if e.path == best.path})
+        keep = [x for x in found if x[0].inside]
+    else:
+        core = max((e for e in every if e.content == page.content and e.container is e), key=lambda e: e.depth)
+        loose = core.tag in PAGE or all(found[i][0].container is not core for i in chosen)
+        for e in every:  # the highest element without content that an element lies in
+            e.branch = None if e.content else e if e.up is None or e.up.content else e.up.branch
+        mark_inside(every, {core})
+
+        def links(e: Element) -> bool:
+            return loose and e.branch is not None and 2 * e.branch.linked > e.branch.size and e.branch.up is not None and (
+                e.branch.up is core or e.branch.up.tag in PAGE)
+
+        keep = [x for x in found if x[0].inside and (x[2] in kept or not links(x[0]))]
+        if not any(x[0].heading for x in keep):
+            first = next(i for i, x in enumerate(found) if x[0].inside)
+            heads = [i for i in range(first) if found[i][0].heading and not found[i][0].link]
+            if heads:
+                start = next((i for i in heads if "h1" in path_tags(found[i][0])), heads[-1])
+                keep = [x for x in found[start:first] if not x[0].link] + keep
     blocks: dict[int, list[str]] = {}
-    for e in every:
-        e.inside = e is article or e.up is not None and e.up.inside
-    for e, t, b in found:
-        if e.inside:
-            blocks.setdefault(b, []).append(t)
+    for e, t, b in keep:
+        blocks.setdefault(b, []).append(t)
     lines = (" ".join("".join(x).split()) for x in blocks.values())
     return "\n".join(x for x in lines if x)
 

@@ -59,3 +59,44 @@ def test_long_and_deep_pages_take_linear_time():
     assert H.main_text("<div>" * 50000 + "x." + "</i>" * 50000) == "x."
     assert H.main_text("<b>" * 30000 + "<p>x." * 1000).count("x.") == 1000
     assert time.time() - began < 60
+
+
+LONG = "".join(f"<p>{x}</p>" for x in BODY)
+
+
+@pytest.mark.parametrize("wrapper", ["class='content has-sidebar'", "class='content no-sidebar'", "id='search-results-article'",
+                                     "class='search'", "id='page-banner'"])
+def test_names_do_not_veto_the_wrapper_of_the_page(wrapper):
+    parts = PARTS["nav"] + PARTS["ad"] + PARTS["sidebar"]
+    assert H.main_text(f"<body><div {wrapper}>{parts}<div>{LONG}</div></div>{PARTS['footer']}</body>") == "\n".join(BODY)
+
+
+def test_form_around_the_whole_page():
+    assert H.main_text(f"<body><form id='f'>{PARTS['menu']}<div>{LONG}</div></form></body>") == "\n".join(BODY)
+
+
+def test_nothing_lost_beside_the_longest_element():
+    page = f"<body>{PARTS['nav']}<h1>Title</h1><div class=lead><p>A lead, in short.</p></div><div class=content>{LONG * 5}</div></body>"
+    assert H.main_text(page) == "\n".join(["Title", "A lead, in short.", *BODY * 5])
+    three = f"<body><div><p>One, first.</p></div><div>{LONG * 3}</div><div><p>Three, last.</p></div></body>"
+    assert H.main_text(three) == "\n".join(["One, first.", *BODY * 3, "Three, last."])
+
+
+def test_misleading_names_inside_the_article():
+    page = f"<article><p class='share-price'>The price fell.</p>{LONG}<p class='social-history'>A history, in short.</p>{PARTS['ad']}</article>"
+    assert H.main_text(page) == "\n".join(["The price fell.", *BODY, "A history, in short."])
+
+
+def test_reader_comments_never_count_however_long():
+    page = f"<body><div class=post>{LONG}</div><div id='comments-list'>{LONG * 4}</div></body>"
+    assert H.main_text(page) == "\n".join(BODY)
+    page = f"<article>{LONG}</article><article class='comment'>{LONG * 4}</article>"
+    assert H.main_text(page) == "\n".join(BODY)
+
+
+def test_the_ratios_decide(monkeypatch):
+    links = "<div>" + "".join(f"<a href=/{i}>Section {i}</a> " for i in range(30)) + "</div>"
+    page = f"<body>{links}<div class=x>Log in</div><div class=y>{LONG}</div></body>"
+    assert H.main_text(page) == "\n".join(BODY)
+    monkeypatch.setattr(H, "content_nodes", lambda texts: [True] * len(texts))
+    assert H.main_text(page) != "\n".join(BODY)
