@@ -5,8 +5,13 @@ white space), and the SHA-256 of the normal form of the whole text, and of each
 its lines, is hash-joined to the digests of known licence texts and notices.  The
 list of known digests is fixed and short, so its broadcast is bounded.
 
-DataFrame functions only.  Defined cases: null and empty texts match nothing;
-rows repeated in the table give repeated results; a null doc_id is kept.
+Lines are joined before a whole text is digested, so wrapping makes no difference;
+of lines, only those that state a copyright by sign or year, or that all rights are
+reserved, are left out, wherever a licence's own sentences break.
+
+DataFrame functions only.  Defined cases: null and empty texts match nothing, and an
+empty table gives an empty result; very long texts are digested whole; rows repeated
+in the table give repeated results; a null doc_id is kept.
 """
 
 from __future__ import annotations
@@ -49,13 +54,41 @@ WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABL
 CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
 CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
 ]
-TITLES = {"MIT": ["", "MIT License\n", "The MIT License\n", "The MIT License (MIT)\n"], "ISC": ["", "ISC License\n"]}
+# The two BSD licence texts.
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution.
+{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
+NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE
+OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+NO_ENDORSEMENT = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission.
+"""
+NOTICES += [("BSD-2-Clause", BSD.format("")), ("BSD-3-Clause", BSD.format(NO_ENDORSEMENT))]
+# Digests of the normal forms of whole texts as published (of Apache-2.0 also without its appendix).
+DIGESTS = [
+    ("Apache-2.0", "1503ed7ce6c2188ed269646562607a76b5c74bff588f36b20862ee3af525f3ea"),
+    ("Apache-2.0", "f9138026e58bdb767e6c6e974637ff9aacbaedf2695e30fef144e5d7d84448ff"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GPL-2.0", "67838d8b93dec631367ba027330812a986f27a95c3e70b9f5607dd940303530c"),
+    ("GPL-3.0", "bee9dba9f021a216f672b1621f7b1bb7fd0a516f6732197fad5e9fd1013fdbc6"),
+    ("LGPL-2.1", "0e8046ce7f9eec5420003481be92280a0b9d44a1ff6aff0dcabf8c78f88a35b9"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-2.0", "4e3ed3db421caff5beab12d8b5ed5c6f8edb888f5430801b1624448d4d7f04fe"),
+]
+TITLES = {"BSD-2-Clause": ["", "BSD 2-Clause License\n"], "BSD-3-Clause": ["", "BSD 3-Clause License\n"], "MIT": ["", "MIT License\n", "The MIT License\n", "The MIT License (MIT)\n"], "ISC": ["", "ISC License\n"]}
 
-COPYRIGHT = r"(?m)^[^0-9a-z\n]*(copyright|\(c\)|©)[^\n]*$"
+COPYRIGHT = (r"(?m)^[^0-9a-z\n]*((copyright[^0-9a-z\n]+(c[^0-9a-z]|[0-9]{4})|copyright[^0-9a-z\n]*©|\(c\)[^0-9a-z\n]*[0-9]{4}|©)[^\n]*"
+             r"|all rights reserved[^0-9a-z\n]*)$")
 OUTSIDE = r"[^0-9a-z\n\x{80}-\x{10FFFF}]+|[\x{80}-\x{BF}\x{2000}-\x{206F}]+"
 EDGES = r"(?m)^ +| +$"
 SPELLINGS = [("licenc", "licens"), ("organis", "organiz"), ("sub-licens", "sublicens"), ("non-infring", "noninfring"),
-             ("copyright holders", "copyright owners"), ("&", " and "), ("as-is", "as is")]
+             ("holder", "owner"), ("&", " and "), ("as-is", "as is")]
 
 
 def normal_lines(text: Column) -> Column:
@@ -67,11 +100,15 @@ def normal_lines(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(t, F.lit("")), "\n"), "")
 
 
+def digest(lines: Column) -> Column:
+    return F.sha2(F.array_join(lines, " "), 256)
+
+
 def known(spark) -> DataFrame:
     """licence, digest of every known text."""
     rows = [(name, title + body) for name, body in NOTICES for title in (TITLES.get(name, [""]) if "\n" in body else [""])]
-    t = spark.createDataFrame(rows, "licence string, text string")
-    return t.select("licence", F.sha2(F.array_join(normal_lines(F.col("text")), " "), 256).alias("digest")).distinct()
+    t = spark.createDataFrame(rows, "licence string, text string").select("licence", digest(normal_lines(F.col("text"))).alias("digest"))
+    return t.union(spark.createDataFrame(DIGESTS, "licence string, digest string")).distinct()
 
 
 def licence_scan(docs: DataFrame) -> DataFrame:
@@ -79,7 +116,7 @@ def licence_scan(docs: DataFrame) -> DataFrame:
     or the whole text, n_licences, and whole_text (the text is nothing else)."""
     spark = docs.sparkSession
     d = docs.select("doc_id", F.xxhash64("text").alias("t"), normal_lines(F.col("text")).alias("lines"))
-    whole = F.sha2(F.array_join("lines", " "), 256)
+    whole = digest(F.col("lines"))
     units = d.select("doc_id", "t", whole.alias("whole"),
                      F.explode(F.array_union(F.array(whole), F.transform("lines", lambda x: F.sha2(x, 256)))).alias("digest"))
     found = units.join(F.broadcast(known(spark)), "digest").groupBy("doc_id", "t").agg(

@@ -58,12 +58,14 @@ def _licence_sql() -> str:
     lines = f"list_filter(string_split(coalesce({t}, ''), chr(10)), lambda x: x <> '')"
     rows = [(n, title + body) for n, body in m.NOTICES for title in (m.TITLES.get(n, [""]) if "\n" in body else [""])]
     values = ", ".join(f"('{n}', '{q(b)}')" for n, b in rows)
+    digests = ", ".join(f"('{n}', '{x}')" for n, x in m.DIGESTS)
     return f"""
-WITH k AS (SELECT DISTINCT licence, array_to_string({lines}, ' ') AS norm FROM (VALUES {values}) v(licence, text)),
+WITH k AS (SELECT licence, sha256(array_to_string({lines}, ' ')) AS digest FROM (VALUES {values}) v(licence, text)
+           UNION SELECT licence, digest FROM (VALUES {digests}) w(licence, digest)),
 d AS (SELECT row_number() OVER () AS rid, doc_id, {lines} AS lines FROM documents),
 u AS (SELECT rid, array_to_string(lines, ' ') AS unit, true AS whole FROM d UNION ALL SELECT rid, unnest(lines), false FROM d),
 f AS (SELECT rid, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, count(DISTINCT licence) AS n, bool_or(whole) AS w
-      FROM u JOIN k ON u.unit = k.norm GROUP BY rid)
+      FROM u JOIN k ON sha256(u.unit) = k.digest GROUP BY rid)
 SELECT d.doc_id, coalesce(f.licences, '') AS licences, coalesce(f.n, 0)::INTEGER AS n_licences, coalesce(f.w, false) AS whole_text
 FROM d LEFT JOIN f USING (rid)
 """

@@ -1,5 +1,6 @@
 """Decontamination, licences and mixing on small tables with awkward rows."""
 import hashlib
+import os
 import re
 
 import pytest
@@ -64,6 +65,32 @@ def test_licences(spark):
     assert licences.licence_scan(df.limit(0)).collect() == []
 
 
+def test_licences_however_they_are_wrapped(spark):
+    mit = next(t for n, t in licences.NOTICES if n == "MIT" and "\n" in t).replace("\n", " ")
+    usual = mit.replace("SHALL THE ", "SHALL THE\n").replace("COPYRIGHT HOLDERS BE", "COPYRIGHT HOLDERS BE")
+    at_clause = mit.replace("AUTHORS OR COPYRIGHT", "AUTHORS OR\nCOPYRIGHT")
+    bsd = next(t for n, t in licences.NOTICES if n == "BSD-3-Clause" and "\n" in t)
+    rows = [(1, mit), (2, "MIT License\n\nCopyright 2021 Me\n" + usual), (3, "Copyright (c) 2020, Me\nAll rights reserved.\n\n" + at_clause),
+            (4, "Copyright © Me\nAll rights reserved.\n" + bsd.replace(" ", "\n")), (5, mit.replace("COPYRIGHT HOLDERS BE LIABLE", "")),
+            (6, "(c) 2020 Me\n" + bsd.replace("3. Neither", "(c) Neither")), (7, mit + " word" * 200000)]
+    got = {r.doc_id: (r.licences, r.whole_text) for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("MIT", True), 2: ("MIT", True), 3: ("MIT", True), 4: ("BSD-3-Clause", True), 5: ("", False), 6: ("", False), 7: ("", False)}
+
+
+WHOLE = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3",
+         "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no published licence texts on this machine")
+def test_whole_texts_of_long_licences(spark):
+    rows = []
+    for i, f in enumerate(WHOLE.values()):
+        with open(f"/usr/share/common-licenses/{f}") as h:
+            rows.append((i, h.read().upper()))
+    got = licences.licence_scan(spark.createDataFrame(rows, "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [n in r.licences.split(",") and r.whole_text for n, r in zip(WHOLE, got)] == [True] * len(WHOLE)
+
+
 def test_mixing_reaches_its_marginals(spark):
     rows = [(i, "word " * (20 if i % 3 else 150), ["a", "b", None][i % 7 % 3], ["en", "de"][i % 5 // 3]) for i in range(3000)]
     rows += [(None, None, None, None), (-1, "", "a", "en"), (5, "word " * 20, "b", "en")]
