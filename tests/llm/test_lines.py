@@ -53,9 +53,11 @@ def test_keys_meet_for_every_close_pair():
             assert set((key[(row == short) & (key & np.uint64(1) == 0)])) & set(key[(row == long_) & (key & np.uint64(1) == 1)] ^ np.uint64(1))
 
 
-def brute(rows, tau=2, min_chars=20):
+def brute(rows, tau=2, min_chars=20, short=False):
+    def takes_part(x):
+        return len(x) >= min_chars or short and x.strip() != ""
     occ = sorted({(lines.LAST if d is None else d, t, n, x) for d, t in rows if t is not None
-                  for n, x in enumerate(t.split("\n")) if len(x) >= min_chars}, key=lambda o: (o[0], o[1], o[2]))
+                  for n, x in enumerate(t.split("\n")) if takes_part(x)}, key=lambda o: (o[0], o[1], o[2]))
     distinct = sorted({o[3] for o in occ})
     comp = {x: x for x in distinct}
     def find(x):
@@ -64,7 +66,7 @@ def brute(rows, tau=2, min_chars=20):
         return x
     for i, x in enumerate(distinct):
         for y in distinct[:i]:
-            if abs(len(x) - len(y)) <= tau and edit(x, y) <= tau:
+            if min(len(x), len(y)) >= min_chars and abs(len(x) - len(y)) <= tau and edit(x, y) <= tau:
                 comp[find(x)] = find(y)
     first = {}
     for d, *_, x in occ:
@@ -76,7 +78,7 @@ def brute(rows, tau=2, min_chars=20):
             continue
         seen, kept = set(), []
         for x in t.split("\n"):
-            c = find(x) if len(x) >= min_chars else None
+            c = find(x) if takes_part(x) else None
             if c is None or (first[c] == (lines.LAST if d is None else d) and c not in seen):
                 kept.append(x)
             if c is not None:
@@ -85,20 +87,20 @@ def brute(rows, tau=2, min_chars=20):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block,limit", [(1024, 32 << 20), (4, 0)])
-def test_dedup_matches_brute_force(spark, monkeypatch, block, limit):
+@pytest.mark.parametrize("block,limit,short", [(1024, 32 << 20, False), (4, 0, False), (1024, 32 << 20, True), (4, 0, True)])
+def test_dedup_matches_brute_force(spark, monkeypatch, block, limit, short):
     monkeypatch.setattr(lines, "BLOCK", block)
     rng = random.Random(9)
     pool = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(15, 60))) for _ in range(40)] + ["short", ""]
-    rows = [(1, None), (2, ""), (None, pool[0]), (3, pool[1] + "\n" + pool[1]), (3, pool[1] + "\n" + pool[1]), (3, pool[2])]
+    rows = [(1, None), (2, ""), (4, "short\nword\nword\n\n"), (5, "x" * 19 + "\n" + "x" * 20 + "\n" + "é " * 30000), (6, "é " * 30000), (None, pool[0]), (3, pool[1] + "\n" + pool[1]), (3, pool[1] + "\n" + pool[1]), (3, pool[2])]
     for i in range(60):
         rows.append((10 + i, "\n".join(vary(rng, rng.choice(pool[: 5 if i % 2 else 42]), rng.choice([0, 0, 1, 2])) for _ in range(rng.randrange(1, 9)))))
     df = spark.createDataFrame([(d, t, 7) for d, t in rows], "doc_id long, text string, id int")
-    got = lines.dedup_lines(df, limit=limit)
+    got = lines.dedup_lines(df, limit=limit, short=short)
     assert got.columns == ["doc_id", "text", "id", "_lines"]
     res = sorted([(r.doc_id, r.text, r._lines.n_lines, r._lines.n_removed) for r in got.collect()], key=str)
-    assert res == brute(rows)
-    assert lines.dedup_lines(df.limit(0)).collect() == []
+    assert res == brute(rows, short=short)
+    assert lines.dedup_lines(df.limit(0), short=short).collect() == []
 
 
 def test_short_lines_repeat_by_exact_text(spark):
