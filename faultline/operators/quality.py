@@ -195,6 +195,45 @@ def drift_baseline(df: DataFrame, feats=C.DRIFT_FEATURES, n: int = 5000, seed="b
     return s.select(id_col, F.explode(F.array(*cols)).alias("_r")).select(id_col, "_r.*")
 
 
+def baseline_state(df: DataFrame, feats, time_col: str = "timestamp") -> DataFrame:
+    """DR-01 over all rows: per day, feature and value how often the value occurs.
+    States of other rows are merged by adding, so a baseline is kept as a table to
+    which each batch appends its own state.  Nulls and NaN are left out."""
+    cols = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in feats]
+    rows = df.select(F.to_date(time_col).alias("day"), F.explode(F.array(*cols)).alias("_r")).select("day", "_r.*")
+    rows = rows.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    return rows.groupBy("day", "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """(feature, value, n) of all states together."""
+    return states.groupBy("feature", "value").agg(F.sum("n").alias("n"))
+
+
+def state_summary(counts: DataFrame, probs=(0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """Per feature: rows, distinct values, bounds and exact quantiles (the least value
+    with at least that share of the rows at or below it) of merged counts."""
+    cum = series.cumulative(counts, ["feature"], ["value"], ["n"])
+    tot = counts.groupBy("feature").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"),
+                                        F.min("value").alias("lo"), F.max("value").alias("hi"))
+    at = [F.min(F.when(F.col("cum_n") >= F.ceil(F.lit(p) * F.col("n_rows")), F.col("value"))).alias(f"q{round(p * 100)}") for p in probs]
+    # one row a feature
+    return cum.join(F.broadcast(tot), "feature").groupBy("feature", "n_rows", "n_distinct", "lo", "hi").agg(*at)
+
+
+def ks_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """DR-02 between two merged states: per feature ks, n_a, n_b and the p-value."""
+    zero = F.lit(0).cast("long")
+    u = a.select("feature", "value", F.col("n").alias("ca"), zero.alias("cb")).unionByName(
+        b.select("feature", "value", zero.alias("ca"), F.col("n").alias("cb")))
+    cnt = u.groupBy("feature", "value").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
+    tot = cnt.groupBy("feature").agg(F.sum("ca").alias("n_a"), F.sum("cb").alias("n_b"))
+    cum = series.cumulative(cnt, ["feature"], ["value"], ["ca", "cb"])
+    gap = F.abs(F.col("cum_ca") / F.col("n_a") - F.col("cum_cb") / F.col("n_b"))
+    g = cum.join(F.broadcast(tot), "feature").groupBy("feature", "n_a", "n_b").agg(F.max(gap).alias("ks"))
+    return g.withColumn("p_value", ks_pvalue(F.col("ks"), F.col("n_a"), F.col("n_b")))
+
+
 def imbalance(df: DataFrame, thresh: float = C.IMBALANCE_FLOOR) -> DataFrame:
     """DR-05: failure rate and the imbalance flag."""
     return df.agg((F.lit(1.0) - F.avg(F.coalesce(F.col("success"), F.lit(1)))).alias("failure_rate")) \

@@ -14,6 +14,7 @@ from faultline.plans.catalog import register
 from faultline.plans.feature_table import feature_table
 from faultline.plans.q_evaluation import S
 from faultline.plans.scored import scored_long
+from faultline.session import scratch_dir
 from faultline.sources import fixtures as FX
 
 T = "WITH " + FX.telemetry_sql() + "\n"
@@ -353,6 +354,40 @@ def q_drift_decision(spark, sf):
     return QL.drift_decision(QL.ks_2samp(a, b, C.DRIFT_FEATURES))
 
 
+STATE_COLS = ("response_time", "status_code", "success", "request_count")
+
+
+def _state_rows_sql(where: str = "true") -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM telemetry WHERE {c} IS NOT NULL AND {where}" for c in STATE_COLS)
+
+
+def _stored_states(spark, sf):
+    """States of failed and of other requests, appended one after the other."""
+    path = scratch_dir(spark, "baseline_states")
+    t = FX.telemetry(spark, sf)
+    for part in (F.col("success") == 0, ~F.coalesce(F.col("success") == 0, F.lit(False))):
+        QL.baseline_state(t.filter(part), STATE_COLS).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("dr_baseline_states", T + f""", u AS ({_state_rows_sql()})
+SELECT feature, count(*)::BIGINT AS n_rows, count(DISTINCT value)::BIGINT AS n_distinct, min(value) AS lo, max(value) AS hi,
+       quantile_disc(value, 0.25) AS q25, quantile_disc(value, 0.5) AS q50, quantile_disc(value, 0.75) AS q75,
+       quantile_disc(value, 0.95) AS q95
+FROM u GROUP BY feature""")
+def q_baseline_states(spark, sf):
+    """DR-01 on all rows: stored day states merged, with exact quantiles."""
+    return QL.state_summary(QL.merge_states(_stored_states(spark, sf)))
+
+
+@register("dr_baseline_states_by_day", T + """, u AS (SELECT "timestamp"::DATE AS day, response_time AS value FROM telemetry)
+SELECT day, count(*)::BIGINT AS n_rows, count(DISTINCT value)::BIGINT AS n_distinct FROM u WHERE value IS NOT NULL GROUP BY day""")
+def q_baseline_by_day(spark, sf):
+    """DR-01: what the stored states hold of a feature, day by day."""
+    s = _stored_states(spark, sf).where("feature = 'response_time'").groupBy("day", "value").agg(F.sum("n").alias("n"))
+    return s.groupBy("day").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"))
+
+
 @register("dr_drift_baseline", Q.full_features_with() + ", smp AS (SELECT * FROM full_feat ORDER BY "
           + HU("event_id", "baseline") + ", event_id LIMIT 5000)\n" + "\nUNION ALL\n".join(
               f"SELECT event_id, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM smp" for f in C.DRIFT_FEATURES))
