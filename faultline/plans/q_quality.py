@@ -381,11 +381,11 @@ def q_baseline_states(spark, sf):
 
 
 @register("dr_baseline_states_by_day", T + """, u AS (SELECT "timestamp"::DATE AS day, response_time AS value FROM telemetry)
-SELECT day, count(*)::BIGINT AS n_rows, count(DISTINCT value)::BIGINT AS n_distinct FROM u WHERE value IS NOT NULL GROUP BY day""")
+SELECT CAST(day AS VARCHAR) AS day, count(*)::BIGINT AS n_rows, count(DISTINCT value)::BIGINT AS n_distinct FROM u WHERE value IS NOT NULL GROUP BY day""")
 def q_baseline_by_day(spark, sf):
     """DR-01: what the stored states hold of a feature, day by day."""
     s = _stored_states(spark, sf).where("feature = 'response_time'").groupBy("day", "value").agg(F.sum("n").alias("n"))
-    return s.groupBy("day").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"))
+    return s.groupBy(F.col("day").cast("string").alias("day")).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"))
 
 
 @register("dr_drift_baseline", Q.full_features_with() + ", smp AS (SELECT * FROM full_feat ORDER BY "
