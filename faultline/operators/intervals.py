@@ -40,8 +40,9 @@ def winning_segments(calendar: DataFrame, start: str = "start", end: str = "end"
     cuts = cal.select("_key", F.explode(F.array("_a", "_b")).alias("_from")).distinct().withColumn("_one", F.lit(1).cast("long"))
     cuts = reliable_checkpoint(series.cumulative(cuts, "_key", ["_from"], ["_one"]).select("_key", "_from", (F.col("cum__one") - 1).alias("_no")))
     levels = max(1, int(cuts.agg(F.coalesce(F.max("_no"), F.lit(0))).first()[0]).bit_length())
-    spans = (cal.join(cuts.select("_key", F.col("_from").alias("_a"), F.col("_no").alias("i")), ["_key", "_a"])
-             .join(cuts.select("_key", F.col("_from").alias("_b"), F.col("_no").alias("j")), ["_key", "_b"]))
+    # sides that grow with the calendar: by their size on disk the planner would broadcast them
+    spans = (cal.hint("merge").join(cuts.select("_key", F.col("_from").alias("_a"), F.col("_no").alias("i")), ["_key", "_a"])
+             .join(cuts.select("_key", F.col("_from").alias("_b"), F.col("_no").alias("j")).hint("merge"), ["_key", "_b"]))
 
     def blocks(level: Column) -> Column:
         size = F.pow(F.lit(2.0), level).cast("long")
@@ -53,8 +54,8 @@ def winning_segments(calendar: DataFrame, start: str = "start", end: str = "end"
     won = spans.select("_key", "_seq", F.explode(every).alias("x")).groupBy("_key", "x.level", "x.block").agg(F.max("_seq").alias("_seq"))
     home = cuts.select("*", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
     home = home.withColumn("block", F.floor(F.col("_no") / F.pow(F.lit(2.0), F.col("level"))).cast("long"))
-    best = home.join(won, ["_key", "level", "block"]).groupBy("_key", "_no").agg(F.max("_seq").alias("_seq"))
-    return reliable_checkpoint(cuts.join(best, ["_key", "_no"], "left").select("_key", "_no", "_from", "_seq"))
+    best = home.hint("merge").join(won, ["_key", "level", "block"]).groupBy("_key", "_no").agg(F.max("_seq").alias("_seq"))
+    return reliable_checkpoint(cuts.hint("merge").join(best, ["_key", "_no"], "left").select("_key", "_no", "_from", "_seq"))
 
 
 def last_match(df: DataFrame, calendar: DataFrame, columns: list[str], ts: str = "timestamp", key: str | None = None, calendar_key: str | None = None,
@@ -68,7 +69,7 @@ def last_match(df: DataFrame, calendar: DataFrame, columns: list[str], ts: str =
     marks = segments.select(F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "_key", F.col("_from").alias("_at"), F.lit(0).alias("_kind"), "_no")
     placed = series.cumulative(rows.unionByName(marks), "_key", ["_at", "_kind"], ["_no"], agg="max").where("_kind = 1")
     entry = calendar.select(F.col(seq).cast("long").alias("_seq"), F.struct(*columns).alias("_event"))
-    tags = segments.join(entry, "_seq").select(F.col("_key").alias("_k"), F.col("_no").alias("_n"), "_event")
+    tags = segments.hint("merge").join(entry, "_seq").select(F.col("_key").alias("_k"), F.col("_no").alias("_n"), "_event")
     out = placed.join(broadcast_if_small(reliable_checkpoint(tags)), (F.col("_key") == F.col("_k")) & (F.col("cum__no") == F.col("_n")), "left")
     return out.select("_row.*", "_event")
 
