@@ -91,9 +91,9 @@ def with_row_index(df: DataFrame, key="api_name", order=("timestamp", "event_id"
             bnd = F.broadcast(bnd) if n_keys <= BROADCAST_MAX_ROWS else bnd
             cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(bnd[f"_k_{k}"]) for k in bkeys])
             d = df.join(bnd, cond, "left").drop(*[f"_k_{k}" for k in bkeys])
-        else:   # one global boundary list (n-1 numbers) as a literal
-            cuts = bnd.first()["_b"] or []
-            d = df.withColumn("_b", F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"))
+        else:   # one row with the n-1 boundaries; as a literal, the bucket would be a function of
+                # the order column alone, and the optimizer infers it on the offsets' side too
+            d = df.crossJoin(F.broadcast(bnd))
         d = d.withColumn("_bucket", F.size(F.filter(F.coalesce(F.col("_b"), F.array().cast("array<double>")),
                                                     lambda x: x < ordnum))).drop("_b")
     else:
@@ -107,7 +107,8 @@ def with_row_index(df: DataFrame, key="api_name", order=("timestamp", "event_id"
            .agg(F.count(F.lit(1)).alias("_n"), F.min(local).alias("_first")))
     w = Window.partitionBy(*keys).orderBy(*prefix, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    seg = seg.select(*[F.col(k).alias(f"_k_{k}") for k in bkeys], F.col("_bucket").alias("_kb"), "_off", "_first")
+    # a small table, written once: the rows are not sorted anew for it wherever they are used
+    seg = reliable_checkpoint(seg.select(*[F.col(k).alias(f"_k_{k}") for k in bkeys], F.col("_bucket").alias("_kb"), "_off", "_first"))
     # at most n rows per key: broadcast on that proven bound (no extra job)
     if n_keys * n <= BROADCAST_MAX_ROWS:
         seg = F.broadcast(seg)
