@@ -7,6 +7,7 @@ import sys
 from pyspark.sql import functions as F
 
 from faultline.operators import intervals, ml, series
+from faultline.plans import q_models
 from faultline.session import broadcast_if_small
 from faultline.sources import fixtures as FX
 
@@ -62,3 +63,19 @@ def test_scale_as_the_first_query_of_a_session(spark):
     n = FX.telemetry(spark, SF0001).count()
     got = subprocess.run([sys.executable, "-c", FRESH, ROOT, SF0001], capture_output=True, text=True, timeout=300)
     assert f"z {n} {n}" in got.stdout, got.stderr[-2000:]
+
+
+def test_training_rows_are_made_once(spark):
+    d = q_models.training_frame(spark, SF0001)
+    assert not any("events.parquet" in f for f in d.inputFiles())
+    assert d.storageLevel.useMemory and d.storageLevel.useDisk
+    assert {r[0] for r in d.select("split").distinct().collect()} == {"train", "val", "test"}
+    d.unpersist()
+
+
+def test_windows_are_made_once(spark, monkeypatch):
+    seen, real = [], q_models.rows.ordered_split
+    monkeypatch.setattr(q_models.rows, "ordered_split", lambda df, shares: (seen.append(df.inputFiles()), real(df, shares))[1])
+    q_models.sequence_frame(spark, SF0001)
+    assert seen[0] and not any("events.parquet" in f for f in seen[0])
+    assert len({f.rsplit("/", 1)[0] for f in seen[0]}) == 1
