@@ -37,7 +37,7 @@ EVIDENCE = 30.0
 KAPPA = 20.0  # rows that a parent's prior counts for
 ACCEPT = 0.5
 SCALE = 1 << 16  # log probabilities are held as integers: sums do not depend on batches
-SLICE = 1 << 22
+SLICE = 1 << 19  # the arrays of a slice take about 60 bytes a byte of text
 FOLD = np.arange(256, dtype=np.uint32)
 FOLD[:128] = 32  # white space, punctuation and symbols are all a gap
 FOLD[list(LOWER.encode())] = FOLD[list(UPPER.encode())] = list(LOWER.encode())
@@ -55,15 +55,16 @@ def trigrams(data: np.ndarray) -> np.ndarray:
 
 
 def _slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, row ends with a leading 0) of the texts, about SLICE bytes at a time."""
-    texts = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in column]
+    """(first row, bytes, row ends with a leading 0) of the texts, about SLICE bytes at a
+    time; the bytes are views of the batch, not copies."""
+    column = column.fill_null("").cast(pa.large_binary())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[column.offset: column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
     a = 0
-    while a < len(texts):
-        b, size = a, 0
-        while b < len(texts) and (b == a or size + len(texts[b]) <= SLICE):
-            size += len(texts[b])
-            b += 1
-        yield a, np.frombuffer(b"".join(texts[a:b]), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts[a:b]])])
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE, "right")) - 1)
+        yield a, data[ends[a]: ends[b]], ends[a: b + 1] - ends[a]
         a = b
 
 
@@ -103,7 +104,8 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndar
     return langs, np.round(model * SCALE).astype(np.int32)
 
 
-def _score(model: np.ndarray):
+def _score(model: np.ndarray, keep: bool = False):
+    """Log-likelihoods of the texts; with ``keep`` the texts stay beside them."""
     floor = -np.log(BUCKETS)
     model = np.pad(model, ((0, 0), (0, 1)))
 
@@ -125,7 +127,7 @@ def _score(model: np.ndarray):
                     mean = (total[hi] - total[lo]) / n / SCALE
                     ll[rows, k] = mean * np.minimum(n, EVIDENCE)
                     plain[rows] |= letters & ((mean > floor) | (count < EVIDENCE))
-            names = [c for c in batch.schema.names if c != "text"]
+            names = [c for c in batch.schema.names if keep or c != "text"]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(list(ll), pa.list_(pa.float64())), pa.array(plain)],
                                              names=names + ["ll", "plain"])
     return run
@@ -151,20 +153,23 @@ def _smooth(own: Column, parent: Column) -> Column:
     return F.transform(own, lambda v, i: (v + KAPPA * F.get(parent, i)) / (_total(own) + KAPPA))
 
 
-def identify(df: DataFrame, langs: list[str], model: np.ndarray, text: Column, declared: Column, address: Column | None, host: Column,
+def identify(df: DataFrame, langs: list[str], model: np.ndarray, text: Column | str, declared: Column, address: Column | None, host: Column,
              carry: list[str], accept: float = ACCEPT, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The columns ``carry`` of ``df`` with ``_lang``: language, posterior and
-    accepted (a carried column of that name is replaced)."""
+    accepted (a carried column of that name is replaced).  A ``text`` given by its
+    name and carried goes to Python and back once, not beside itself in the row."""
     k = len(langs)
+    once = text if isinstance(text, str) and text in carry and len(carry) > 1 and df.schema[text].dataType == T.StringType() else None
+    text = F.col(f"`{text}`") if isinstance(text, str) else text
     rows = [F.col(f"`{c}`") for c in carry]
     if not k:
         return df.select(*rows, F.struct(F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"),
                                          F.lit(False).alias("accepted")).alias("_lang"))
     suffix = F.lit(None) if address is None else F.lower(F.regexp_extract(address, r"^[a-zA-Z]+://[^/:?#]*\.([A-Za-z]+)(?:[/:?#]|$)", 1))
-    seen = df.select(F.struct(*rows).alias("row"), F.lower(declared).cast("string").alias("declared"), suffix.cast("string").alias("suffix"),
+    seen = df.select(F.struct(*[r for r, c in zip(rows, carry) if c != once]).alias("row"), F.lower(declared).cast("string").alias("declared"), suffix.cast("string").alias("suffix"),
                      F.lower(host).cast("string").alias("host"), text.cast("string").alias("text"))
-    schema = T.StructType(seen.drop("text").schema.fields).add("ll", T.ArrayType(T.DoubleType())).add("plain", T.BooleanType())
-    seen = seen.mapInArrow(_score(model), schema)
+    schema = T.StructType([*(seen if once else seen.drop("text")).schema.fields]).add("ll", T.ArrayType(T.DoubleType())).add("plain", T.BooleanType())
+    seen = seen.mapInArrow(_score(model, once is not None), schema)
     seen = seen.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+|[^.]+)$", 1)).withColumn("post", _softmax(F.col("ll")))
     seen = written(seen, "langid-text")
 
@@ -186,7 +191,7 @@ def identify(df: DataFrame, langs: list[str], model: np.ndarray, text: Column, d
                          + F.get(F.coalesce("e_suffix", zero), i))
     out = out.withColumn("p", _softmax(logits)).withColumn("top", F.array_max("p"))
     names = F.array(*[F.lit(x) for x in langs])
-    return out.select(*[F.col(f"row.`{c}`") for c in carry if c.lower() != "_lang"], F.struct(
+    return out.select(*[F.col("text").alias(c) if c == once else F.col(f"row.`{c}`") for c in carry if c.lower() != "_lang"], F.struct(
         F.get(names, (F.array_position("p", F.col("top")) - 1).cast("int")).alias("language"), F.round("top", 6).alias("posterior"),
         (F.col("plain") & (F.col("top") >= accept)).alias("accepted")).alias("_lang"))
 
@@ -194,7 +199,7 @@ def identify(df: DataFrame, langs: list[str], model: np.ndarray, text: Column, d
 def identify_documents(docs: DataFrame, labelled: DataFrame, carry: list[str], **kw) -> DataFrame:
     """Documents: the declared language is ``lang``, the host is ``source``."""
     langs, model = fit(labelled.select(F.col("doc_id").alias("id"), "text", "lang"))
-    return identify(docs, langs, model, F.col("text"), F.col("lang"), None, F.col("source"), carry, **kw)
+    return identify(docs, langs, model, "text", F.col("lang"), None, F.col("source"), carry, **kw)
 
 
 MARKUP = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>"

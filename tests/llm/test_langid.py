@@ -53,3 +53,34 @@ def test_rare_language_has_a_class_beside_many_rows(spark):
     rare = spark.createDataFrame([(-1, "una frase breve con palabras", "es"), (-2, "zwei kurze Worte und mehr", "de"), (None, "quelques mots", "fr")], "id long, text string, lang string")
     langs, model = langid.fit(common.union(rare), rows=20)
     assert langs == ["de", "en", "es", "fr"] and len(model) == 4
+
+
+def test_memory_follows_the_slice_not_the_batch():
+    """Texts are views of their batch, in slices; a batch as Spark sends it takes far less than its own size again."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [None if i % 50 == 7 else "" if i % 50 == 9 else "übel zu tragen 1234 " * (i % 200) for i in range(8000)]
+    column = pa.array(["lead"] + texts).slice(1)
+    back = [bytes(data[a:b]) for _, data, cut in langid._slices(column) for a, b in zip(cut[:-1], cut[1:])]
+    assert back == [(t or "").encode() for t in texts]
+    batch = pa.record_batch({"text": column})
+    model = np.random.default_rng(1).integers(-900000, -100000, (4, langid.BUCKETS)).astype(np.int32)
+    tracemalloc.start()
+    (out,) = langid._score(model, True)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.column("text") == column and out.num_rows == 8000
+    assert peak < 64 << 20, peak
+
+
+def test_carried_text_is_sent_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(-1, None, "en", "s"), (-1, "", None, None)], "doc_id long, text string, lang string, source string")
+    df = docs.select("doc_id", "text", "lang", "source").union(odd)
+    got = langid.identify_documents(df, docs, df.columns)
+    assert sorted(map(str, df.collect())) == sorted(map(str, got.select(*df.columns).collect()))
+    beside = langid.identify_documents(df, docs, ["doc_id"])
+    assert sorted(map(str, got.select("doc_id", "_lang").collect())) == sorted(map(str, beside.collect()))
