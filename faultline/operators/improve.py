@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from faultline import constants as C
 from faultline.operators import metrics as M
 from faultline.operators import ml, quality, sampling
+from faultline.session import reliable_checkpoint
 
 
 def identify_problems(scored: DataFrame, pool: DataFrame, half_a: DataFrame, half_b: DataFrame) -> dict:
@@ -21,7 +22,7 @@ def identify_problems(scored: DataFrame, pool: DataFrame, half_a: DataFrame, hal
     worst = auc.filter(F.col("auc").isNotNull()).orderBy("auc", "api_name").first()
     missed = [r["error_type"] for r in M.recall_by_type(scored.filter(F.col("horizon") == 1))
               .filter("missed").select("error_type").collect()]        # bounded: one row per type
-    ks = quality.ks_2samp(half_a, half_b, C.DRIFT_FEATURES)
+    ks = reliable_checkpoint(quality.ks_2samp(half_a, half_b, C.DRIFT_FEATURES))
     dec = quality.drift_decision(ks).first()
     rep = {r["feature"]: {"ks": r["ks"], "p": r["p_value"],
                           "drifted": bool(r["ks"] > C.KS_THRESHOLD and r["p_value"] < C.KS_P_THRESHOLD)}
@@ -34,26 +35,27 @@ def identify_problems(scored: DataFrame, pool: DataFrame, half_a: DataFrame, hal
 
 def apply_fixes(pool: DataFrame, problems: dict, positions: DataFrame, n: int) -> tuple[DataFrame, list]:
     """DR-07: A recency window (last 65 %), B worst-API failures x5 (jittered,
-    capped), C missed types x5, D failure injection towards 13 %."""
+    capped), C missed types x5, D failure injection towards 13 %.  Each fix counts
+    and draws from the rows of the one before, so these are written."""
     fixes = []
     out = pool
     if problems["drift_detected"]:
         cut = int(n * (1 - C.DRIFT_WINDOW_FRACTION))
-        out = out.join(positions.filter(F.col("pos") >= cut).select("event_id"), "event_id", "left_semi")
+        out = reliable_checkpoint(out.join(positions.filter(F.col("pos") >= cut).select("event_id"), "event_id", "left_semi"))
         fixes.append("drift_recency_window")
     w = problems.get("worst_api")
     if w and problems.get("worst_api_auc") is not None and problems["worst_api_auc"] < C.AUC_FLOOR:
         out = sampling.augment_group(out, (F.col("api_name") == w) & (F.col("success") == 0), seed="worst")
-        out = out.drop("copy")
+        out = reliable_checkpoint(out.drop("copy"))
         fixes.append(f"oversample_worst_api:{w}")
     for et in problems.get("missed_failure_types", []):
         if et is None:
             continue
-        out = sampling.augment_group(out, (F.col("error_type") == et) & (F.col("success") == 0),
-                                     scale=0.04, scale_step=0.0, seed=f"missed:{et}").drop("copy")
+        out = reliable_checkpoint(sampling.augment_group(out, (F.col("error_type") == et) & (F.col("success") == 0),
+                                                         scale=0.04, scale_step=0.0, seed=f"missed:{et}").drop("copy"))
         fixes.append(f"boost_missed_type:{et}")
     if problems["imbalance_detected"]:
-        out = sampling.inject_failures(out).drop("copy")
+        out = reliable_checkpoint(sampling.inject_failures(out).drop("copy"))
         fixes.append("inject_failures_for_imbalance")
     return out, fixes
 

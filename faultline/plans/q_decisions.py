@@ -20,8 +20,9 @@ from faultline.sources import fixtures as FX
 
 def transactions(spark, sf):
     """Scored horizon-1 rows = one transaction each (primary = its API)."""
-    return (scored_long(spark, sf).filter(F.col("horizon") == 1)
-            .select("event_id", "api_name", "timestamp", "row_idx", "p", "y"))
+    # written once: running sums and back-tests read it several times
+    return reliable_checkpoint(scored_long(spark, sf).filter(F.col("horizon") == 1)
+                               .select("event_id", "api_name", "timestamp", "row_idx", "p", "y"))
 
 
 TX = S + """, tx AS (SELECT event_id, api_name, "timestamp", row_idx, p, y FROM scored WHERE horizon = 1),
@@ -78,8 +79,7 @@ FROM {src}"""
 
 
 def _all_metrics_spark(spark, sf):
-    # four back-tests read the same transactions: materialise them once
-    tx = reliable_checkpoint(transactions(spark, sf))
+    tx = transactions(spark, sf)
     rates = policy.measured_rates(FX.telemetry(spark, sf))
     pro = policy.proactive(tx, rates)
     pro_s = policy.proactive(tx, rates, variant="scaled")

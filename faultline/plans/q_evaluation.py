@@ -230,7 +230,7 @@ l AS (SELECT horizon, -(yd * ln(pc) + (1.0 - yd) * ln(1.0 - pc)) AS bce,
 SELECT horizon, avg(pow(1.0 - pt, 2.0) * bce * w) AS focal_loss, avg(bce) AS bce FROM l GROUP BY 1""".replace(
     "\n, pw AS", ",\npw AS", 1))
 def q_focal(spark, sf):
-    s = _scored(spark, sf)
+    s = reliable_checkpoint(_scored(spark, sf).select("horizon", "p", "y"))  # read for the weights and for the loss
     return M.focal_loss(s, M.pos_weights(s))
 
 

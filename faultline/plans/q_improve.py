@@ -5,29 +5,31 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline import constants as C
-from faultline.operators import improve, quality
+from faultline.operators import improve, quality, surrogate
 from faultline.operators import metrics as M
 from faultline.plans.catalog import register
 from faultline.plans.q_models import FEATS, training_frame
 from faultline.plans.q_quality import _halves
-from faultline.plans.scored import chrono_positions, scored_long
+from faultline.plans.scored import HORIZONS, chrono_positions, labelled_features, scored_long
 from faultline.session import reliable_checkpoint, scratch_dir
 from faultline.sources import files
 from faultline.sources import fixtures as FX
 
 
-def _problems(spark, sf):
+def _problems(spark, sf, wide):
+    """``wide``: the features with their targets, which the scores, the halves and the
+    training rows are all taken from."""
     # each input is materialised once: several one-row summaries read them
-    s = reliable_checkpoint(scored_long(spark, sf).join(FX.telemetry(spark, sf).select("event_id", "success"),
-                                                        "event_id"))
-    a, b = (reliable_checkpoint(x) for x in _halves(spark, sf))
+    scored = surrogate.to_long(surrogate.surrogate_forecast(wide), HORIZONS)
+    s = reliable_checkpoint(scored.join(FX.telemetry(spark, sf).select("event_id", "success"), "event_id"))
+    a, b = _halves(spark, sf, wide)
     pool = FX.telemetry(spark, sf)
     return improve.identify_problems(s, pool, a, b)
 
 
 @register("dr_identify_problems")
 def q_identify(spark, sf):
-    p = _problems(spark, sf)
+    p = _problems(spark, sf, reliable_checkpoint(labelled_features(spark, sf)))
     return spark.createDataFrame(
         [(p["worst_api"], p["worst_api_auc"], len(p["missed_failure_types"]), p["drift_detected"],
           p["imbalance_detected"], p["failure_rate"])],
@@ -40,8 +42,9 @@ def q_cycle(spark, sf):
     """DR-07/08 + SNK-05 + SRC-08 + DR-11: a dry run and a full run appended to
     a JSONL run log, read back tolerantly, reported as heal history."""
     import json
-    p = _problems(spark, sf)
-    d = reliable_checkpoint(training_frame(spark, sf))
+    wide = reliable_checkpoint(labelled_features(spark, sf))
+    p = _problems(spark, sf, wide)
+    d = reliable_checkpoint(training_frame(spark, sf, wide.drop("recent_failures")))
     train, test = d.filter("split = 'train'"), d.filter("split = 'test'")
     fixed, fixes = improve.apply_fixes(train, p, chrono_positions(spark, sf), FX.telemetry(spark, sf).count())
     fixed = fixed.withColumn("y", F.coalesce(F.col("y"), (F.lit(1) - F.col("success")).cast("double")))

@@ -14,7 +14,7 @@ from faultline.plans.catalog import register
 from faultline.plans.feature_table import feature_table
 from faultline.plans.q_evaluation import S
 from faultline.plans.scored import scored_long
-from faultline.session import scratch_dir
+from faultline.session import reliable_checkpoint, scratch_dir
 from faultline.sources import fixtures as FX
 
 T = "WITH " + FX.telemetry_sql() + "\n"
@@ -70,7 +70,8 @@ TXS = S + ", tx AS (SELECT event_id, api_name, row_idx, p, y FROM scored WHERE h
 
 
 def _tx(spark, sf):
-    return scored_long(spark, sf).filter(F.col("horizon") == 1).select("event_id", "api_name", "row_idx", "p", "y")
+    # written once: order statistics, counts and copies each read it
+    return reliable_checkpoint(scored_long(spark, sf).filter(F.col("horizon") == 1).select("event_id", "api_name", "row_idx", "p", "y"))
 
 
 @register("smp_balance", TXS + f""", c AS (SELECT sum(y) AS pos, count(*) - sum(y) AS neg FROM tx),
@@ -296,17 +297,18 @@ UNION ALL SELECT 'FIX BOUNDARY', NULL, 'sequences cross source boundaries' FROM
 
 @register("dq_audit", _audit_sql())
 def q_audit(spark, sf):
-    ft = feature_table(spark, sf)
-    return QL.audit(ft)
+    return QL.audit(reliable_checkpoint(feature_table(spark, sf)))  # one table for all reports
 
 
 # --- drift -----------------------------------------------------------------------------------
-def _halves(spark, sf):
-    ft = feature_table(spark, sf)
+def _halves(spark, sf, ft=None):
+    """The drift features of the earlier and the later half of the events."""
+    ft = feature_table(spark, sf) if ft is None else ft
+    ft = reliable_checkpoint(ft.select("event_id", *C.DRIFT_FEATURES))
     n = ft.count()
     from faultline.plans.scored import chrono_positions
     pos = chrono_positions(spark, sf)
-    j = ft.join(pos.select("event_id", "pos"), "event_id")
+    j = reliable_checkpoint(ft.join(pos.select("event_id", "pos"), "event_id"))
     return j.filter(F.col("pos") < n // 2), j.filter(F.col("pos") >= n // 2)
 
 
@@ -392,7 +394,7 @@ def q_baseline_by_day(spark, sf):
           + HU("event_id", "baseline") + ", event_id LIMIT 5000)\n" + "\nUNION ALL\n".join(
               f"SELECT event_id, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM smp" for f in C.DRIFT_FEATURES))
 def q_baseline(spark, sf):
-    return QL.drift_baseline(feature_table(spark, sf))
+    return QL.drift_baseline(reliable_checkpoint(feature_table(spark, sf).select("event_id", *C.DRIFT_FEATURES)))
 
 
 @register("dr_imbalance", T + f"""
@@ -404,7 +406,8 @@ def q_imbalance(spark, sf):
 
 def _daily_runs(spark, sf):
     """Day-over-day drift: run = day d compares day d (a) with day d-1 (b)."""
-    ft = feature_table(spark, sf).withColumn("day", F.to_date("timestamp"))
+    ft = feature_table(spark, sf).select(F.to_date("timestamp").alias("day"), *C.DRIFT_FEATURES)
+    ft = reliable_checkpoint(ft)
     days = ft.select("day").distinct()
     first = days.agg(F.min("day")).scalar()
     cur = ft.filter(F.col("day") > first).withColumn("run", F.date_format("day", "yyyy-MM-dd"))

@@ -20,11 +20,15 @@ HORIZONS = (1, 5, 15)
 RECENT_N = 20
 
 
-def scored_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-API and cross-API features with the targets of every horizon."""
     tele = fixtures.telemetry(spark, sf_dir)
     f = features.series_features(tele, "batch60", decimals=2, horizons=HORIZONS, recent_n=RECENT_N)
-    f = cross_api.cross_api_features(reliable_checkpoint(f))
-    return surrogate.surrogate_forecast(f)
+    return cross_api.cross_api_features(reliable_checkpoint(f))
+
+
+def scored_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogate.surrogate_forecast(labelled_features(spark, sf_dir))
 
 
 def scored_long(spark: SparkSession, sf_dir: str) -> DataFrame:
