@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.operators import series
-from faultline.session import reliable_checkpoint, ship_package
+from faultline.session import broadcast_if_small, reliable_checkpoint, ship_package
 
 MONEY = "decimal(18,2)"
 
@@ -41,81 +41,204 @@ def legs(transfers: DataFrame) -> DataFrame:
     return deb.unionByName(cre)
 
 
-def _posted_legs(done: DataFrame, waiting: DataFrame) -> DataFrame:
-    """Legs in cents: what is settled (``known``), what waiting requests may take
-    and what they may bring."""
-    zero = F.lit(0).cast("long")
+#: Rows of an account's course, whole numbers without nulls: its base (_pos -1) and, of a
+#: sliced account, what earlier slices leave (_pos -2), then debits (_leg 0) and credits
+#: (_leg 1) by position.  _what: 0 stays for the next pass, 1 is a verdict on its way to an
+#: account, 2 is settled with the balance before, 3 went through with a key that occurs
+#: again.  _hit and _moved: 0 no, 1 yes, 2 not known yet.  _key: the first position of a key
+#: that occurs again, or -1.  _oslice: the receiver's slice, or -2 if the sender receives.
+COURSE = ["_acc", "_slice", "_pos", "_leg", "_cents", "_take", "_give", "_key", "_hit", "_moved", "_other", "_oslice", "_what"]
 
-    def side(df: DataFrame, account: str, leg: int, amount, settled: bool) -> DataFrame:
-        flow = {"known": amount if settled else zero, "take": zero if settled or leg else amount, "give": amount if leg and not settled else zero}
-        return df.select(F.col(account).alias("account"), "_pos", F.lit(leg).alias("leg"), *[v.alias(k) for k, v in flow.items()])
 
-    out = [side(df, account, leg, amount, df is done) for df in (done, waiting)
-           for account, leg, amount in (("account_from", 0, -(F.col("_cents") + F.col("_fee"))), ("account_to", 1, F.col("_cents")))]
-    return reduce(DataFrame.unionByName, out)
+def _course_rows(batch) -> list:
+    """The batch's rows as tuples."""
+    import pyarrow as pa
+
+    columns = [batch.column(batch.schema.get_field_index(c)) for c in COURSE]
+    return list(zip(*[c.to_numpy(zero_copy_only=False).tolist() if pa.types.is_integer(c.type) else c.to_pylist() for c in columns]))
 
 
-def _before(waiting: DataFrame, done: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Waiting requests with the least and the greatest balance that their sender
-    can have just before: all earlier waiting debits taken and none of the credits,
-    and the other way round.  Only accounts with waiting debits are summed."""
-    senders = waiting.select(F.col("account_from").alias("account")).distinct()
-    legs = _posted_legs(done, waiting).join(senders, "account", "left_semi")
-    cum = series.cumulative(legs, "account", ["_pos", "leg"], ["known", "take", "give"])
-    at = cum.where((F.col("leg") == 0) & (F.col("take") < 0))
-    at = at.select(F.col("_pos").alias("_at"), (F.col("cum_known") - F.col("known")).alias("settled"),
-                   (F.col("cum_take") - F.col("take")).alias("least"), F.col("cum_give").alias("most"))
-    opening = accounts.select(F.col("account_id").alias("_acc"), (F.col("opening_balance") * 100).cast("long").alias("_open"))
-    out = waiting.join(at, F.col("_pos") == F.col("_at")).join(opening, F.col("account_from") == F.col("_acc"))
-    known = F.col("_open") + F.col("settled")
-    return out.select(*waiting.columns, known.alias("_known"), (known + F.col("least")).alias("_low"), (known + F.col("most")).alias("_high"))
+def _course_batch(rows: list, schema):
+    import numpy as np
+    import pyarrow as pa
 
+    kinds = [schema.field(c).type for c in COURSE]
+    return pa.RecordBatch.from_arrays([pa.array(np.array(c, t.to_pandas_dtype()) if pa.types.is_integer(t) else c, t) for c, t in zip(zip(*rows), kinds)], names=COURSE)
 
-def _keys_before(waiting: DataFrame, done: DataFrame, again: DataFrame) -> DataFrame:
-    """Waiting requests with what is known of earlier ones of their key (only keys
-    that occur ``again`` are looked up): ``_hit`` is true if one went through,
-    null if one still waits."""
-    def least(df: DataFrame, name: str) -> DataFrame:
-        return df.join(again, "_key", "left_semi").groupBy("_key").agg(F.min("_pos").alias(name))
 
-    seen = least(done, "_first").join(least(waiting, "_open_first"), "_key", "full")
-    out = waiting.join(seen, "_key", "left")
-    hit = F.when(F.col("_first") < F.col("_pos"), True).when(F.col("_open_first") < F.col("_pos"), F.lit(None)).otherwise(False)
-    return out.select(*waiting.columns, hit.alias("_hit"))
+def _follow(batches, decide: bool):
+    """Accounts' courses, one after the other, each in order.  The balance is held
+    between ``lo`` and ``hi``; a request that both allow, or both forbid, is decided, and
+    one that stays open leaves the least and the most of both outcomes.  What comes before
+    the first open row is summed into the base; later rows stay, debits with the settled
+    part of their balance as ``_give``."""
+    acc = cut = None
+    known = base = entry = lo = hi = last = 0
+    is_open, done, keys, batch = False, None, {}, None
+    for batch in batches:
+        out: list = []
+        for row in _course_rows(batch):
+            who, part, pos, leg, cents, take, give, key, hit, moved, other, oslice, what = row
+            if who != acc or part != cut:
+                if acc is not None and (is_open or cut >= 0):
+                    out.append((acc, cut, -1, -1, base if is_open else known - entry, last, 0, -1, 0, 2, acc, -2, 0))
+                acc, cut, is_open, done, keys = who, part, False, None, {}
+                known = lo = hi = entry = 0
+                last = -1 if cut < 0 else 1 << 62
+            if pos < 0:
+                if pos == -2:
+                    entry, is_open, base = cents, take > 0 or give > 0, 0
+                    known, lo, hi = cents, cents - take, cents + give
+                else:
+                    base, known, lo, hi = cents, known + cents, lo + cents, hi + cents
+                    last = take if cut < 0 else last
+                continue
+            if pos > last or done == (pos, leg):
+                continue  # no request of the account comes after it, or its verdict came before it
+            done = (pos, leg) if what else None
+            if leg:
+                if moved == 2:
+                    if not is_open:
+                        is_open, base = True, known - entry
+                    hi += give
+                elif moved:
+                    known, lo, hi = known + give, lo + give, hi + give
+                if is_open and moved:
+                    out.append((*row[:12], 0))
+                continue
+            was = known
+            if moved == 2:
+                if key >= 0 and keys.get(key):
+                    hit = 1
+                fresh = hit == 0 and key not in keys  # no earlier request of its key is open
+                if decide:
+                    moved = 0 if hit == 1 or hi < cents else 1 if fresh and lo >= cents else 2
+                    if moved != 2:
+                        if oslice > -2:
+                            out.append((other, oslice, pos, 1, 0, 0, cents, -1, 0, moved, other, -2, 1))
+                        if moved and key >= 0:
+                            out.append((who, cut, pos, 3, 0, 0, 0, key, 0, 1, who, -2, 3))
+            if moved == 2:
+                if not is_open:
+                    is_open, base = True, known - entry
+                if hit != 1:
+                    lo, hi = min(lo, max(lo, cents) - take), max(hi - take, min(hi, cents - 1) if fresh else hi)
+                    if key >= 0:
+                        keys.setdefault(key, False)
+            elif moved:
+                known, lo, hi = known - take, max(lo, cents) - take, hi - take
+                if key >= 0:
+                    keys[key] = True
+            if is_open:
+                out.append((who, cut, pos, 0, cents, take, was, key, hit, moved, other, oslice, 0))
+            else:
+                out.append((who, cut, pos, 0, was, 0, 0, -1, 0, moved, who, -2, 2))
+        if out:
+            yield _course_batch(out, batch.schema)
+    if acc is not None and (is_open or cut >= 0):
+        yield _course_batch([(acc, cut, -1, -1, base if is_open else known - entry, last, 0, -1, 0, 2, acc, -2, 0)], batch.schema)
 
 
 def _replay(batches):
-    """Requests in order, each with the settled part of its sender's balance: what
-    goes through here moves the balances of those after it."""
-    import pyarrow as pa
-
-    moved, through = {}, set()
+    """Open requests in order, each with the settled part of its sender's balance: what
+    goes through here moves the balances of those after it.  Verdicts for both accounts."""
+    gained, through = {}, set()
     for batch in batches:
-        rows = batch.to_pylist()
-        for r in rows:
-            ok = not r["_hit"] and r["_key"] not in through and r["_known"] + moved.get(r["account_from"], 0) >= r["_cents"]
+        out = []
+        for who, cut, pos, leg, cents, take, give, key, hit, _, other, oslice, _ in _course_rows(batch):
+            ok = hit != 1 and key not in through and give + gained.get(who, 0) >= cents
             if ok:
-                through.add(r["_key"])
-                moved[r["account_from"]] = moved.get(r["account_from"], 0) - r["_cents"] - r["_fee"]
-                moved[r["account_to"]] = moved.get(r["account_to"], 0) + r["_cents"]
-            r["_moved"] = ok
-        yield pa.RecordBatch.from_pylist([{"_pos": r["_pos"], "_moved": r["_moved"]} for r in rows], schema=pa.schema([("_pos", pa.int64()), ("_moved", pa.bool_())]))
+                if key >= 0:
+                    through.add(key)
+                    out.append((who, cut, pos, 3, 0, 0, 0, key, 0, 1, who, -2, 3))
+                gained[who] = gained.get(who, 0) - take
+                if oslice > -2:
+                    gained[other] = gained.get(other, 0) + cents
+            out.append((who, cut, pos, 0, cents, take, give, key, hit, int(ok), other, oslice, 1))
+            if oslice > -2:
+                out.append((other, oslice, pos, 1, 0, 0, cents, -1, 0, int(ok), other, -2, 1))
+        if out:
+            yield _course_batch(out, batch.schema)
+
+
+def _course_frame(df: DataFrame, types: dict, **have) -> DataFrame:
+    none = {"_key": -1, "_moved": 2, "_oslice": -2}
+    return df.select(*[have.get(c, have["_acc"] if c == "_other" else F.lit(none.get(c, 0))).cast(types.get(c, "long")).alias(c) for c in COURSE])
+
+
+def _slices_before(course: DataFrame) -> DataFrame:
+    """What the earlier slices of sliced accounts leave: settled, taken and given at most."""
+    debit, credit, verdict = F.col("_leg") == 0, F.col("_leg") == 1, F.col("_what") == 1
+    waits, sign = (F.col("_moved") == 2) | verdict, F.when(verdict, -1).otherwise(1)  # a verdict replaces its open row
+    per = course.where("_slice >= 0").groupBy("_acc", "_slice").agg(
+        F.sum(F.when(F.col("_pos") == -1, F.col("_cents")).when(credit & (F.col("_moved") == 1), F.col("_give"))
+              .when(debit & (F.col("_moved") == 1), -F.col("_take")).otherwise(0)).alias("k"),
+        F.sum(F.when(debit & waits, sign * F.col("_take")).otherwise(0)).alias("t"),
+        F.sum(F.when(credit & waits, sign * F.col("_give")).otherwise(0)).alias("g"))
+    w = Window.partitionBy("_acc").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    k, t, g = (F.coalesce(F.sum(c).over(w), F.lit(0)) for c in "ktg")
+    return _course_frame(per, dict(course.dtypes), _acc=F.col("_acc"), _slice=F.col("_slice"), _pos=F.lit(-2), _leg=F.lit(-1), _cents=k, _take=t, _give=g)
+
+
+def _keys_before(course: DataFrame, through: DataFrame) -> DataFrame:
+    """Open requests whose key several accounts or slices share, told of the earlier
+    ones: ``_hit`` is 1 if one went through, 2 if one is still open."""
+    waits = F.expr("_leg = 0 and _moved = 2 and _what = 0 and _key >= 0")
+    asks = waits & (F.col("_hit") == 2)
+    told = course.where("_what = 1 and _leg = 0").select(F.col("_pos").alias("_told"))
+    first = course.where(waits).join(told, F.col("_pos") == F.col("_told"), "left_anti").groupBy("_key").agg(F.min("_pos").alias("_open_first"))
+    seen = first.join(through.groupBy("_key").agg(F.min("_pos").alias("_first")), "_key", "full")
+    hit = F.when(F.col("_first") < F.col("_pos"), 1).when(F.col("_open_first") < F.col("_pos"), 2).otherwise(0)
+    out = course.where(asks).join(seen, "_key", "left").withColumn("_hit", hit.cast(dict(course.dtypes)["_hit"])).select(*COURSE)
+    return course.where(~asks).unionByName(out)
+
+
+def _course(slim: DataFrame, accounts: DataFrame, slice_rows: int) -> tuple[DataFrame, bool, bool]:
+    """Both legs of the requests and the senders' bases; whether an account is cut
+    to slices (of ``slice_rows`` positions, if it has more rows) and whether a key
+    is shared between accounts or slices."""
+    legs = slim.select(F.col("account_from").alias("_acc"), F.col("_pos").alias("_last")).unionByName(
+        slim.select(F.col("account_to").alias("_acc"), F.lit(None).cast("long").alias("_last")))
+    stats = reliable_checkpoint(legs.groupBy("_acc").agg(F.count(F.lit(1)).alias("_n"), F.max("_last").alias("_last")))
+    large = stats.where(F.col("_n") > slice_rows).select(F.col("_acc").alias("_large"))
+    sliced = not large.isEmpty()
+    slim = slim.withColumn("_fs", F.lit(-1)).withColumn("_ts", F.lit(-1))
+    if sliced:
+        large, part = reliable_checkpoint(large), F.floor(F.col("_pos") / slice_rows).cast("long")
+        for account, name in (("account_from", "_fs"), ("account_to", "_ts")):
+            slim = slim.join(broadcast_if_small(large), F.col(account) == F.col("_large"), "left").withColumn(
+                name, F.when(F.col("_large").isNotNull(), part).otherwise(-1)).drop("_large")
+    mine = F.col("account_from") == F.col("account_to")
+    shared = (F.col("_key") >= 0) & (~F.col("_one_sender") | (F.col("_fs") >= 0))
+    account = dict(stats.dtypes)["_acc"]
+    types = {"_acc": account, "_other": account, "_leg": "int", "_hit": "int", "_moved": "int", "_what": "int"}
+    debits = _course_frame(slim, types, _acc=F.col("account_from"), _slice=F.col("_fs"), _pos=F.col("_pos"), _cents=F.col("_cents"),
+                           _take=F.col("_fee") + F.when(mine, 0).otherwise(F.col("_cents")), _key=F.col("_key"), _hit=F.when(shared, 2).otherwise(0),
+                           _other=F.col("account_to"), _oslice=F.when(mine, -2).otherwise(F.col("_ts")))
+    credits = _course_frame(slim.where(~mine), types, _acc=F.col("account_to"), _slice=F.col("_ts"), _pos=F.col("_pos"), _leg=F.lit(1), _give=F.col("_cents"))
+    opening = accounts.groupBy(F.col("account_id").alias("_id")).agg((F.min("opening_balance") * 100).cast("long").alias("_cents"))
+    bases = stats.where("_last is not null").join(opening, F.col("_acc") == F.col("_id"))
+    bases = _course_frame(bases, types, _acc=F.col("_acc"), _slice=F.when(F.col("_n") > slice_rows, 0).otherwise(-1), _pos=F.lit(-1), _leg=F.lit(-1),
+                          _cents=F.col("_cents"), _take=F.col("_last"))
+    return debits.unionByName(credits).unionByName(bases), sliced, not slim.where(shared).isEmpty()
 
 
 def settle_transfers(requests: DataFrame, accounts: DataFrame, key: str = "idempotency_key", order=("created_at", "region", "txn_id"),
-                     replay_rows: int = 200_000) -> DataFrame:
+                     replay_rows: int = 200_000, slice_rows: int = 500_000) -> DataFrame:
     """LED-01/02 exactly, in the order of ``order`` (unique): a request whose key
     has gone through before is an ``idempotent_hit``; others are rejected if an
     account is unknown, the amount is not positive, or the sender's balance at that
     moment, after all transfers that did go through, is below the amount.  A key
     whose request was rejected may try again.
 
-    A rejection changes later balances, so no single prefix sum tells.  Each round
-    sums the balances with all waiting debits taken and no credit, and with all
-    waiting credits and no debit; a request on which both agree is settled.  The
-    earliest waiting request of every account is always among them.  A round that
-    settles less than a tenth, or leaves ``replay_rows`` or fewer, is followed by a
-    replay of the earliest ``replay_rows`` waiting ones in order in one task of that
+    A rejection changes later balances, so no single prefix sum tells.  Each pass
+    follows every account through its open rows with the least and the greatest balance
+    it can have, and sends what it decides to the receivers; what comes before an
+    account's first open row is settled and leaves the job, so passes get smaller.  An
+    account with more than ``slice_rows`` rows is cut to slices, entered with the sums of
+    the earlier ones, so no task holds it whole.  The earliest open request is always
+    decided.  A pass that decides less than a tenth, or leaves ``replay_rows`` or fewer, is
+    followed by a replay of the earliest ``replay_rows`` open ones in order in one task of that
     bound, so a chain of dependent transfers takes its length over ``replay_rows``
     rounds.  Null keys are keys of their own request; a null account is unknown, a
     null amount not positive."""
@@ -128,46 +251,54 @@ def settle_transfers(requests: DataFrame, accounts: DataFrame, key: str = "idemp
             .join(known.select(F.col("account_id").alias("_t")), F.col("account_to") == F.col("_t"), "left"))
     reason = (F.when(F.col("_f").isNull(), "unknown_account_from").when(F.col("_t").isNull(), "unknown_account_to")
               .when(~F.coalesce(F.col("amount") > 0, F.lit(False)), "non_positive_amount"))
-    base = fees(base.withColumn("_static", reason).drop("_f", "_t"))
-    base = reliable_checkpoint(base.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\0"), F.col("_pos").cast("string")))))
-    slim = base.where("_static is null").select("_pos", "_key", "account_from", "account_to", (F.col("amount") * 100).cast("long").alias("_cents"),
-                                                (F.col("fee") * 100).cast("long").alias("_fee"))
-    again = reliable_checkpoint(slim.groupBy("_key").count().where("count > 1").select("_key"))
-    waiting, done, left = slim, slim.limit(0), slim.count()
+    base = reliable_checkpoint(fees(base.withColumn("_static", reason).drop("_f", "_t")).withColumn("_k", F.col(key).cast("string")))
+    # a key that occurs again is known by its first position
+    sender = F.when(F.col("_static").isNull(), F.col("account_from"))
+    again = reliable_checkpoint(base.where("_k is not null").groupBy("_k").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_key"), F.min(sender).eqNullSafe(F.max(sender)).alias("_one_sender")).where("_n > 1").drop("_n"))
+    slim = base.select("_pos", "_k", "_static", "txn_id", "account_from", "account_to", (F.col("amount") * 100).cast("long").alias("_cents"),
+                       (F.col("fee") * 100).cast("long").alias("_fee")).join(again, "_k", "left").drop("_k")
+    slim = reliable_checkpoint(slim.withColumn("_key", F.coalesce("_key", F.lit(-1))).withColumn("_one_sender", F.coalesce("_one_sender", F.lit(True))))
+    valid = slim.where("_static is null")
+    course, sliced, shared = _course(valid, accounts, slice_rows)
+    schema = ", ".join(f"{c} {t}" for c, t in course.dtypes)
+    settled, through, decide, left = [], [], True, valid.count()
     while left:
-        funds = _before(_keys_before(waiting, done, again), done, accounts)
-        moved = (F.when(F.col("_hit") | (F.col("_high") < F.col("_cents")), False)
-                 .when((F.col("_hit") == F.lit(False)) & (F.col("_low") >= F.col("_cents")), True))
-        funds = reliable_checkpoint(funds.withColumn("_moved", moved))
-        now = funds.where("_moved is null").count()
-        if now and (now <= replay_rows or left - now < left // 10):
-            # balances as they are after this round, then the earliest in order
-            open_ = funds.where("_moved is null").select(*slim.columns)
-            through = done.unionByName(funds.where("_moved").select(*slim.columns))
-            last = series.kth_values(open_, "_pos", [min(replay_rows, now) - 1])
-            first = open_.where(F.col("_pos") <= max(last.values()))
-            fresh = _before(_keys_before(first, through, again), through, accounts)
-            said = fresh.repartition(1).sortWithinPartitions("_pos").mapInArrow(_replay, "_pos long, _moved boolean")
-            funds = reliable_checkpoint(funds.join(said.withColumnRenamed("_moved", "_said"), "_pos", "left")
-                                        .withColumn("_moved", F.coalesce("_moved", "_said")).drop("_said"))
-            now = max(0, now - replay_rows)
-        done = reliable_checkpoint(done.unionByName(funds.where("_moved").select(*slim.columns)))
-        waiting, left = funds.where("_moved is null").select(*slim.columns), now
-    # what went through is known: one more sum gives every request's balance
-    legs = _posted_legs(done, slim.join(done, "_pos", "left_anti")).withColumn("ask", F.when(F.col("leg") == 0, 1)).drop("take", "give")
-    cum = series.cumulative(legs, "account", ["_pos", "leg"], ["known"]).where("ask = 1")
-    opening = accounts.select(F.col("account_id").alias("_acc"), "opening_balance")
-    at = cum.join(opening, F.col("account") == F.col("_acc")).select(
-        F.col("_pos"), (F.col("opening_balance") + ((F.col("cum_known") - F.col("known")) / F.lit(100).cast("decimal(3,0)")).cast(MONEY)).cast(MONEY).alias("balance_before"))
-    txn = base.select("_pos", F.col("txn_id").alias("ledger_txn_id"))
-    first = done.join(txn, "_pos").select("_key", F.col("_pos").alias("_done_pos"), "ledger_txn_id")
-    out = base.join(at, "_pos", "left").join(first, "_key", "left")
-    earlier = F.coalesce(F.col("_done_pos") < F.col("_pos"), F.lit(False))
-    mine = F.coalesce(F.col("_done_pos") == F.col("_pos"), F.lit(False))
-    out = out.withColumn("action", F.when(mine, "processed").when(earlier, "idempotent_hit").otherwise("rejected"))
+        if shared:
+            course = _keys_before(course, reduce(DataFrame.unionByName, through) if through else course.where("_what = 3"))
+        if sliced:
+            course = course.unionByName(_slices_before(course))
+        course = reliable_checkpoint(course.repartition("_acc", "_slice").sortWithinPartitions("_acc", "_slice", "_pos", "_leg", F.col("_what").desc())
+                                     .mapInArrow(lambda batches, decide=decide: _follow(batches, decide), schema))
+        debit = F.expr("_what = 0 and _leg = 0")
+        open_ = debit & (F.col("_moved") == 2)
+        n = course.agg(F.count(F.when(debit, 1)).alias("kept"), F.count(F.when(open_, 1)).alias("open")).first()
+        settled.append(course.where("_what = 2").select("_pos", "_cents", "_moved"))
+        through.append(course.where("_what = 3").select("_key", "_pos"))
+        rest = course.where("_what < 2")
+        if not decide and n.open:
+            # balances as they are after the last pass, then the earliest in order
+            first = course.where(open_)
+            if n.open > replay_rows:
+                first = first.where(F.col("_pos") <= max(series.kth_values(first, "_pos", [replay_rows - 1]).values()))
+            said = reliable_checkpoint(first.repartition(1).sortWithinPartitions("_pos").mapInArrow(_replay, schema))
+            through.append(said.where("_what = 3").select("_key", "_pos"))
+            rest, decide = rest.unionByName(said.where("_what = 1")), True
+        else:
+            decide = not (n.open and (n.open <= replay_rows or left - n.open < left // 10))
+        course, left = rest, n.open or n.kept
+    at = reduce(DataFrame.unionByName, settled) if settled else spark.createDataFrame([], "_pos long, _cents long, _moved int")
+    # of keys that occur again, the request that went through
+    keyed = slim.where("_key >= 0").select("_key", "_pos", "txn_id")
+    first = keyed.join(at.where("_moved = 1").select("_pos"), "_pos", "left_semi").select("_key", F.col("_pos").alias("_done_pos"), F.col("txn_id").alias("_done_txn"))
+    hits = keyed.drop("txn_id").join(first, "_key").where("_done_pos < _pos").select("_pos", "_done_txn", F.lit(True).alias("_was"))
+    out = base.join(at.withColumnRenamed("_cents", "_at"), "_pos", "left").join(hits, "_pos", "left")
+    mine = F.col("_moved") == 1
+    out = out.withColumn("balance_before", (F.col("_at") / F.lit(100).cast("decimal(3,0)")).cast(MONEY))
+    out = out.withColumn("ledger_txn_id", F.when(mine, F.col("txn_id")).when(F.col("_was"), F.col("_done_txn")))
+    out = out.withColumn("action", F.when(mine, "processed").when(F.col("_was"), "idempotent_hit").otherwise("rejected"))
     return (out.withColumn("reason", F.when(F.col("action") == "rejected", F.coalesce("_static", F.lit("insufficient_funds"))))
-            .withColumn("ledger_txn_id", F.when(mine | earlier, F.col("ledger_txn_id")))
-            .drop("_pos", "_key", "_static", "_done_pos"))
+            .drop("_pos", "_k", "_static", "_at", "_moved", "_done_txn", "_was"))
 
 
 def validate_transfers(posted: DataFrame, accounts: DataFrame) -> DataFrame:

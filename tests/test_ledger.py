@@ -73,3 +73,26 @@ def test_chain_of_a_thousand_transfers_each_paid_by_the_one_before(spark):
 
 def test_no_requests(spark):
     assert settled(spark, [], {1: Decimal(5)})[0] == {}
+
+
+def test_accounts_cut_to_slices_and_short_replays_equal_the_ledger(spark):
+    for seed, options in ((4, {"slice_rows": 25, "replay_rows": 30}), (5, {"slice_rows": 40, "replay_rows": 3000})):
+        requests, accounts = world(seed, n=200, people=6)
+        want, bal = loop(requests, accounts)
+        got, balances, _ = settled(spark, requests, accounts, **options)
+        assert got == want and balances == bal
+
+
+def test_order_within_an_account_is_decided_without_replay(spark, monkeypatch):
+    """Senders that receive nothing: one pass tells all, however many are rejected."""
+    def never(batches):
+        raise AssertionError("replayed")
+
+    monkeypatch.setattr(L, "_replay", never)
+    rng = random.Random(9)
+    accounts = {i: Decimal("500.00") for i in range(10)}
+    requests = [(i, f"k{i // 2}", i // 2 % 5, 5 + i % 5, Decimal(rng.randrange(1, 30000)) / 100, T0 + dt.timedelta(minutes=i), "a") for i in range(200)]
+    want, bal = loop(requests, accounts)
+    assert len({w[0] for w in want.values()}) == 3
+    got, balances, _ = settled(spark, requests, accounts, replay_rows=0)
+    assert got == want and balances == bal
