@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from faultline import constants as C
 from faultline.functions.scalars import hash_uniform_sql as HU
 from faultline.functions.scalars import np_round_sql as R
-from faultline.operators import decide, policy, series
+from faultline.operators import decide, policy, series, surrogate
 from faultline.plans import sql as Q
 from faultline.plans.catalog import register
 from faultline.plans.feature_table import feature_table
 from faultline.plans.q_evaluation import S
-from faultline.plans.scored import scored_long
+from faultline.plans.scored import labelled_features, scored_long
 from faultline.session import reliable_checkpoint
 from faultline.sources import fixtures as FX
 
@@ -354,11 +354,12 @@ def q_canary(spark, sf):
 
 
 def _heal_ticks(spark, sf):
-    s = scored_long(spark, sf).filter(F.col("horizon") == 1)
-    dg = decide.diagnose(feature_table(spark, sf)).select("event_id", F.col("diagnosis.category").alias("category"))
-    j = s.join(dg, "event_id")
-    return (j.groupBy(F.date_trunc("minute", "timestamp").alias("ts_bucket"), "api_name")
-            .agg(F.max("p").alias("p"), F.max_by("category", F.struct("p", "event_id")).alias("category")))
+    """Score and diagnosis come from one feature pass; the ticks, which several jobs
+    read, are written once."""
+    d = decide.diagnose(surrogate.surrogate_forecast(labelled_features(spark, sf)).where("event_id is not null and y_h1 is not null"))
+    j = d.select("event_id", "timestamp", "api_name", F.col("p_h1").alias("p"), F.col("diagnosis.category").alias("category"))
+    return reliable_checkpoint(j.groupBy(F.date_trunc("minute", "timestamp").alias("ts_bucket"), "api_name")
+                               .agg(F.max("p").alias("p"), F.max_by("category", F.struct("p", "event_id")).alias("category")))
 
 
 def _heal_sql() -> str:
