@@ -68,7 +68,7 @@ def with_row_index(df: DataFrame, key="api_name", order=("timestamp", "event_id"
     ``order`` must make rows unique within a key (include an id tie-breaker).
     Each key's range of the first order column is cut at approximate
     quantiles into ``n`` buckets (a tiny boundary table, checkpointed so every
-    job sees the same cuts), rows are hash-partitioned on (key, bucket) and
+    job sees the same cuts), a key's buckets are dealt to the tasks in turn and
     sorted — so a hot key is spread over many tasks — and numbered locally;
     per-(key, bucket) counts (a small table) give the offsets.  Everything
     downstream of the checkpointed boundaries is deterministic, so lost
@@ -105,15 +105,18 @@ def with_row_index(df: DataFrame, key="api_name", order=("timestamp", "event_id"
     else:
         n_keys = df.select(*bkeys).distinct().count() if bkeys else 1
         d = df.withColumn("_bucket", F.lit(0))
-    ranged = (d.repartition(n, *bkeys, "_bucket")
+    # a key's buckets go to the tasks in turn; where each (key, bucket) begins follows from
+    # the counts alone, so the rows are shuffled and sorted once
+    task = F.pmod(F.hash(*bkeys).cast("long") + F.col("_bucket") if bkeys else F.col("_bucket").cast("long"), F.lit(n)).cast("int")
+    ranged = (d.repartitionById(n, task)
               .sortWithinPartitions(*keys, *prefix, "_bucket", *rest)
               .withColumn("_mid", F.monotonically_increasing_id()))
     local = F.col("_mid").bitwiseAND(F.lit(_LOCAL_MASK))
-    seg = (ranged.groupBy(*bkeys, "_bucket")
-           .agg(F.count(F.lit(1)).alias("_n"), F.min(local).alias("_first")))
-    w = Window.partitionBy(*keys).orderBy(*prefix, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    # a small table, written once: the rows are not sorted anew for it wherever they are used
+    seg = d.groupBy(*bkeys, "_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_task", task)
+    before = lambda *by: Window.partitionBy(*by).orderBy(*keys, *prefix, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    for name, by in (("_off", keys), ("_first", ["_task"])):
+        seg = seg.withColumn(name, F.coalesce(F.sum("_n").over(before(*by)), F.lit(0)))
+    # a small table, written once
     seg = reliable_checkpoint(seg.select(*[F.col(k).alias(f"_k_{k}") for k in bkeys], F.col("_bucket").alias("_kb"), "_off", "_first"))
     # at most n rows per key: broadcast on that proven bound (no extra job)
     if n_keys * n <= BROADCAST_MAX_ROWS:

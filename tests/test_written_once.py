@@ -6,7 +6,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from faultline.operators import features, series
-from faultline.plans import q_quality, q_streaming
+from faultline.plans import q_decisions, q_quality, q_streaming
 from faultline.sources import fixtures as FX
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +61,26 @@ def test_late_report_in_many_files(spark, monkeypatch):
     monkeypatch.setattr(q_streaming.ops, "read_request_stream", seen)
     assert q_streaming.q_late(spark, SF).collect() == one
     assert files[0] > 1 and files[1] == 2 * files[0]
+
+
+def test_row_index_sorts_rows_once(spark, monkeypatch):
+    """Where buckets begin is told by counts, with null keys and order values as well."""
+    plans, real = [], series.reliable_checkpoint
+    monkeypatch.setattr(series, "reliable_checkpoint", lambda df: (plans.append(plan(df)), real(df))[1])
+    rows = [(i, [None, "a", "b", "a"][i % 4], None if i % 11 == 0 else (i * 37) % 101) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k string, at int")
+    for key, n in (("k", 1), ("k", 7), (None, 16)):
+        idx = series.with_row_index(df, key=key, order=("at", "id"), n_partitions=n)
+        assert "monotonically_increasing_id" not in plans[-1]
+        seen: dict = {}
+        for r in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0])):
+            seen.setdefault(r[1] if key else 0, []).append(r[0])
+        want = {i: at for ids in seen.values() for at, i in enumerate(ids)}
+        assert {r.id: r.row_idx for r in idx.collect()} == want
+
+
+def test_healing_takes_one_feature_pass(spark, monkeypatch):
+    passes, real = [], features.series_features
+    monkeypatch.setattr(features, "series_features", lambda *a, **k: (passes.append(1), real(*a, **k))[1])
+    ticks = q_decisions._heal_ticks(spark, SF)
+    assert len(passes) == 1 and "events.parquet" not in plan(ticks) and "Aggregate" not in plan(ticks)
