@@ -13,6 +13,8 @@ from faultline.operators import series
 from faultline.session import broadcast_if_small, reliable_checkpoint, ship_package
 
 MONEY = "decimal(18,2)"
+#: Cents that stand for an unknown opening balance: more than MONEY holds.
+NO_BALANCE = 1 << 61
 
 
 def post_transfers(requests: DataFrame, key: str = "idempotency_key",
@@ -216,7 +218,7 @@ def _course(slim: DataFrame, accounts: DataFrame, slice_rows: int) -> tuple[Data
                            _take=F.col("_fee") + F.when(mine, 0).otherwise(F.col("_cents")), _key=F.col("_key"), _hit=F.when(shared, 2).otherwise(0),
                            _other=F.col("account_to"), _oslice=F.when(mine, -2).otherwise(F.col("_ts")))
     credits = _course_frame(slim.where(~mine), types, _acc=F.col("account_to"), _slice=F.col("_ts"), _pos=F.col("_pos"), _leg=F.lit(1), _give=F.col("_cents"))
-    opening = accounts.groupBy(F.col("account_id").alias("_id")).agg((F.min("opening_balance") * 100).cast("long").alias("_cents"))
+    opening = accounts.groupBy(F.col("account_id").alias("_id")).agg(F.coalesce((F.min("opening_balance") * 100).cast("long"), F.lit(NO_BALANCE)).alias("_cents"))
     bases = stats.where("_last is not null").join(opening, F.col("_acc") == F.col("_id"))
     bases = _course_frame(bases, types, _acc=F.col("_acc"), _slice=F.when(F.col("_n") > slice_rows, 0).otherwise(-1), _pos=F.lit(-1), _leg=F.lit(-1),
                           _cents=F.col("_cents"), _take=F.col("_last"))
@@ -241,7 +243,8 @@ def settle_transfers(requests: DataFrame, accounts: DataFrame, key: str = "idemp
     followed by a replay of the earliest ``replay_rows`` open ones in order in one task of that
     bound, so a chain of dependent transfers takes its length over ``replay_rows``
     rounds.  Null keys are keys of their own request; a null account is unknown, a
-    null amount not positive."""
+    null amount not positive.  An account without an opening balance lacks no funds, and has
+    no balance; one that is listed again counts once."""
     spark = requests.sparkSession
     ship_package(spark)
     place = series.cumulative(requests.withColumn("_one", F.lit(1).cast("long")), None, list(order), ["_one"])
@@ -294,7 +297,7 @@ def settle_transfers(requests: DataFrame, accounts: DataFrame, key: str = "idemp
     hits = keyed.drop("txn_id").join(first, "_key").where("_done_pos < _pos").select("_pos", "_done_txn", F.lit(True).alias("_was"))
     out = base.join(at.withColumnRenamed("_cents", "_at"), "_pos", "left").join(hits, "_pos", "left")
     mine = F.col("_moved") == 1
-    out = out.withColumn("balance_before", (F.col("_at") / F.lit(100).cast("decimal(3,0)")).cast(MONEY))
+    out = out.withColumn("balance_before", (F.when(F.col("_at") < NO_BALANCE // 2, F.col("_at")) / F.lit(100).cast("decimal(3,0)")).cast(MONEY))
     out = out.withColumn("ledger_txn_id", F.when(mine, F.col("txn_id")).when(F.col("_was"), F.col("_done_txn")))
     out = out.withColumn("action", F.when(mine, "processed").when(F.col("_was"), "idempotent_hit").otherwise("rejected"))
     return (out.withColumn("reason", F.when(F.col("action") == "rejected", F.coalesce("_static", F.lit("insufficient_funds"))))

@@ -96,3 +96,13 @@ def test_order_within_an_account_is_decided_without_replay(spark, monkeypatch):
     assert len({w[0] for w in want.values()}) == 3
     got, balances, _ = settled(spark, requests, accounts, replay_rows=0)
     assert got == want and balances == bal
+
+
+def test_accounts_listed_twice_or_without_a_balance(spark):
+    requests = [(i, f"k{i}", i % 3, (i + 1) % 3, Decimal(40), T0 + dt.timedelta(minutes=i), "a") for i in range(9)]
+    r = spark.createDataFrame(requests, REQ)
+    a = spark.createDataFrame([(0, None), (1, Decimal(50)), (1, Decimal(50)), (2, Decimal(0)), (None, Decimal(7))], "account_id long, opening_balance decimal(18,2)")
+    got = {x.txn_id: (x.action, x.balance_before) for x in L.settle_transfers(r, a).collect()}
+    # 0 pays 1 whatever it has; 1 pays 2; 2 pays 0
+    assert got == {i: ("processed", None) for i in (0, 3, 6)} | {1: ("processed", Decimal(90)), 4: ("processed", Decimal("89.75")), 7: ("processed", Decimal("89.50"))} | {
+        2: ("processed", Decimal(40)), 5: ("rejected", Decimal("39.75")), 8: ("processed", Decimal("79.75"))}
