@@ -3,8 +3,12 @@ PRJ-01/06, SMP-10, WIN-22/23/25, TOP-07, UDF-01)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from faultline import constants as C
 from faultline.functions.scalars import hash_uniform
@@ -51,23 +55,64 @@ def ordered_split(df: DataFrame, shares=(0.7, 0.15, 0.15), order=("timestamp", "
     return idx.withColumn(out, F.when(F.col("_i") < a, "train").when(F.col("_i") < b, "val").otherwise("test")).drop("_i")
 
 
+def _summaries(x, known, place, length: int):
+    """Mean and slope of every window of ``length`` rows of ``x`` (``known``: which rows
+    have a value), with which of both are null.  Row by row from the oldest, as avg and
+    regr_slope do it, for all windows at once."""
+    n = len(x) - length + 1
+    total, x_mean, p_mean, both, squares, count = (np.zeros(n) for _ in range(6))
+    with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+        for k in range(length):
+            v, p, ok = x[k: k + n], place[k: k + n], known[k: k + n]
+            more = count + 1.0
+            dp, dx = p - p_mean, v - x_mean
+            step_p, step_x = dp / more, dx / more
+            now = (total + v, x_mean + step_x, p_mean + step_p, both + dp * (v - (x_mean + step_x)), squares + dp * (dp - step_p), more)
+            if ok.all():
+                total, x_mean, p_mean, both, squares, count = now
+            else:
+                total, x_mean, p_mean, both, squares, count = (
+                    np.where(ok, new, old) for new, old in zip(now, (total, x_mean, p_mean, both, squares, count)))
+        return total / count, count == 0, both / squares, squares == 0
+
+
+def _block_summaries(cols, length: int, step: int, horizons, kept):
+    """One block of consecutive rows -> its windows (Arrow tables in and out)."""
+    def run(block: pa.Table) -> pa.Table:
+        block = block.take(pc.sort_indices(block["row_idx"])).combine_chunks()
+        at, rows = block["row_idx"].to_numpy(), np.arange(block.num_rows)
+        bad = {h: block["_bad"].take(pa.array(rows + h, mask=rows + h >= len(rows))) for h in horizons}
+        full = block["_home"].to_numpy() & (rows >= length - 1) & ((at - (length - 1)) % step == 0)
+        ends = rows[full & bad[max(horizons)].is_valid().to_numpy()]
+        out = {c: block[c].take(pa.array(ends)) for c in kept}
+        for c in cols if len(ends) else ():
+            x = pc.cast(block[c], pa.float64(), safe=False)
+            stats = _summaries(x.fill_null(0.0).to_numpy(), x.is_valid().to_numpy(), at.astype(float), length)
+            mean, no_mean, slope, no_slope = (s[ends - (length - 1)] for s in stats)
+            out |= {f"{c}_mean": pa.array(mean, mask=no_mean), f"{c}_last": block[c].take(pa.array(ends)),
+                    f"{c}_slope": pa.array(slope, mask=no_slope)}
+        if not len(ends):
+            out |= {f"{c}_{k}": block[c].slice(0, 0) if k == "last" else pa.array([], pa.float64())
+                    for c in cols for k in ("mean", "last", "slope")}
+        return pa.table(out | {f"y_h{h}": y.take(pa.array(ends)) for h, y in bad.items()})
+    return run
+
+
 def sequence_summaries(df: DataFrame, cols, length: int = 30, step: int = 1, horizons=(1, 5, 15), key: str = "api_name",
                        order=("timestamp", "event_id")) -> DataFrame:
     """WIN-22/23: for every full window of ``length`` rows (each ``step`` rows):
     mean, last and slope per row of the columns, and whether the row 1, 5 or 15
     after the window fails; windows without all targets are left out.  Windows run inside blocks with a halo, so one hot
-    series is spread over many tasks."""
-    idx = series.with_row_index(df, key=key, order=order)
+    series is spread over many tasks; a block's windows are summed side by side as arrays."""
+    kept = list(dict.fromkeys(["event_id", key, "row_idx"]))
+    idx = series.with_row_index(df.select(*dict.fromkeys(["event_id", key, *order, "success", *cols])), key=key, order=order)
     b = series.blocked(idx, block=4096, back=length - 1, fwd=max(horizons))
-    w = series.block_window(key)
-    full = w.rowsBetween(-(length - 1), 0)
-    place = F.col("row_idx").cast("double")
-    out = [e for c in cols for e in (F.avg(c).over(full).alias(f"{c}_mean"), F.col(c).alias(f"{c}_last"),
-                                     F.regr_slope(F.col(c).cast("double"), place).over(full).alias(f"{c}_slope"))]
-    target = [F.lead((F.lit(1) - F.col("success")).cast("int"), h).over(w).alias(f"y_h{h}") for h in horizons]
-    first = F.col("row_idx") - (length - 1)
-    return b.select("event_id", key, "row_idx", "_home", *out, *target).where("_home").where(
-        (first >= 0) & (first % step == 0) & F.col(f"y_h{max(horizons)}").isNotNull()).drop("_home")
+    b = b.select(*dict.fromkeys([*kept, *cols, "_blk", "_home"]), (F.lit(1) - F.col("success")).cast("int").alias("_bad"))
+    out = [StructField(c, b.schema[c].dataType) for c in kept]
+    for c in cols:
+        out += [StructField(f"{c}_mean", DoubleType()), StructField(f"{c}_last", b.schema[c].dataType), StructField(f"{c}_slope", DoubleType())]
+    out += [StructField(f"y_h{h}", IntegerType()) for h in horizons]
+    return b.groupBy(key, "_blk").applyInArrow(_block_summaries(list(cols), length, step, tuple(horizons), kept), StructType(out))
 
 
 def running_best(df: DataFrame, value: str, order: str, out: str = "improved") -> DataFrame:
